@@ -214,6 +214,14 @@ def _confirm(numerator: int, denominator: int):
     return run
 
 
+#: A table of ids of at most this many rows is broadcast; a larger one is joined by a shuffle.
+BROADCAST_ROWS = 2_000_000
+
+
+def _small(ids: DataFrame) -> DataFrame:
+    return F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 4, threshold: tuple[int, int] = (80, 100)) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of ``docs`` (doc_id, text).
 
@@ -222,10 +230,12 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, threshold: tuple[int, int
     numerator, denominator = threshold
     sketched = written(signatures(docs, shingle))
     classes = sketched.where("n_shingles > 0 and doc_id is not null").groupBy("k1", "k2").agg(F.min("doc_id").alias("node"))
-    heads = sketched.where("sig is not null").join(classes.withColumnRenamed("node", "doc_id"), ["k1", "k2", "doc_id"]).select(F.col("doc_id").alias("node"), "k1", "k2", "sig")
+    # the other members of the classes are fewer and narrow; signatures and texts stay where they are while these are few
+    copies = written(sketched.select("doc_id", "k1", "k2").join(classes, ["k1", "k2"]).where("doc_id <> node").select("doc_id", "k1", "k2"))
+    heads = sketched.where("sig is not null and doc_id is not null").join(_small(copies), ["doc_id", "k1", "k2"], "left_anti").select(F.col("doc_id").alias("node"), "k1", "k2", "sig")
     pairs = written(candidates(heads, numerator / denominator))
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(nodes, "node", "left_semi")
+    nodes = written(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+    texts = docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(_small(nodes), "node", "left_semi")
     keyed = texts.mapInArrow(_sets(shingle), "node long, k1 long, k2 long, set binary")
     # a doc_id that stands on several rows is the node of one of its sets only
     sets = written(keyed.join(heads.select("node", "k1", "k2").distinct(), ["node", "k1", "k2"], "left_semi").select("node", "set").dropDuplicates(["node"]))

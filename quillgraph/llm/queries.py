@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillgraph.llm import chat, decontaminate, mixing, near_dedup, quality, secrets_scan, sharding, token_files
+from quillgraph.llm import chat, decontaminate, mixing, near_dedup, quality, repeats, secrets_scan, sharding, token_files
 
 TOKENIZER = "byte_bpe_50k.json"
 SHARDS = 40
@@ -50,6 +50,10 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_index(_table(spark, sf_dir, "documents"), tokenizer_path(), end_id=0)
 
 
+def op4_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.deduplicated(_table(spark, sf_dir, "documents"), length=100)
+
+
 def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mixing.mixed(_table(spark, sf_dir, "documents"), seed=SEED, temperature=0.5)
     return out.select("doc_id", "text", "lang", "source", "mix_copy", "mix_order")
@@ -107,6 +111,7 @@ QUERIES = {
     "op1_chat_format": op1_chat_format,
     "op2_near_dedup": op2_near_dedup,
     "op3_token_files": op3_token_files,
+    "op4_repeats": op4_repeats,
     "op5_source_mix": op5_source_mix,
     "op7_decontaminate": op7_decontaminate,
     "op8_quality_rules": op8_quality_rules,
