@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillgraph.llm import chat, decontaminate, mixing, near_dedup, quality, repeats, secrets_scan, sharding, token_files
+from quillgraph.llm import chat, decontaminate, line_dedup, mixing, near_dedup, quality, repeats, secrets_scan, sharding, token_files
 
 TOKENIZER = "byte_bpe_50k.json"
 SHARDS = 40
@@ -72,6 +72,10 @@ FROM drawn JOIN steps USING (s) WHERE c < u
 """
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.duplicate_lines(_table(spark, sf_dir, "documents"), edits=2, least=24)
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), window=13, share=20)
 
@@ -113,6 +117,7 @@ QUERIES = {
     "op3_token_files": op3_token_files,
     "op4_repeats": op4_repeats,
     "op5_source_mix": op5_source_mix,
+    "op6_line_dedup": op6_line_dedup,
     "op7_decontaminate": op7_decontaminate,
     "op8_quality_rules": op8_quality_rules,
     "op9_secret_scan": op9_secret_scan,
