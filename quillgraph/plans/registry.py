@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
-FLAGSHIP = ""
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+from quillgraph.plans import vector_queries
+
+FLAGSHIP = "q03_vector_answer"
+QUERIES = {**vector_queries.QUERIES}
+SQL: dict[str, str] = {**vector_queries.SQL}
