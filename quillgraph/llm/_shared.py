@@ -1,64 +1,5 @@
 """Tables in the shared folder of the cluster, and connected components over them."""
 
-from __future__ import annotations
+from quillgraph.operators.tables import components, forget, shared_dir, written
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """A new folder path under ``spark.checkpoint.dir``; a temporary folder only where that is unset (tests)."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = getattr(spark, "_quillgraph_tmp", None) or tempfile.mkdtemp(prefix="quillgraph-")
-        spark._quillgraph_tmp = root
-    return f"{root.rstrip('/')}/quillgraph-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, *partition: str) -> DataFrame:
-    """Cut the lineage: write ``df`` as Parquet in the shared folder and read it back."""
-    path = shared_dir(df.sparkSession)
-    df.write.partitionBy(*partition).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def forget(df: DataFrame) -> None:
-    """Delete the files of a table made by ``written`` that nothing needs any more."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        if "/quillgraph-" in folder:
-            path = jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """Connected components of undirected ``edges`` (a, b) as (node, component), component the smallest node reachable.
-
-    Alternates large-star and small-star steps until the edge set stops changing. Every step is an aggregate and a
-    join; no edge or label reaches the driver, only a row count and a checksum per round.
-    """
-    edges = written(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
-    before = None
-    for _ in range(rounds):
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        # each node points at smaller nodes only; a node that already is the least of its own keeps its edges through others
-        large = large.where("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
-        after = written(small)
-        forget(edges)
-        edges = after
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if tuple(now) == before:
-            break
-        before = tuple(now)
-    else:
-        raise RuntimeError("components did not settle")
-    leaves = edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
-    return leaves.unionByName(leaves.select(F.col("component").alias("node"), "component").distinct())
+__all__ = ["components", "forget", "shared_dir", "written"]
