@@ -142,7 +142,7 @@ def _left(limit: int | None, used: int) -> float:
     return float("inf") if limit is None else limit - used
 
 
-def greedy(edges: list[dict], included: list[str], counts: dict, budget: Budget, hop: int) -> list[tuple]:
+def greedy(edges: list[dict], included: list[str], counts: dict, budget: Budget) -> list[tuple]:
     """One hop's pass over the ordered candidate edges: what is taken, as (kind, identifier, score).
 
     An edge whose new ends don't fit is skipped; a full relationship or item budget ends the pass.
@@ -194,7 +194,7 @@ def expand(seeds: DataFrame, edges: DataFrame, budget: Budget = Budget()) -> Dat
         found = from_frontier(usable, frontier, budget.direction).select("q_id", "src_id", "type", "tgt_id", "weight", "ord")
         state = items.groupBy("q_id").agg(F.array_sort(F.collect_list(F.struct("hop", "pos", "kind", "identifier"))).alias("state"))
 
-        def step(pdf: pd.DataFrame, hop: int = hop) -> pd.DataFrame:
+        def step(pdf: pd.DataFrame) -> pd.DataFrame:
             state = [tuple(x.values()) if isinstance(x, dict) else tuple(x) for x in pdf["state"].iloc[0]]
             nodes = [x[3] for x in state if x[2] != "RELATIONSHIP"]
             edge_keys = [x[3] for x in state if x[2] == "RELATIONSHIP"]
@@ -208,10 +208,10 @@ def expand(seeds: DataFrame, edges: DataFrame, budget: Budget = Budget()) -> Dat
             else:
                 rows = rows.assign(o=0)
             rows = rows.sort_values(["o", "ord"], kind="stable")
-            taken = greedy(rows.to_dict("records"), nodes, counts, budget, hop)
-            return pd.DataFrame([(pdf["q_id"].iloc[0], k, i, s, hop, n) for n, (k, i, s) in enumerate(taken, 1)], columns=["q_id", "kind", "identifier", "score", "hop", "pos"])
+            taken = greedy(rows.to_dict("records"), nodes, counts, budget)
+            return pd.DataFrame([(pdf["q_id"].iloc[0], k, i, s, 0, n) for n, (k, i, s) in enumerate(taken, 1)], columns=["q_id", "kind", "identifier", "score", "hop", "pos"])
 
-        new = found.join(state, "q_id").groupBy("q_id").applyInPandas(step, _ITEMS)
+        new = found.join(state, "q_id").groupBy("q_id").applyInPandas(step, _ITEMS).withColumn("hop", F.lit(hop))
         new = written(new) if budget.hops > 1 else new
         items = items.unionByName(new)
         frontier = new.where("kind <> 'RELATIONSHIP'").select("q_id", F.col("identifier").alias("identity"))

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from quillgraph.plans import vector_queries
+from quillgraph.plans import graph_queries, vector_queries
 
 FLAGSHIP = "q03_vector_answer"
-QUERIES = {**vector_queries.QUERIES}
-SQL: dict[str, str] = {**vector_queries.SQL}
+QUERIES = {**vector_queries.QUERIES, **graph_queries.QUERIES}
+SQL: dict[str, str] = {**vector_queries.SQL, **graph_queries.SQL}
