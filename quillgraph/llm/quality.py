@@ -33,6 +33,8 @@ WIDTH = 8.0
 #: The band is at least this wide on each side of the median, in nats per byte.
 LEAST_WIDTH = 0.35
 MODEL_ROWS = 12_000_000
+#: The bands of at most this many languages are broadcast; more are joined by a shuffle.
+LANGUAGES = 10_000
 #: Perplexity histogram cells per nat.
 CELLS = 200
 _SYMBOL = np.zeros(256, bool)
@@ -118,7 +120,7 @@ def _grams(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.nda
     flat[tx.positions(begin + 1, end - start)] = data[tx.positions(start, end - start)]
     at = np.arange(len(flat)) - np.repeat(begin, size)
     packed = np.zeros(len(flat), dtype=tx.U64)
-    for k in range(ORDER):
+    for k in range(min(ORDER, len(flat))):
         back = np.zeros(len(flat), dtype=tx.U64)
         back[k:] = flat[: len(flat) - k]
         packed |= np.where(at >= k, back << tx.U64(8 * k), tx.U64(0))
@@ -299,7 +301,8 @@ def judged(docs: DataFrame) -> DataFrame:
     """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, log_ppl, kept) of every row."""
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     scored = written(scores(docs).withColumn("base_failed", failed))
-    limits = bands(scored).withColumnRenamed("lang", "_lang")
+    limits = written(bands(scored).withColumnRenamed("lang", "_lang"))
+    limits = F.broadcast(limits) if limits.count() <= LANGUAGES else limits
     out = scored.join(limits, F.coalesce("lang", F.lit("")) == F.col("_lang"), "left")
     inside = F.coalesce(F.col("log_ppl").between(F.col("low"), F.col("high")), F.lit(True))
     return out.withColumn("kept", ~F.col("base_failed") & inside).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "log_ppl", "kept")
