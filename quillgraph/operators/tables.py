@@ -35,6 +35,12 @@ def forget(df: DataFrame) -> None:
             path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def small(ids: DataFrame, rows: int = 2_000_000) -> DataFrame:
+    """A narrow table, written once; broadcast if it has at most ``rows`` rows, else left to a shuffle join."""
+    ids = written(ids)
+    return F.broadcast(ids) if ids.count() <= rows else ids
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """Connected components of undirected ``edges`` (a, b) as (node, component), component the smallest node reachable.
 
