@@ -1,5 +1,5 @@
 """Tables in the shared folder of the cluster, and connected components over them."""
 
-from quillgraph.operators.tables import components, forget, shared_dir, written
+from quillgraph.operators.tables import components, forget, shared_dir, small, written
 
-__all__ = ["components", "forget", "shared_dir", "written"]
+__all__ = ["components", "forget", "shared_dir", "small", "written"]

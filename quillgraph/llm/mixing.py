@@ -15,6 +15,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillgraph.llm._shared import small
+
+
+#: The rates of at most this many sources are broadcast; more are joined by a shuffle, where adaptive skew joins split hot ones.
+SOURCES = 20_000
+
 
 def uniform(seed: str, *columns: Column) -> Column:
     """A number in (0, 1) from the first 52 bits of an MD5 digest of the seed and the columns."""
@@ -54,7 +60,7 @@ def rates(docs: DataFrame, weights: dict[str, float] | None = None, temperature:
 
 def mixed(docs: DataFrame, seed: str = "mix", weights: dict[str, float] | None = None, temperature: float = 0.5, budget: float = 1.0) -> DataFrame:
     """All columns of ``docs`` with mix_rate, mix_copy (from 1) and mix_order, one row per copy, in the order of mix_order."""
-    table = rates(docs, weights, temperature, budget)
+    table = small(rates(docs, weights, temperature, budget), SOURCES)
     drawn = docs.join(table, F.coalesce(docs["source"], F.lit("")) == F.col("mix_source"))
     count = F.size(F.filter("steps", lambda s: s < F.col("_u")))
     copies = drawn.withColumn("_u", uniform(seed, F.col("doc_id"))).withColumn("_n", count).where("_n > 0")
