@@ -26,12 +26,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillgraph.llm import _text as tx
-from quillgraph.llm._shared import written
+from quillgraph.llm._shared import small, written
 
 ORDER = 5
 WIDTH = 8.0
-#: The band is at least this wide on each side of the median, in nats per byte.
-LEAST_WIDTH = 0.35
+#: The band reaches at least this far below and above the median, in nats per byte: short clean texts with numbers, names of
+#: other languages or addresses stay inside.
+LEAST_BELOW, LEAST_ABOVE = 0.7, 1.75
 MODEL_ROWS = 12_000_000
 #: The bands of at most this many languages are broadcast; more are joined by a shuffle.
 LANGUAGES = 10_000
@@ -293,16 +294,16 @@ def bands(scored: DataFrame) -> DataFrame:
 
     middle = median(cells, "cell")
     apart = cells.join(middle, "lang").select("lang", F.abs(F.col("cell") - F.col("m")).alias("d"), "n").groupBy("lang", "d").agg(F.sum("n").alias("n"))
-    width = F.greatest(F.lit(LEAST_WIDTH), WIDTH * 1.4826 * F.col("w") / CELLS)
-    return middle.join(median(apart, "d").select("lang", F.col("m").alias("w")), "lang").select("lang", (F.col("m") / CELLS - width).alias("low"), (F.col("m") / CELLS + width).alias("high"))
+    width = lambda least: F.greatest(F.lit(least), WIDTH * 1.4826 * F.col("w") / CELLS)
+    both = middle.join(median(apart, "d").select("lang", F.col("m").alias("w")), "lang")
+    return both.select("lang", (F.col("m") / CELLS - width(LEAST_BELOW)).alias("low"), (F.col("m") / CELLS + width(LEAST_ABOVE)).alias("high"))
 
 
 def judged(docs: DataFrame) -> DataFrame:
     """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, log_ppl, kept) of every row."""
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     scored = written(scores(docs).withColumn("base_failed", failed))
-    limits = written(bands(scored).withColumnRenamed("lang", "_lang"))
-    limits = F.broadcast(limits) if limits.count() <= LANGUAGES else limits
+    limits = small(bands(scored).withColumnRenamed("lang", "_lang"), LANGUAGES)
     out = scored.join(limits, F.coalesce("lang", F.lit("")) == F.col("_lang"), "left")
     inside = F.coalesce(F.col("log_ppl").between(F.col("low"), F.col("high")), F.lit(True))
     return out.withColumn("kept", ~F.col("base_failed") & inside).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "log_ppl", "kept")
@@ -310,5 +311,5 @@ def judged(docs: DataFrame) -> DataFrame:
 
 def good(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that the rules keep, with all their columns."""
-    bad = judged(docs).where("not kept").select(F.col("doc_id").alias("_bad")).distinct()
+    bad = small(judged(docs).where("not kept").select(F.col("doc_id").alias("_bad")).distinct())
     return docs.join(bad, F.col("doc_id").cast("long").eqNullSafe(F.col("_bad")), "left_anti")
