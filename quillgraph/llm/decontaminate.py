@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillgraph.llm import _text as tx
-from quillgraph.llm._shared import written
+from quillgraph.llm._shared import small, written
 
 PATTERN_BYTES = 16 << 20
 _PART = 256
@@ -166,5 +166,5 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, share
 def clean(docs: DataFrame, benchmark: DataFrame, window: int = 13, share: int = 20) -> DataFrame:
     """The uncontaminated rows of ``docs`` with all their columns."""
     flags = contamination(docs, benchmark, window, share)
-    bad = flags.where("contaminated").select(F.col("doc_id").alias("_bad")).distinct()
+    bad = small(flags.where("contaminated").select(F.col("doc_id").alias("_bad")).distinct())
     return docs.join(bad, F.col("doc_id").cast("long").eqNullSafe(F.col("_bad")), "left_anti")
