@@ -86,17 +86,30 @@ def anchors(prefix: np.ndarray, offsets: np.ndarray, length: int):
 
 
 def _cells(length: int):
+    """All cells of a batch; those with an equal earlier one in the batch are ``later`` and go anywhere, so no anchor is crowded."""
+
     def run(batches):
         with np.errstate(over="ignore"):
             for b in batches:
-                docs = b.column(0).to_numpy()
+                docs, parts = b.column(0).to_numpy(), []
                 for first, last, data, offsets in tx.pieces(b.column(1)):
                     prefix = tx.prefix_hash(data)
                     text, at, lo, hi, h = anchors(prefix, offsets, length)
                     if len(at):
                         before, after = at - lo, at - hi
                         cell = tx.mix(tx.span_hash(prefix, lo, hi + length) + (before << 16 | after).astype(np.uint64) * tx._MIXERS[7])
-                        yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(cell.view(np.int64)), pa.array(docs[first:last][text]), pa.array((at - offsets[text]).astype(np.int64)), pa.array((before << 16 | after).astype(np.int32))], names=["h", "cell", "doc", "at", "reach"])
+                        parts.append((h.view(np.int64), cell.view(np.int64), docs[first:last][text], (at - offsets[text]).astype(np.int64), (before << 16 | after).astype(np.int32)))
+                if parts:
+                    h, cell, doc, at, reach = (np.concatenate(x) for x in zip(*parts, strict=True))
+                    order = np.lexsort((at, doc, cell))
+                    equal = np.r_[False, (cell[order][1:] == cell[order][:-1]) & (h[order][1:] == h[order][:-1])]
+                    again = equal & np.r_[False, (doc[order][1:] == doc[order][:-1]) & (at[order][1:] == at[order][:-1])]
+                    later = np.zeros(len(h), bool)
+                    later[order[equal]] = True
+                    h = np.where(later, tx.mix((doc * 31 + at).view(np.uint64)).view(np.int64), h)
+                    rows = np.ones(len(h), bool)
+                    rows[order[again]] = False  # repeated rows of one document
+                    yield pa.RecordBatch.from_arrays([pa.array(x[rows]) for x in (h, cell, doc, at, reach, later)], names=["h", "cell", "doc", "at", "reach", "later"])
 
     return run
 
@@ -111,7 +124,12 @@ def _sorted_cells(batches):
     for b in batches:
         if not b.num_rows:
             continue
-        h, c, doc, at, reach = (b.column(k).to_numpy() for k in range(5))
+        h, c, doc, at, reach, later = (b.column(k).to_numpy(zero_copy_only=False) for k in range(6))
+        if later.any():
+            yield out(0, doc[later], at[later], reach[later])
+            h, c, doc, at, reach = (x[~later] for x in (h, c, doc, at, reach))
+            if not len(h):
+                continue
         again = np.zeros(len(h), bool)
         again[1:] = (h[1:] == h[:-1]) & (c[1:] == c[:-1]) & (doc[1:] == doc[:-1]) & (at[1:] == at[:-1])
         again[0] = (h[0], c[0], doc[0], at[0]) == seen
@@ -275,12 +293,33 @@ def _rows(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), nameless).alias("doc"), text.alias("text"))
 
 
-def _located(heads: DataFrame, places: DataFrame) -> DataFrame:
-    """(doc, text, a, b): the texts with the lists of their places (doc, a, b)."""
+def _merged(batches):
+    """Overlapping spans of each document united."""
+    for b in batches:
+        los, his = [], []
+        for lo, hi in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+            lo, hi = np.asarray(lo, np.int64), np.asarray(hi, np.int64)
+            order = np.argsort(lo, kind="stable")
+            lo, hi = lo[order], np.maximum.accumulate(hi[order])
+            new = np.r_[True, lo[1:] > hi[:-1]]
+            los.append(lo[new])
+            his.append(hi[np.r_[np.flatnonzero(new)[1:] - 1, len(hi) - 1]])
+        yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([x.tolist() for x in part], pa.list_(pa.int64())) for part in (los, his))], names=["doc", "a", "b"])
+
+
+def _located(heads: DataFrame, places: DataFrame, merge: bool = False) -> DataFrame:
+    """(doc, text, a, b): the texts with the lists of their places (doc, a, b).
+
+    Few places are broadcast to the texts; else only texts with places are shuffled, as long as their ids are few.
+    """
     doc, a, b = places.columns
     lists = places.groupBy(doc).agg(F.collect_list(a).alias("a"), F.collect_list(b).alias("b"))
-    if places.count() <= BROADCAST_ROWS:
+    lists = written(lists.mapInArrow(_merged, "doc long, a array<long>, b array<long>") if merge else lists)
+    size = lists.agg(F.count("*"), F.sum(F.size("a"))).first()
+    if (size[1] or 0) <= BROADCAST_ROWS:
         lists = F.broadcast(lists)
+    elif size[0] <= BROADCAST_ROWS:
+        heads = heads.join(F.broadcast(lists.select("doc")), "doc", "left_semi")
     return heads.join(lists, "doc").select("doc", "text", "a", "b")
 
 
@@ -292,7 +331,7 @@ def removed(docs: DataFrame, length: int = 100) -> tuple[DataFrame, DataFrame, D
     copies = written(identities.select("doc", "k1", "k2").join(classes, ["k1", "k2"]).where("doc <> first").select("doc").distinct())
     heads = rows.where(F.octet_length("text") >= length).join(_small(copies), "doc", "left_anti")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    cells = heads.mapInArrow(_cells(length), "h long, cell long, doc long, at long, reach int")
+    cells = heads.mapInArrow(_cells(length), "h long, cell long, doc long, at long, reach int, later boolean")
     kinds = written(cells.repartition(parts, "h").sortWithinPartitions("h", "cell", "doc", "at").mapInArrow(_sorted_cells, "kind int, doc long, at long, reach int"))
     whole = kinds.where("kind = 0").select("doc", (F.col("at") - F.shiftright("reach", 16)).alias("lo"), (F.col("at") - F.col("reach").bitwiseAND(0xFFFF) + length).alias("hi"))
     cores = _located(heads, kinds.where("kind = 1").select("doc", "at", "reach")).mapInArrow(_cores(length), "key long, doc long, s0 long, s1 long")
@@ -306,7 +345,7 @@ def deduplicated(docs: DataFrame, length: int = 100) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of every row."""
     identities, classes, spans = removed(docs, length)
     rows = _rows(docs)
-    done = _located(rows, spans).mapInArrow(_united, "doc long, n_removed long, n_spans long, kept_sha256 string")
+    done = _located(rows, spans, merge=True).mapInArrow(_united, "doc long, n_removed long, n_spans long, kept_sha256 string")
     out = identities.join(classes, ["k1", "k2"]).join(done.dropDuplicates(["doc"]), "doc", "left")
     copy = (F.col("doc") > F.col("first")) & (F.col("n_bytes") >= length)
     nothing = hashlib.sha256(b"").hexdigest()

@@ -41,6 +41,11 @@ def test_matches_brute_force(spark):
     r.shuffle(shuffled)
     df = spark.createDataFrame([(i, t, 1) for i, t in shuffled], "doc_id long, text string, doc int")
     assert sorted(map(tuple, deduplicated(df, 100).collect())) == brute(rows, 100)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")  # streams in many small batches
+    try:
+        assert sorted(map(tuple, deduplicated(df, 100).collect())) == brute(rows, 100)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
 def test_empty_table_and_repeated_rows(spark):
