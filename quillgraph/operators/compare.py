@@ -46,7 +46,7 @@ def verdict(mode: Column, graph_docs: Column, vector_docs: Column, graph_items:
 def evidence(uses: DataFrame, answered: DataFrame) -> DataFrame:
     """(passage, marks, cited_by, in_context_of, n): strongest use of each passage by each method.
 
-    ``uses``: (passage, method, use, citation, rank, at). Order: cited by most, then in context of fewest, then first seen.
+    ``uses``: (passage, method, use, citation, rank, at). Order: cited by most, then in context of fewest, then first seen, then by passage.
     """
     level = F.array_position(F.array(*[F.lit(u) for u in USES]), F.col("use"))
     marks = uses.withColumn("level", level).groupBy("passage", "method").agg(F.max("level").alias("level"), F.array_sort(F.collect_set("citation")).alias("citations"), F.min("rank").alias("rank"), F.min("at").alias("at"))
@@ -56,7 +56,7 @@ def evidence(uses: DataFrame, answered: DataFrame) -> DataFrame:
         F.count_if(F.col("level") == 3).alias("in_context_of"),
         F.min("at").alias("first"),
     )
-    return rows.withColumn("n", F.row_number().over(Window.orderBy(F.desc("cited_by"), "in_context_of", "first")))
+    return rows.withColumn("n", F.row_number().over(Window.orderBy(F.desc("cited_by"), "in_context_of", "first", "passage")))
 
 
 def summary(runs: list[dict], cited: int, by_all: int, by_one: int) -> str:

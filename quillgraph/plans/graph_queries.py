@@ -536,7 +536,7 @@ def q62_evidence_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SQL["q62_evidence_matrix"] = """WITH u AS (SELECT CAST(l_partkey AS VARCHAR) AS passage, o_orderpriority AS method, CASE l_returnflag WHEN 'A' THEN 4 WHEN 'N' THEN 3 ELSE 2 END AS lv, l_orderkey * 10 + l_linenumber AS seen FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
 m AS (SELECT passage, method, max(lv) AS lv, min(seen) AS seen FROM u GROUP BY ALL), r AS (SELECT passage, count(*) FILTER (lv = 4) AS cited_by, count(*) FILTER (lv = 3) AS in_context_of, min(seen) AS first FROM m GROUP BY passage)
-SELECT passage, cited_by, in_context_of, CAST(row_number() OVER (ORDER BY cited_by DESC, in_context_of, first) AS INTEGER) AS n FROM r"""
+SELECT passage, cited_by, in_context_of, CAST(row_number() OVER (ORDER BY cited_by DESC, in_context_of, first, passage) AS INTEGER) AS n FROM r"""
 
 
 def q63_diagnosis(spark: SparkSession, sf_dir: str) -> DataFrame:
