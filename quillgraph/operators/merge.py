@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quillgraph.functions import maps
 from quillgraph.functions import text as tx
@@ -94,24 +96,32 @@ def frequent_names(mentions: DataFrame, count: int = HINTS) -> DataFrame:
 
 def merged_description(parts: list[str], limit: int = DESCRIPTION) -> str:
     """New sentences appended while they fit; the first that doesn't ends the merge, and is cut if nothing stands yet."""
-    out = (parts[0] if parts else "").strip()
+    out, have = (parts[0] if parts else "").strip(), None
     for extra in parts[1:]:
-        if len(out) >= limit:
-            break
-        have = {s.strip().lower() for s in _sentences(out)}
-        for s in _sentences(extra):
-            if s.lower() in have:
-                continue
-            grown = f"{out} {s}" if out else s
-            if len(grown) > limit:
-                if not out:
-                    out = s[:limit]
-                break
-            out = grown
-            have.add(s.lower())
+        out, have = _extended(out, have, extra, limit)
     return out[:limit]
 
 
+def _extended(out: str, have: set[str] | None, extra: str | None, limit: int) -> tuple[str, set[str] | None]:
+    """``out`` with the new sentences of one part, and its sentences for the next part (none if it changed)."""
+    if len(out) >= limit:
+        return out, have
+    before = out
+    if have is None:
+        have = {s.strip().lower() for s in _sentences(out)}
+    for s in _sentences(extra):
+        if s.lower() in have:
+            continue
+        grown = f"{out} {s}" if out else s
+        if len(grown) > limit:
+            if not out:
+                out = s[:limit]
+            break
+        out = grown
+        have.add(s.lower())
+    return out, have if out == before else None
+
+
 def _sentences(text: str | None) -> list[str]:
     import re
 
@@ -121,18 +131,37 @@ def _sentences(text: str | None) -> list[str]:
 def merge_descriptions(rows: DataFrame, limit: int = DESCRIPTION, group: str = "identity") -> DataFrame:
     """(group, description): the ordered fold of each group's descriptions (``description``, ``at``).
 
-    Only distinct descriptions reach the fold, and of those the longest prefix that can matter: a part adds one new
-    character at least, so ``limit`` parts bound the list.
+    All distinct descriptions reach the fold, sorted within the part that holds their group; it carries the text so far and
+    its sentences from row to row, so a group of any size needs the room of one result.
     """
     distinct = rows.where(F.trim("description") != "").groupBy(group, "description").agg(F.min("at").alias("at"))
-    early = distinct.withColumn("n", F.row_number().over(Window.partitionBy(group).orderBy("at"))).where(F.col("n") <= limit)
-    lists = early.groupBy(group).agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "description"))), lambda x: x["description"]).alias("parts"))
+    ordered = distinct.repartition(group).sortWithinPartitions(group, "at", "description").select(group, "description")
+    schema = T.StructType([rows.select(group).schema[0], T.StructField("description", T.StringType())])
+    return ordered.mapInArrow(_folded(limit), schema)
 
-    @F.pandas_udf("string")
-    def fold(parts: pd.Series) -> pd.Series:
-        return parts.map(lambda p: merged_description(list(p), limit))
 
-    return lists.select(group, fold("parts").alias("description"))
+def _folded(limit: int):
+    def run(batches):
+        now = out = have = None  # out is None until the first row
+        for b in batches:
+            keys, texts = [], []
+            for key, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                if out is not None and key == now:
+                    out, have = _extended(out, have, text, limit)
+                    continue
+                if out is not None:
+                    keys.append(now)
+                    texts.append(out[:limit])
+                now, out, have = key, text.strip(), None
+            yield _batch(b, keys, texts)
+        if out is not None:
+            yield _batch(b, [now], [out[:limit]])
+
+    return run
+
+
+def _batch(like: pa.RecordBatch, keys: list, texts: list) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(keys, like.column(0).type), pa.array(texts, pa.string())], names=like.schema.names)
 
 
 def merge_entities(rows: DataFrame, limit: int = DESCRIPTION) -> DataFrame:

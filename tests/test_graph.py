@@ -19,6 +19,13 @@ def test_descriptions():
     assert merge.merged_description([full, "Fits here. " + "C" * 50 + ". Short."]) == full + " Fits here."
 
 
+def test_late_sentence_of_a_hot_entity_still_fits(spark):
+    parts = ["A" * 900 + "."] + [f"B{k} " + "x" * 200 + "." for k in range(1200)] + ["Short."] + [f"C{k} " + "y" * 200 + "." for k in range(20)]
+    rows = [("hot", d, k) for k, d in enumerate(parts)] + [("hot", "Short.", 5000), ("cold", " One. ", 1), ("cold", "Two. one.", 2), (None, "No name.", 3), ("blank", " ", 4)]
+    got = {r.identity: r.description for r in merge.merge_descriptions(spark.createDataFrame(rows, "identity string, description string, at long").repartition(7)).collect()}
+    assert got == {"hot": "A" * 900 + ". Short.", "cold": "One. Two.", None: "No name."}
+
+
 def test_relationship_weights(spark):
     rows = spark.createDataFrame([("a", "r", "b", ["u0"], 1, 0), ("a", "R", "b", ["u1", "u2"], 1, 1), ("a", "s", "b", ["u1"], 1, 2), ("a", "s", "b", ["u1"], 1, 3), ("c", "r", "b", ["u"], 7, 4)], "src_id string, type string, tgt_id string, unit_ids array<string>, weight long, at long")
     rows = rows.withColumns({c: F.lit("x") for c in ("source", "source_type", "target", "target_type", "description")})
