@@ -1,5 +1,24 @@
 """Tables in the shared folder of the cluster, and connected components over them."""
 
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
 from quillgraph.operators.tables import components, forget, shared_dir, small, written
 
-__all__ = ["components", "forget", "shared_dir", "small", "written"]
+__all__ = ["components", "content_key", "forget", "shared_dir", "small", "without", "written"]
+
+
+def content_key(*columns: str) -> tuple[Column, Column]:
+    """Two 64-bit ids of what stands in the columns of a row; null and empty are equal."""
+    parts = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns]
+    return F.xxhash64(*parts).alias("key1"), F.xxhash64(F.lit(1), *parts).alias("key2")
+
+
+def without(docs: DataFrame, bad: DataFrame, *columns: str) -> DataFrame:
+    """The rows of ``docs`` whose content in ``columns`` has none of the keys (key1, key2) of ``bad``.
+
+    A verdict that depends on these columns alone goes back to just the rows it was made for, whatever their ids.
+    """
+    one, two = content_key(*columns)
+    bad = small(bad.select(F.col("key1").alias("_bad1"), F.col("key2").alias("_bad2")).distinct())
+    return docs.join(bad, (one == F.col("_bad1")) & (two == F.col("_bad2")), "left_anti")

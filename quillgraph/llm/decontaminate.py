@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillgraph.llm import _text as tx
-from quillgraph.llm._shared import small, written
+from quillgraph.llm._shared import content_key, without, written
 
 PATTERN_BYTES = 16 << 20
 _PART = 256
@@ -157,14 +157,17 @@ def occurrences(docs: DataFrame, benchmark: DataFrame, window: int = 13) -> Data
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, share: int = 20) -> DataFrame:
     """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated); contaminated: hit words are 1 in ``share`` or more."""
+    return _flags(docs, benchmark, window, share).drop("key1", "key2")
+
+
+def _flags(docs: DataFrame, benchmark: DataFrame, window: int, share: int) -> DataFrame:
+    """The rows of ``contamination`` with the key of their text."""
     found = occurrences(docs, benchmark, window)
     n_hit = F.aggregate("runs", F.struct(F.lit(0).cast("long").alias("sum"), F.lit(-1).cast("long").alias("sign")), lambda a, x: F.struct((a["sum"] + a["sign"] * x).alias("sum"), (-a["sign"]).alias("sign")))["sum"]
-    out = found.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"))
+    out = found.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), *content_key("text"))
     return out.withColumn("contaminated", (F.col("n_hit") > 0) & (share * F.col("n_hit") >= F.col("n_words")))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, window: int = 13, share: int = 20) -> DataFrame:
-    """The uncontaminated rows of ``docs`` with all their columns."""
-    flags = contamination(docs, benchmark, window, share)
-    bad = small(flags.where("contaminated").select(F.col("doc_id").alias("_bad")).distinct())
-    return docs.join(bad, F.col("doc_id").cast("long").eqNullSafe(F.col("_bad")), "left_anti")
+    """The uncontaminated rows of ``docs`` with all their columns; ids, shared or missing, play no part."""
+    return without(docs, _flags(docs, benchmark, window, share).where("contaminated"), "text")

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillgraph.llm import _text as tx
-from quillgraph.llm._shared import small, written
+from quillgraph.llm._shared import content_key, small, without, written
 
 ORDER = 5
 WIDTH = 8.0
@@ -234,12 +234,12 @@ def _scored(models: dict[tuple[str, int], Model]):
                     seen[first:last] += np.bincount(doc, weights=length[inverse], minlength=last - first)
                 ppl = np.divide(-total, seen, out=np.full(b.num_rows, np.nan), where=seen > 0)
                 counts = base_counts(b.column(2))
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(counts[:, k]) for k in range(5)), pa.array(ppl, pa.float64(), from_pandas=True)], names=["doc_id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "log_ppl"])
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(3), b.column(4), *(pa.array(counts[:, k]) for k in range(5)), pa.array(ppl, pa.float64(), from_pandas=True)], names=["doc_id", "lang", "key1", "key2", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "log_ppl"])
 
     return run
 
 
-_OUT = "doc_id long, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, log_ppl double"
+_OUT = "doc_id long, lang string, key1 long, key2 long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, log_ppl double"
 
 
 def gram_counts(docs: DataFrame) -> DataFrame:
@@ -251,7 +251,7 @@ def gram_counts(docs: DataFrame) -> DataFrame:
 def scores(docs: DataFrame) -> DataFrame:
     """Base counts and log perplexity per byte of every row."""
     spark = docs.sparkSession
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").alias("text"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").alias("text"), *content_key("lang", "text"))
     counts = written(gram_counts(rows))
     sizes = counts.groupBy("lang").agg(F.count("*").alias("n")).orderBy("lang").collect()
     blocks, room = [[]], MODEL_ROWS
@@ -301,15 +301,19 @@ def bands(scored: DataFrame) -> DataFrame:
 
 def judged(docs: DataFrame) -> DataFrame:
     """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, log_ppl, kept) of every row."""
+    return _verdicts(docs).drop("key1", "key2")
+
+
+def _verdicts(docs: DataFrame) -> DataFrame:
+    """The rows of ``judged`` with the key of their language and text, which alone decide."""
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     scored = written(scores(docs).withColumn("base_failed", failed))
     limits = small(bands(scored).withColumnRenamed("lang", "_lang"), LANGUAGES)
     out = scored.join(limits, F.coalesce("lang", F.lit("")) == F.col("_lang"), "left")
     inside = F.coalesce(F.col("log_ppl").between(F.col("low"), F.col("high")), F.lit(True))
-    return out.withColumn("kept", ~F.col("base_failed") & inside).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "log_ppl", "kept")
+    return out.withColumn("kept", ~F.col("base_failed") & inside).select("doc_id", "key1", "key2", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "log_ppl", "kept")
 
 
 def good(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that the rules keep, with all their columns."""
-    bad = small(judged(docs).where("not kept").select(F.col("doc_id").alias("_bad")).distinct())
-    return docs.join(bad, F.col("doc_id").cast("long").eqNullSafe(F.col("_bad")), "left_anti")
+    """The rows of ``docs`` that the rules keep, with all their columns; ids, shared or missing, play no part."""
+    return without(docs, _verdicts(docs).where("not kept"), "lang", "text")

@@ -133,6 +133,17 @@ def test_verdicts(spark):
     assert quality.judged(spark.createDataFrame([], "doc_id long, text string, lang string")).collect() == []
 
 
+def test_filters_take_only_the_judged_rows_of_shared_and_missing_ids(spark):
+    r = random.Random(10)
+    lexicon = ["".join(r.choices("bdgklmnprst", k=1) + r.choices("aeiou", k=1)) + x for x in ("ba", "ko", "mi", "rul") for _ in range(60)]
+    fine = [" ".join(r.choices(lexicon, k=60)) for _ in range(30)]
+    rows = [(None if k % 3 == 0 else 7, t, "xx", k) for k, t in enumerate(fine)] + [(None, "too short", "xx", 100), (7, "too short too", "xx", 101), (7, None, None, 102)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, row int")
+    assert sorted(x.row for x in quality.good(docs).collect()) == list(range(30))
+    tests = spark.createDataFrame([(1, fine[0]), (2, fine[1])], "item_id long, text string")
+    assert sorted(x.row for x in decontaminate.clean(docs, tests).collect()) == [*range(2, 30), 100, 101, 102]
+
+
 def test_secret_scan(spark):
     r = random.Random(3)
     key = "".join(r.choices("0123456789abcdef", k=40))
