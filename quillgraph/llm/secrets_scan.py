@@ -4,9 +4,9 @@ Three kinds are found by pattern (``assign``, ``access``, ``hex``). Other runs o
 get an inferred encoding and three tests against uniform random symbols: chi-squared uniformity over the alphabet, runs
 about the middle symbol, and lag-one serial correlation. Fisher's method combines them. Truly random strings have
 uniform combined p-values, ordinary identifiers pile up near zero; so, for each encoding and length band, the p-values
-over all texts give the number of random strings and the false discoveries above any cut. The smallest cut whose share
-of false discoveries is at most ``RATE`` holds for that band (short bands, where the tests are weak, need high cuts or
-find nothing). Only the histogram, of fixed size, reaches the driver.
+of all distinct strings give the number of random strings and the false discoveries above any cut. The smallest cut whose
+share of false discoveries is at most ``RATE`` holds for that band, by the same rule for any number of strings (short bands,
+where the tests are weak, need high cuts or find nothing). Only the histogram, of fixed size, reaches the driver.
 
 Defined cases: a null text is empty and has no spans; repeated rows are each returned; positions are code points; extra
 columns are ignored; an empty table gives an empty result.
@@ -14,6 +14,7 @@ columns are ignored; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
 from collections import defaultdict
@@ -101,8 +102,12 @@ def band(length: int) -> int:
     return sum(length >= b for b in BANDS)
 
 
-def spans(text: str, run: bool) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int, float]]]:
-    """Base spans (kind, start, end) and candidates (encoding * 8 + band, start, end, p) that touch none of them."""
+def _id(token: str) -> int:
+    return int.from_bytes(hashlib.blake2b(token.encode(), digest_size=8).digest(), "little", signed=True)
+
+
+def spans(text: str, run: bool) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int, float, int]]]:
+    """Base spans (kind, start, end) and candidates (encoding * 8 + band, start, end, p, id of the string) that touch none."""
     base = []
     low = text.lower()
     if any(w in low for w in _WORDS):
@@ -115,12 +120,12 @@ def spans(text: str, run: bool) -> tuple[list[tuple[int, int, int]], list[tuple[
         for m in RUN.finditer(text):
             kind = encoding(m[0])
             if kind is not None and not any(s < m.end() and m.start() < e for _, s, e in base):
-                more.append((kind * 8 + band(len(m[0])), *m.span(), battery(m[0], kind)))
+                more.append((kind * 8 + band(len(m[0])), *m.span(), battery(m[0], kind), _id(m[0])))
     return sorted(base, key=lambda x: (x[1], x[0], x[2])), more
 
 
 _SPAN = "array<struct<start:long,kind:int,end:long>>"
-_FOUND = f"doc_id long, base {_SPAN}, more array<struct<cell:int,start:long,end:long,p:double>>"
+_FOUND = f"doc_id long, base {_SPAN}, more array<struct<cell:int,start:long,end:long,p:double,id:long>>"
 
 
 def _found(batches):
@@ -134,14 +139,17 @@ def _found(batches):
             for k in range(last - first):
                 s, m = spans(raw[offsets[k] : offsets[k + 1]].decode(), long[k + 1] > long[k])
                 base.append([{"start": x[1], "kind": x[0], "end": x[2]} for x in s])
-                more.append([{"cell": x[0], "start": x[1], "end": x[2], "p": x[3]} for x in m])
+                more.append([{"cell": x[0], "start": x[1], "end": x[2], "p": x[3], "id": x[4]} for x in m])
         span = pa.list_(pa.struct([("start", pa.int64()), ("kind", pa.int32()), ("end", pa.int64())]))
-        cell = pa.list_(pa.struct([("cell", pa.int32()), ("start", pa.int64()), ("end", pa.int64()), ("p", pa.float64())]))
+        cell = pa.list_(pa.struct([("cell", pa.int32()), ("start", pa.int64()), ("end", pa.int64()), ("p", pa.float64()), ("id", pa.int64())]))
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(base, span), pa.array(more, cell)], names=["doc_id", "base", "more"])
 
 
 def cuts(histogram: dict[int, dict[int, int]]) -> dict[int, float]:
-    """For each encoding and length band, the least p-value that counts as random; bands that can't keep RATE are left out."""
+    """For each encoding and length band, the least p-value that counts as random; bands that can't keep RATE are left out.
+
+    ``histogram``: the distinct strings of each band by p-value.
+    """
     out = {}
     for cell, counts in histogram.items():
         n = [counts.get(k, 0) for k in range(CELLS)]
@@ -152,7 +160,7 @@ def cuts(histogram: dict[int, dict[int, int]]) -> dict[int, float]:
             if k:
                 above -= n[k - 1]
             false = above - random * (1 - k / CELLS)
-            if above and false <= RATE * above + math.sqrt(above) * (above < 30):
+            if above and false <= RATE * above:
                 out[cell] = cut
                 break
     return out
@@ -162,7 +170,8 @@ def scan(docs: DataFrame) -> DataFrame:
     """(doc_id, base, random): spans by pattern and by the test battery, of every row."""
     found = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text")).mapInArrow(_found, _FOUND))
     histogram: dict[int, dict[int, int]] = defaultdict(dict)
-    for r in found.select(F.explode("more").alias("m")).groupBy("m.cell", F.least(F.floor(F.col("m.p") * CELLS), F.lit(CELLS - 1)).cast("int").alias("k")).agg(F.count("*").alias("n")).collect():
+    strings = found.select(F.explode("more").alias("m")).select("m.cell", F.least(F.floor(F.col("m.p") * CELLS), F.lit(CELLS - 1)).cast("int").alias("k"), "m.id").distinct()
+    for r in strings.groupBy("cell", "k").agg(F.count("*").alias("n")).collect():
         histogram[r["cell"]][r["k"]] = r["n"]
     chosen = cuts(histogram)
     if chosen:

@@ -159,3 +159,19 @@ def test_secret_scan(spark):
     found = [got[100 + k].spans == f"random:6:{6 + 48}" for k in range(40)]
     assert sum(found) >= 36
     assert secrets_scan.digest(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_secret_cut_counts_strings_and_not_copies(spark):
+    cell = lambda t: secrets_scan.battery(t, secrets_scan.encoding(t))
+    r = random.Random(4)
+    draw = lambda: "".join(r.choices("abcdefghijklmnopqrstuvwxyz0123456789", k=28)) + "q7"
+    common = next(t for t in iter(draw, "") if cell(t) >= 0.6)
+    names = []
+    while len(names) < 40:  # ordinary names: low p-values that are not quite zero
+        t = "".join(r.choices("aeionrst", k=22)) + "".join(r.choices("0123456789", k=8))
+        if secrets_scan.FLOOR <= cell(t) < 0.3:
+            names.append(t)
+    rows = [(k, f"{common} text") for k in range(120)] + [(1000 + k, f"{t} text") for k, t in enumerate(names)]
+    got = {x.doc_id: x.spans for x in secrets_scan.digest(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert not any(got[1000 + k] for k in range(40))
+    assert all(secrets_scan.cuts({3: {10: n}}) == {} for n in (1, 29, 30, 1000))
