@@ -1,12 +1,14 @@
 """Secret scan: fixed patterns plus a randomness test battery.
 
-Three kinds are found by pattern (``assign``, ``access``, ``hex``). Other runs of key characters of ``LEAST`` or more
-get an inferred encoding and three tests against uniform random symbols: chi-squared uniformity over the alphabet, runs
+Three kinds are found by pattern (``assign``, ``access``, ``hex``). Other runs of key characters of ``LEAST`` or more (the
+least length of an assigned key) get an inferred encoding and three tests against uniform random symbols: chi-squared uniformity over the alphabet, runs
 about the middle symbol, and lag-one serial correlation. Fisher's method combines them. Truly random strings have
 uniform combined p-values, ordinary identifiers pile up near zero; so, for each encoding and length band, the p-values
 of all distinct strings give the number of random strings and the false discoveries above any cut. The smallest cut whose
 share of false discoveries is at most ``RATE`` holds for that band, by the same rule for any number of strings (short bands,
-where the tests are weak, need high cuts or find nothing). Only the histogram, of fixed size, reaches the driver.
+where the tests are weak, need high cuts or find nothing). A band is trusted only if its p-values are flat in the upper half:
+where they fall there by more than two standard errors, the tests don't part words from random strings, and nothing of it is
+reported. No string of key characters is left out before the tests, be it letters or digits alone. Only the histogram, of fixed size, reaches the driver.
 
 Defined cases: a null text is empty and has no spans; repeated rows are each returned; positions are code points; extra
 columns are ignored; an empty table gives an empty result.
@@ -27,12 +29,14 @@ from pyspark.sql import functions as F
 from quillgraph.llm import _text as tx
 from quillgraph.llm._shared import written
 
-LEAST = 20
+LEAST = 8
 RATE = 0.02
 #: Combined p-values below this are never random strings; it is the share of true secrets given up.
 FLOOR = 0.005
 CELLS = 100
-BANDS = (24, 32, 48, 96)
+BANDS = (12, 16, 20, 24, 32, 48, 96)
+#: Tested strings that are held to test equal ones once.
+HELD = 200_000
 KINDS = ("assign", "access", "hex", "random")
 
 ASSIGN = re.compile(r"""(?ai:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -46,6 +50,10 @@ _LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _DIGITS = "0123456789"
 #: Encodings in the order in which they are tried: the first whose alphabet holds every symbol.
 ALPHABETS = (
+    ("digits", _DIGITS),
+    ("lower", _LETTERS.lower()),
+    ("upper", _LETTERS),
+    ("letters", _LETTERS + _LETTERS.lower()),
     ("hex", _DIGITS + "abcdef"),
     ("HEX", _DIGITS + "ABCDEF"),
     ("base32", _LETTERS + "234567"),
@@ -60,10 +68,8 @@ _SETS = [frozenset(a) for _, a in ALPHABETS]
 
 
 def encoding(token: str) -> int | None:
-    """The number of the inferred encoding; none for strings of letters or of digits alone."""
+    """The number of the inferred encoding; none for strings that mix the signs of two encodings."""
     symbols = set(token)
-    if not any(c in _DIGITS for c in symbols) or not any(c.isalpha() for c in symbols):
-        return None
     return next((k for k, a in enumerate(_SETS) if symbols <= a), None)
 
 
@@ -106,8 +112,15 @@ def _id(token: str) -> int:
     return int.from_bytes(hashlib.blake2b(token.encode(), digest_size=8).digest(), "little", signed=True)
 
 
-def spans(text: str, run: bool) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int, float, int]]]:
-    """Base spans (kind, start, end) and candidates (encoding * 8 + band, start, end, p, id of the string) that touch none."""
+def tested(token: str) -> tuple[int, int, int] | None:
+    """(encoding * 8 + band, histogram cell of p, id) of a string; none if it has no encoding or p is under FLOOR."""
+    kind = encoding(token)
+    p = 0.0 if kind is None else battery(token, kind)
+    return (kind * 8 + band(len(token)), min(int(p * CELLS), CELLS - 1), _id(token)) if p >= FLOOR else None
+
+
+def spans(text: str, run: bool, known: dict) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int, int, int]]]:
+    """Base spans (kind, start, end) and candidates (encoding * 8 + band, start, end, p cell, id) that touch none of them."""
     base = []
     low = text.lower()
     if any(w in low for w in _WORDS):
@@ -118,17 +131,24 @@ def spans(text: str, run: bool) -> tuple[list[tuple[int, int, int]], list[tuple[
     if run:
         base += [(2, *m.span()) for m in HEX.finditer(text)]
         for m in RUN.finditer(text):
-            kind = encoding(m[0])
-            if kind is not None and not any(s < m.end() and m.start() < e for _, s, e in base):
-                more.append((kind * 8 + band(len(m[0])), *m.span(), battery(m[0], kind), _id(m[0])))
+            if any(s < m.end() and m.start() < e for _, s, e in base):
+                continue
+            token = m[0]
+            if token not in known:
+                if len(known) >= HELD:
+                    known.clear()
+                known[token] = tested(token)
+            if (t := known[token]) is not None:
+                more.append((t[0], *m.span(), *t[1:]))
     return sorted(base, key=lambda x: (x[1], x[0], x[2])), more
 
 
 _SPAN = "array<struct<start:long,kind:int,end:long>>"
-_FOUND = f"doc_id long, base {_SPAN}, more array<struct<cell:int,start:long,end:long,p:double,id:long>>"
+_FOUND = f"doc_id long, base {_SPAN}, more array<struct<cell:int,start:long,end:long,k:int,id:long>>"
 
 
 def _found(batches):
+    known: dict = {}
     for b in batches:
         base, more = [], []
         texts = b.column(1)
@@ -137,31 +157,32 @@ def _found(batches):
             long = np.concatenate([[0], np.cumsum(end - start >= LEAST)])[before]
             raw = data.tobytes()
             for k in range(last - first):
-                s, m = spans(raw[offsets[k] : offsets[k + 1]].decode(), long[k + 1] > long[k])
+                s, m = spans(raw[offsets[k] : offsets[k + 1]].decode(), long[k + 1] > long[k], known)
                 base.append([{"start": x[1], "kind": x[0], "end": x[2]} for x in s])
-                more.append([{"cell": x[0], "start": x[1], "end": x[2], "p": x[3], "id": x[4]} for x in m])
+                more.append([{"cell": x[0], "start": x[1], "end": x[2], "k": x[3], "id": x[4]} for x in m])
         span = pa.list_(pa.struct([("start", pa.int64()), ("kind", pa.int32()), ("end", pa.int64())]))
-        cell = pa.list_(pa.struct([("cell", pa.int32()), ("start", pa.int64()), ("end", pa.int64()), ("p", pa.float64()), ("id", pa.int64())]))
+        cell = pa.list_(pa.struct([("cell", pa.int32()), ("start", pa.int64()), ("end", pa.int64()), ("k", pa.int32()), ("id", pa.int64())]))
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(base, span), pa.array(more, cell)], names=["doc_id", "base", "more"])
 
 
-def cuts(histogram: dict[int, dict[int, int]]) -> dict[int, float]:
-    """For each encoding and length band, the least p-value that counts as random; bands that can't keep RATE are left out.
+def cuts(histogram: dict[int, dict[int, int]]) -> dict[int, int]:
+    """For each encoding and length band, the least p cell that counts as random; bands that can't be trusted are left out.
 
-    ``histogram``: the distinct strings of each band by p-value.
+    ``histogram``: the distinct strings of each band by p cell; cell 0 has those of FLOOR and more.
     """
     out = {}
     for cell, counts in histogram.items():
         n = [counts.get(k, 0) for k in range(CELLS)]
-        random = 2 * sum(n[CELLS // 2 :])
+        upper, top = sum(n[CELLS // 2 :]), sum(n[3 * CELLS // 4 :])
+        if upper - 2 * top > 2 * math.sqrt(upper):  # falling, so words reach into the upper half
+            continue
         above = sum(n)
         for k in range(CELLS):
-            cut = max(FLOOR, k / CELLS)
             if k:
                 above -= n[k - 1]
-            false = above - random * (1 - k / CELLS)
+            false = above - 2 * upper * (1 - max(FLOOR, k / CELLS))
             if above and false <= RATE * above:
-                out[cell] = cut
+                out[cell] = k
                 break
     return out
 
@@ -170,13 +191,13 @@ def scan(docs: DataFrame) -> DataFrame:
     """(doc_id, base, random): spans by pattern and by the test battery, of every row."""
     found = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text")).mapInArrow(_found, _FOUND))
     histogram: dict[int, dict[int, int]] = defaultdict(dict)
-    strings = found.select(F.explode("more").alias("m")).select("m.cell", F.least(F.floor(F.col("m.p") * CELLS), F.lit(CELLS - 1)).cast("int").alias("k"), "m.id").distinct()
+    strings = found.select(F.explode("more").alias("m")).select("m.cell", "m.k", "m.id").distinct()
     for r in strings.groupBy("cell", "k").agg(F.count("*").alias("n")).collect():
         histogram[r["cell"]][r["k"]] = r["n"]
     chosen = cuts(histogram)
     if chosen:
         table = F.create_map(*[F.lit(x) for cell, cut in sorted(chosen.items()) for x in (cell, cut)])
-        kept = F.filter("more", lambda m: m["p"] >= F.coalesce(table[m["cell"]], F.lit(2.0)))
+        kept = F.filter("more", lambda m: m["k"] >= F.coalesce(table[m["cell"]], F.lit(CELLS)))
     else:
         kept = F.filter("more", lambda m: F.lit(False))
     random = F.transform(kept, lambda m: F.struct(m["start"].alias("start"), F.lit(3).alias("kind"), m["end"].alias("end")))

@@ -175,3 +175,17 @@ def test_secret_cut_counts_strings_and_not_copies(spark):
     got = {x.doc_id: x.spans for x in secrets_scan.digest(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert not any(got[1000 + k] for k in range(40))
     assert all(secrets_scan.cuts({3: {10: n}}) == {} for n in (1, 29, 30, 1000))
+
+
+def test_secret_scan_finds_letters_digits_and_short_keys_but_no_words(spark):
+    r = random.Random(12)
+    lower, upper = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    kinds = [(lower, 40), (upper + lower, 60), ("0123456789", 24), (upper + lower + "0123456789", 18)]
+    keys = [["".join(r.choices(a, k=n)) for _ in range(300)] for a, n in kinds]
+    syllables = [a + b for a in "bdgklmnprst" for b in "aeiou"]
+    words = ["".join(r.choices(syllables, k=r.choice([4, 5, 6, 7, 8]))) for _ in range(6000)]
+    rows = [(k * 400 + i, f"at {x} on") for k, part in enumerate(keys) for i, x in enumerate(part)] + [(5000 + k, " ".join(words[k * 20 : k * 20 + 20])) for k in range(300)]
+    got = {x.doc_id: x.spans for x in secrets_scan.digest(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for k, (_, n) in enumerate(kinds):
+        assert sum(got[k * 400 + i] == f"random:3:{3 + n}" for i in range(300)) >= 240, k
+    assert sum(got[5000 + k].count("random") for k in range(300)) <= 60
