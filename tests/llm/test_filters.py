@@ -7,6 +7,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 
+from quillgraph.llm import _text as tx
 from quillgraph.llm import decontaminate, quality, secrets_scan
 
 
@@ -69,70 +70,129 @@ def test_base_counts_match_brute_force():
         assert row.tolist() == [len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in text), len(lines) - len(set(lines)), len(cover)]
 
 
-def brute_model(words, order):
+def stream(text):
+    """The signs of a text as the model counts them, from plain strings."""
+    raw = re.sub(rb"[\x20\x09-\x0D]+", b" ", re.sub(rb"[0-9]", b"0", (text or "").encode())).lstrip(b" ")
+    return raw if not raw or raw.endswith(b" ") else raw + b" "
+
+
+def brute_model(texts, order):
     """Modified Kneser-Ney probabilities from plain dictionaries."""
     top = Counter()
-    for w, n in words.items():
-        s = b" " + w + b" "
-        for k in range(1, len(s)):
-            top[s[max(0, k - order + 1) : k + 1]] += n
+    for t in texts:
+        s = b" " * (order - 1) + stream(t)
+        for k in range(order - 1, len(s)):
+            top[s[k - order + 1 : k + 1]] += 1
     levels, wider = {}, set()
     for k in range(order, 0, -1):
-        counts = Counter({g: n for g, n in top.items() if len(g) == k})
-        for g in {g for g in wider}:
-            counts[g[1:]] += 1
+        counts = top if k == order else Counter(g[1:] for g in wider)
         wider = set(counts)
         n = Counter(counts.values())
         y = n[1] / (n[1] + 2 * n[2]) if n[1] and n[2] else 0.5
         d = {i: min(max(i - (i + 1) * y * n[i + 1] / n[i], 0.05), i - 0.05) if n[i] else 0.5 * i for i in (1, 2, 3)}
-        levels[k] = (counts, d)
+        by = {}
+        for g, c in counts.items():
+            by.setdefault(g[:-1], []).append(c)
+        levels[k] = (counts, d, by)
 
     def p(g):
         if not g:
             return 1 / 256
-        counts, d = levels[len(g)]
-        mine = {x: c for x, c in counts.items() if x[:-1] == g[:-1]}
+        counts, d, by = levels[len(g)]
+        mine = by.get(g[:-1])
         if not mine:
             return p(g[1:])
-        total = sum(mine.values())
         cut = lambda c: d[min(c, 3)]
-        own = max(counts.get(g, 0) - cut(counts[g]), 0) / total if g in counts else 0
-        return own + sum(map(cut, mine.values())) / total * p(g[1:])
+        own = max(counts.get(g, 0) - cut(counts[g]), 0) / sum(mine) if g in counts else 0
+        return own + sum(map(cut, mine)) / sum(mine) * p(g[1:])
 
     return p
 
 
-def test_model_matches_brute_force():
-    r = random.Random(6)
-    words = Counter(bytes(r.choices(b"abcd", k=r.randint(1, 7))) for _ in range(300))
-    p = brute_model(words, quality.ORDER)
-    text = b" ".join(words)
-    data = np.frombuffer(text, np.uint8)
-    ends = np.array([i for i, c in enumerate(text + b" ") if c == 32])
-    starts = np.r_[0, ends[:-1] + 1]
-    packed, _, word = quality._grams(data, starts, ends)
-    keys, at = np.unique(packed, return_inverse=True)
-    count = np.bincount(at, weights=np.array(list(words.values()))[word]).astype(np.int64)
-    model = quality.Model(keys, count)
-    for w in [*list(words)[:40], b"zz", b"abz", b"dcbaabcd"]:
-        g, order, _ = quality._grams(np.frombuffer(w, np.uint8), np.array([0]), np.array([len(w)]))
-        s = b" " + w + b" "
-        for k, q in enumerate(model.probability(g), 1):
-            assert math.isclose(q, p(s[max(0, k - quality.ORDER + 1) : k + 1]), rel_tol=1e-9), (w, k)
-
-
-def test_verdicts(spark):
+def brute_traits(text):
+    """Fold and well-formedness of a text."""
+    words = re.findall(rb"[^\x20\x09-\x0D]+", (text or "").encode())
+    if not words:
+        return 0, False
+    least = min(int(tx.mix(tx.span_hash(tx.prefix_hash(np.frombuffer(w, np.uint8)), np.array([0]), np.array([len(w)])))[0]) for w in words)
+    marks = sum(c < 128 and chr(c).isprintable() and not chr(c).isalnum() and c != 32 for w in words for c in w)
+    return least >> 7 & 1, len(words) >= 20 and 2 * marks <= len(words)
+
+
+def prose(r, lexicon, n):
+    return ". ".join(" ".join([r.choice(lexicon).capitalize(), *r.choices(lexicon, k=r.randint(5, 9))]) for _ in range(n)) + "."
+
+
+def lexicon(seed, consonants, vowels):
+    r = random.Random(seed)
+    syllables = [a + b for a in consonants for b in vowels]
+    return ["".join(r.choices(syllables, k=r.randint(1, 4))) for _ in range(400)]
+
+
+def judge_rows():
     r = random.Random(9)
-    syllables = [a + b for a in "bdgklmnprst" for b in "aeiou"]
-    lexicon = ["".join(r.choices(syllables, k=r.randint(1, 4))) for _ in range(400)]
-    rows = [(i, " ".join(r.choices(lexicon, k=80)), "xx") for i in range(150)]
-    rows += [(900, " ".join("".join(r.choices("QZX#7~^", k=6)) for _ in range(80)), "xx"), (901, "too short", "xx"), (902, None, "xx"), (903, " ".join(["same eight words stand here again and again"] * 20), "xx"), (904, " ".join(r.choices(lexicon, k=80)), None)]
-    got = {x.doc_id: x for x in quality.judged(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
-    assert all(got[i].kept for i in range(150)) and got[904].kept
-    assert not any(got[i].kept for i in (900, 901, 902, 903)) and not got[900].base_failed
+    one, two = lexicon(1, "bdgklmnprst", "aeiou"), lexicon(2, "cfhjqvwxyz", ("é", "ou", "ä"))
+    rows = [(i, prose(r, one, r.choice([4, 12, 30])), "xx") for i in range(150)] + [(200 + i, prose(r, two, 12), "yy") for i in range(60)]
+    junk = [" ".join("".join(r.choices("QZX#7~^", k=6)) for _ in range(80)), " | ".join(r.choices(one, k=80)), prose(r, two, 12), " ".join(f"{w}{r.choice(['***', '$$$', '###'])}" for w in r.choices(one, k=80)), "".join(chr(r.randint(97, 122)) if r.random() < 0.84 else " " for _ in range(600))]
+    rows += [(900 + i, t, "xx") for i, t in enumerate(junk)]
+    rows += [(910 + i, prose(r, one, 4)[:260] + " ".join(r.choices(junk[0].split(), k=30)), "xx") for i in range(3)]
+    return [*rows, (950, "too short", "xx"), (951, None, "xx"), (952, " ".join(["same eight words stand here again and again"] * 20), "xx"), (953, prose(r, one, 12), None), (0, rows[0][1], "xx"), (954, " \n\t ", "yy")]
+
+
+def test_verdicts_match_brute_force(spark):
+    rows = judge_rows()
+    docs = spark.createDataFrame([(*x, 1, "c") for x in rows], "doc_id long, text string, lang string, formed int, key1 string")
+    held = quality.MODEL_ROWS
+    got = sorted(quality.judged(docs).collect(), key=lambda x: (x.doc_id, x.n_words))
+    quality.MODEL_ROWS = 2000  # several blocks
+    try:
+        blocked = sorted(quality.judged(docs).collect(), key=lambda x: (x.doc_id, x.n_words))
+    finally:
+        quality.MODEL_ROWS = held
+    assert len(got) == len(blocked) == len(rows)
+    want = {}
+    for lang in ("xx", "yy", ""):
+        mine = [(i, t) for i, t, x in rows if (x or "") == lang]
+        trait = {t: brute_traits(t) for _, t in mine}
+        models = {f: brute_model([t for _, t in mine if trait[t] == (f, True)], quality.ORDER) for f in (0, 1)}
+        taught = {f: any(trait[t] == (f, True) for _, t in mine) for f in (0, 1)}
+        ppl = {}
+        for t in trait:
+            s = stream(t)
+            if s and taught[1 - trait[t][0]]:
+                full = b" " * (quality.ORDER - 1) + s
+                ppl[t] = -sum(math.log(models[1 - trait[t][0]](full[k - quality.ORDER + 1 : k + 1])) for k in range(quality.ORDER - 1, len(full))) / len(s)
+        base = {t: x for t, x in zip(trait, quality.base_counts(pa.array(list(trait))).tolist(), strict=True)}
+        failed = {t: n[0] < 20 or 100 * n[4] > 30 * n[0] for t, n in base.items()}
+        fine = [t for t in ppl if trait[t][1] and not failed[t]]
+        middle = lambda xs: (sorted(math.floor(x * quality.CELLS) for x in xs)[(len(xs) + 1) // 2 - 1] + 0.5) / quality.CELLS
+        reach = lambda t: math.sqrt(1 + quality.SPREAD / len(stream(t)))
+        if fine:
+            m = middle([ppl[t] for t in fine])
+            s = max(1.4826 * middle([abs(ppl[t] - m) / reach(t) for t in fine]), quality.LEAST_DEVIATION)
+        for i, t in mine:
+            inside = t not in ppl or not fine or m - quality.BELOW * s * reach(t) <= ppl[t] <= m + quality.ABOVE * s * reach(t)
+            want.setdefault(i, []).append((ppl.get(t), not failed[t] and inside))
+    for run in (got, blocked):
+        for x in run:
+            p, kept = next(w for w in want[x.doc_id])
+            assert x.kept == kept, (x, p)
+            assert (x.log_ppl is None) == (p is None) and (p is None or math.isclose(x.log_ppl, p, rel_tol=1e-5)), (x, p)
+    kept = {x.doc_id: x.kept for x in got}
+    assert all(kept[i] for i in [*range(150), *range(200, 260), 953])
+    assert not any(kept[i] for i in [*range(900, 905), *range(910, 913), 950, 951, 952, 954])
+    assert not any(x.base_failed for x in got if 900 <= x.doc_id < 913)
     assert quality.judged(spark.createDataFrame([], "doc_id long, text string, lang string")).collect() == []
 
 
+def test_a_very_long_text_is_judged_as_a_whole(spark):
+    r = random.Random(11)
+    one = lexicon(1, "bdgklmnprst", "aeiou")
+    rows = [(i, prose(r, one, 20), "xx") for i in range(40)] + [(100, prose(r, one, 60_000), "xx"), (101, prose(r, one, 30_000) + " ".join("".join(r.choices("QZX7", k=6)) for _ in range(300_000)), "xx")]
+    got = {x.doc_id: x for x in quality.judged(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert all(got[i].kept for i in [*range(40), 100]) and not got[101].kept and not got[101].base_failed
+
+
 def test_filters_take_only_the_judged_rows_of_shared_and_missing_ids(spark):
     r = random.Random(10)
     lexicon = ["".join(r.choices("bdgklmnprst", k=1) + r.choices("aeiou", k=1)) + x for x in ("ba", "ko", "mi", "rul") for _ in range(60)]
