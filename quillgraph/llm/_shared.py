@@ -5,7 +5,18 @@ from pyspark.sql import functions as F
 
 from quillgraph.operators.tables import components, forget, shared_dir, small, written
 
-__all__ = ["components", "content_key", "forget", "shared_dir", "small", "without", "written"]
+__all__ = ["components", "content_key", "forget", "fresh", "shared_dir", "small", "without", "written"]
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names for helper columns that no column of ``df`` has."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while f"_{name}" in taken:
+            name += "_"
+        out.append(f"_{name}")
+    return out
 
 
 def content_key(*columns: str) -> tuple[Column, Column]:
@@ -20,5 +31,6 @@ def without(docs: DataFrame, bad: DataFrame, *columns: str) -> DataFrame:
     A verdict that depends on these columns alone goes back to just the rows it was made for, whatever their ids.
     """
     one, two = content_key(*columns)
-    bad = small(bad.select(F.col("key1").alias("_bad1"), F.col("key2").alias("_bad2")).distinct())
-    return docs.join(bad, (one == F.col("_bad1")) & (two == F.col("_bad2")), "left_anti")
+    bad1, bad2 = fresh(docs, "bad1", "bad2")
+    bad = small(bad.select(F.col("key1").alias(bad1), F.col("key2").alias(bad2)).distinct())
+    return docs.join(bad, (one == F.col(bad1)) & (two == F.col(bad2)), "left_anti")

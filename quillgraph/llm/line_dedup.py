@@ -3,16 +3,24 @@
 Two lines are linked if their edit distance is at most ``EDITS``. A line is cut into EDITS + 1 segments; within that
 distance one segment stays whole, so it stands in the other line near its place. Each distinct line indexes its segments
 by its length, and probes those of lines as long or up to EDITS shorter at the few places where a whole segment can lie.
-Candidates that share a key are compared by a 64-bit parity sketch of their characters (an edit flips two bits at most)
-and then by banded bit-parallel edit distance on the lines themselves.
+Rows that meet under a key stay if a 64-bit parity sketch of their characters lies close to another's (an edit flips two
+bits at most). A key with more than ``CROWD`` rows is split losslessly first: sketches within 2 * EDITS bits agree in one
+of 2 * EDITS + 1 parts, so its rows meet by key and part instead.
 
-A key with more than ``CROWD`` lines is split losslessly: sketches within 2 * EDITS bits agree in one of 2 * EDITS + 1
-parts, so its lines meet by key and part instead. Links make classes; the first line of each class (by doc_id and line
-number) stays and later ones go. Equal lines are one class from the start, blank lines always stay, and lines under
-``LEAST`` characters are only compared for equality.
+The lines themselves are then joined to the rows that stay, and each group is united: two lines are compared, by banded
+bit-parallel edit distance, only if they aren't yet in one part and a second sketch, of pairs of characters, is close too;
+each union is one link. So a group of n near copies gives n - 1 links and not n * n pairs, and no link between two parts
+is lost. Groups of more than ``GROUP`` lines are dealt into chunks, and every two chunks are united on their own.
+
+Links make classes; the first line of each class (by doc_id and line number) stays and later ones go. Equal lines are one
+class from the start and blank lines always stay. Lines under ``LEAST`` characters are only compared for equality, at any
+size of the table: two edits are a large part of so short a line ("Part 1", "Part 2"), so they don't make it a copy.
+
+A line is named by a 64-bit polynomial hash, its sketch and its length together.
 
 Defined cases: a null text has no lines; rows without doc_id come before all others; rows with equal doc_id count as one
-document; repeated rows are each returned; extra columns are ignored; an empty table gives an empty result.
+document; repeated rows are each returned; extra columns are ignored, whatever their names; an empty table gives an empty
+result.
 """
 
 from __future__ import annotations
@@ -23,13 +31,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillgraph.llm import _text as tx
-from quillgraph.llm._shared import components, written
+from quillgraph.llm._shared import components, fresh, written
 from quillgraph.llm.repeats import _located, _rows
 
 EDITS = 2
 LEAST = 24
 CROWD = 64
-_LONG = pa.int64()
+GROUP = 20_000
+#: Pairs of sketches that are compared at once.
+_BLOCK = 1 << 22
+#: 64-bit words of the sketch of pairs of characters.
+_WORDS = 4
 
 
 def _lines(texts: pa.Array):
@@ -59,6 +71,18 @@ def _parity(points: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarra
     return run[end] ^ run[start]
 
 
+def _pair_parity(points: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """The same for pairs of neighbouring characters, in ``_WORDS`` words; an edit changes four bits at most."""
+    h = tx.mix(points[:-1].astype(np.uint64) << np.uint64(32) | points[1:].astype(np.uint64))
+    out = np.zeros((len(start), _WORDS), np.uint64)
+    stop = np.maximum(end - 1, start)
+    for k in range(_WORDS):
+        bit = np.where((h >> np.uint64(6)) % np.uint64(_WORDS) == k, np.left_shift(np.uint64(1), h & np.uint64(63)), np.uint64(0))
+        run = np.r_[np.uint64(0), np.bitwise_xor.accumulate(bit)]
+        out[:, k] = run[stop] ^ run[start]
+    return out
+
+
 def _occurrences(batches):
     with np.errstate(over="ignore"):
         for b in batches:
@@ -76,97 +100,154 @@ def _segment(length: np.ndarray, i: int, edits: int) -> tuple[np.ndarray, np.nda
 
 
 def _keys(edits: int, least: int):
+    """The keys of the distinct lines of each piece: their own (side 0) and those they probe (side 1)."""
+
     def run(batches):
         with np.errstate(over="ignore"):
             for b in batches:
                 parts = []
-                for _, _, prefix, _, start, end, _, _ in _lines(b.column(1)):
-                    size = end - start
+                for _, _, prefix, points, start, end, _, _ in _lines(b.column(1)):
                     line = tx.span_hash(prefix, start, end)
                     _, once = np.unique(line, return_index=True)
-                    once = once[size[once] >= least]
-                    start, size, line = start[once], size[once], line[once]
+                    once = once[(end - start)[once] >= least]
+                    start, end, line = start[once], end[once], line[once]
+                    size, sketch = end - start, _parity(points, start, end)
 
-                    def add(side, length, i, at, width, chosen, prefix=prefix, line=line):
+                    def add(side, length, i, at, width, chosen, prefix=prefix, line=line, sketch=sketch):
                         key = tx.mix(tx.span_hash(prefix, at, at + width) + length.astype(np.uint64) * tx._MIXERS[3] + np.uint64(i) * tx._MIXERS[4])
-                        parts.append((key, np.full(len(key), side, np.int8), line[chosen]))
+                        parts.append((key, np.full(len(key), side, np.int8), line[chosen], sketch[chosen]))
 
                     for i in range(edits + 1):
-                        p, width = _segment(size, i, edits)
-                        add(0, size, i, start + p, width, slice(None))
+                        own, width = _segment(size, i, edits)
+                        add(0, size, i, start + own, width, slice(None))
                         for less in range(edits + 1):
                             length = size - less
                             p, width = _segment(length, i, edits)
                             lo = np.maximum(np.maximum(p - i, p + less - (edits - i)), 0)
                             hi = np.minimum(np.minimum(p + i, p + less + (edits - i)), size - width)
                             for step in range(2 * edits + 1):
-                                on = np.flatnonzero((lo + step <= hi) & (length >= least))
+                                # at its own place a line meets those of its length by its own key
+                                on = np.flatnonzero((lo + step <= hi) & (length >= least) & ((less > 0) | (lo + step != own)))
                                 if len(on):
                                     add(1, length[on], i, start[on] + lo[on] + step, width[on], on)
                 if parts:
-                    key, side, line = (np.concatenate(x) for x in zip(*parts, strict=True))
-                    yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(side), pa.array(line.view(np.int64))], names=["key", "side", "line"])
+                    key, side, line, sketch = (np.concatenate(x) for x in zip(*parts, strict=True))
+                    yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(side), pa.array(line.view(np.int64)), pa.array(sketch.view(np.int64))], names=["key", "side", "line", "sketch"])
 
     return run
 
 
-def _met(batches):
-    """Streams rows sorted by (key, side, line): pairs (null, a, b) of small groups, rows (key, line, side) of crowds."""
-    held, key, crowd, last = ([], []), None, False, None
-    out = ([], [], [])
-
-    def flush():
-        left, right = held
-        if not crowd:
-            for a in left:
-                for b in right:
-                    if a != b:
-                        out[0].append(None)
-                        out[1].append(min(a, b))
-                        out[2].append(max(a, b))
+def _groups(batches):
+    """Columns of a stream sorted by its first column, cut so that no group of equal keys is parted."""
+    held: list[list[np.ndarray]] = []  # the group that may go on
 
-    def batch():
-        nonlocal out
-        made = pa.RecordBatch.from_arrays([pa.array(x, _LONG) for x in out], names=["key", "a", "b"])
-        out = ([], [], [])
-        return made
+    def joined(parts):
+        return [np.concatenate(x) for x in zip(*parts, strict=True)] if len(parts) > 1 else parts[0]
 
     for b in batches:
         if not b.num_rows:
             continue
-        keys, sides, lines = (b.column(k).to_numpy() for k in range(3))
-        # rows whose key stands alone make no pair
-        alone = np.ones(len(keys), bool)
-        alone[1:] &= keys[1:] != keys[:-1]
-        alone[:-1] &= keys[:-1] != keys[1:]
-        alone[0] &= keys[0] != key
-        alone[-1] = False
-        for k in np.flatnonzero(~alone):
-            row = (int(keys[k]), int(sides[k]), int(lines[k]))
-            if row == last:
+        columns = [b.column(k).to_numpy(zero_copy_only=False) for k in range(b.num_columns)]
+        end = int(np.searchsorted(columns[0], columns[0][-1]))
+        if end or held and held[-1][0][-1] != columns[0][0]:
+            yield joined([*held, [c[:end] for c in columns]])
+            held = []
+        held.append([c[end:] for c in columns])
+    if held:
+        yield joined(held)
+
+
+def _met(edits: int):
+    """Streams rows sorted by key and returns those whose sketch is close to another line's under the key (crowd false), and
+    all rows of crowds."""
+
+    def run(batches):
+        for key, side, line, sketch in _groups(batches):
+            many = np.ones(len(key), bool)  # keys that stand alone meet nothing
+            many[1:-1] = (key[1:-1] == key[:-2]) | (key[1:-1] == key[2:])
+            if len(key) > 1:
+                many[0], many[-1] = key[0] == key[1], key[-1] == key[-2]
+            else:
+                many[0] = False
+            key, side, line, sketch = (x[many] for x in (key, side, line, sketch))
+            if not len(key):
                 continue
-            last = row
-            if row[0] != key:
-                flush()
-                held, key, crowd = ([], []), row[0], False
-            held[row[1]].append(row[2])
-            if not crowd and len(held[0]) + len(held[1]) > CROWD:
-                crowd = True
-                for side in (0, 1):
-                    for x in held[side]:
-                        out[0].append(key)
-                        out[1].append(x)
-                        out[2].append(side)
-                held = ([], [])
-            elif crowd:
-                held[row[1]].pop()
-                out[0].append(key)
-                out[1].append(row[2])
-                out[2].append(row[1])
-        if len(out[0]) > 5000:
-            yield batch()
-    flush()
-    yield batch()
+            order = np.lexsort((side, line, key))
+            key, side, line, sketch = (x[order] for x in (key, side, line, sketch))
+            new = np.r_[True, (key[1:] != key[:-1]) | (line[1:] != line[:-1])]  # a line once under a key, as side 0 if it is
+            key, side, line, sketch = (x[new] for x in (key, side, line, sketch))
+            group = np.cumsum(np.r_[True, key[1:] != key[:-1]]) - 1
+            size = np.bincount(group)[group]
+            crowd = size > CROWD
+            close = np.zeros(len(key), bool)
+            rows = np.flatnonzero(~crowd & (size > 1))
+            off = 1
+            while len(rows):
+                rows = rows[rows + off < len(key)]
+                rows = rows[group[rows] == group[rows + off]]
+                near = rows[(np.bitwise_count((sketch[rows] ^ sketch[rows + off]).view(np.uint64)) <= 2 * edits) & (side[rows] & side[rows + off] == 0)]
+                close[near] = close[near + off] = True
+                off += 1
+            keep = close | crowd
+            if keep.any():
+                yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (key, side, line, sketch, crowd)], names=["key", "side", "line", "sketch", "crowd"])
+
+    return run
+
+
+def _close(edits: int):
+    """Streams rows sorted by group (key and part of a crowd) and returns those whose sketch is close to another's."""
+
+    def run(batches):
+        for group, side, line, sketch in _groups(batches):
+            keep = np.zeros(len(group), bool)
+            cut = np.flatnonzero(np.r_[True, group[1:] != group[:-1], True])
+            for s, e in zip(cut[:-1], cut[1:], strict=True):
+                if e - s < 2:
+                    continue
+                sk, sd, ln = sketch[s:e].view(np.uint64), side[s:e], line[s:e]
+                step = max(1, _BLOCK // (e - s))
+                for i in range(0, e - s, step):
+                    near = np.bitwise_count(sk[i : i + step, None] ^ sk[None]) <= 2 * edits
+                    near &= (sd[i : i + step, None] & sd[None]) == 0
+                    near &= ln[i : i + step, None] != ln[None]
+                    keep[s + i : s + i + len(near)] |= near.any(axis=1)
+            if keep.any():
+                yield pa.RecordBatch.from_arrays([pa.array(group[keep]), pa.array(line[keep]), pa.array(sketch[keep])], names=["key", "line", "sketch"])
+
+    return run
+
+
+def _united(edits: int):
+    """Streams rows sorted by group and returns one link for each union of two parts of a group."""
+
+    def run(batches):
+        for group, line, sketch, said, pairs in _groups(batches):
+            links = ([], [])
+            order = np.lexsort((line, group))
+            group, line, sketch, said, pairs = (x[order] for x in (group, line, sketch, said, pairs))
+            new = np.r_[True, (group[1:] != group[:-1]) | (line[1:] != line[:-1])]
+            group, line, sketch, said, pairs = (x[new] for x in (group, line, sketch.view(np.uint64), said, pairs))
+            pairs = np.frombuffer(b"".join(pairs), np.uint64).reshape(-1, _WORDS)
+            cut = np.flatnonzero(np.r_[True, group[1:] != group[:-1], True])
+            for s, e in zip(cut[:-1], cut[1:], strict=True):
+                part = np.arange(s, e)
+                for i in range(1, e - s):
+                    near = np.zeros(i, bool)
+                    some = np.flatnonzero((np.bitwise_count(sketch[s : s + i] ^ sketch[s + i]) <= 2 * edits) & (part[:i] != part[i]))
+                    near[some] = np.bitwise_count(pairs[s + some] ^ pairs[s + i]).sum(axis=1) <= 4 * edits
+                    while len(rest := np.flatnonzero(near & (part[:i] != part[i]))):
+                        found = next((j for j in rest.tolist() if edit_distance(said[s + j], said[s + i], edits) <= edits), None)
+                        if found is None:
+                            break
+                        near[: found + 1] &= part[: found + 1] == part[found]  # what stands before it was compared
+                        links[0].append(line[s + found])
+                        links[1].append(line[s + i])
+                        part[part == part[found]] = part[i]
+            if links[0]:
+                yield pa.RecordBatch.from_arrays([pa.array(np.array(x, np.int64)) for x in links], names=["a", "b"])
+
+    return run
 
 
 def edit_distance(a: str, b: str, limit: int) -> int:
@@ -211,56 +292,56 @@ def _texts(batches):
         for b in batches:
             wanted = b.column(2).to_pylist()
             for first, _, prefix, points, start, end, owner, number in _lines(b.column(1)):
-                line = tx.span_hash(prefix, start, end)
+                line, pairs = tx.span_hash(prefix, start, end), _pair_parity(points, start, end)
                 sets = {}
                 keep = [k for k, (o, n) in enumerate(zip(owner.tolist(), number.tolist(), strict=True)) if n in sets.setdefault(o, set(wanted[first + o]))]
-                yield pa.RecordBatch.from_arrays([pa.array(line[keep].view(np.int64)), pa.array([points[start[k] : end[k]].tobytes().decode("utf-32-le") for k in keep], pa.string())], names=["line", "said"])
-
-
-def _verified(edits: int):
-    def run(batches):
-        for b in batches:
-            keep = [edit_distance(x, y, edits) <= edits for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
-            yield b.select([0, 1]).filter(pa.array(keep, pa.bool_()))
-
-    return run
+                yield pa.RecordBatch.from_arrays([pa.array(line[keep].view(np.int64)), pa.array([points[start[k] : end[k]].tobytes().decode("utf-32-le") for k in keep], pa.string()), pa.array([x.tobytes() for x in pairs[keep]], pa.binary())], names=["line", "said", "pairs"])
 
 
 def links(rows: DataFrame, firsts: DataFrame, edits: int = EDITS, least: int = LEAST) -> DataFrame:
-    """Pairs (a, b) of distinct lines within ``edits`` of each other; ``firsts``: (line, doc, number, sketch)."""
+    """Links (a, b) of distinct lines within ``edits`` of each other that join the same parts as all such pairs do.
+
+    ``firsts``: (line, doc, number) of the first place of each line.
+    """
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    keys = rows.mapInArrow(_keys(edits, least), "key long, side byte, line long")
-    met = written(keys.repartition(parts, "key").sortWithinPartitions("key", "side", "line").mapInArrow(_met, "key long, a long, b long"))
-    near = F.bit_count(F.col("x").bitwiseXOR(F.col("y"))) <= 2 * edits
-    named = lambda line, sketch: firsts.select(F.col("line").alias(line), F.col("sketch").alias(sketch))
-    pairs = met.where("key is null").select("a", "b").distinct().join(named("a", "x"), "a").join(named("b", "y"), "b").where(near).select("a", "b")
-    crowd = met.where("key is not null")
+    keys = rows.mapInArrow(_keys(edits, least), "key long, side byte, line long, sketch long")
+    met = written(keys.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(_met(edits), "key long, side byte, line long, sketch long, crowd boolean"))
+    close = met.where("not crowd").select("key", "line", "sketch")
+    crowd = met.where("crowd")
     if not crowd.isEmpty():
         cut = 2 * edits + 1
         bits = -(-64 // cut)
-        part = F.posexplode(F.array(*[F.shiftrightunsigned("x", k * bits).bitwiseAND(F.lit((1 << bits) - 1)) for k in range(cut)]))
-        crowd = written(crowd.select("key", "a", F.col("b").alias("side")).join(named("a", "x"), "a").select("key", "a", "side", "x", part.alias("part", "value")))
-        right = crowd.where("side = 1").select("key", "part", "value", F.col("a").alias("b"), F.col("x").alias("y"))
-        more = crowd.where("side = 0").drop("side").join(right, ["key", "part", "value"]).where(near & (F.col("a") != F.col("b")))
-        pairs = pairs.unionByName(more.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct()
-    pairs = written(pairs)
-    used = pairs.select(F.explode(F.array("a", "b")).alias("line")).distinct()
+        part = F.posexplode(F.array(*[F.shiftrightunsigned("sketch", k * bits).bitwiseAND(F.lit((1 << bits) - 1)) for k in range(cut)]))
+        split = crowd.select("key", "side", "line", "sketch", part.alias("part", "value")).select(F.xxhash64("key", "part", "value").alias("key"), "side", "line", "sketch")
+        close = close.unionByName(split.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(_close(edits), "key long, line long, sketch long"))
+    close = written(close)
+    big = written(close.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > GROUP))
+    if not big.isEmpty():
+        dealt = close.join(big, "key", "left").withColumn("chunks", F.ceil(F.col("n") / GROUP).cast("int")).withColumn("own", F.pmod(F.xxhash64("line"), F.col("chunks")).cast("int"))
+        other = F.explode(F.when(F.col("chunks") > 1, F.sequence(F.lit(0), F.col("chunks") - 1)).otherwise(F.array(F.lit(0))))
+        dealt = dealt.select("key", "line", "sketch", "chunks", "own", other.alias("other"))
+        named = F.when(F.col("chunks") > 1, F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other"))).otherwise(F.col("key"))
+        close = dealt.select(named.alias("key"), "line", "sketch")
+    used = close.select("line").distinct()
     places = firsts.join(used, "line", "left_semi").select("doc", "number", F.col("number").alias("n"))
-    said = written(_located(rows, places).mapInArrow(_texts, "line long, said string").dropDuplicates(["line"]))
-    left, right = said.select(F.col("line").alias("a"), F.col("said").alias("x")), said.select(F.col("line").alias("b"), F.col("said").alias("y"))
-    return written(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(_verified(edits), "a long, b long"))
+    said = written(_located(rows, places).mapInArrow(_texts, "line long, said string, pairs binary").dropDuplicates(["line"]))
+    texts = close.join(said, "line").select("key", "line", "sketch", "said", "pairs")
+    return written(texts.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(_united(edits), "a long, b long").distinct())
 
 
 def duplicate_lines(docs: DataFrame, edits: int = EDITS, least: int = LEAST) -> DataFrame:
     """(doc_id, n_lines, n_removed, removed) of every row: lines that are not blank, and the sorted numbers (from 0) of those that go."""
     rows = _rows(docs)
+    name = ["line", "sketch", "size"]
     occurrences = written(rows.mapInArrow(_occurrences, "line long, doc long, number long, size long, sketch long"))
-    firsts = written(occurrences.groupBy("line").agg(F.min(F.struct("doc", "number")).alias("f"), F.min("sketch").alias("sketch")).select("line", "f.doc", "f.number", "sketch"))
+    firsts = written(occurrences.groupBy(*name).agg(F.min(F.struct("doc", "number")).alias("f")).select(*name, "f.doc", "f.number"))
     classes = components(links(rows, firsts, edits, least)).withColumnRenamed("node", "line")
-    grouped = firsts.join(classes, "line", "left").withColumn("component", F.coalesce("component", "line"))
-    heads = grouped.groupBy("component").agg(F.min(F.struct("doc", "number")).alias("head"))
-    stay = grouped.join(heads, "component").select("line", "head")
-    judged = occurrences.join(stay, "line").withColumn("gone", (F.col("head.doc") != F.col("doc")) | (F.col("head.number") != F.col("number")))
+    united = firsts.join(classes, "line").select(*name, "component", F.struct("doc", "number").alias("f"))
+    # only lines with links need their class's first place; all others keep their own
+    heads = united.groupBy("component").agg(F.min("f").alias("head"))
+    moved = united.join(heads, "component").select(*name, "head")
+    stay = firsts.join(moved, name, "left").select(*name, F.coalesce("head", F.struct("doc", "number")).alias("head"))
+    judged = occurrences.join(stay, name).withColumn("gone", (F.col("head.doc") != F.col("doc")) | (F.col("head.number") != F.col("number")))
     per = judged.select("doc", "number", "gone").distinct().groupBy("doc").agg(F.count("*").alias("n_lines"), F.sort_array(F.collect_list(F.when(F.col("gone"), F.col("number")))).alias("removed"))
     ids = rows.select("doc")
     out = ids.join(per, "doc", "left")
@@ -270,7 +351,8 @@ def duplicate_lines(docs: DataFrame, edits: int = EDITS, least: int = LEAST) ->
 
 def without_lines(docs: DataFrame, found: DataFrame) -> DataFrame:
     """``docs`` with the removed lines taken out of their texts; ``found`` comes from ``duplicate_lines``."""
-    gone = found.select(F.col("doc_id").alias("_id"), F.col("removed").alias("_gone")).dropDuplicates(["_id"])
-    lines = F.filter(F.split("text", "\n"), lambda line, k: ~F.array_contains("_gone", k.cast("long")))
-    joined = docs.join(gone, F.col("doc_id").cast("long") == F.col("_id"), "left")
-    return joined.withColumn("text", F.when(F.size("_gone") > 0, F.array_join(lines, "\n")).otherwise(F.col("text"))).drop("_id", "_gone")
+    owner, gone = fresh(docs, "owner", "gone")
+    table = found.select(F.col("doc_id").alias(owner), F.col("removed").alias(gone)).dropDuplicates([owner])
+    lines = F.filter(F.split("text", "\n"), lambda line, k: ~F.array_contains(gone, k.cast("long")))
+    joined = docs.join(table, F.col("doc_id").cast("long") == F.col(owner), "left")
+    return joined.withColumn("text", F.when(F.size(gone) > 0, F.array_join(lines, "\n")).otherwise(F.col("text"))).drop(owner, gone)

@@ -1,5 +1,6 @@
 import random
 
+from quillgraph.llm import line_dedup
 from quillgraph.llm.line_dedup import duplicate_lines, edit_distance, without_lines
 
 
@@ -79,3 +80,42 @@ def test_matches_brute_force(spark):
 
 def test_empty_table(spark):
     assert duplicate_lines(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_crowds_and_large_groups_lose_no_link_and_give_few(spark):
+    r = random.Random(7)
+    hot = "".join(r.choices("abcdefgh ", k=60))
+    rows, n = [], 0
+    for i in range(60):  # near copies of one line, within two edits of each other or further apart
+        lines = []
+        for _ in range(4):
+            line = list(hot)
+            for _ in range(r.choice([1, 1, 2, 3, 5])):
+                line[r.randrange(20, 60)] = r.choice("ijklmnop")
+            lines.append("".join(line))
+        rows.append((i, "\n".join(lines)))
+        n += 4
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    held = line_dedup.CROWD, line_dedup.GROUP
+    try:
+        for line_dedup.CROWD, line_dedup.GROUP in ((64, 20_000), (5, 20_000), (5, 30)):
+            assert sorted((a, b, c, list(d)) for a, b, c, d in duplicate_lines(df).collect()) == brute(rows, 2, 24)
+        line_dedup.CROWD, line_dedup.GROUP = held
+        places = spark.createDataFrame([(i, k, x) for i, t in rows for k, x in enumerate(t.split("\n"))], "doc long, number long, said string")
+        whole = line_dedup._rows(df)
+        firsts = whole.mapInArrow(line_dedup._occurrences, "line long, doc long, number long, size long, sketch long").dropDuplicates(["line"])
+        assert line_dedup.links(whole, firsts).count() <= 15 * places.select("said").distinct().count()
+    finally:
+        line_dedup.CROWD, line_dedup.GROUP = held
+
+
+def test_clashing_names_and_long_texts(spark):
+    line = "a line of some length that is said again and again " * 3
+    long = "\n".join(f"{k} {line}{k * 7919}" for k in range(4_000))
+    rows = [(1, long, 5, 6), (2, long, 7, 8), (None, line, 9, 9)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _gone int, _owner int")
+    found = {x.doc_id: x for x in duplicate_lines(df).collect()}
+    assert found[2].n_removed == 4_000 and found[None].n_removed == 0
+    out = without_lines(df, duplicate_lines(df))
+    assert out.columns == df.columns
+    assert {x.doc_id: x.text for x in out.collect()}[2] == ""
