@@ -163,3 +163,44 @@ def to_json(value) -> str:
 @F.pandas_udf(T.StringType())
 def repaired(text: pd.Series) -> pd.Series:
     return text.map(lambda t: None if (v := parse_object(t)) is None else to_json(v))
+
+
+# -- typed reads of a parsed object ----------------------------------------------------------------------------------------
+
+
+def text_of(value, key: str | None = None) -> str:
+    """A value, or that under ``key``, as trimmed text; "" for what has no plain text."""
+    value = value.get(key) if key is not None and isinstance(value, dict) else value
+    if isinstance(value, bool):
+        return str(value).lower()
+    return value.strip() if isinstance(value, str) else f"{value}" if isinstance(value, int | float) else ""
+
+
+def texts_of(value: dict, key: str) -> list[str]:
+    """The texts of a list that aren't blank; a single text is a list of one."""
+    found = value.get(key)
+    return [t for t in map(text_of, found if isinstance(found, list) else [found]) if t]
+
+
+def objects_of(value: dict, key: str) -> list[dict]:
+    """The objects of a list; a single object is a list of one."""
+    found = value.get(key)
+    return [x for x in (found if isinstance(found, list) else [found]) if isinstance(x, dict)]
+
+
+def number_of(value: dict, key: str) -> float | None:
+    """A finite number, also out of a text that spells one."""
+    found = value.get(key)
+    if isinstance(found, bool) or not isinstance(found, int | float | str):
+        return None
+    try:
+        number = float(found)
+    except (ValueError, OverflowError):
+        return None
+    return number if math.isfinite(number) else None
+
+
+@F.pandas_udf(T.StringType())
+def field_text(text: pd.Series, key: pd.Series) -> pd.Series:
+    """The text under a key of the first object in a reply."""
+    return pd.Series([text_of(parse_object(t) or {}, k) for t, k in zip(text, key, strict=True)])

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from quillgraph.functions import text as tx
 from quillgraph.functions import vectors as vx
 from quillgraph.operators import graph, seeds
+from quillgraph.operators.tables import written
 
 TOP, RANKED, QUESTION_BLOCK = 5, 12, 2048
 MAP_COMMUNITIES, MAP_BATCH, POINTS, PASSAGE_COMMUNITIES = 30, 5, 20, 5
@@ -198,9 +199,9 @@ def drift_candidates(questions: DataFrame, communities: DataFrame) -> DataFrame:
 
 def drift_answers(questions: DataFrame, communities: DataFrame, entities: DataFrame, edges: DataFrame) -> DataFrame:
     """(q_id, branch, answer): the first branch whose local answer rests on a relationship."""
-    branches = drift_candidates(questions, communities)
-    asked = branches.select((F.col("q_id") * 1000 + F.col("branch")).alias("q_id"), F.col("sub_question").alias("question"))
-    local = local_answers(asked, entities, edges).where("status = 'HOP'").select(F.floor(F.col("q_id") / 1000).cast("long").alias("q_id"), (F.col("q_id") % 1000).cast("int").alias("branch"), "answer")
+    branches = written(drift_candidates(questions, communities).withColumn("sub_id", F.monotonically_increasing_id()))
+    asked = branches.select(F.col("sub_id").alias("q_id"), F.col("sub_question").alias("question"))
+    local = local_answers(asked, entities, edges).where("status = 'HOP'").select(F.col("q_id").alias("sub_id"), "answer").join(branches.select("sub_id", "q_id", "branch"), "sub_id")
     first = local.groupBy("q_id").agg(F.min("branch").alias("branch"), F.min_by("answer", "branch").alias("local"))
     out = questions.select("q_id").join(branches.select("q_id").distinct().withColumn("any", F.lit(True)), "q_id", "left").join(first, "q_id", "left")
     return out.select("q_id", "branch", F.when(F.col("local").isNotNull(), F.concat(F.lit(DRIFT_LEAD), F.col("local"))).when(F.col("any"), DRIFT_NONE).otherwise(GLOBAL_NONE).alias("answer"))

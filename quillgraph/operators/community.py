@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import time
+from collections.abc import Callable
+from functools import partial
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillgraph.functions import text as tx
 from quillgraph.operators import graph
-from quillgraph.operators.tables import components
+from quillgraph.operators.model import Model, stats_lines
+from quillgraph.operators.tables import components, ranked_globally, written
 
 SEED, LEVELS, PASSES, EPSILON = 42, 10, 50, 1e-12
 MEMBERS, EDGES, LEAST = 25, 30, 3
@@ -60,119 +66,127 @@ class JavaRandom:
 def louvain(ids: list[str], edges: list[tuple[str, str, float]], seed: int = SEED, resolution: float = 1.0, levels: int = LEVELS, passes: int = PASSES, refine: bool = True) -> list[list[int]]:
     """Community number of every id at each level, finest first; groups are numbered by first member.
 
-    Local moves in a seeded random order (ties within 1e-12 go to the smaller community), communities split into
-    connected parts, then the graph of communities again, until nothing merges. Deterministic for a given order of input.
+    A level moves nodes until no move gains, cuts communities into connected parts and makes each part a node of the next
+    level; the last level is the one after which nothing merges. Deterministic for a given order of input: only the order
+    of visits and the rule for ties are fixed, all else is array work over the edge list.
     """
-    index = {x: i for i, x in enumerate(dict.fromkeys(x for x in ids if x and x.strip()))}
-    reported = len(index)
-    links: dict[tuple[int, int], float] = {}
-    for a, b, w in edges:
-        if not a or not b or not a.strip() or not b.strip() or not w > 0 or w == float("inf"):
-            continue
-        i, j = index.setdefault(a, len(index)), index.setdefault(b, len(index))
-        key = (i, j) if i <= j else (j, i)
-        links[key] = links.get(key, 0.0) + w
-    where = list(range(len(index)))
-    near: list[dict[int, float]] = [{} for _ in where]
-    own = [0.0] * len(where)
-    for (i, j), w in links.items():
-        if i == j:
-            own[i] += w
-        else:
-            near[i][j] = w
-            near[j][i] = w
-    out: list[list[int]] = []
+    usable = [(a, b, w) for a, b, w in edges if a and b and a.strip() and b.strip() and 0 < w < float("inf")]
+    named = list(dict.fromkeys(x for x in ids if x and x.strip()))
+    helpers = (x for a, b, _ in usable for x in (a, b))
+    index = {x: i for i, x in enumerate(dict.fromkeys([*named, *helpers]))}
+    ends = np.array([(index[a], index[b]) for a, b, _ in usable], np.int64).reshape(-1, 2)
+    links = _summed(np.sort(ends, axis=1), np.array([w for *_, w in usable], float), len(index))
+    place = np.arange(len(index))
+    found = []
     for level in range(levels):
-        moved = _settled(near, own, seed + level, resolution, passes)
-        groups = _parts(near, moved) if refine else _renumbered(moved)
-        count = max(groups, default=-1) + 1
-        if level and count == len(near):
+        n = int(place.max(initial=-1)) + 1
+        home = _settled(n, *links, seed + level, resolution, passes)
+        part = _pieces(home, *links[:2]) if refine else home
+        _, part = np.unique(_first_seen(part), return_inverse=True)
+        merged = int(part.max(initial=-1)) + 1
+        if level and merged == n:
             break
-        where = [groups[x] for x in where]
-        out.append(_renumbered(where[:reported]))
-        if count == len(near):
+        place = part[place]
+        found.append(_first_seen(place[: len(named)]).tolist())
+        if merged == n:
             break
-        new_near: list[dict[int, float]] = [{} for _ in range(count)]
-        new_own = [0.0] * count
-        for i, row in enumerate(near):
-            new_own[groups[i]] += own[i]
-            for j, w in row.items():
-                if groups[i] == groups[j]:
-                    new_own[groups[i]] += w / 2
-                else:
-                    new_near[groups[i]][groups[j]] = new_near[groups[i]].get(groups[j], 0.0) + w
-        near, own = new_near, new_own
-    return out or [list(range(reported))]
-
-
-def _settled(near, own, seed, resolution, passes):
-    n = len(near)
-    strength = [2 * own[i] + sum(row.values()) for i, row in enumerate(near)]
-    whole = sum(strength)
-    place, total = list(range(n)), list(strength)
-    if whole <= 0:
-        return place
+        links = _summed(np.sort(np.stack([part[links[0]], part[links[1]]], axis=1), axis=1), links[2], merged)
+    return found or [list(range(len(named)))]
+
+
+def _summed(pairs: np.ndarray, weight: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ends (low, high) and summed weight of each undirected pair; a pair of one node is its loop."""
+    key, inverse = np.unique(pairs[:, 0] * max(n, 1) + pairs[:, 1], return_inverse=True)
+    return key // max(n, 1), key % max(n, 1), np.bincount(inverse, weights=weight, minlength=len(key))
+
+
+def _first_seen(labels: np.ndarray) -> np.ndarray:
+    """The labels renumbered from 0 in the order in which they first stand."""
+    _, first, inverse = np.unique(labels, return_index=True, return_inverse=True)
+    number = np.empty(len(first), np.int64)
+    number[np.argsort(first)] = np.arange(len(first))
+    return number[inverse]
+
+
+def _visits(n: int, seed: int) -> list[int]:
+    """A seeded permutation of the nodes: a Fisher-Yates shuffle from the last place down."""
     order, random = list(range(n)), JavaRandom(seed)
-    for i in range(n - 1, 0, -1):
-        j = random.below(i + 1)
-        order[i], order[j] = order[j], order[i]
+    for last in range(n - 1, 0, -1):
+        pick = random.below(last + 1)
+        order[last], order[pick] = order[pick], order[last]
+    return order
+
+
+def _settled(n: int, low: np.ndarray, high: np.ndarray, weight: np.ndarray, seed: int, resolution: float, passes: int) -> np.ndarray:
+    """The community of every node after moves of single nodes, each to where modularity gains most."""
+    strength = np.bincount(low, weights=weight, minlength=n) + np.bincount(high, weights=weight, minlength=n)
+    whole = float(strength.sum())
+    if whole <= 0:
+        return np.arange(n)
+    apart = low != high
+    tail, head = np.r_[low[apart], high[apart]], np.r_[high[apart], low[apart]]
+    by_tail = np.argsort(tail, kind="stable")
+    cut = np.searchsorted(tail[by_tail], np.arange(1, n))
+    neighbours = [x.tolist() for x in np.split(head[by_tail], cut)]
+    pulls = [x.tolist() for x in np.split(np.r_[weight[apart], weight[apart]][by_tail], cut)]
+    home, mass, load = list(range(n)), strength.tolist(), strength.tolist()
+    share = (resolution * strength / whole).tolist()
+    visits = _visits(n, seed)
     for _ in range(passes):
-        changed = False
-        for i in order:
-            c, k = place[i], strength[i]
-            to: dict[int, float] = {}
-            for j, w in near[i].items():
-                to[place[j]] = to.get(place[j], 0.0) + w
-            total[c] -= k
-            best, gain = c, to.get(c, 0.0) - resolution * k * total[c] / whole
-            stay, best_gain = gain, None
-            for d, w in to.items():
-                if d == c:
-                    continue
-                g = w - resolution * k * total[d] / whole
-                if best_gain is None or g > best_gain + EPSILON or abs(g - best_gain) <= EPSILON and d < best:
-                    best, best_gain = d, g
-            if best_gain is None or best_gain <= stay + EPSILON:
-                best = c
-            total[best] += k
-            if best != c:
-                place[i], changed = best, True
-        if not changed:
+        before = home.copy()
+        for node in visits:
+            now = home[node]
+            toward = dict.fromkeys([now], 0.0)
+            for other, pull in zip(neighbours[node], pulls[node], strict=True):
+                c = home[other]
+                toward[c] = toward.get(c, 0.0) + pull
+            load[now] -= mass[node]
+            gain = {c: pull - share[node] * load[c] for c, pull in toward.items()}
+            stay = gain.pop(now)
+            if gain and (best := max(gain.values())) > stay + EPSILON:
+                now = min(c for c, g in gain.items() if g >= best - EPSILON)
+            load[now] += mass[node]
+            home[node] = now
+        if home == before:
             break
-    return place
+    return np.array(home, np.int64)
 
 
-def _parts(near, place):
-    out, count = [-1] * len(near), 0
-    for i in range(len(near)):
-        if out[i] < 0:
-            out[i], stack = count, [i]
-            while stack:
-                for j in near[stack.pop()]:
-                    if out[j] < 0 and place[j] == place[i]:
-                        out[j] = count
-                        stack.append(j)
-            count += 1
-    return out
+def _pieces(home: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """The least node of the connected part of its community that each node lies in."""
+    inside = home[low] == home[high]
+    low, high = low[inside], high[inside]
+    label = np.arange(len(home))
+    while True:
+        least = np.minimum(label[low], label[high])
+        spread = label.copy()
+        np.minimum.at(spread, low, least)
+        np.minimum.at(spread, high, least)
+        np.minimum.at(spread, label[low], least)
+        np.minimum.at(spread, label[high], least)
+        spread = spread[spread]
+        if np.array_equal(spread, label):
+            return label
+        label = spread
 
 
-def _renumbered(place):
-    seen: dict[int, int] = {}
-    return [seen.setdefault(c, len(seen)) for c in place]
+#: A detector: ids and weighted edges of one corpus to the community numbers of the ids at each level, finest first.
+Detector = Callable[[list[str], list[tuple[str, str, float]]], list[list[int]]]
 
 
-def detected(nodes: DataFrame, edges: DataFrame, **options) -> DataFrame:
-    """(corpus_id, level, community, identity) by Louvain in each corpus; moves never leave a corpus, so corpora run in parallel.
+def detected(nodes: DataFrame, edges: DataFrame, detector: Detector | None = None, **options) -> DataFrame:
+    """(corpus_id, level, community, identity) by a detector (Louvain unless given) in each corpus, corpora in parallel.
 
     ``nodes``: (corpus_id, identity, ord); ``edges``: (corpus_id, src_id, tgt_id, weight, ord). The kernel is sequential by
     nature: it holds one corpus's node and edge lists, texts stay behind.
     """
+    find = detector or partial(louvain, **options)
     schema = "corpus_id string, level int, community int, identity string"
 
     def run(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         ids = left.sort_values("ord")["identity"].tolist()
         rows = right.sort_values("ord")
-        found = louvain(ids, list(zip(rows["src_id"], rows["tgt_id"], rows["weight"].astype(float), strict=True)), **options)
+        found = find(ids, list(zip(rows["src_id"], rows["tgt_id"], rows["weight"].astype(float), strict=True)))
         names = list(dict.fromkeys(x for x in ids if x and x.strip()))
         parts = [pd.DataFrame({"corpus_id": key[0], "level": k, "community": c, "identity": names}) for k, c in enumerate(found)]
         return pd.concat(parts) if parts else pd.DataFrame(columns=["corpus_id", "level", "community", "identity"])
@@ -198,7 +212,7 @@ def selected(levels: DataFrame, most: int, start: int = -1) -> DataFrame:
 def numbered(groups: DataFrame, entities: DataFrame, least: int = 1) -> DataFrame:
     """(community_id, community, n, first): groups of ``least`` members and more, numbered by the order of their first member."""
     rows = groups.join(entities.select("identity", "ord"), "identity").groupBy("community").agg(F.countDistinct("identity").alias("n"), F.min("ord").alias("first")).where(F.col("n") >= least)
-    return rows.withColumn("community_id", F.concat(F.lit("community-"), F.row_number().over(Window.orderBy("first")).cast("string")))
+    return ranked_globally(rows, "n_", F.col("first"), F.col("community")).withColumn("community_id", F.concat(F.lit("community-"), F.col("n_").cast("string"))).drop("n_")
 
 
 def capped(rows: DataFrame, group: str, most: int, *order) -> DataFrame:
@@ -232,10 +246,97 @@ def content_hashes(members: DataFrame, edges: DataFrame) -> DataFrame:
     return lines.groupBy("community_id").agg(F.sha2(joined, 256).alias("content_hash"))
 
 
+STATUSES = ("GENERATED", "REUSED", "DETERMINISTIC", "FAILED", "SKIPPED_BUDGET")
+
+
+def summarised(members: DataFrame, edges: DataFrame, stored: DataFrame, model: Model, most: int | None = None, seconds: float | None = None, attributes: tuple[str, ...] = (), parallelism: int = 4) -> DataFrame:
+    """(community_id, title, summary, content_hash, status, error) of every community.
+
+    ``members``: (community_id, identity, name, type, description, attributes, ord); ``stored``: (content_hash, title, summary) of
+    earlier runs. Equal content is REUSED; of the rest the first ``most`` (by their first member) are GENERATED by the model in
+    ``parallelism`` tasks, as long as the run is not older than ``seconds``; where the model fails (FAILED), isn't there
+    (DETERMINISTIC) or the budget is used up (SKIPPED_BUDGET) the deterministic title and summary stand.
+    """
+    listed = capped(members, "community_id", MEMBERS, "ord")
+    strongest = strongest_edges(edges, members.select("community_id", "identity"))
+    hashes = content_hashes(listed, strongest)
+    plain = described(members.select("community_id", "name", "ord"))
+    first = members.groupBy("community_id").agg(F.min("ord").alias("ord"), F.countDistinct("identity").alias("n_members"))
+    plan = planned(hashes.join(first, "community_id"), stored, most)
+    who = listed.groupBy("community_id").agg(F.sort_array(F.collect_list(F.struct("n", "name", "type", F.coalesce("description", F.lit("")).alias("description")))).alias("who"))
+    how = strongest.groupBy("community_id").agg(F.sort_array(F.collect_list(F.struct("n", "source", "type", "target", F.coalesce("description", F.lit("")).alias("description")))).alias("how"))
+    counts = statistics(members, *attributes).groupBy("community_id", "attribute").agg(F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("n"), "value"))).alias("values"))
+    counts = counts.groupBy("community_id").agg(F.collect_list(F.struct("attribute", "values")).alias("counts"))
+    asked = plan.where("status = 'GENERATED'").select("community_id").join(first, "community_id").join(who, "community_id").join(how, "community_id", "left").join(counts, "community_id", "left")
+    end = None if seconds is None else time.time() + seconds
+
+    def run(batches):
+        for pdf in batches:
+            out = []
+            for r in pdf.to_dict("records"):
+                if end is not None and time.time() >= end:
+                    out.append((r["community_id"], None, None, "SKIPPED_BUDGET", None))
+                    continue
+                dicts = lambda x: [] if x is None else [dict(v) for v in x]
+                table = {c["attribute"]: [(v["value"], -v["n"]) for v in c["values"]] for c in dicts(r["counts"])}
+                try:
+                    found = model.summary(dicts(r["who"]), dicts(r["how"]), stats_lines(r["n_members"], len(r["who"]), table))
+                    out.append((r["community_id"], *(found or (None, None)), "GENERATED" if found else "DETERMINISTIC", None))
+                except Exception as e:
+                    out.append((r["community_id"], None, None, "FAILED", str(e)[:300]))
+            yield pd.DataFrame(out, columns=["community_id", "new_title", "new_summary", "outcome", "error"])
+
+    schema = "community_id string, new_title string, new_summary string, outcome string, error string"
+    dealt = asked.repartitionByRange(parallelism, "ord").sortWithinPartitions("ord")
+    new = written(dealt.select("community_id", "n_members", "who", "how", "counts").mapInPandas(run, schema))
+    old = stored.groupBy("content_hash").agg(F.min(F.struct("title", "summary")).alias("old"))
+    rows = plan.join(plain, "community_id").join(new, "community_id", "left").join(old, "content_hash", "left")
+    status = F.coalesce("outcome", "status")
+    pick = lambda c: F.when(status == "REUSED", F.col(f"old.{c}")).when(status == "GENERATED", F.col(f"new_{c}")).otherwise(F.col(c)).alias(c)
+    return rows.select("community_id", pick("title"), pick("summary"), "content_hash", status.alias("status"), "error")
+
+
+def outcome(summaries: DataFrame) -> DataFrame:
+    """One row: the number of summaries of each status and the outcome of the run (COMPLETE, PARTIAL or EMPTY)."""
+    counts = [F.count_if(F.col("status") == s).alias(s.lower()) for s in STATUSES]
+    rows = summaries.agg(F.count("*").alias("communities"), *counts)
+    done = F.when(F.col("communities") == 0, "EMPTY").when(F.col("failed") + F.col("skipped_budget") > 0, "PARTIAL").otherwise("COMPLETE")
+    return rows.withColumn("outcome", done)
+
+
+def recomputed(store, corpus: str, model: Model, least: int = LEAST, detector: Detector | None = None, progress: Callable[[str, dict], None] | None = None, **budget) -> dict:
+    """Find and summarise the communities of a stored corpus anew, with summaries of equal content kept, and store them.
+
+    ``progress`` is told of each community and of the outcome.
+    """
+    kept = written(store.table("communities", corpus).select(F.col("attributes")["contentHash"].alias("content_hash"), "title", "summary").where("content_hash is not null"))
+    entities, edges = store.table("entities", corpus), store.table("relationships", corpus)
+    levels = detected(entities.select("corpus_id", "identity", "ord"), edges, detector)
+    top = levels.groupBy("corpus_id").agg(F.max("level").alias("level"))
+    groups = written(levels.join(top, ["corpus_id", "level"]).select("identity", "community"))
+    named = written(numbered(groups, entities, least).select("community_id", "community", "first"))
+    members = groups.join(named, "community").join(entities, "identity").select("community_id", "identity", "name", "type", "description", "attributes", "ord")
+    members = written(members)
+    found = written(summarised(members, edges, kept, model, **budget))
+    store.delete_communities(corpus)
+    here = F.lit(corpus).alias("corpus_id")
+    store.upsert("communities", found.join(named, "community_id").select(here, "community_id", "title", "summary", F.create_map(F.lit("contentHash"), F.col("content_hash")).alias("attributes"), F.col("first").alias("ord")))
+    store.put_memberships(members.select(here, "community_id", "identity", "ord"))
+    result = outcome(found).first().asDict()
+    if progress is not None:
+        for r in found.orderBy("community_id").toLocalIterator():
+            progress("community-detected", {"community": r["community_id"], "title": r["title"], "status": r["status"]})
+        progress("ingestion-complete", result)
+    return result
+
+
 def planned(communities: DataFrame, stored: DataFrame, most: int | None = None) -> DataFrame:
     """(community_id, content_hash, status): REUSED where the hash is stored, GENERATED for the first ``most`` others, then SKIPPED_BUDGET."""
     known = stored.select("content_hash", F.lit(True).alias("known")).distinct()
     rows = communities.join(known, "content_hash", "left").withColumn("known", F.coalesce("known", F.lit(False)))
-    n = F.row_number().over(Window.partitionBy("known").orderBy("ord"))
-    status = F.when(F.col("known"), "REUSED").when(n <= (most if most is not None else 1 << 30), "GENERATED").otherwise("SKIPPED_BUDGET")
+    status = F.when(F.col("known"), "REUSED").otherwise("GENERATED")
+    if most is not None:  # the budget is the limit of a top-n
+        first = rows.where("not known").orderBy("ord", "community_id").limit(most).select("community_id", F.lit(True).alias("first"))
+        rows = rows.join(first, "community_id", "left")
+        status = F.when(F.col("known"), "REUSED").when(F.col("first"), "GENERATED").otherwise("SKIPPED_BUDGET")
     return rows.withColumn("status", status).select("community_id", "content_hash", "status")

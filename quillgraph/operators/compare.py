@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import time
 from collections.abc import Callable
 
@@ -9,7 +10,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillgraph.functions import text as tx
+from quillgraph.operators.tables import ranked_globally, written
 
+LISTS = 16
 CONTEXT_KINDS = ("ENTITY", "RELATIONSHIP", "COMMUNITY", "TEXT_UNIT")
 #: Uses of a passage by a method, strongest last.
 USES = ("NOT_RETRIEVED", "RANKED_BELOW_CUTOFF", "IN_CONTEXT", "CITED")
@@ -18,29 +21,47 @@ USES = ("NOT_RETRIEVED", "RANKED_BELOW_CUTOFF", "IN_CONTEXT", "CITED")
 def contained(chunks: DataFrame, units: DataFrame) -> DataFrame:
     """(q_id, chunk_id, unit_id): chunks whose text stands in a unit's text, white space collapsed, in the same document.
 
-    Equi-join on the document first; chunks without a document are compared with all units of their question's context
-    through the question. ``chunks``: (q_id, chunk_id, document, text); ``units``: (q_id, unit_id, document, text).
+    The distinct texts of a document's chunks meet its units once, as a list, so a unit's text is not copied for each of them.
+    Chunks without a document are compared with all units of their question's context. ``chunks``: (q_id, chunk_id, document,
+    text); ``units``: (q_id, unit_id, document, text).
     """
     c = chunks.select("q_id", "chunk_id", F.coalesce("document", F.lit("")).alias("document"), tx.collapsed(F.col("text")).alias("said")).where("said <> ''")
     u = units.select("q_id", "unit_id", F.coalesce("document", F.lit("")).alias("document"), tx.collapsed(F.col("text")).alias("whole"))
-    inside = F.contains(F.col("whole"), F.col("said"))
-    same = c.where("document <> ''").join(u, ["q_id", "document"]).where(inside)
-    any_ = c.where("document = ''").drop("document").join(u.drop("document"), "q_id").where(inside)
-    return same.select("q_id", "chunk_id", "unit_id").unionByName(any_.select("q_id", "chunk_id", "unit_id"))
+    out = None
+    for some, units_, on in ((c.where("document <> ''"), u, ["q_id", "document"]), (c.where("document = ''").drop("document"), u.drop("document"), ["q_id"])):
+        # lists are cut by a hash, so that of a document with very many chunks stays bounded
+        parts = some.select(*on, "said").distinct().withColumn("part", F.pmod(F.xxhash64("said"), F.lit(LISTS))).groupBy(*on, "part").agg(F.collect_list("said").alias("list"))
+        found = parts.join(units_, on).select(*on, "unit_id", F.explode(F.filter("list", lambda x: F.contains(F.col("whole"), x))).alias("said"))
+        hit = found.join(some, [*on, "said"]).select("q_id", "chunk_id", "unit_id")
+        out = hit if out is None else out.unionByName(hit)
+    return out
+
 
+#: Sentences of the verdict by what is compared and how it comes out.
+VERDICTS = {
+    "documents": {"tie": "Both sides retrieved passages from the same number of distinct documents ({a}).", "graph": "GraphRAG ({mode}) retrieved passages from more distinct documents ({a} vs {b}).", "vector": "Vector Search retrieved passages from more distinct documents ({b} vs {a})."},
+    "items": {"tie": "Both sides retrieved the same number of context items ({a}).", "graph": "GraphRAG ({mode}) retrieved more context items ({a} vs {b}).", "vector": "Vector Search retrieved more context items ({b} vs {a})."},
+    "overlap": {"none": "Vector Search retrieved no passages to compare.", "one": "{b} of the {a} passages Vector Search retrieved was also read by GraphRAG.", "many": "{b} of the {a} passages Vector Search retrieved were also read by GraphRAG."},
+}
 
-def verdict(mode: Column, graph_docs: Column, vector_docs: Column, graph_items: Column, vector_items: Column, passages: Column, shared: Column) -> Column:
-    """Three sentences: documents, items, overlap."""
-    name = F.concat(F.lit("GraphRAG ("), mode, F.lit(")"))
-    num = lambda c: c.cast("string")
 
-    def compare(a: Column, b: Column, more: str, same: str) -> Column:
-        winner = F.when(a > b, name).otherwise("Vector Search")
-        return F.when(a == b, F.concat(F.lit(f"Both sides retrieved {same} ("), num(a), F.lit(")."))).otherwise(F.concat(winner, F.lit(f" retrieved {more} ("), num(F.greatest(a, b)), F.lit(" vs "), num(F.least(a, b)), F.lit(").")))
+def _filled(template: str, **slots: Column) -> Column:
+    pieces = re.split(r"(\{\w+\})", template)
+    return F.concat(*[slots[x[1:-1]].cast("string") if x.startswith("{") else F.lit(x) for x in pieces if x])
 
-    overlap = F.when(passages == 0, "Vector Search retrieved no passages to compare.").otherwise(F.concat(num(shared), F.lit(" of the "), num(passages), F.lit(" passages Vector Search retrieved "), F.when(shared == 1, "was").otherwise("were"), F.lit(" also read by GraphRAG.")))
-    documents = compare(graph_docs, vector_docs, "passages from more distinct documents", "passages from the same number of distinct documents")
-    return F.concat_ws(" ", documents, compare(graph_items, vector_items, "more context items", "the same number of context items"), overlap)
+
+def verdict(facts: dict[str, Column]) -> Column:
+    """Three sentences from the columns mode, documents and items of both sides (a pair each), passages and shared."""
+    said = []
+    for what in ("documents", "items"):
+        a, b = facts[what]
+        outcome = F.element_at(F.array(*[F.lit(x) for x in ("vector", "tie", "graph")]), (F.signum(a - b) + 2).cast("int"))
+        table = F.create_map(*[x for how, text in VERDICTS[what].items() for x in (F.lit(how), _filled(text, a=a, b=b, mode=facts["mode"]))])
+        said.append(table[outcome])
+    passages, shared = facts["passages"], facts["shared"]
+    outcome = F.when(passages == 0, "none").when(shared == 1, "one").otherwise("many")
+    said.append(F.create_map(*[x for how, text in VERDICTS["overlap"].items() for x in (F.lit(how), _filled(text, a=passages, b=shared))])[outcome])
+    return F.array_join(F.array(*said), " ")
 
 
 def evidence(uses: DataFrame, answered: DataFrame) -> DataFrame:
@@ -56,7 +77,7 @@ def evidence(uses: DataFrame, answered: DataFrame) -> DataFrame:
         F.count_if(F.col("level") == 3).alias("in_context_of"),
         F.min("at").alias("first"),
     )
-    return rows.withColumn("n", F.row_number().over(Window.orderBy(F.desc("cited_by"), "in_context_of", "first", "passage")))
+    return ranked_globally(rows, "n", F.desc("cited_by"), F.col("in_context_of").asc(), F.col("first").asc(), F.col("passage").asc())
 
 
 def summary(runs: list[dict], cited: int, by_all: int, by_one: int) -> str:
@@ -86,8 +107,8 @@ def compare_all(methods: dict[str, Callable[[], DataFrame]]) -> list[dict]:
     for name, run in methods.items():
         begun = time.perf_counter()
         try:
-            rows = run().collect()
-            outcome = {"outcome": "ANSWERED" if rows else "NO_ANSWER", "rows": rows}
+            rows = written(run())  # the rows stay in the shared folder
+            outcome = {"outcome": "NO_ANSWER" if rows.isEmpty() else "ANSWERED", "rows": rows}
         except Exception as e:
             outcome = {"outcome": "FAILED", "error": str(e)[:500]}
         out.append({"method": name, "ms": round(1000 * (time.perf_counter() - begun)), **outcome})
@@ -128,3 +149,82 @@ def modes(steps: DataFrame) -> DataFrame:
     has = lambda k: F.max(F.col("kind") == k)
     mode = F.when(has("SUB_QUESTION_SPAWNED"), "DRIFT").when(has("VECTOR_QUERY_EMBEDDED") | has("VECTOR_CHUNK"), "VECTOR").when(has("COMMUNITY"), "GLOBAL").otherwise("LOCAL")
     return steps.groupBy("trace_id").agg(mode.alias("mode"))
+
+
+# -- one graph mode against vector search ----------------------------------------------------------------------------------
+
+
+def context_stats(items: DataFrame) -> DataFrame:
+    """(q_id, items, documents): distinct context items by kind and identifier, and distinct documents of the passages.
+
+    ``items``: (q_id, kind, identifier, document); only entities, relationships, communities and units are context.
+    """
+    own = items.where(F.col("kind").isin(*CONTEXT_KINDS)).select("q_id", "kind", "identifier", "document").distinct()
+    document = F.when(F.col("kind") == "TEXT_UNIT", F.nullif(F.trim("document"), F.lit("")))
+    return own.groupBy("q_id").agg(F.countDistinct("kind", "identifier").alias("items"), F.countDistinct(document).alias("documents"))
+
+
+def compared(questions: DataFrame, context: DataFrame, ranking: DataFrame, chunks: DataFrame, units: DataFrame, cited: DataFrame | None = None, mode: str = "LOCAL") -> tuple[DataFrame, DataFrame]:
+    """(comparison, passages) of a graph context with the used chunks of a vector ranking.
+
+    ``context``: (q_id, kind, identifier, label); ``ranking``: (q_id, chunk_id, rank, used); ``chunks``: (id, document_name, text);
+    ``units``: (id, document_name, text); ``cited``: (q_id, unit_id). A passage is shared if one of the context's units holds its
+    text; ``cited`` in the result says whether a citation of the answer lies in such a unit.
+    """
+    read = context.where("kind = 'TEXT_UNIT'").select("q_id", F.col("identifier").alias("id")).join(units.select("id", "document_name", "text"), "id").select("q_id", F.col("id").alias("unit_id"), F.col("document_name").alias("document"), "text")
+    used = ranking.where("used").select("q_id", "chunk_id", "rank").join(chunks.select(F.col("id").alias("chunk_id"), F.col("document_name").alias("document"), "text"), "chunk_id")
+    inside = contained(used.select("q_id", "chunk_id", "document", "text"), read)
+    marks = inside.join(cited.select("q_id", "unit_id").distinct().withColumn("c_", F.lit(True)), ["q_id", "unit_id"], "left") if cited is not None else inside.withColumn("c_", F.lit(False))
+    marks = marks.groupBy("q_id", "chunk_id").agg(F.lit(True).alias("shared"), F.max(F.coalesce("c_", F.lit(False))).alias("cited"))
+    passages = used.join(marks, ["q_id", "chunk_id"], "left").select("q_id", "chunk_id", "rank", "document", F.coalesce("shared", F.lit(False)).alias("shared"), F.coalesce("cited", F.lit(False)).alias("cited"))
+    graph_side = context_stats(context.select("q_id", "kind", "identifier", F.col("label").alias("document"))).withColumnsRenamed({"items": "graph_items", "documents": "graph_documents"})
+    vector_side = passages.groupBy("q_id").agg(F.countDistinct(F.nullif(F.trim("document"), F.lit(""))).alias("vector_documents"), F.count("*").alias("passages"), F.count_if("shared").alias("shared"))
+    rows = questions.select("q_id").join(graph_side, "q_id", "left").join(vector_side, "q_id", "left").na.fill(0)
+    c = F.col
+    facts = {"mode": F.lit(mode), "documents": (c("graph_documents"), c("vector_documents")), "items": (c("graph_items"), c("passages")), "passages": c("passages"), "shared": c("shared")}
+    return rows.withColumn("verdict", verdict(facts)), passages
+
+
+def uses_of(method: str, passages: DataFrame, in_context: DataFrame | None = None, cited: DataFrame | None = None) -> DataFrame:
+    """(passage, method, use, citation, rank, at) of one method for ``evidence``: what it ranked (passage, rank), had in its context
+    (passage) and cited (passage, citation)."""
+    use = lambda rows, name, citation=None: rows.select("passage", F.lit(method).alias("method"), F.lit(name).alias("use"), (citation if citation is not None else F.lit(None)).cast("int").alias("citation"), (F.col("rank") if "rank" in rows.columns else F.lit(None)).cast("int").alias("rank"), F.coalesce(F.col("rank") if "rank" in rows.columns else F.lit(None), F.lit(0)).cast("long").alias("at"))
+    out = use(passages, "RANKED_BELOW_CUTOFF")
+    if in_context is not None:
+        out = out.unionByName(use(in_context, "IN_CONTEXT"))
+    return out if cited is None else out.unionByName(use(cited, "CITED", F.col("citation")))
+
+
+def as_units(uses: DataFrame, inside: DataFrame) -> DataFrame:
+    """Uses of chunks told as uses of the units that hold them (chunk_id, unit_id); chunks in no unit stand for themselves."""
+    first = inside.groupBy("chunk_id").agg(F.min("unit_id").alias("unit_id"))
+    return uses.join(first, F.col("passage") == F.col("chunk_id"), "left").withColumn("passage", F.coalesce("unit_id", "passage")).drop("chunk_id", "unit_id")
+
+
+class Clock:
+    """Times of a run's stages: model and embedding calls are measured, retrieval is the rest."""
+
+    def __init__(self):
+        self.begun = time.perf_counter()
+        self.seconds, self.calls = {"embedding": 0.0, "llm": 0.0}, {"embedding": 0, "llm": 0}
+
+    def timed(self, stage: str, call: Callable) -> Callable:
+        def run(*args, **more):
+            begun = time.perf_counter()
+            try:
+                return call(*args, **more)
+            finally:
+                self.seconds[stage] += time.perf_counter() - begun
+                self.calls[stage] += 1
+
+        return run
+
+    def timing(self) -> dict[str, int]:
+        whole = time.perf_counter() - self.begun
+        ms = lambda s: max(0, round(1000 * s))
+        return {"total_ms": ms(whole), "retrieval_ms": ms(whole - sum(self.seconds.values())), "embedding_ms": ms(self.seconds["embedding"]), "embedding_calls": self.calls["embedding"], "llm_ms": ms(self.seconds["llm"]), "llm_calls": self.calls["llm"]}
+
+
+def log_lines(runs: DataFrame) -> DataFrame:
+    """(line): one JSON object a comparison run, keys in the order of its columns; written with ``write.text``."""
+    return runs.select(F.to_json(F.struct(*runs.columns), {"ignoreNullFields": "false"}).alias("line"))

@@ -179,6 +179,35 @@ def greedy(edges: list[dict], included: list[str], counts: dict, budget: Budget)
     return out
 
 
+def frontier_of(items: DataFrame) -> DataFrame:
+    """(q_id, identity) of all nodes that are included."""
+    return items.where("kind <> 'RELATIONSHIP'").select("q_id", F.col("identifier").alias("identity")).distinct()
+
+
+def _ordered(found: DataFrame, known: DataFrame, budget: Budget) -> DataFrame:
+    """Candidate edges of each question with their ``place`` in the budget's order.
+
+    Unless fresh ends can make the pass skip edges, it takes no more than the smallest limit on relationships (each key once),
+    so of a hot frontier only so many distinct keys go to the pass.
+    """
+    order = [F.col("ord").asc()]
+    if budget.columns:
+        order = [*budget.columns, *order]
+    elif budget.order == "NEW_NODES_FIRST":
+        ends = found.select("q_id", "ord", F.explode(F.array_distinct(F.array("src_id", "tgt_id"))).alias("identity")).join(known, ["q_id", "identity"], "left_anti")
+        fresh = ends.groupBy("q_id", "ord").agg(F.count("*").alias("fresh"))
+        found = found.join(fresh, ["q_id", "ord"], "left")
+        order = [F.desc(F.coalesce("fresh", F.lit(0))), *order]
+    elif budget.order in ("WEIGHT_DESC", "WEIGHT_ASC"):
+        order = [F.desc("weight") if budget.order == "WEIGHT_DESC" else F.asc("weight"), *order]
+    rows = found.withColumn("place", F.row_number().over(Window.partitionBy("q_id").orderBy(*order)))
+    limits = [x for x in (budget.relationships, budget.per_hop, budget.items) if x is not None]
+    if budget.hops == 1 and budget.new_nodes is None and limits:
+        rows = rows.withColumn("again", F.row_number().over(Window.partitionBy("q_id", "src_id", "type", "tgt_id").orderBy("place"))).where("again = 1")
+        rows = rows.withColumn("nth", F.row_number().over(Window.partitionBy("q_id").orderBy("place"))).where(F.col("nth") <= min(limits))
+    return rows.select("q_id", "src_id", "type", "tgt_id", "weight", "ord", "place")
+
+
 def expand(seeds: DataFrame, edges: DataFrame, budget: Budget = Budget()) -> DataFrame:
     """(q_id, kind, identifier, score, hop, pos) of a bounded breadth-first expansion from ranked seeds (q_id, identity, score, rank).
 
@@ -191,7 +220,7 @@ def expand(seeds: DataFrame, edges: DataFrame, budget: Budget = Budget()) -> Dat
     usable = accepted(edges, budget.include, budget.exclude, budget.least_weight)
     frontier = items.select("q_id", F.col("identifier").alias("identity"))
     for hop in range(1, budget.hops + 1):
-        found = from_frontier(usable, frontier, budget.direction).select("q_id", "src_id", "type", "tgt_id", "weight", "ord")
+        found = _ordered(from_frontier(usable, frontier, budget.direction), frontier_of(items), budget)
         state = items.groupBy("q_id").agg(F.array_sort(F.collect_list(F.struct("hop", "pos", "kind", "identifier"))).alias("state"))
 
         def step(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -200,14 +229,7 @@ def expand(seeds: DataFrame, edges: DataFrame, budget: Budget = Budget()) -> Dat
             edge_keys = [x[3] for x in state if x[2] == "RELATIONSHIP"]
             counts = {"keys": edge_keys, "relationships": len(edge_keys), "items": sum(x[2] != "NODE" for x in state)}
             rows = pdf.drop(columns="state")
-            if budget.order == "NEW_NODES_FIRST":
-                known = set(nodes)
-                rows = rows.assign(o=[-((a not in known) + (b not in known)) for a, b in zip(rows["src_id"], rows["tgt_id"], strict=True)])
-            elif budget.order in ("WEIGHT_DESC", "WEIGHT_ASC"):
-                rows = rows.assign(o=rows["weight"] * (-1 if budget.order == "WEIGHT_DESC" else 1))
-            else:
-                rows = rows.assign(o=0)
-            rows = rows.sort_values(["o", "ord"], kind="stable")
+            rows = rows.sort_values("place")
             taken = greedy(rows.to_dict("records"), nodes, counts, budget)
             return pd.DataFrame([(pdf["q_id"].iloc[0], k, i, s, 0, n) for n, (k, i, s) in enumerate(taken, 1)], columns=["q_id", "kind", "identifier", "score", "hop", "pos"])
 
@@ -229,3 +251,25 @@ def one_hop(seeds: DataFrame, edges: DataFrame, scored) -> DataFrame:
 
 def keyed(edges: DataFrame) -> DataFrame:
     return edges.withColumn("edge_key", maps.edge_key(F.col("src_id"), F.col("type"), F.col("tgt_id")))
+
+
+def with_prefix(entities: DataFrame, prefix: str) -> DataFrame:
+    """Entities whose name starts with ``prefix``, in any case."""
+    return entities.where(F.startswith(F.lower("name"), F.lit(prefix.strip().lower())))
+
+
+def citing(entities: DataFrame, units: DataFrame) -> DataFrame:
+    """(unit_id, identity): the entities that cite each of ``units`` (id)."""
+    cited = entities.select("identity", F.explode("unit_ids").alias("unit_id")).distinct()
+    return cited.join(units.select(F.col("id").alias("unit_id")).distinct(), "unit_id", "left_semi").select("unit_id", "identity")
+
+
+def payload(entities: DataFrame, edges: DataFrame, communities: DataFrame, memberships: DataFrame, units: DataFrame) -> DataFrame:
+    """(kind, id, data): the rows of a graph view as JSON: entities with the documents of their units, edges, and communities with
+    their members in stored order."""
+    named = mentions(entities, units).join(units.select(F.col("id").alias("unit_id"), "document_name"), "unit_id").groupBy("identity").agg(F.array_sort(F.collect_set("document_name")).alias("sources"))
+    nodes = entities.join(named, "identity", "left").select(F.lit("entity").alias("kind"), F.col("identity").alias("id"), F.to_json(F.struct("name", "type", F.coalesce("description", F.lit("")).alias("description"), F.coalesce("sources", F.array().cast("array<string>")).alias("sources"))).alias("data"))
+    links = keyed(edges).select(F.lit("relationship").alias("kind"), F.col("edge_key").alias("id"), F.to_json(F.struct(F.col("src_id").alias("source"), F.col("tgt_id").alias("target"), "type", "weight")).alias("data"))
+    lists = memberships.groupBy("community_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "identity"))), lambda x: x["identity"]).alias("members"))
+    groups = communities.join(lists, "community_id", "left").select(F.lit("community").alias("kind"), F.col("community_id").alias("id"), F.to_json(F.struct("title", "summary", F.coalesce("members", F.array().cast("array<string>")).alias("members"))).alias("data"))
+    return nodes.unionByName(links).unionByName(groups)

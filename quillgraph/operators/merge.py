@@ -2,17 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillgraph.functions import maps
 from quillgraph.functions import text as tx
 from quillgraph.operators import graph
+from quillgraph.operators.tables import ranked_globally
 
 DESCRIPTION = 1000
 HINTS = 50
@@ -57,24 +55,6 @@ def extracted_edges(units: DataFrame) -> DataFrame:
     return rows.select("unit_id", "ord", "pos", F.element_at("names", 1).alias("source"), kind.alias("type"), F.element_at("names", -1).alias("target"), F.col("sentence").alias("description"))
 
 
-def with_model(units: DataFrame, extract: Callable[[str], list[dict]], isolate: bool = True) -> DataFrame:
-    """Rows of a model's extraction: (unit_id, record, error); a failing unit stops the run unless ``isolate``."""
-
-    def run(batches):
-        for pdf in batches:
-            out = []
-            for uid, text in zip(pdf["id"], pdf["text"], strict=True):
-                try:
-                    out += [(uid, str(r), None) for r in extract(text)]
-                except Exception as e:
-                    if not isolate:
-                        raise
-                    out.append((uid, None, str(e)))
-            yield pd.DataFrame(out, columns=["unit_id", "record", "error"])
-
-    return units.select("id", "text").mapInPandas(run, "unit_id string, record string, error string")
-
-
 # -- resolution and merges ------------------------------------------------------------------------------------------------
 
 
@@ -182,8 +162,11 @@ def merge_relationships(rows: DataFrame, weight: str = "units") -> DataFrame:
     """
     key = ["src_id", "kind", "tgt_id"]
     rows = rows.withColumn("kind", F.lower("type"))
+    if weight != "sum":  # distinct units are counted by key and unit first, so a hot relationship is no long list
+        cited = rows.select(*key, F.explode("unit_ids").alias("unit")).distinct().groupBy(*key).agg(F.count("*").alias("units_"))
+        rows = rows.join(cited, key, "left")
     first = [F.min_by(c, "at").alias(c) for c in ("type", "source", "source_type", "target", "target_type", "description")]
-    total = F.greatest(F.sum("weight"), F.lit(1)) if weight == "sum" else F.when(F.count("*") == 1, F.max("weight")).otherwise(F.greatest(F.size(F.array_distinct(F.flatten(F.collect_list("unit_ids")))), F.lit(1)))
+    total = F.greatest(F.sum("weight"), F.lit(1)) if weight == "sum" else F.when(F.count("*") == 1, F.max("weight")).otherwise(F.greatest(F.coalesce(F.max("units_"), F.lit(1)), F.lit(1)))
     return rows.groupBy(*key).agg(*first, total.cast("long").alias("weight"), F.min("at").alias("ord")).drop("kind")
 
 
@@ -198,9 +181,8 @@ def import_graph(entities: DataFrame, edges: DataFrame, stored: DataFrame | None
     if policy == "DROP":
         return entities, graph.complete_edges(edges, missing)
     if policy == "CREATE":
-        last = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("at"))
-        most = entities.agg(F.coalesce(F.max("ord"), F.lit(-1)).alias("most"))
-        stubs = missing.withColumn("n", last).crossJoin(F.broadcast(most))
+        most = entities.agg(F.coalesce(F.max("ord"), F.lit(-1)).alias("most"))  # one row
+        stubs = ranked_globally(missing, "n", F.col("at"), F.col("identity")).crossJoin(F.broadcast(most))
         entities = entities.unionByName(stubs.select("identity", "name", "type", (F.col("most") + F.col("n")).alias("ord")), allowMissingColumns=True)
     return entities, edges
 

@@ -1,16 +1,19 @@
 """Seed matchers: which entities a batch of questions starts from, and how rankings are fused.
 
-Every matcher returns (q_id, identity, score, ord, rank). Questions are a bounded batch; entities are the large side and are
-read once. A matcher scores only pairs that share a token, through an inverted list, unless asked for fuzzy matches.
+Every matcher returns (q_id, identity, score, ord, rank). Questions come in blocks of at most ``QUESTION_ROWS``, each broadcast
+to one pass over the entities: a stated query set against all rows, of which each task keeps only its best.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillgraph.functions import text as tx
 from quillgraph.functions import vectors as vx
+from quillgraph.operators.tables import written
 
 QUESTION_ROWS = 10_000
 RRF_K = 60
@@ -18,9 +21,18 @@ RRF_K = 60
 EXACT, SUFFIX, CASE_BONUS, SEGMENT, PREFIX, PACKAGE, FUZZY, PARTS, WORD, MOST_WORDS, LEAST = 100, 90, 5, 50, 30, 3, 40, 25, 6, 24, 6
 
 
-def _batch(questions: DataFrame) -> DataFrame:
-    """A query batch is meant to be small; only a checked one is broadcast."""
-    return F.broadcast(questions) if questions.limit(QUESTION_ROWS + 1).count() <= QUESTION_ROWS else questions
+def _blocks(questions: DataFrame) -> list[DataFrame]:
+    """The questions in blocks that are small enough to be broadcast."""
+    n = questions.count()
+    if n <= QUESTION_ROWS:
+        return [F.broadcast(questions)]
+    dealt, blocks = written(questions), -(-2 * n // QUESTION_ROWS)
+    return [F.broadcast(dealt.where(F.pmod(F.xxhash64("q_id"), F.lit(blocks)) == k)) for k in range(blocks)]
+
+
+def _against(candidates: DataFrame, questions: DataFrame) -> DataFrame:
+    """Every candidate with every question, block by block."""
+    return reduce(DataFrame.unionByName, [candidates.crossJoin(block) for block in _blocks(questions)])
 
 
 def ranking(scored: DataFrame, limit: int | None = None) -> DataFrame:
@@ -31,7 +43,7 @@ def ranking(scored: DataFrame, limit: int | None = None) -> DataFrame:
 def keyword_scores(questions: DataFrame, candidates: DataFrame, text: Column) -> DataFrame:
     """(q_id, candidate columns, score) with score > 0; a stated batch of questions against all candidates."""
     asked = questions.select("q_id", tx.tokens(F.col("question")).alias("query_tokens"))
-    pairs = candidates.withColumn("_text", text).withColumn("_words", tx.tokens(text)).crossJoin(_batch(asked))
+    pairs = _against(candidates.withColumn("_text", text).withColumn("_words", tx.tokens(text)), asked)
     score = F.aggregate("query_tokens", F.lit(0), lambda s, t: s + tx.token_score(t, F.col("_text"), F.col("_words")))
     return pairs.withColumn("score", score).where("score > 0").drop("_text", "_words", "query_tokens")
 
@@ -43,7 +55,7 @@ def keyword_matches(questions: DataFrame, entities: DataFrame, limit: int | None
 
 def semantic_matches(questions: DataFrame, vectors: DataFrame, limit: int = 3) -> DataFrame:
     """Nearest entities by cosine; the score is 1 / rank. ``questions``: (q_id, vector); ``vectors``: (identity, embedding, ord)."""
-    pairs = vectors.crossJoin(_batch(questions.select("q_id", "vector")))
+    pairs = _against(vectors, questions.select("q_id", "vector"))
     near = ranking(pairs.select("q_id", "identity", vx.cosine(F.col("embedding"), F.col("vector")).alias("score"), "ord"), limit)
     return near.withColumn("score", 1.0 / F.col("rank"))
 
@@ -89,10 +101,16 @@ def identifier_score(token: Column, forms: dict[str, Column] | None = None) -> C
     )
 
 
+def _words_outside_code(question: Column) -> Column:
+    """The distinct plain words of the tokens that aren't code-like; parts of a code name are no words of the question."""
+    plain = F.filter(tx.identifiers(question), lambda t: ~tx.is_code_like(t))
+    return tx.plain_words(F.array_join(plain, " "))
+
+
 def identifier_matches(questions: DataFrame, forms: DataFrame, limit: int | None = 3) -> DataFrame:
     """Entities whose names match code-like tokens and plain words of each question, score 6 and more."""
-    asked = questions.select("q_id", F.filter(tx.identifiers(F.col("question")), lambda t: tx.is_code_like(t)).alias("code"), tx.plain_words(F.col("question")).alias("words"))
-    pairs = forms.crossJoin(_batch(asked))
+    asked = questions.select("q_id", F.filter(tx.identifiers(F.col("question")), lambda t: tx.is_code_like(t)).alias("code"), _words_outside_code(F.col("question")).alias("words"))
+    pairs = _against(forms, asked)
     best = F.aggregate(F.transform("code", lambda t: identifier_score(t)), F.lit(0.0), lambda a, s: F.greatest(a, s))
     stem = lambda w: F.regexp_replace(w, "(?<=...)s$", "")
     stems = F.transform("parts", lambda p: stem(p))

@@ -2,19 +2,27 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+def steady(spark: SparkSession) -> SparkSession:
+    """Turn off a rule of Spark 4.1 that gives wrong groups.
+
+    There a union keeps the partitioning that its children have in common, and an aggregate or window over it needs no shuffle;
+    but where adaptive execution merges the children's partitions in different ways, a group stands in two of them and comes twice.
+    """
+    spark.conf.set("spark.sql.unionOutputPartitioning", "false")
+    return spark
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder path under ``spark.checkpoint.dir``; a temporary folder only where that is unset (tests)."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    """A new folder path under ``spark.checkpoint.dir``, which every executor must see; without it there is no safe place."""
+    root = steady(spark).conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = getattr(spark, "_quillgraph_tmp", None) or tempfile.mkdtemp(prefix="quillgraph-")
-        spark._quillgraph_tmp = root
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return f"{root.rstrip('/')}/quillgraph-{uuid.uuid4().hex}"
 
 
@@ -41,15 +49,30 @@ def small(ids: DataFrame, rows: int = 2_000_000) -> DataFrame:
     return F.broadcast(ids) if ids.count() <= rows else ids
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def ranked_globally(rows: DataFrame, name: str, *order: Column) -> DataFrame:
+    """``rows`` with the running number (from 1) of each in the order of the whole table.
+
+    Rows are range-partitioned, numbered in their partition and shifted by the counts of the partitions before it, so no
+    task sees the whole table.
+    """
+    part, here, ahead = f"{name}_part", f"{name}_here", f"{name}_ahead"
+    dealt = written(rows.repartitionByRange(*order).withColumn(part, F.spark_partition_id()))
+    counts = dealt.groupBy(part).agg(F.count("*").alias(here))
+    before = counts.select(part, (F.sum(here).over(Window.orderBy(part)) - F.col(here)).alias(ahead))  # one row a partition
+    within = F.row_number().over(Window.partitionBy(part).orderBy(*order))
+    return dealt.join(F.broadcast(before), part).withColumn(name, F.col(ahead) + within).drop(part, ahead)
+
+
+def components(edges: DataFrame) -> DataFrame:
     """Connected components of undirected ``edges`` (a, b) as (node, component), component the smallest node reachable.
 
     Alternates large-star and small-star steps until the edge set stops changing. Every step is an aggregate and a
-    join; no edge or label reaches the driver, only a row count and a checksum per round.
+    join; no edge or label reaches the driver, only a row count and a checksum per round. Rounds grow with the logarithm of
+    the longest path, so there is no limit to them.
     """
     edges = written(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
     before = None
-    for _ in range(rounds):
+    while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -64,7 +87,5 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         if tuple(now) == before:
             break
         before = tuple(now)
-    else:
-        raise RuntimeError("components did not settle")
     leaves = edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return leaves.unionByName(leaves.select(F.col("component").alias("node"), "component").distinct())

@@ -16,6 +16,7 @@ SCHEMAS = {
     "community_embeddings": "corpus_id string, community_id string, embedding array<float>",
     "corpora": "corpus_id string, name string, document_names array<string>, status string, created_at timestamp, last_activated_at timestamp",
     "trace_steps": f"trace_id string, step_no int, kind string, identifier string, label string, locator {LOCATOR}, attributes map<string,string>, corpus_id string",
+    "trace_uses": "corpus_id string, trace_id string, used_at long",
     "progress_events": "corpus_id string, seq long, type string, data string",
 }
 #: The columns that identify a row within its corpus.
@@ -32,5 +33,6 @@ KEYS = {
     "community_embeddings": ["community_id"],
     "corpora": [],
     "trace_steps": ["trace_id", "step_no"],
+    "trace_uses": ["trace_id"],
     "progress_events": ["seq"],
 }

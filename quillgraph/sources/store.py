@@ -7,13 +7,14 @@ Reads are DataFrames with the partition filter pushed to the scan.
 
 from __future__ import annotations
 
+import time
 from collections import OrderedDict
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillgraph.functions import maps
-from quillgraph.operators.tables import forget, written
+from quillgraph.operators.tables import forget, steady, written
 from quillgraph.sources.schemas import KEYS, SCHEMAS
 
 EVENTS, TRACES = 5000, 500
@@ -22,7 +23,7 @@ TERMINAL = ("ingestion-complete", "error")
 
 class Store:
     def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path, self._cache = spark, path.rstrip("/"), OrderedDict()
+        self.spark, self.path, self._cache = steady(spark), path.rstrip("/"), OrderedDict()
 
     # -- reads -----------------------------------------------------------------------------------------------------------
 
@@ -37,14 +38,21 @@ class Store:
             rows = self.spark.createDataFrame([], schema)
         return rows if corpus is None else rows.where(F.col("corpus_id") == corpus)
 
-    def cached(self, name: str, corpus: str) -> DataFrame:
-        """A read that is kept in memory until the next write to its table."""
+    def cached(self, name: str, corpus: str, seconds: float | None = None) -> DataFrame:
+        """A read that is kept in memory until the next write to its table, or until it is ``seconds`` old."""
         key = name, corpus
+        if key in self._cache and seconds is not None and time.monotonic() - self._cache[key][1] > seconds:
+            self._cache.pop(key)[0].unpersist()
         if key not in self._cache:
-            self._cache[key] = self.table(name, corpus).cache()
+            self._cache[key] = self.table(name, corpus).cache(), time.monotonic()
             while len(self._cache) > 16:
-                self._cache.popitem(last=False)[1].unpersist()
-        return self._cache[key]
+                self._cache.popitem(last=False)[1][0].unpersist()
+        return self._cache[key][0]
+
+    def invalidate(self, name: str | None = None, corpus: str | None = None) -> None:
+        """Forget the kept reads of a table, a corpus, or all."""
+        for key in [k for k in self._cache if name in (None, k[0]) and corpus in (None, k[1])]:
+            self._cache.pop(key)[0].unpersist()
 
     def units(self, corpus: str) -> DataFrame:
         return self.table("text_units", corpus).orderBy("document_name", "ordinal", "id")
@@ -52,8 +60,7 @@ class Store:
     # -- writes ----------------------------------------------------------------------------------------------------------
 
     def _swap(self, name: str, rows: DataFrame, corpora: list[str]) -> None:
-        for key in [k for k in self._cache if k[0] == name]:
-            self._cache.pop(key).unpersist()
+        self.invalidate(name)
         fresh = written(rows)
         fresh.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("corpus_id").parquet(f"{self.path}/{name}")
         left = {r[0] for r in fresh.select("corpus_id").distinct().collect()}
@@ -96,6 +103,22 @@ class Store:
         stubs = stubs.join(self.table("entities"), ["corpus_id", "identity"], "left_anti")
         self.upsert("entities", stubs.withColumn("ord", F.lit(1 << 40) + F.pmod(F.xxhash64("identity"), F.lit(1 << 40))).withColumn("description", F.lit("")))
 
+    def put_memberships(self, rows: DataFrame) -> None:
+        """Upsert memberships and create communities and entities that they name and nothing has yet."""
+        rows = rows.withColumn("community_id", F.coalesce(F.nullif(F.trim("community_id"), F.lit("")), F.lit("community-unknown")))
+        self.upsert("memberships", rows)
+        lost = rows.select("corpus_id", "community_id").distinct().join(self.table("communities"), ["corpus_id", "community_id"], "left_anti")
+        self.upsert("communities", lost.withColumns({"title": F.lit(""), "summary": F.lit("Community cluster"), "ord": F.lit(1 << 40).cast("long")}))
+        stubs = rows.select("corpus_id", "identity").distinct().join(self.table("entities"), ["corpus_id", "identity"], "left_anti")
+        named = {"name": F.substring_index("identity", "::", 1), "type": F.initcap(F.substring_index("identity", "::", -1)), "description": F.lit(""), "ord": F.lit(1 << 40) + F.pmod(F.xxhash64("identity"), F.lit(1 << 40))}
+        self.upsert("entities", stubs.withColumns(named))
+
+    def mentions(self, corpus: str) -> DataFrame:
+        """(identity, unit_id): which entities are mentioned in which stored units."""
+        from quillgraph.operators import graph
+
+        return graph.mentions(self.table("entities", corpus), self.table("text_units", corpus))
+
     def put_embeddings(self, name: str, rows: DataFrame) -> None:
         """Upsert vectors; mixed dimensions, or others than those stored, are an error."""
         sizes = rows.select("corpus_id", F.size("embedding").alias("d")).unionByName(self.table(name).select("corpus_id", F.size("embedding").alias("d"))).groupBy("corpus_id").agg(F.countDistinct("d").alias("k"))
@@ -113,12 +136,15 @@ class Store:
         entities = self.table("entities", corpus)
         swap = lambda c, v: F.when(hit, v).otherwise(F.col(c)).alias(c)
         given = {"identity": new, "name": F.lit(name), "type": F.lit(kind)}
-        self._swap("entities", entities.select(*[swap(c, given[c]) if c in given else c for c in entities.columns]), [corpus])
+        # an entity that has the new identity already takes the place of the old one, as a later write would
+        one = lambda rows, name_, last: rows.withColumn("n_", F.row_number().over(Window.partitionBy(*KEYS[name_]).orderBy(*last))).where("n_ = 1").drop("n_")
+        self._swap("entities", one(entities.select(*[swap(c, given[c]) if c in given else c for c in entities.columns]), "entities", [F.desc("ord")]), [corpus])
         edges = self.table("relationships", corpus)
         ends = {"src_id": ("src_id", new), "source": ("src_id", F.lit(name)), "source_type": ("src_id", F.lit(kind)), "tgt_id": ("tgt_id", new), "target": ("tgt_id", F.lit(name)), "target_type": ("tgt_id", F.lit(kind))}
-        self._swap("relationships", edges.select(*[F.when(F.col(ends[c][0]) == previous, ends[c][1]).otherwise(F.col(c)).alias(c) if c in ends else c for c in edges.columns]), [corpus])
-        members = self.table("memberships", corpus)
-        self._swap("memberships", members.withColumn("identity", F.when(hit, new).otherwise(F.col("identity"))), [corpus])
+        self._swap("relationships", one(edges.select(*[F.when(F.col(ends[c][0]) == previous, ends[c][1]).otherwise(F.col(c)).alias(c) if c in ends else c for c in edges.columns]), "relationships", [F.desc("ord")]), [corpus])
+        for table, last in (("memberships", [F.col("ord").asc()]), ("entity_embeddings", [F.hash("embedding").asc()])):
+            rows = self.table(table, corpus)
+            self._swap(table, one(rows.withColumn("identity", F.when(hit, new).otherwise(F.col("identity"))), table, last), [corpus])
 
     # -- deletes (all idempotent) -----------------------------------------------------------------------------------------
 
@@ -140,13 +166,15 @@ class Store:
     def delete_relationships(self, corpus: str, keys: DataFrame) -> None:
         self._without("relationships", corpus, keys, *KEYS["relationships"])
 
-    def delete_communities(self, corpus: str) -> None:
+    def delete_communities(self, corpus: str, ids: DataFrame | None = None) -> None:
+        """Communities (community_id), or all, with their memberships and embeddings."""
         for name in ("communities", "memberships", "community_embeddings"):
-            self._swap(name, self.table(name, corpus).limit(0), [corpus])
+            rows = self.table(name, corpus)
+            self._swap(name, rows.limit(0) if ids is None else rows.join(ids.select("community_id").distinct(), "community_id", "left_anti").select(*rows.columns), [corpus])
 
     def delete_chunks(self, corpus: str, document: str | None = None) -> None:
         rows = self.table("chunks", corpus)
-        self._swap("chunks", rows.where(F.col("document_name") != document) if document else rows.limit(0), [corpus])
+        self._swap("chunks", rows.where(~F.col("document_name").eqNullSafe(document)) if document is not None else rows.limit(0), [corpus])
 
     def delete_corpus(self, corpus: str) -> None:
         for name in SCHEMAS:
@@ -180,8 +208,28 @@ class Store:
         """Builds that a stopped process left behind have failed."""
         self.upsert("corpora", self.table("corpora").where("status = 'BUILDING'").withColumn("status", F.lit("FAILED")))
 
-    def put_trace(self, steps: DataFrame) -> None:
+    def put_trace(self, steps: DataFrame, most: int = TRACES) -> None:
+        """Put traces; a corpus keeps the ``most`` that were put or read last."""
+        touched = written(steps.select("corpus_id", "trace_id").distinct())
         self.upsert("trace_steps", steps)
+        corpora = self._touch(touched)
+        seen = self.table("trace_uses").where(F.col("corpus_id").isin(corpora))
+        old = written(seen.withColumn("n_", F.row_number().over(Window.partitionBy("corpus_id").orderBy(F.desc("used_at"), "trace_id"))).where(F.col("n_") > most).select("corpus_id", "trace_id"))
+        if not old.isEmpty():
+            for name in ("trace_steps", "trace_uses"):
+                rows = self.table(name).where(F.col("corpus_id").isin(corpora))
+                self._swap(name, rows.join(old, ["corpus_id", "trace_id"], "left_anti").select(*rows.columns), corpora)
+
+    def _touch(self, traces: DataFrame) -> list[str]:
+        self.upsert("trace_uses", traces.withColumn("used_at", F.lit(time.time_ns())))
+        return [r[0] for r in traces.select("corpus_id").distinct().collect()]
+
+    def trace(self, corpus: str, trace_id: str) -> DataFrame:
+        """The steps of a trace; reading it keeps it from being the next to go."""
+        rows = self.table("trace_steps", corpus).where(F.col("trace_id") == trace_id)
+        if not rows.isEmpty():
+            self._touch(self.spark.createDataFrame([(corpus, trace_id)], "corpus_id string, trace_id string"))
+        return rows.orderBy("step_no")
 
     def append_events(self, events: DataFrame) -> None:
         self._swap("progress_events", event_buffer(self.table("progress_events").unionByName(events)), [r[0] for r in events.select("corpus_id").distinct().collect()])
