@@ -1,11 +1,12 @@
 """Tables in the shared folder of the cluster, and connected components over them."""
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillgraph.operators.tables import components, forget, shared_dir, small, written
 
-__all__ = ["components", "content_key", "forget", "fresh", "shared_dir", "small", "without", "written"]
+__all__ = ["chunked", "components", "content_key", "forget", "fresh", "groups", "shared_dir", "small", "without", "written"]
 
 
 def fresh(df: DataFrame, *names: str) -> list[str]:
@@ -34,3 +35,38 @@ def without(docs: DataFrame, bad: DataFrame, *columns: str) -> DataFrame:
     bad1, bad2 = fresh(docs, "bad1", "bad2")
     bad = small(bad.select(F.col("key1").alias(bad1), F.col("key2").alias(bad2)).distinct())
     return docs.join(bad, (one == F.col(bad1)) & (two == F.col(bad2)), "left_anti")
+
+
+def groups(batches):
+    """Columns of a stream sorted by its first column, cut so that no group of equal keys is parted."""
+    held: list[list[np.ndarray]] = []  # the group that may go on
+
+    def joined(parts):
+        return [np.concatenate(x) for x in zip(*parts, strict=True)] if len(parts) > 1 else parts[0]
+
+    for b in batches:
+        if not b.num_rows:
+            continue
+        columns = [b.column(k).to_numpy(zero_copy_only=False) for k in range(b.num_columns)]
+        end = int(np.searchsorted(columns[0], columns[0][-1]))
+        if end or held and held[-1][0][-1] != columns[0][0]:
+            yield joined([*held, [c[:end] for c in columns]])
+            held = []
+        held.append([c[end:] for c in columns])
+    if held:
+        yield joined(held)
+
+
+def chunked(rows: DataFrame, group: str, item: str, most: int) -> DataFrame:
+    """``rows`` with groups of more than ``most`` rows dealt into chunks, where every two chunks of a group are a group of their own.
+
+    All pairs of items of a group still meet, but no task holds more than about twice ``most`` of them.
+    """
+    big = written(rows.groupBy(group).agg(F.count("*").alias("n_")).where(F.col("n_") > most))
+    if big.isEmpty():
+        return rows
+    dealt = rows.join(big, group, "left").withColumn("chunks_", F.ceil(F.col("n_") / most).cast("int"))
+    dealt = dealt.withColumn("own_", F.pmod(F.xxhash64(item), F.col("chunks_")).cast("int"))
+    dealt = dealt.withColumn("other_", F.explode(F.when(F.col("chunks_") > 1, F.sequence(F.lit(0), F.col("chunks_") - 1)).otherwise(F.array(F.lit(0)))))
+    named = F.when(F.col("chunks_") > 1, F.xxhash64(group, F.least("own_", "other_"), F.greatest("own_", "other_"))).otherwise(F.col(group))
+    return dealt.withColumn(group, named).drop("n_", "chunks_", "own_", "other_")

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillgraph.llm import _text as tx
-from quillgraph.llm._shared import components, fresh, written
+from quillgraph.llm._shared import chunked, components, fresh, groups, written
 from quillgraph.llm.repeats import _located, _rows
 
 EDITS = 2
@@ -137,32 +137,12 @@ def _keys(edits: int, least: int):
     return run
 
 
-def _groups(batches):
-    """Columns of a stream sorted by its first column, cut so that no group of equal keys is parted."""
-    held: list[list[np.ndarray]] = []  # the group that may go on
-
-    def joined(parts):
-        return [np.concatenate(x) for x in zip(*parts, strict=True)] if len(parts) > 1 else parts[0]
-
-    for b in batches:
-        if not b.num_rows:
-            continue
-        columns = [b.column(k).to_numpy(zero_copy_only=False) for k in range(b.num_columns)]
-        end = int(np.searchsorted(columns[0], columns[0][-1]))
-        if end or held and held[-1][0][-1] != columns[0][0]:
-            yield joined([*held, [c[:end] for c in columns]])
-            held = []
-        held.append([c[end:] for c in columns])
-    if held:
-        yield joined(held)
-
-
 def _met(edits: int):
     """Streams rows sorted by key and returns those whose sketch is close to another line's under the key (crowd false), and
     all rows of crowds."""
 
     def run(batches):
-        for key, side, line, sketch in _groups(batches):
+        for key, side, line, sketch in groups(batches):
             many = np.ones(len(key), bool)  # keys that stand alone meet nothing
             many[1:-1] = (key[1:-1] == key[:-2]) | (key[1:-1] == key[2:])
             if len(key) > 1:
@@ -199,7 +179,7 @@ def _close(edits: int):
     """Streams rows sorted by group (key and part of a crowd) and returns those whose sketch is close to another's."""
 
     def run(batches):
-        for group, side, line, sketch in _groups(batches):
+        for group, side, line, sketch in groups(batches):
             keep = np.zeros(len(group), bool)
             cut = np.flatnonzero(np.r_[True, group[1:] != group[:-1], True])
             for s, e in zip(cut[:-1], cut[1:], strict=True):
@@ -222,7 +202,7 @@ def _united(edits: int):
     """Streams rows sorted by group and returns one link for each union of two parts of a group."""
 
     def run(batches):
-        for group, line, sketch, said, pairs in _groups(batches):
+        for group, line, sketch, said, pairs in groups(batches):
             links = ([], [])
             order = np.lexsort((line, group))
             group, line, sketch, said, pairs = (x[order] for x in (group, line, sketch, said, pairs))
@@ -315,13 +295,7 @@ def links(rows: DataFrame, firsts: DataFrame, edits: int = EDITS, least: int = L
         split = crowd.select("key", "side", "line", "sketch", part.alias("part", "value")).select(F.xxhash64("key", "part", "value").alias("key"), "side", "line", "sketch")
         close = close.unionByName(split.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(_close(edits), "key long, line long, sketch long"))
     close = written(close)
-    big = written(close.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > GROUP))
-    if not big.isEmpty():
-        dealt = close.join(big, "key", "left").withColumn("chunks", F.ceil(F.col("n") / GROUP).cast("int")).withColumn("own", F.pmod(F.xxhash64("line"), F.col("chunks")).cast("int"))
-        other = F.explode(F.when(F.col("chunks") > 1, F.sequence(F.lit(0), F.col("chunks") - 1)).otherwise(F.array(F.lit(0))))
-        dealt = dealt.select("key", "line", "sketch", "chunks", "own", other.alias("other"))
-        named = F.when(F.col("chunks") > 1, F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other"))).otherwise(F.col("key"))
-        close = dealt.select(named.alias("key"), "line", "sketch")
+    close = chunked(close, "key", "line", GROUP)
     used = close.select("line").distinct()
     places = firsts.join(used, "line", "left_semi").select("doc", "number", F.col("number").alias("n"))
     said = written(_located(rows, places).mapInArrow(_texts, "line long, said string, pairs binary").dropDuplicates(["line"]))

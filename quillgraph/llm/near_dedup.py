@@ -7,9 +7,14 @@ prefixes, so the depth adapts by itself. Crowded regions also compare each membe
 closest to the majority sketch), which finds the original of a large group of differently edited copies. Candidates are
 confirmed on the full shingle sets, strongest first, and those inside one component are not confirmed again.
 
-Equal sets are one class from the start, so groups of copies cost one row each. Work is linear in the documents; no
-bucket is joined with itself. The forest is probabilistic: a pair at similarity 0.8 misses every tree's first value with
-probability 0.2**16.
+What neighbours and centres leave is done exactly: in ``DEEP`` trees every crowded region is cut into buckets, deeper only
+where it holds more than ``BUCKET`` documents. Of each bucket the documents whose sketch lies near one of another component
+are kept, their sets are compared until each bucket is united as far as it goes, and every union is one link. So
+a bucket of n members gives at most n - 1 links, no partner is left out, and groups that are one component by then cost nothing.
+
+Equal sets are one class from the start, so groups of copies cost one row each. The forest is probabilistic: a pair at
+similarity 0.8 shares no bucket of depth d in any deep tree with probability (1 - 0.8**d)**8, which is 3e-6 for d = 1 and
+3e-4 for d = 2, on top of what neighbours find in all sixteen trees.
 
 Defined cases: a null or blank text has the empty set, links with nothing and is kept; fewer words than a shingle form
 one shingle; rows without doc_id take no part in linking (component null, kept); repeated rows are each returned; extra
@@ -26,9 +31,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillgraph.llm import _text as tx
-from quillgraph.llm._shared import components, forget, written
+from quillgraph.llm._shared import chunked, components, forget, groups, written
 
 TREES, DEPTH, NEIGHBOURS = 16, 8, 4
+#: Trees whose crowded regions are searched exactly, documents of a bucket before it goes deeper, and documents of a group
+#: whose sets are compared in one task.
+DEEP, BUCKET, GROUP = 8, 4096, 1024
 #: Candidates whose sketch puts them this far under the threshold (in standard errors) are not confirmed.
 SIGMAS = 5.0
 _ROWS = TREES * DEPTH
@@ -105,17 +113,108 @@ def _similarity(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return 1 - differ / _ROWS * (4 / 3)
 
 
+class _Regions:
+    """Crowded regions of a stream sorted by (tree, key), as buckets of documents with a near sketch among them."""
+
+    def __init__(self, least: float):
+        self.least, self.held = least, []
+
+    def feed(self, tree: np.ndarray, key: np.ndarray, node: np.ndarray, sketch: np.ndarray):
+        """(bucket, node, sketch) arrays of the regions that have ended."""
+        deep = tree < DEEP
+        if not deep.all():
+            tree, key, node, sketch = tree[deep], key[deep], node[deep], sketch[deep]
+        if not len(tree):
+            yield from self.end()
+            return
+        region = tree.astype(np.int64) << 32 | key[:, 0].astype(np.int64)
+        tail = int(np.searchsorted(region, region[-1]))
+        if self.held and (tail or self.held[-1][0][-1] != region[0]):
+            self.held.append((region[:tail], key[:tail], node[:tail], sketch[:tail]))
+            yield from self.end()
+        elif tail:
+            self.held.append((region[:tail], key[:tail], node[:tail], sketch[:tail]))
+            yield from self.end()
+        self.held.append((region[tail:], key[tail:], node[tail:], sketch[tail:]))
+        size = sum(len(h[0]) for h in self.held)
+        if size > 16 * BUCKET:  # a very large region goes deeper anyway; what follows its last change of key waits
+            whole = [np.concatenate(x) for x in zip(*self.held, strict=True)]
+            for depth in range(1, DEPTH):
+                cut = np.flatnonzero((whole[1][1:, : depth + 1] != whole[1][:-1, : depth + 1]).any(axis=1))
+                if len(cut):
+                    cut = int(cut[-1]) + 1
+                    self.held = [[x[cut:] for x in whole]]
+                    yield from self._buckets(*(x[:cut] for x in whole), 1)
+                    return
+            yield _bucket_name(whole[0], whole[1], DEPTH), whole[2], whole[3]
+            self.held = []
+
+    def end(self):
+        if self.held:
+            whole = [np.concatenate(x) for x in zip(*self.held, strict=True)]
+            self.held = []
+            cut = np.flatnonzero(np.r_[True, whole[0][1:] != whole[0][:-1], True])
+            for s, e in zip(cut[:-1], cut[1:], strict=True):
+                if e - s > NEIGHBOURS + 1:
+                    yield from self._buckets(*(x[s:e] for x in whole), 1)
+
+    def _buckets(self, region, key, node, sketch, depth):
+        if len(node) <= NEIGHBOURS + 1:  # all its pairs are neighbours
+            return
+        if len(node) > BUCKET and depth < DEPTH:
+            cut = np.flatnonzero(np.r_[True, key[1:, depth] != key[:-1, depth], True])
+            for s, e in zip(cut[:-1], cut[1:], strict=True):
+                yield from self._buckets(region[s:e], key[s:e], node[s:e], sketch[s:e], depth + 1)
+            return
+        near = np.ones(len(node), bool) if len(node) > BUCKET else _near_other(sketch, np.arange(len(node)), self.least)
+        if near.any():
+            yield _bucket_name(region[near], key[near], depth), node[near], sketch[near]
+
+
+def _bucket_name(region: np.ndarray, key: np.ndarray, depth: int) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        name = tx.mix(region.astype(np.uint64) + np.uint64(depth))
+        for k in range(1, depth):
+            name = tx.mix(name * tx._MIXERS[k] + key[:, k].astype(np.uint64))
+    return name.view(np.int64)
+
+
+def _near_other(sketch: np.ndarray, part: np.ndarray, least: float) -> np.ndarray:
+    """Which rows have a sketch that is near one of another part."""
+    out = np.zeros(len(sketch), bool)
+    most = (1 - least) * _ROWS * 3 / 4
+    step = max(1, (1 << 20) // max(1, len(sketch)))
+    for i in range(0, len(sketch), step):
+        differ = np.zeros((min(step, len(sketch) - i), len(sketch)), np.int64)
+        for k in range(sketch.shape[1]):
+            x = sketch[i : i + step, k, None] ^ sketch[None, :, k]
+            differ += np.bitwise_count((x | (x >> np.uint64(1))) & np.uint64(0x5555555555555555))
+        out[i : i + step] = ((differ <= most) & (part[i : i + step, None] != part[None])).any(axis=1)
+    return out
+
+
 def _scan(least: float):
-    """Candidates in one sorted part: kind 0 pairs (a, b, score), kind 1 centres of crowded regions."""
+    """Candidates in one sorted part: pairs (a, b, score), centres of crowded regions (region, a, sketch, size), and the
+    members of buckets (region, a, sketch, size null)."""
 
     def run(batches):
-        carry = None
+        carry, regions = None, _Regions(least)
+
+        def members(found):
+            for bucket, node, sketch in found:
+                raw = np.ascontiguousarray(sketch)
+                packed = pa.Array.from_buffers(pa.binary(_ROWS // 4), len(raw), [None, pa.py_buffer(raw.tobytes())]).cast(pa.binary())
+                none = pa.nulls(len(node), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(node), none, pa.nulls(len(node), pa.float32()), pa.array(bucket), packed, none], names=["a", "b", "score", "region", "sketch", "size"])
+
         for b in batches:
             if not b.num_rows:
                 continue
             tree, node = b.column(0).to_numpy(), b.column(2).to_numpy()
             key, sketch = _matrix(b.column(1), 4 * DEPTH), _matrix(b.column(3), _ROWS // 4).view(np.uint64)
-            h1 = np.ascontiguousarray(key[:, :4]).view(">u4").reshape(-1).astype(np.int64)
+            values = np.ascontiguousarray(key).view(">u4").astype(np.uint32)
+            yield from members(regions.feed(tree, values, node, sketch))
+            h1 = values[:, 0].astype(np.int64)
             region = tree.astype(np.int64) << 32 | h1
             old = 0
             if carry is not None:
@@ -150,6 +249,7 @@ def _scan(least: float):
                 r, n, k, z = zip(*hubs, strict=True)
                 none = pa.nulls(len(r), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(n, pa.int64()), none, pa.nulls(len(r), pa.float32()), pa.array(r, pa.int64()), pa.array(k, pa.binary()), pa.array(z, pa.int64())], names=["a", "b", "score", "region", "sketch", "size"])
+        yield from members(regions.end())
 
     return run
 
@@ -158,22 +258,27 @@ def _scan(least: float):
 CENTRES = 3
 
 
-def candidates(sigs: DataFrame, threshold: float) -> DataFrame:
-    """Candidate pairs (a < b, score) of nodes with signatures, from every tree."""
+def least_score(threshold: float) -> float:
     match = threshold + (1 - threshold) / 4
-    least = threshold - SIGMAS * (match * (1 - match) / _ROWS) ** 0.5 * (4 / 3)
+    return threshold - SIGMAS * (match * (1 - match) / _ROWS) ** 0.5 * (4 / 3)
+
+
+def candidates(sigs: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """Candidate pairs (a < b, score) of nodes with signatures, from every tree, and the members (bucket, node, sketch) of crowded buckets."""
+    least = least_score(threshold)
     spark = sigs.sparkSession
     forest = sigs.select("node", "sig").mapInArrow(_trees, "tree int, key binary, node long, sketch binary")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     found = written(forest.repartitionByRange(parts, "tree", "key").sortWithinPartitions("tree", "key").mapInArrow(_scan(least), "a long, b long, score float, region long, sketch binary, size long"))
     pairs = found.where("region is null").select("a", "b", "score")
-    centres = found.where("region is not null").groupBy("region", "a").agg(F.max("size").alias("size"), F.first("sketch").alias("sketch"))
+    members_of = found.where("region is not null and size is null").select(F.col("region").alias("bucket"), F.col("a").alias("node"), "sketch")
+    centres = found.where("size is not null").groupBy("region", "a").agg(F.max("size").alias("size"), F.first("sketch").alias("sketch"))
     several = centres.groupBy("region").agg(F.slice(F.sort_array(F.collect_list(F.struct("size", "a", "sketch")), asc=False), 1, CENTRES).alias("c"), F.count("*").alias("n")).where("n > 1")
     several = written(several.select("region", F.explode("c").alias("c")).select("region", F.col("c.a").alias("centre"), F.col("c.sketch").alias("other")))
     if not several.isEmpty():
         members = forest.select((F.col("tree").cast("long") * (1 << 32) + F.conv(F.hex(F.substring("key", 1, 4)), 16, 10).cast("long")).alias("region"), "node", "sketch").join(several, "region").where("node <> centre")
         pairs = pairs.unionByName(members.mapInArrow(_closer(least), "a long, b long, score float"))
-    return pairs.groupBy("a", "b").agg(F.max("score").alias("score"))
+    return pairs.groupBy("a", "b").agg(F.max("score").alias("score")), members_of
 
 
 def _closer(least: float):
@@ -204,16 +309,60 @@ def _confirm(numerator: int, denominator: int):
         for b in batches:
             keep = []
             for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = np.concatenate([x, y])
-                both.sort()
-                common = int((both[1:] == both[:-1]).sum())
-                keep.append(denominator * common >= numerator * (len(x) + len(y) - common))
+                keep.append(_alike(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), numerator, denominator))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return run
 
 
+def _apart(least: float):
+    """Streams (bucket, node, part, sketch) sorted by bucket and returns the rows near one of another part."""
+
+    def run(batches):
+        for bucket, node, part, sketch in groups(batches):
+            keep = np.zeros(len(node), bool)
+            words = np.frombuffer(b"".join(sketch), np.uint64).reshape(len(node), -1)
+            cut = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1], True])
+            for s, e in zip(cut[:-1], cut[1:], strict=True):
+                if e - s > 1 and (part[s:e] != part[s]).any():
+                    keep[s:e] = _near_other(words[s:e], part[s:e], least)
+            if keep.any():
+                yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (bucket, node, part)], names=["bucket", "node", "part"])
+
+    return run
+
+
+def _joined(numerator: int, denominator: int):
+    """Streams (bucket, node, part, set) sorted by bucket; one link for each union of two parts of a bucket."""
+
+    def run(batches):
+        for bucket, node, part, raw in groups(batches):
+            links = ([], [])
+            cut = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1], True])
+            for s, e in zip(cut[:-1], cut[1:], strict=True):
+                order = s + np.argsort(node[s:e], kind="stable")
+                own, sets = part[order].copy(), [np.frombuffer(raw[k], np.uint64) for k in order]
+                size = np.array([len(x) for x in sets], np.int64)
+                for i in range(1, e - s):
+                    fits = np.flatnonzero((own[:i] != own[i]) & (denominator * np.minimum(size[:i], size[i]) >= numerator * np.maximum(size[:i], size[i])))
+                    for j in fits.tolist():
+                        if own[j] != own[i] and _alike(sets[j], sets[i], numerator, denominator):
+                            links[0].append(node[order[j]])
+                            links[1].append(node[order[i]])
+                            own[own == own[j]] = own[i]
+            if links[0]:
+                yield pa.RecordBatch.from_arrays([pa.array(np.array(x, np.int64)) for x in links], names=["a", "b"])
+
+    return run
+
+
+def _alike(x: np.ndarray, y: np.ndarray, numerator: int, denominator: int) -> bool:
+    both = np.concatenate([x, y])
+    both.sort()
+    common = int((both[1:] == both[:-1]).sum())
+    return denominator * common >= numerator * (len(x) + len(y) - common)
+
+
 #: A table of ids of at most this many rows is broadcast; a larger one is joined by a shuffle.
 BROADCAST_ROWS = 2_000_000
 
@@ -222,6 +371,22 @@ def _small(ids: DataFrame) -> DataFrame:
     return F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
 
 
+def _left(crowded: DataFrame, labels: DataFrame, sets_of, numerator: int, denominator: int) -> DataFrame | None:
+    """Links between different components inside crowded buckets, or None if no bucket has two with near sketches."""
+    parts = int(crowded.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    part = F.coalesce("component", "node").alias("part")
+    rows = crowded.join(labels, "node", "left").select("bucket", "node", part, "sketch")
+    several = rows.groupBy("bucket").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo <> hi").select("bucket")
+    rows = written(rows.join(several, "bucket", "left_semi"))
+    rows = chunked(rows, "bucket", "node", 2 * BUCKET)
+    near = written(rows.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_apart(least_score(numerator / denominator)), "bucket long, node long, part long"))
+    if near.isEmpty():
+        return None
+    sets = sets_of(written(near.select("node").distinct()))
+    whole = chunked(near, "bucket", "node", GROUP).join(sets, "node").select("bucket", "node", "part", "set")
+    return written(whole.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_joined(numerator, denominator), "a long, b long").distinct())
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 4, threshold: tuple[int, int] = (80, 100)) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of ``docs`` (doc_id, text).
 
@@ -233,12 +398,17 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, threshold: tuple[int, int
     # the other members of the classes are fewer and narrow; signatures and texts stay where they are while these are few
     copies = written(sketched.select("doc_id", "k1", "k2").join(classes, ["k1", "k2"]).where("doc_id <> node").select("doc_id", "k1", "k2"))
     heads = sketched.where("sig is not null and doc_id is not null").join(_small(copies), ["doc_id", "k1", "k2"], "left_anti").select(F.col("doc_id").alias("node"), "k1", "k2", "sig")
-    pairs = written(candidates(heads, numerator / denominator))
-    nodes = written(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
-    texts = docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(_small(nodes), "node", "left_semi")
-    keyed = texts.mapInArrow(_sets(shingle), "node long, k1 long, k2 long, set binary")
-    # a doc_id that stands on several rows is the node of one of its sets only
-    sets = written(keyed.join(heads.select("node", "k1", "k2").distinct(), ["node", "k1", "k2"], "left_semi").select("node", "set").dropDuplicates(["node"]))
+    pairs, crowded = candidates(heads, numerator / denominator)
+    pairs, crowded = written(pairs), written(crowded)
+    own = heads.select("node", "k1", "k2").distinct()
+
+    def sets_of(nodes: DataFrame) -> DataFrame:
+        texts = docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(_small(nodes), "node", "left_semi")
+        keyed = texts.mapInArrow(_sets(shingle), "node long, k1 long, k2 long, set binary")
+        # a doc_id that stands on several rows is the node of one of its sets only
+        return written(keyed.join(own, ["node", "k1", "k2"], "left_semi").select("node", "set").dropDuplicates(["node"]))
+
+    sets = sets_of(written(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()))
 
     def confirmed(some: DataFrame) -> DataFrame:
         left = sets.select(F.col("node").alias("a"), F.col("set").alias("x"))
@@ -251,10 +421,14 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, threshold: tuple[int, int
     labels = written(components(links))
     named = lambda side: labels.select(F.col("node").alias(side), F.col("component").alias(f"c{side}"))
     rest = pairs.select("a", "b").join(first, ["a", "b"], "left_anti").join(named("a"), "a", "left").join(named("b"), "b", "left").where("ca is null or cb is null or ca <> cb").select("a", "b")
-    links = links.unionByName(confirmed(rest))
+    links = written(links.unionByName(confirmed(rest)))
     labels = written(components(links))
     forget(sets)
     forget(pairs)
+    more = _left(crowded, labels, sets_of, numerator, denominator)
+    forget(crowded)
+    if more is not None:
+        labels = written(components(links.unionByName(more)))
     parts = classes.join(labels, "node", "left").select("k1", "k2", F.coalesce("component", "node").alias("c"))
     out = sketched.select("doc_id", "n_shingles", "k1", "k2").join(parts, ["k1", "k2"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.when(F.col("n_shingles") > 0, F.col("c")).otherwise(F.col("doc_id")))

@@ -1,6 +1,7 @@
 import random
 import re
 
+from quillgraph.llm import near_dedup
 from quillgraph.llm.near_dedup import near_duplicates
 
 
@@ -64,3 +65,33 @@ def test_empty_table_and_rows_without_id(spark):
     rows = spark.createDataFrame([(None, "a b c d e"), (3, "a b c d e"), (3, "a b c d e"), (7, "a b c d e")], "doc_id long, text string")
     got = sorted(map(tuple, near_duplicates(rows).collect()), key=str)
     assert got == [(3, 2, 3, True), (3, 2, 3, True), (7, 2, 3, False), (None, 2, None, True)]
+
+
+def test_crowded_families_lose_no_link(spark):
+    """Families whose members are nearly alike but mostly under the threshold, with a few linked pairs hidden in them."""
+    r = random.Random(8)
+    rows = []
+    for f in range(2):
+        base = [f"b{f}_{i}" for i in range(200)]
+        for _ in range(130):
+            w = list(base)
+            for k in r.sample(range(0, 200, 5), 7):  # two members are about 0.7 alike
+                w[k] = f"x{len(rows)}_{k}"
+            rows.append((len(rows), " ".join(w)))
+            if r.random() < 0.1:  # a copy of the member with one more word changed
+                w = list(w)
+                w[r.randrange(0, 200, 5)] = f"y{len(rows)}"
+                rows.append((len(rows), " ".join(w)))
+    held = near_dedup.BUCKET, near_dedup.GROUP
+    try:
+        for near_dedup.BUCKET, near_dedup.GROUP in (held, (40, 25)):
+            check(spark, rows)
+    finally:
+        near_dedup.BUCKET, near_dedup.GROUP = held
+
+
+def test_very_long_texts_and_clashing_names(spark):
+    words = " ".join(f"w{k}" for k in range(150_000))
+    rows = [(1, words, 1, 1, 1), (2, words + " end", 2, 2, 2), (3, "short", 3, 3, 3)]
+    got = {x.doc_id: x.component_id for x in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string, bucket int, part int, k1 int")).collect()}
+    assert got == {1: 1, 2: 1, 3: 3}
