@@ -1,12 +1,29 @@
 """Tables in the shared folder of the cluster, and connected components over them."""
 
+import ctypes
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillgraph.operators.tables import components, forget, shared_dir, small, written
 
-__all__ = ["chunked", "components", "content_key", "forget", "fresh", "groups", "shared_dir", "small", "without", "written"]
+__all__ = ["chunked", "components", "content_key", "forget", "fresh", "groups", "looked_up", "released", "shared_dir", "small", "without", "written"]
+
+
+def released(batches):
+    """``batches``, after which the worker gives the memory that it no longer needs back, as it may wait beside other stages."""
+    yield from batches
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # not a C library that can
+        pass
+
+
+#: Tasks that the rows of one key are spread over in a salted join.
+SALTS = 16
 
 
 def fresh(df: DataFrame, *names: str) -> list[str]:
@@ -70,3 +87,17 @@ def chunked(rows: DataFrame, group: str, item: str, most: int) -> DataFrame:
     dealt = dealt.withColumn("other_", F.explode(F.when(F.col("chunks_") > 1, F.sequence(F.lit(0), F.col("chunks_") - 1)).otherwise(F.array(F.lit(0)))))
     named = F.when(F.col("chunks_") > 1, F.xxhash64(group, F.least("own_", "other_"), F.greatest("own_", "other_"))).otherwise(F.col(group))
     return dealt.withColumn(group, named).drop("n_", "chunks_", "own_", "other_")
+
+
+def looked_up(rows: DataFrame, table: DataFrame, keys: list[str], by: str, how: str = "inner", most: int = 2_000_000) -> DataFrame:
+    """``rows`` joined with a table of unique ``keys``, where one key may fill a large part of ``rows``.
+
+    A table of at most ``most`` rows is broadcast; for a larger one the rows of each key are spread over ``SALTS`` tasks by ``by``
+    and the table is repeated for each.
+    """
+    table = written(table)
+    if table.count() <= most:
+        return rows.join(F.broadcast(table), keys, how)
+    salted = rows.withColumn("salt_", F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int"))
+    repeated = table.withColumn("salt_", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return salted.join(repeated, [*keys, "salt_"], how).drop("salt_")

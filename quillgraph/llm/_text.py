@@ -62,16 +62,21 @@ def powers(n: int, base: int = _BASE) -> np.ndarray:
     return have
 
 
-def prefix_hash(data: np.ndarray) -> np.ndarray:
+#: Another base and its inverse, for a second hash that is independent of the first.
+OTHER = 0xA24BAED4963EE407
+OTHER_INV = pow(OTHER, -1, 1 << 64)
+
+
+def prefix_hash(data: np.ndarray, base: int = _BASE) -> np.ndarray:
     """Prefix sums S with S[j] - S[i] = sum of code(byte k) * base**k over i <= k < j, modulo 2**64."""
     out = np.zeros(len(data) + 1, dtype=U64)
-    np.cumsum(_BYTE[data] * powers(len(data) + 1)[: len(data)], out=out[1:])
+    np.cumsum(_BYTE[data] * powers(len(data) + 1, base)[: len(data)], out=out[1:])
     return out
 
 
-def span_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+def span_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray, inverse: int = _BASE_INV) -> np.ndarray:
     """Position-independent 64-bit hash of each byte span."""
-    inv = powers(len(prefix), _BASE_INV)
+    inv = powers(len(prefix), inverse)
     return mix((prefix[end] - prefix[start]) * inv[start] + (end - start).astype(U64))
 
 

@@ -2,8 +2,8 @@
 
 Each event belongs to a message of a conversation. ``message`` and ``edit`` set the message's text, ``regenerate``
 clears it, ``delta`` appends to it; in the order of ``seq``. So a message's final text is its last setting event's text
-and the deltas after it. Messages are folded on their own (a conversation's log is never gathered as a whole), then
-rendered and joined by conversation in the order of their first events.
+and the deltas after it. The log is partitioned by conversation and sorted by ``seq``; each message is folded from its own
+events, and the messages of a conversation, which is what is rendered, are joined in the order of their first events.
 
 Template: ``<|im_start|>role\\ntext<|im_end|>\\n`` for each turn. ``<|`` inside a role or text becomes ``<||`` and a line
 break inside a role ``<|n|>``, so control strings stand only where the template puts them, and the original comes back.
@@ -44,6 +44,19 @@ def events_of_turns(turns: DataFrame) -> DataFrame:
     return rows.withColumn("seq", number.cast("long")).select("conv_id", "seq", F.col("seq").alias("message"), F.lit("message").alias("kind"), "role", "text")
 
 
+def streamed(events: DataFrame) -> DataFrame:
+    """The log of ``message`` events as a chat service would have written it: by a hash of the text, a message stands as it is,
+    is drafted, regenerated and streamed in two deltas, or is written wrongly, edited and continued by a delta."""
+    half = (F.length("text") / 2).cast("int")
+    head, tail = F.substr("text", F.lit(1), half), F.substr("text", half + 1)
+    step = lambda *parts: F.array(*[F.struct(F.lit(k).cast("long").alias("at"), F.lit(kind).alias("kind"), text.alias("said")) for k, (kind, text) in enumerate(parts)])
+    way = F.pmod(F.xxhash64("conv_id", "seq", "text"), F.lit(3))
+    told = F.when(way == 0, step(("message", F.col("text")))).when(way == 1, step(("message", head), ("delta", F.lit(" draft")), ("regenerate", F.lit("")), ("delta", head), ("delta", tail)))
+    told = told.otherwise(step(("message", F.concat(head, F.lit("?"))), ("edit", head), ("delta", tail)))
+    rows = events.select("conv_id", "seq", "message", "role", F.explode(told).alias("e"))
+    return rows.select("conv_id", (F.col("seq") * 8 + F.col("e.at")).alias("seq"), "message", F.col("e.kind").alias("kind"), F.when(F.col("e.at") == 0, F.col("role")).otherwise("").alias("role"), F.col("e.said").alias("text"))
+
+
 def fold(events: DataFrame) -> DataFrame:
     """(conv_id, position, role, text): the final messages of a log (conv_id, seq, message, kind, role, text)."""
     log = events.select("conv_id", "seq", "message", "kind", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))

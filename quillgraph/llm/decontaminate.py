@@ -7,7 +7,7 @@ of the window, and the words themselves are compared before an occurrence counts
 so each step is a few whole-array operations.
 
 The test strings travel to the executors in blocks of at most ``PATTERN_BYTES`` of item text; a larger benchmark takes
-one pass over the documents for each block.
+one pass over the documents for each block, and what the passes find, not the texts, is united by the content of the rows.
 
 Defined cases: a null text has no words and is clean; items without words match nothing; repeated rows are each
 returned; equal items both count; extra columns are ignored; an empty table gives an empty result.
@@ -29,7 +29,7 @@ from quillgraph.llm._shared import content_key, without, written
 PATTERN_BYTES = 16 << 20
 _PART = 256
 _TABLE = 1 << 18
-_FOUND = "doc_id long, text string, n_words long, runs array<long>, items array<string>"
+_FOUND = "doc_id long, key1 long, key2 long, n_words long, runs array<long>, items array<string>"
 
 
 def _words(texts: pa.Array):
@@ -99,16 +99,14 @@ def compiled(items: list[tuple[str, str | None]], window: int) -> list[Patterns]
 
 
 def _pass(patterns: list[Patterns]):
-    """Adds the occurrences of one block of test strings to each row's word runs and items."""
+    """The number of words, hit runs and items of each row for one block of test strings."""
 
     def run(batches):
         with np.errstate(over="ignore"):
             for b in batches:
-                old_runs, old_items = (b.column(k).to_pylist() for k in (3, 4))
                 counts, runs, items = [], [], []
-                for first, last, data, start, end, before, hashes in _words(b.column(1)):
-                    n = len(start)
-                    cover, named = np.zeros(n + 1, np.int64), defaultdict(set)
+                for first, last, data, start, end, before, hashes in _words(b.column(3)):
+                    cover, named = np.zeros(len(start) + 1, np.int64), defaultdict(set)
                     for p in patterns:
                         at = p.search(hashes, before)
                         for i, k in zip(at, np.searchsorted(before, at, side="right") - 1, strict=True):
@@ -117,42 +115,51 @@ def _pass(patterns: list[Patterns]):
                                 named[int(k)] |= owners
                                 cover[i] += 1
                                 cover[i + p.size] -= 1
+                    inside = np.cumsum(cover[:-1]) > 0
                     for k in range(last - first):
-                        for lo, hi in zip(old_runs[first + k][::2], old_runs[first + k][1::2], strict=True):
-                            cover[before[k] + lo] += 1
-                            cover[before[k] + hi] -= 1
-                    inside = np.cumsum(cover[:n]) > 0
-                    edge = np.flatnonzero(np.diff(np.r_[False, inside, False].astype(np.int8)))
-                    lo, hi = edge[::2], edge[1::2]
-                    spans = list(zip(np.searchsorted(before, lo, side="right") - 1, lo, hi, strict=True))
-                    of: dict[int, list[int]] = defaultdict(list)
-                    for k, s, e in spans:
-                        while e > before[k + 1]:  # a run of one text may touch the next text's run
-                            of[int(k)] += [int(s - before[k]), int(before[k + 1] - before[k])]
-                            k += 1
-                            s = before[k]
-                        of[int(k)] += [int(s - before[k]), int(e - before[k])]
-                    for k in range(last - first):
-                        counts.append(int(before[k + 1] - before[k]))
-                        runs.append(of.get(k, []))
-                        items.append(sorted(named.get(k, set()) | set(old_items[first + k])))
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(counts, pa.int64()), pa.array(runs, pa.list_(pa.int64())), pa.array(items, pa.list_(pa.string()))], names=["doc_id", "text", "n_words", "runs", "items"])
+                        hit = inside[before[k] : before[k + 1]]
+                        counts.append(len(hit))
+                        runs.append(np.flatnonzero(np.diff(np.r_[False, hit, False].astype(np.int8))).tolist() if k in named else [])
+                        items.append(sorted(named.get(k, ())))
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(counts, pa.int64()), pa.array(runs, pa.list_(pa.int64())), pa.array(items, pa.list_(pa.string()))], names=["doc_id", "key1", "key2", "n_words", "runs", "items"])
 
     return run
 
 
+def _one_list(batches):
+    """The runs of several passes over one text as one list of runs that don't overlap."""
+    for b in batches:
+        out = []
+        for runs in b.column(3).to_pylist():
+            pairs, flat = sorted(zip(runs[::2], runs[1::2], strict=True)), []
+            for lo, hi in pairs:
+                if flat and lo <= flat[-1]:
+                    flat[-1] = max(flat[-1], hi)
+                else:
+                    flat += [lo, hi]
+            out.append(flat)
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(out, pa.list_(pa.int64())), b.column(4)], names=["key1", "key2", "n_words", "runs", "items"])
+
+
 def occurrences(docs: DataFrame, benchmark: DataFrame, window: int = 13) -> DataFrame:
-    """(doc_id, text, n_words, runs, items): hit word runs as start, end, start, end ... and the sorted item ids."""
+    """(doc_id, key1, key2, n_words, runs, items): hit word runs as start, end, start, end ... and the sorted item ids; the keys are
+    those of the text."""
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").alias("text")).where("item_id is not null and text is not null")
-    total = items.agg(F.sum(F.octet_length("text")), F.max(F.octet_length("text"))).first()
+    total = items.agg(F.sum(F.octet_length("text"))).first()
     blocks = max(1, -(-2 * (total[0] or 0) // PATTERN_BYTES))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"), F.lit(0).cast("long").alias("n_words"), F.array().cast("array<long>").alias("runs"), F.array().cast("array<string>").alias("items"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *content_key("text"), F.col("text").alias("text"))
+    if blocks == 1:
+        return rows.mapInArrow(_pass(compiled([tuple(r) for r in items.collect()], window)), _FOUND)
+    found = None
     for k in range(blocks):
-        block = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k)
-        rows = rows.mapInArrow(_pass(compiled([tuple(r) for r in block.collect()], window)), _FOUND)
-        if blocks > 1:
-            rows = written(rows)
-    return rows
+        block = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k)
+        part = written(rows.mapInArrow(_pass(compiled([tuple(r) for r in block.collect()], window)), _FOUND).where("size(runs) > 0").dropDuplicates(["key1", "key2"]))
+        found = part if found is None else found.unionByName(part)
+    lists = found.groupBy("key1", "key2").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("runs")).alias("runs"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    lists = lists.mapInArrow(_one_list, "key1 long, key2 long, n_words long, runs array<long>, items array<string>").drop("n_words")
+    every = rows.mapInArrow(_pass([]), _FOUND).drop("runs", "items")
+    none = lambda c, t: F.coalesce(c, F.array().cast(t)).alias(c)
+    return every.join(lists, ["key1", "key2"], "left").select("doc_id", "key1", "key2", "n_words", none("runs", "array<long>"), none("items", "array<string>"))
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, share: int = 20) -> DataFrame:
@@ -164,7 +171,7 @@ def _flags(docs: DataFrame, benchmark: DataFrame, window: int, share: int) -> Da
     """The rows of ``contamination`` with the key of their text."""
     found = occurrences(docs, benchmark, window)
     n_hit = F.aggregate("runs", F.struct(F.lit(0).cast("long").alias("sum"), F.lit(-1).cast("long").alias("sign")), lambda a, x: F.struct((a["sum"] + a["sign"] * x).alias("sum"), (-a["sign"]).alias("sign")))["sum"]
-    out = found.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), *content_key("text"))
+    out = found.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "key1", "key2")
     return out.withColumn("contaminated", (F.col("n_hit") > 0) & (share * F.col("n_hit") >= F.col("n_words")))
 
 

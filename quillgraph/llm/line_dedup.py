@@ -31,13 +31,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillgraph.llm import _text as tx
-from quillgraph.llm._shared import chunked, components, fresh, groups, written
+from quillgraph.llm._shared import chunked, components, fresh, groups, looked_up, written
 from quillgraph.llm.repeats import _located, _rows
 
 EDITS = 2
 LEAST = 24
 CROWD = 64
 GROUP = 20_000
+#: Lines that stand more than once or are linked: at most so many are broadcast, more are spread by their documents.
+BROADCAST_ROWS = 500_000
 #: Pairs of sketches that are compared at once.
 _BLOCK = 1 << 22
 #: 64-bit words of the sketch of pairs of characters.
@@ -308,14 +310,16 @@ def duplicate_lines(docs: DataFrame, edits: int = EDITS, least: int = LEAST) ->
     rows = _rows(docs)
     name = ["line", "sketch", "size"]
     occurrences = written(rows.mapInArrow(_occurrences, "line long, doc long, number long, size long, sketch long"))
-    firsts = written(occurrences.groupBy(*name).agg(F.min(F.struct("doc", "number")).alias("f")).select(*name, "f.doc", "f.number"))
+    firsts = written(occurrences.groupBy(*name).agg(F.min(F.struct("doc", "number")).alias("f"), F.count("*").alias("n")).select(*name, "f.doc", "f.number", "n"))
     classes = components(links(rows, firsts, edits, least)).withColumnRenamed("node", "line")
     united = firsts.join(classes, "line").select(*name, "component", F.struct("doc", "number").alias("f"))
     # only lines with links need their class's first place; all others keep their own
     heads = united.groupBy("component").agg(F.min("f").alias("head"))
     moved = united.join(heads, "component").select(*name, "head")
-    stay = firsts.join(moved, name, "left").select(*name, F.coalesce("head", F.struct("doc", "number")).alias("head"))
-    judged = occurrences.join(stay, name).withColumn("gone", (F.col("head.doc") != F.col("doc")) | (F.col("head.number") != F.col("number")))
+    # a line that stands once and isn't linked stays, so it needs no look-up
+    stay = firsts.join(moved, name, "left").where("n > 1 or head is not null").select(*name, F.coalesce("head", F.struct("doc", "number")).alias("head"))
+    judged = looked_up(occurrences, stay, name, "doc", "left", BROADCAST_ROWS)
+    judged = judged.withColumn("gone", F.coalesce((F.col("head.doc") != F.col("doc")) | (F.col("head.number") != F.col("number")), F.lit(False)))
     per = judged.select("doc", "number", "gone").distinct().groupBy("doc").agg(F.count("*").alias("n_lines"), F.sort_array(F.collect_list(F.when(F.col("gone"), F.col("number")))).alias("removed"))
     ids = rows.select("doc")
     out = ids.join(per, "doc", "left")

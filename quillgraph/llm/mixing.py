@@ -15,8 +15,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillgraph.llm._shared import small
+from quillgraph.llm._shared import fresh, small
 
+MADE = ("mix_rate", "mix_copy", "mix_order")
 
 #: The rates of at most this many sources are broadcast; more are joined by a shuffle, where adaptive skew joins split hot ones.
 SOURCES = 20_000
@@ -59,11 +60,16 @@ def rates(docs: DataFrame, weights: dict[str, float] | None = None, temperature:
 
 
 def mixed(docs: DataFrame, seed: str = "mix", weights: dict[str, float] | None = None, temperature: float = 0.5, budget: float = 1.0) -> DataFrame:
-    """All columns of ``docs`` with mix_rate, mix_copy (from 1) and mix_order, one row per copy, in the order of mix_order."""
-    table = small(rates(docs, weights, temperature, budget), SOURCES)
-    drawn = docs.join(table, F.coalesce(docs["source"], F.lit("")) == F.col("mix_source"))
-    count = F.size(F.filter("steps", lambda s: s < F.col("_u")))
-    copies = drawn.withColumn("_u", uniform(seed, F.col("doc_id"))).withColumn("_n", count).where("_n > 0")
-    copies = copies.withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("_n")))).withColumnRenamed("rate", "mix_rate")
+    """All columns of ``docs`` with mix_rate, mix_copy (from 1) and mix_order, one row per copy, in the order of mix_order.
+
+    Columns of ``docs`` that have one of these three names are those of an earlier mixture and are replaced.
+    """
+    source, rate, steps, drawn = fresh(docs, "mix_source", "rate", "steps", "drawn")
+    table = small(rates(docs, weights, temperature, budget), SOURCES).toDF(source, rate, steps)
+    rows = docs.join(table, F.coalesce(docs["source"], F.lit("")) == F.col(source))
+    count = F.size(F.filter(steps, lambda s: s < F.col(drawn)))
+    rows = rows.withColumn(drawn, uniform(seed, F.col("doc_id"))).withColumn(steps, count).where(F.col(steps) > 0)
+    own = [F.col(c) for c in docs.columns if c not in MADE]
+    copies = rows.select(*own, F.col(rate).alias("mix_rate"), F.explode(F.sequence(F.lit(1), F.col(steps))).alias("mix_copy"))
     copies = copies.withColumn("mix_order", F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("mix_copy").cast("string"))))
-    return copies.drop("_u", "_n", "steps", "mix_source").repartitionByRange("mix_order").sortWithinPartitions("mix_order")
+    return copies.repartitionByRange("mix_order").sortWithinPartitions("mix_order")

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillgraph.llm import _text as tx
-from quillgraph.llm._shared import chunked, components, forget, groups, written
+from quillgraph.llm._shared import chunked, components, forget, fresh, groups, looked_up, released, written
 
 TREES, DEPTH, NEIGHBOURS = 16, 8, 4
 #: Trees whose crowded regions are searched exactly, documents of a bucket before it goes deeper, and documents of a group
@@ -83,9 +83,9 @@ def signatures(docs: DataFrame, size: int) -> DataFrame:
                     k1.append(x)
                     k2.append(y)
                     sig.append(minhashes(s).astype(">u4").tobytes() if len(s) else None)
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(sig, pa.binary())], names=["doc_id", "n_shingles", "k1", "k2", "sig"])
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(sig, pa.binary()), b.column(2)], names=["doc_id", "n_shingles", "k1", "k2", "sig", "text_key"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_shingles long, k1 long, k2 long, sig binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"), F.xxhash64("text").alias("text_key")).mapInArrow(lambda batches: released(run(batches)), "doc_id long, n_shingles long, k1 long, k2 long, sig binary, text_key long")
 
 
 def _trees(batches):
@@ -387,16 +387,25 @@ def _left(crowded: DataFrame, labels: DataFrame, sets_of, numerator: int, denomi
     return written(whole.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_joined(numerator, denominator), "a long, b long").distinct())
 
 
+def first_of_group(docs: DataFrame, shingle: int = 5, threshold: tuple[int, int] = (80, 100)) -> DataFrame:
+    """The rows of ``docs`` but for those of other documents than the first of their group; a row goes by its id and text together."""
+    gone_id, gone_text = fresh(docs, "gone_id", "gone_text")
+    gone = near_duplicates(docs, shingle, threshold).where("not kept").select(F.col("doc_id").alias(gone_id), F.col("text_key").alias(gone_text)).distinct()
+    gone = written(gone)
+    return docs.join(_small(gone), (F.col("doc_id").cast("long") == F.col(gone_id)) & (F.xxhash64("text") == F.col(gone_text)), "left_anti")
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 4, threshold: tuple[int, int] = (80, 100)) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) for every row of ``docs`` (doc_id, text).
+    """(doc_id, n_shingles, component_id, text_key, kept) for every row of ``docs`` (doc_id, text); text_key is the row's text hash.
 
     Two documents are linked where denominator * |A and B| >= numerator * |A or B|; components are those of the links.
     """
     numerator, denominator = threshold
     sketched = written(signatures(docs, shingle))
-    classes = sketched.where("n_shingles > 0 and doc_id is not null").groupBy("k1", "k2").agg(F.min("doc_id").alias("node"))
+    classes = sketched.where("n_shingles > 0 and doc_id is not null").groupBy("k1", "k2").agg(F.min("doc_id").alias("node"), F.count("*").alias("n"))
     # the other members of the classes are fewer and narrow; signatures and texts stay where they are while these are few
-    copies = written(sketched.select("doc_id", "k1", "k2").join(classes, ["k1", "k2"]).where("doc_id <> node").select("doc_id", "k1", "k2"))
+    keys = ["k1", "k2"]
+    copies = written(looked_up(sketched.select("doc_id", *keys), classes.where("n > 1").drop("n"), keys, "doc_id", most=BROADCAST_ROWS).where("doc_id <> node").select("doc_id", *keys))
     heads = sketched.where("sig is not null and doc_id is not null").join(_small(copies), ["doc_id", "k1", "k2"], "left_anti").select(F.col("doc_id").alias("node"), "k1", "k2", "sig")
     pairs, crowded = candidates(heads, numerator / denominator)
     pairs, crowded = written(pairs), written(crowded)
@@ -404,7 +413,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, threshold: tuple[int, int
 
     def sets_of(nodes: DataFrame) -> DataFrame:
         texts = docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(_small(nodes), "node", "left_semi")
-        keyed = texts.mapInArrow(_sets(shingle), "node long, k1 long, k2 long, set binary")
+        keyed = texts.mapInArrow(lambda batches: released(_sets(shingle)(batches)), "node long, k1 long, k2 long, set binary")
         # a doc_id that stands on several rows is the node of one of its sets only
         return written(keyed.join(own, ["node", "k1", "k2"], "left_semi").select("node", "set").dropDuplicates(["node"]))
 
@@ -429,7 +438,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, threshold: tuple[int, int
     forget(crowded)
     if more is not None:
         labels = written(components(links.unionByName(more)))
-    parts = classes.join(labels, "node", "left").select("k1", "k2", F.coalesce("component", "node").alias("c"))
-    out = sketched.select("doc_id", "n_shingles", "k1", "k2").join(parts, ["k1", "k2"], "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.when(F.col("n_shingles") > 0, F.col("c")).otherwise(F.col("doc_id")))
-    return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    # a document alone in its class and without links is its own component
+    parts = classes.join(labels, "node", "left").where("n > 1 or component is not null").select(*keys, F.coalesce("component", "node").alias("c"))
+    out = looked_up(sketched.select("doc_id", "n_shingles", *keys, "text_key"), parts, keys, "doc_id", "left", BROADCAST_ROWS)
+    component = F.when(F.col("doc_id").isNotNull(), F.when(F.col("n_shingles") > 0, F.coalesce("c", "doc_id")).otherwise(F.col("doc_id")))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), "text_key").withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

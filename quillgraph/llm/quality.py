@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillgraph.llm import _text as tx
-from quillgraph.llm._shared import content_key, small, without, written
+from quillgraph.llm._shared import content_key, released, small, without, written
 
 ORDER = 5
 #: Width of the band in robust deviations, and the length in bytes at which chance within a text weighs as much as the
@@ -39,7 +39,7 @@ ORDER = 5
 BELOW, ABOVE, SPREAD = 15.0, 30.0, 2000.0
 #: The least robust deviation, in nats a byte; it matters only for languages whose texts are nearly all alike.
 LEAST_DEVIATION = 0.01
-MODEL_ROWS = 4_000_000
+MODEL_ROWS = 2_000_000
 #: The bands of at most this many languages are broadcast; more are joined by a shuffle.
 LANGUAGES = 10_000
 #: Perplexity histogram cells per nat.
@@ -207,7 +207,7 @@ def _summed(parts):
 
 def gram_counts(docs: DataFrame) -> DataFrame:
     """(lang, fold, gram, n): n-grams of ORDER signs over all well-formed texts."""
-    part = docs.select(F.col("lang").cast("string").alias("lang"), F.col("text").alias("text")).mapInArrow(_counted, "lang string, fold int, gram long, n long")
+    part = docs.select(F.col("lang").cast("string").alias("lang"), F.col("text").alias("text")).mapInArrow(lambda batches: released(_counted(batches)), "lang string, fold int, gram long, n long")
     return part.groupBy("lang", "fold", "gram").agg(F.sum("n").alias("n"))
 
 
@@ -374,7 +374,7 @@ def scores(docs: DataFrame) -> DataFrame:
     whole, parts = None, []
     for block in range(blocks):
         held = spark.sparkContext.broadcast(_models(counts, low, block, blocks))
-        run = lambda batches, held=held, block=block: _scored(held.value, block, blocks)(batches)
+        run = lambda batches, held=held, block=block: released(_scored(held.value, block, blocks)(batches))
         made = written(rows.mapInArrow(run, _PART if block else _OUT))
         held.destroy()
         if block:

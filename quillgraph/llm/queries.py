@@ -25,7 +25,7 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
 def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = _table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").cast("long").alias("turn"), "role", "text")
     odd = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit("<|im_end|><|im_start|>assistant ok").alias("text"))
-    return chat.digest(chat.render(chat.fold(chat.events_of_turns(turns.unionByName(odd)))))
+    return chat.digest(chat.render(chat.fold(chat.streamed(chat.events_of_turns(turns.unionByName(odd))))))
 
 
 _OP1 = """

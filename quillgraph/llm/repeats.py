@@ -15,7 +15,7 @@ The steps:
 4. the removed strings of each text are united.
 
 All groups are read as sorted streams, so a passage in a third of all texts needs no more memory than another, and rows
-are linear in the input. Strings are named by 64-bit hashes.
+are linear in the input. Strings are named by two independent 64-bit hashes, cells by those of the cell and of its anchor.
 
 Defined cases: a null text is empty; texts shorter than ``length`` lose nothing; rows without doc_id come before all
 others (in the order of a hash of their texts); rows with equal doc_id and text have equal results, rows with equal doc_id and other texts count as one
@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillgraph.llm import _text as tx
-from quillgraph.llm._shared import written
+from quillgraph.llm._shared import looked_up, written
 
 SAMPLE = 32
 STRIDE = 8
@@ -227,40 +227,40 @@ def _shared(batches):
 
 
 def _strings(length: int):
-    """Names of the strings that start in the given ranges."""
+    """Names, of two hashes, of the strings that start in the given ranges."""
 
     def run(batches):
         with np.errstate(over="ignore"):
             for b in batches:
                 docs, lists = b.column(0).to_numpy(), [b.column(k).to_pylist() for k in (2, 3)]
                 for first, last, data, offsets in tx.pieces(b.column(1)):
-                    prefix = tx.prefix_hash(data)
+                    prefix, other = tx.prefix_hash(data), tx.prefix_hash(data, tx.OTHER)
                     text = np.repeat(np.arange(last - first), [len(lists[0][first + k]) for k in range(last - first)])
                     s0, s1 = (np.concatenate([np.asarray(x, np.int64) for x in part[first:last]]) + offsets[text] for part in lists)
                     s = tx.positions(s0, s1 - s0 + 1)
                     of = np.repeat(text, s1 - s0 + 1)
-                    yield pa.RecordBatch.from_arrays([pa.array(tx.span_hash(prefix, s, s + length).view(np.int64)), pa.array(docs[first:last][of]), pa.array(s - offsets[of])], names=["g", "doc", "s"])
+                    yield pa.RecordBatch.from_arrays([pa.array(tx.span_hash(prefix, s, s + length).view(np.int64)), pa.array(tx.span_hash(other, s, s + length, tx.OTHER_INV).view(np.int64)), pa.array(docs[first:last][of]), pa.array(s - offsets[of])], names=["g", "g2", "doc", "s"])
 
     return run
 
 
 def _later(length: int):
-    """Streams rows sorted by (g, doc, s) and returns all but the first of each g, as spans."""
+    """Streams rows sorted by (g, g2, doc, s) and returns all but the first of each string, as spans."""
 
     def run(batches):
-        g0 = seen = None
+        last = None
         for b in batches:
             if not b.num_rows:
                 continue
-            g, doc, s = (b.column(k).to_numpy() for k in range(3))
+            g, g2, doc, s = (b.column(k).to_numpy() for k in range(4))
             same = np.empty(len(g), bool)
-            same[1:] = g[1:] == g[:-1]
-            same[0] = g0 is not None and g[0] == g0
+            same[1:] = (g[1:] == g[:-1]) & (g2[1:] == g2[:-1])
+            same[0] = last is not None and (g[0], g2[0]) == last[:2]
             again = np.zeros(len(g), bool)
             again[1:] = same[1:] & (doc[1:] == doc[:-1]) & (s[1:] == s[:-1])
-            again[0] = (g[0], doc[0], s[0]) == seen
+            again[0] = (g[0], g2[0], doc[0], s[0]) == last
             same &= ~again
-            g0, seen = g[-1], (g[-1], doc[-1], s[-1])
+            last = g[-1], g2[-1], doc[-1], s[-1]
             if same.any():
                 yield pa.RecordBatch.from_arrays([pa.array(doc[same]), pa.array(s[same]), pa.array(s[same] + length)], names=["doc", "lo", "hi"])
 
@@ -327,8 +327,9 @@ def removed(docs: DataFrame, length: int = 100) -> tuple[DataFrame, DataFrame, D
     """(rows, classes, spans): identity of every row, first doc of each text, and spans (doc, lo, hi) of the first texts to remove."""
     rows = _rows(docs)
     identities = written(rows.mapInArrow(_identities, "doc long, n_bytes long, k1 long, k2 long, whole string"))
-    classes = identities.groupBy("k1", "k2").agg(F.min("doc").alias("first"))
-    copies = written(identities.select("doc", "k1", "k2").join(classes, ["k1", "k2"]).where("doc <> first").select("doc").distinct())
+    # classes of one text say nothing
+    classes = written(identities.groupBy("k1", "k2").agg(F.min("doc").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"))
+    copies = written(looked_up(identities.select("doc", "k1", "k2"), classes, ["k1", "k2"], "doc", most=BROADCAST_ROWS).where("doc <> first").select("doc").distinct())
     heads = rows.where(F.octet_length("text") >= length).join(_small(copies), "doc", "left_anti")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     cells = heads.mapInArrow(_cells(length), "h long, cell long, doc long, at long, reach int, later boolean")
@@ -336,8 +337,8 @@ def removed(docs: DataFrame, length: int = 100) -> tuple[DataFrame, DataFrame, D
     whole = kinds.where("kind = 0").select("doc", (F.col("at") - F.shiftright("reach", 16)).alias("lo"), (F.col("at") - F.col("reach").bitwiseAND(0xFFFF) + length).alias("hi"))
     cores = _located(heads, kinds.where("kind = 1").select("doc", "at", "reach")).mapInArrow(_cores(length), "key long, doc long, s0 long, s1 long")
     ranges = written(cores.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(_shared, "doc long, s0 long, s1 long"))
-    strings = _located(heads, ranges).mapInArrow(_strings(length), "g long, doc long, s long")
-    ends = strings.repartition(parts, "g").sortWithinPartitions("g", "doc", "s").mapInArrow(_later(length), "doc long, lo long, hi long")
+    strings = _located(heads, ranges).mapInArrow(_strings(length), "g long, g2 long, doc long, s long")
+    ends = strings.repartition(parts, "g").sortWithinPartitions("g", "g2", "doc", "s").mapInArrow(_later(length), "doc long, lo long, hi long")
     return identities, classes, written(whole.unionByName(ends))
 
 
@@ -346,8 +347,8 @@ def deduplicated(docs: DataFrame, length: int = 100) -> DataFrame:
     identities, classes, spans = removed(docs, length)
     rows = _rows(docs)
     done = _located(rows, spans, merge=True).mapInArrow(_united, "doc long, n_removed long, n_spans long, kept_sha256 string")
-    out = identities.join(classes, ["k1", "k2"]).join(done.dropDuplicates(["doc"]), "doc", "left")
-    copy = (F.col("doc") > F.col("first")) & (F.col("n_bytes") >= length)
+    out = looked_up(identities, classes, ["k1", "k2"], "doc", "left", BROADCAST_ROWS).join(done.dropDuplicates(["doc"]), "doc", "left")
+    copy = F.coalesce(F.col("doc") > F.col("first"), F.lit(False)) & (F.col("n_bytes") >= length)
     nothing = hashlib.sha256(b"").hexdigest()
     return out.select(
         F.when(F.col("doc") >= _NONE // 2, F.col("doc")).alias("doc_id"),

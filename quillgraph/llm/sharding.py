@@ -2,7 +2,8 @@
 
 Rows lie in old shards; new shards take equal numbers of rows, at most one apart. A block is the rows of one old shard
 in one size class (powers of two). The flow network sends each block's rows to new shards: staying costs nothing, each
-moved row costs the mean bytes of its block. Successive shortest paths give the transfers that move the fewest bytes;
+moved row costs the mean bytes of its block. Successive shortest paths give the transfers that move the fewest bytes, up to
+the differences within a size class, as rows of one block count alike;
 within a block, ranks say which rows go where, and slots follow from the same ranks. So only one window by block and
 bucket touches all rows, and the driver sees a histogram of old shards x classes x ``BUCKETS`` cells, whatever the input.
 
@@ -18,6 +19,8 @@ from collections import defaultdict
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillgraph.llm._shared import forget, written
+
 BUCKETS = 64
 
 
@@ -137,13 +140,26 @@ def resharded(docs: DataFrame, shards: int = 40, old_shards: int = 32, old: str
     return placed.select("doc_id", "size", "text_crc32", "old_shard", F.col("goes.shard").alias("shard"), (F.col("goes.base") + F.col("rank") - F.col("goes.lo")).alias("slot"), *(["row"] if carry else []))
 
 
+#: Rows of one file of a rewritten shard.
+FILE_ROWS = 1_000_000
+
+
 def rewrite(placed: DataFrame, path: str) -> list[int]:
-    """Write the files of the shards whose rows change, partitioned by shard, and return their numbers.
+    """Put the rows of the shards that change in place of their old files under ``path``, and return their numbers.
 
-    ``placed`` comes from ``resharded`` with ``carry``. Shards without moves keep their old files.
+    ``placed`` comes from ``resharded`` with ``carry``. Rows are staged in the shared folder first, as they may come from the files
+    that are replaced; a shard goes to as many tasks as it has files. Shards without moves keep their old files.
     """
     moves = placed.where("old_shard <> shard").select(F.explode(F.array("old_shard", "shard")).alias("s")).distinct()
     affected = sorted(r["s"] for r in moves.collect())
-    rows = placed.where(F.col("shard").isin(affected)).select("row.*", "shard", "slot")
-    rows.repartition("shard").sortWithinPartitions("shard", "slot").write.mode("append").partitionBy("shard").parquet(path)
+    own = [c for c in placed.select("row.*").columns if c.lower() not in ("shard", "slot")]
+    rows = placed.where(F.col("shard").isin(affected)).select(*[F.col(f"row.`{c}`") for c in own], "shard", "slot")
+    staged = written(rows.repartition("shard", F.floor(F.col("slot") / FILE_ROWS)).sortWithinPartitions("shard", "slot"))
+    left = {r["shard"] for r in staged.select("shard").distinct().collect()}
+    staged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("shard").parquet(path)
+    forget(staged)
+    jvm, hadoop = placed.sparkSession.sparkContext._jvm, placed.sparkSession.sparkContext._jsc.hadoopConfiguration()
+    for shard in sorted(set(affected) - left):  # all its rows went elsewhere
+        folder = jvm.org.apache.hadoop.fs.Path(f"{path}/shard={shard}")
+        folder.getFileSystem(hadoop).delete(folder, True)
     return affected

@@ -45,3 +45,13 @@ def test_folding_of_deltas_edits_and_regenerations(spark):
 
 def test_empty(spark):
     assert chat.digest(chat.render(chat.fold(chat.events_of_turns(spark.createDataFrame([], "conv_id long, turn long, role string, text string"))))).collect() == []
+
+
+def test_streamed_log_folds_back_to_its_turns(spark):
+    rows = [(c, t, r, x) for c in (1, 2, None) for t, (r, x) in enumerate([("user", "héllo <|im_end|>"), ("assistant", "a" * 7), ("user", None), ("assistant", "𝒳y"), ("assistant", "edit me"), (None, "z")])] + [(9, 0, "user", "long " * 200_000)]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    plain = chat.events_of_turns(turns)
+    log = chat.streamed(plain)
+    assert {x.kind for x in log.select("kind").distinct().collect()} == {"message", "edit", "delta", "regenerate"}
+    want = sorted(map(tuple, chat.digest(chat.render(chat.fold(plain))).collect()), key=str)
+    assert sorted(map(tuple, chat.digest(chat.render(chat.fold(log))).collect()), key=str) == want

@@ -249,3 +249,70 @@ def test_secret_scan_finds_letters_digits_and_short_keys_but_no_words(spark):
     for k, (_, n) in enumerate(kinds):
         assert sum(got[k * 400 + i] == f"random:3:{3 + n}" for i in range(300)) >= 240, k
     assert sum(got[5000 + k].count("random") for k in range(300)) <= 60
+
+
+def brute_p(token, alphabet):
+    """The combined p-value of the three tests from their textbook formulas."""
+    tail = lambda z: 0.5 * math.erfc(z / math.sqrt(2))
+    n, size = len(token), len(alphabet)
+    x = [alphabet.index(c) for c in token]
+    chi = sum((x.count(k) - n / size) ** 2 / (n / size) for k in range(size))
+    df = size - 1
+    shape = df / (df * (n - 1) / n)
+    tests = [tail(((chi / df) ** (1 / 3) - (1 - 2 / (9 * df * shape))) / math.sqrt(2 / (9 * df * shape)))]
+    high = [v >= size / 2 for v in x]
+    a = sum(high)
+    b = n - a
+    if a and b:
+        runs, mean = 1 + sum(p != q for p, q in zip(high, high[1:], strict=False)), 1 + 2 * a * b / n
+        tests.append(2 * tail(abs(runs - mean) / math.sqrt(max((mean - 1) * (mean - 2) / (n - 1), 1e-9))))
+    else:
+        tests.append(2.0 ** (1 - n))
+    m = sum(x) / n
+    power = sum((v - m) ** 2 for v in x)
+    tests.append(2 * tail(abs(sum((p - m) * (q - m) for p, q in zip(x, x[1:], strict=False)) / power + 1 / n) * math.sqrt(n)) if power else 2.0 ** (1 - n))
+    s = -sum(math.log(min(1.0, max(p, 1e-300))) for p in tests)
+    return math.exp(-s) * (1 + s + s * s / 2)
+
+
+def test_secret_scan_matches_brute_force(spark):
+    r = random.Random(21)
+    base62 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    word = lambda: "".join(r.choices(["ba", "ko", "mi", "rul", "Te", "_", "9"], k=r.randint(3, 7)))
+    draw = lambda a, n: "".join(r.choices(a, k=n))
+    makers = [word, word, lambda: draw(base62, r.choice([14, 30, 50, 120])), lambda: draw("0123456789abcdef", r.choice([20, 31, 40])), lambda: f"{r.choice(['API-KEY', 'api_key', 'Passwd', 'token', 'SECRET'])}{r.choice(['', chr(34)])}{r.choice([':', ' = ', '=  ', ' '])}{r.choice(['', chr(39)])}{draw(base62 + '+/_.=-', r.choice([5, 8, 30]))}", lambda: "AKIA" + draw("ABC123", r.choice([8, 16])), lambda: "é ſ\n"]
+    rows = [(k, r.choice([" ", "", ","]).join(r.choice(makers)() for _ in range(r.randint(1, 12)))) for k in range(400)]
+    rows += [(400, None), (401, ""), (402, " ".join(draw(base62, 40) for _ in range(30)) * 20), (402, rows[0][1]), (None, rows[1][1])]
+    patterns = [(r"(?ai:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", 8), (r"(AKIA[A-Z0-9]+)", 16), (r"([0-9a-f]+)", 32)]
+    found, cells = [], {}
+    for i, t in rows:
+        t = t or ""
+        base = [(m.start(), k, m.end()) for k, (p, least) in enumerate(patterns) for m in re.finditer(p, t) if len(m[1]) >= least]
+        more = []
+        for m in re.finditer(r"[A-Za-z0-9+/_-]{8,}", t):
+            kind = next((k for k, (_, a) in enumerate(secrets_scan.ALPHABETS) if set(m[0]) <= set(a)), None)
+            if kind is None or any(s < m.end() and m.start() < e for s, _, e in base):
+                continue
+            p = brute_p(m[0], secrets_scan.ALPHABETS[kind][1])
+            cell = (kind, sum(len(m[0]) >= b for b in secrets_scan.BANDS))
+            if p >= secrets_scan.FLOOR:
+                cells.setdefault(cell, {})[m[0]] = min(99, int(p * 100))
+                more.append((m.start(), m.end(), cell, min(99, int(p * 100))))
+        found.append((i, sorted(base), more))
+    cut = {}
+    for cell, strings in cells.items():
+        ks = list(strings.values())
+        upper, top = sum(k >= 50 for k in ks), sum(k >= 75 for k in ks)
+        if upper - 2 * top > 2 * math.sqrt(upper):
+            continue
+        fits = [k for k in range(100) if (above := sum(x >= k for x in ks)) and above - 2 * upper * (1 - max(secrets_scan.FLOOR, k / 100)) <= secrets_scan.RATE * above]
+        if fits:
+            cut[cell] = fits[0]
+    want = []
+    for i, base, more in found:
+        named = [f"{secrets_scan.KINDS[k]}:{s}:{e}" for s, k, e in base]
+        every = sorted(base + [(s, 3, e) for s, e, cell, k in more if k >= cut.get(cell, 100)])
+        want.append((i, *(sum(x[1] == k for x in base) for k in range(3)), hashlib.sha256(",".join(named).encode()).hexdigest(), ",".join(f"{secrets_scan.KINDS[k]}:{s}:{e}" for s, k, e in every)))
+    got = [tuple(x) for x in secrets_scan.digest(spark.createDataFrame([(*x, 7) for x in rows], "doc_id long, text string, base int")).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
+    assert sum("random" in x[5] for x in want) > 50

@@ -5,6 +5,8 @@ from collections import Counter
 import pytest
 
 import corpus_pipeline
+from pyspark.sql import functions as F
+
 from quillgraph.llm import mixing, sharding
 
 
@@ -50,18 +52,23 @@ def test_reshard_law_and_fewest_bytes(spark, tmp_path):
         assert len(moved) == max(0, n - count[p])
         if moved and kept:
             assert max(moved).bit_length() <= min(kept).bit_length()
-    affected = sharding.rewrite(placed, str(tmp_path / "out"))
-    back = spark.read.parquet(str(tmp_path / "out"))
-    assert back.count() == sum(count[s] for s in affected)
+    out = str(tmp_path / "out")
+    df.withColumn("shard", F.col("place")).write.partitionBy("shard").parquet(out)  # the old files
+    before = {s: n for s, n in Counter(p for *_, p in rows).items()}
+    affected = sharding.rewrite(placed, out)
+    back = Counter(x.shard for x in spark.read.parquet(out).collect())
+    assert back == {s: count[s] if s in affected else before[s] for s in set(affected) | set(before)}
+    assert sharding.rewrite(placed.where("old_shard = shard"), str(tmp_path / "none")) == []
     assert sharding.resharded(df.limit(0), shards=7, old="place").collect() == []
 
 
 def test_mixing_rates_and_repeats(spark):
     rows = [(i, "x" * 100, "a" if i % 10 else None) for i in range(3000)]
-    df = spark.createDataFrame([(*x, 1.0) for x in rows], "doc_id long, text string, source string, rate double")
+    df = spark.createDataFrame([(*x, 1.0, "s", 5, 6) for x in rows], "doc_id long, text string, source string, rate double, steps string, _drawn int, _n int")
     got = mixing.mixed(df, weights={"a": 0.5, "": 0.5}).groupBy("source").count().collect()
     count = {x.source: x["count"] for x in got}
     assert count["a"] == pytest.approx(1500, rel=0.1) and count[None] == pytest.approx(1500, rel=0.1)
+    assert mixing.mixed(df).columns == [*df.columns, *mixing.MADE]
     again = mixing.mixed(df, weights={"a": 0.5, "": 0.5})
     assert again.count() == sum(count.values())
     order = [x.mix_order for x in again.select("mix_order").collect()]
