@@ -7,7 +7,7 @@ equi-join, so the optimiser picks broadcast or shuffle by the measured sizes.
 from __future__ import annotations
 
 from collections.abc import Iterable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -219,6 +219,7 @@ def expand(seeds: DataFrame, edges: DataFrame, budget: Budget = Budget()) -> Dat
     items = first.where(F.col("n") <= min(most)).select("q_id", F.lit("ENTITY").alias("kind"), F.col("identity").alias("identifier"), F.col("score").cast("double").alias("score"), F.lit(0).alias("hop"), F.col("n").cast("long").alias("pos"))
     usable = accepted(edges, budget.include, budget.exclude, budget.least_weight)
     frontier = items.select("q_id", F.col("identifier").alias("identity"))
+    limits = replace(budget, columns=[])  # orders are columns and stay on the driver
     for hop in range(1, budget.hops + 1):
         found = _ordered(from_frontier(usable, frontier, budget.direction), frontier_of(items), budget)
         state = items.groupBy("q_id").agg(F.array_sort(F.collect_list(F.struct("hop", "pos", "kind", "identifier"))).alias("state"))
@@ -230,7 +231,7 @@ def expand(seeds: DataFrame, edges: DataFrame, budget: Budget = Budget()) -> Dat
             counts = {"keys": edge_keys, "relationships": len(edge_keys), "items": sum(x[2] != "NODE" for x in state)}
             rows = pdf.drop(columns="state")
             rows = rows.sort_values("place")
-            taken = greedy(rows.to_dict("records"), nodes, counts, budget)
+            taken = greedy(rows.to_dict("records"), nodes, counts, limits)
             return pd.DataFrame([(pdf["q_id"].iloc[0], k, i, s, 0, n) for n, (k, i, s) in enumerate(taken, 1)], columns=["q_id", "kind", "identifier", "score", "hop", "pos"])
 
         new = found.join(state, "q_id").groupBy("q_id").applyInPandas(step, _ITEMS).withColumn("hop", F.lit(hop))

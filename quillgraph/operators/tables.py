@@ -8,13 +8,18 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
 def steady(spark: SparkSession) -> SparkSession:
-    """Turn off a rule of Spark 4.1 that gives wrong groups.
+    """Set what all plans here rely on: Arrow batches of few megabytes, and a rule of Spark 4.1 off that gives wrong groups.
 
-    There a union keeps the partitioning that its children have in common, and an aggregate or window over it needs no shuffle;
+    By that rule a union keeps the partitioning that its children have in common, and an aggregate or window over it needs no shuffle;
     but where adaptive execution merges the children's partitions in different ways, a group stands in two of them and comes twice.
     """
     spark.conf.set("spark.sql.unionOutputPartitioning", "false")
+    if spark.conf.get(_BATCH, None) in (None, "67108864b", "64MB"):  # not set by the user
+        spark.conf.set(_BATCH, "8MB")
     return spark
 
 

@@ -53,15 +53,14 @@ def read_graph(spark, path: str, corpus: str, form: str = "parquet") -> dict[str
 
     out = {}
     for name in PARTS:
-        schema = spark.createDataFrame([], SCHEMAS[name]).schema
+        schema = spark.createDataFrame([], SCHEMAS[name]).drop("corpus_id").schema
         try:
-            rows = spark.read.format(form).load(f"{path.rstrip('/')}/{name}")
+            rows = spark.read.format(form).schema(schema).load(f"{path.rstrip('/')}/{name}")
         except AnalysisException as e:
             if "PATH_NOT_FOUND" not in str(e):
                 raise
             rows = spark.createDataFrame([], schema)
-        given = [F.col(f.name).cast(f.dataType).alias(f.name) if f.name in rows.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in schema if f.name != "corpus_id"]
-        out[name] = rows.select(F.lit(corpus).alias("corpus_id"), *given)
+        out[name] = rows.select(F.lit(corpus).alias("corpus_id"), "*")
     return out
 
 
