@@ -9,11 +9,16 @@ from pyspark.sql import functions as F
 
 from quillgraph.operators.tables import components, forget, shared_dir, small, written
 
-__all__ = ["chunked", "components", "content_key", "forget", "fresh", "groups", "looked_up", "released", "shared_dir", "small", "without", "written"]
+__all__ = ["chunked", "components", "content_key", "forget", "fresh", "groups", "looked_up", "released", "shared_dir", "small", "trimmed", "without", "written"]
+
+
+def trimmed(run):
+    """``run`` over Arrow batches, after which the worker gives the memory that it no longer needs back, as it may wait beside
+    other stages."""
+    return lambda batches: released(run(batches))
 
 
 def released(batches):
-    """``batches``, after which the worker gives the memory that it no longer needs back, as it may wait beside other stages."""
     yield from batches
     pa.default_memory_pool().release_unused()
     try:

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillgraph.llm import _text as tx
-from quillgraph.llm._shared import content_key, without, written
+from quillgraph.llm._shared import content_key, trimmed, without, written
 
 PATTERN_BYTES = 16 << 20
 _PART = 256
@@ -149,11 +149,11 @@ def occurrences(docs: DataFrame, benchmark: DataFrame, window: int = 13) -> Data
     blocks = max(1, -(-2 * (total[0] or 0) // PATTERN_BYTES))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *content_key("text"), F.col("text").alias("text"))
     if blocks == 1:
-        return rows.mapInArrow(_pass(compiled([tuple(r) for r in items.collect()], window)), _FOUND)
+        return rows.mapInArrow(trimmed(_pass(compiled([tuple(r) for r in items.collect()], window))), _FOUND)
     found = None
     for k in range(blocks):
         block = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k)
-        part = written(rows.mapInArrow(_pass(compiled([tuple(r) for r in block.collect()], window)), _FOUND).where("size(runs) > 0").dropDuplicates(["key1", "key2"]))
+        part = written(rows.mapInArrow(trimmed(_pass(compiled([tuple(r) for r in block.collect()], window))), _FOUND).where("size(runs) > 0").dropDuplicates(["key1", "key2"]))
         found = part if found is None else found.unionByName(part)
     lists = found.groupBy("key1", "key2").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("runs")).alias("runs"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
     lists = lists.mapInArrow(_one_list, "key1 long, key2 long, n_words long, runs array<long>, items array<string>").drop("n_words")

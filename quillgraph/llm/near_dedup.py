@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillgraph.llm import _text as tx
-from quillgraph.llm._shared import chunked, components, forget, fresh, groups, looked_up, released, written
+from quillgraph.llm._shared import chunked, components, forget, fresh, groups, looked_up, trimmed, written
 
 TREES, DEPTH, NEIGHBOURS = 16, 8, 4
 #: Trees whose crowded regions are searched exactly, documents of a bucket before it goes deeper, and documents of a group
@@ -85,7 +85,7 @@ def signatures(docs: DataFrame, size: int) -> DataFrame:
                     sig.append(minhashes(s).astype(">u4").tobytes() if len(s) else None)
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(sig, pa.binary()), b.column(2)], names=["doc_id", "n_shingles", "k1", "k2", "sig", "text_key"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"), F.xxhash64("text").alias("text_key")).mapInArrow(lambda batches: released(run(batches)), "doc_id long, n_shingles long, k1 long, k2 long, sig binary, text_key long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"), F.xxhash64("text").alias("text_key")).mapInArrow(trimmed(run), "doc_id long, n_shingles long, k1 long, k2 long, sig binary, text_key long")
 
 
 def _trees(batches):
@@ -267,9 +267,9 @@ def candidates(sigs: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]
     """Candidate pairs (a < b, score) of nodes with signatures, from every tree, and the members (bucket, node, sketch) of crowded buckets."""
     least = least_score(threshold)
     spark = sigs.sparkSession
-    forest = sigs.select("node", "sig").mapInArrow(_trees, "tree int, key binary, node long, sketch binary")
+    forest = sigs.select("node", "sig").mapInArrow(trimmed(_trees), "tree int, key binary, node long, sketch binary")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    found = written(forest.repartitionByRange(parts, "tree", "key").sortWithinPartitions("tree", "key").mapInArrow(_scan(least), "a long, b long, score float, region long, sketch binary, size long"))
+    found = written(forest.repartitionByRange(parts, "tree", "key").sortWithinPartitions("tree", "key").mapInArrow(trimmed(_scan(least)), "a long, b long, score float, region long, sketch binary, size long"))
     pairs = found.where("region is null").select("a", "b", "score")
     members_of = found.where("region is not null and size is null").select(F.col("region").alias("bucket"), F.col("a").alias("node"), "sketch")
     centres = found.where("size is not null").groupBy("region", "a").agg(F.max("size").alias("size"), F.first("sketch").alias("sketch"))
@@ -277,7 +277,8 @@ def candidates(sigs: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]
     several = written(several.select("region", F.explode("c").alias("c")).select("region", F.col("c.a").alias("centre"), F.col("c.sketch").alias("other")))
     if not several.isEmpty():
         members = forest.select((F.col("tree").cast("long") * (1 << 32) + F.conv(F.hex(F.substring("key", 1, 4)), 16, 10).cast("long")).alias("region"), "node", "sketch").join(several, "region").where("node <> centre")
-        pairs = pairs.unionByName(members.mapInArrow(_closer(least), "a long, b long, score float"))
+        # written first, so that no stage runs two Python workers for one task
+        pairs = pairs.unionByName(written(members).mapInArrow(trimmed(_closer(least)), "a long, b long, score float"))
     return pairs.groupBy("a", "b").agg(F.max("score").alias("score")), members_of
 
 
@@ -379,12 +380,12 @@ def _left(crowded: DataFrame, labels: DataFrame, sets_of, numerator: int, denomi
     several = rows.groupBy("bucket").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo <> hi").select("bucket")
     rows = written(rows.join(several, "bucket", "left_semi"))
     rows = chunked(rows, "bucket", "node", 2 * BUCKET)
-    near = written(rows.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_apart(least_score(numerator / denominator)), "bucket long, node long, part long"))
+    near = written(rows.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(trimmed(_apart(least_score(numerator / denominator))), "bucket long, node long, part long"))
     if near.isEmpty():
         return None
     sets = sets_of(written(near.select("node").distinct()))
     whole = chunked(near, "bucket", "node", GROUP).join(sets, "node").select("bucket", "node", "part", "set")
-    return written(whole.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_joined(numerator, denominator), "a long, b long").distinct())
+    return written(whole.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(trimmed(_joined(numerator, denominator)), "a long, b long").distinct())
 
 
 def first_of_group(docs: DataFrame, shingle: int = 5, threshold: tuple[int, int] = (80, 100)) -> DataFrame:
@@ -413,7 +414,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, threshold: tuple[int, int
 
     def sets_of(nodes: DataFrame) -> DataFrame:
         texts = docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(_small(nodes), "node", "left_semi")
-        keyed = texts.mapInArrow(lambda batches: released(_sets(shingle)(batches)), "node long, k1 long, k2 long, set binary")
+        keyed = texts.mapInArrow(trimmed(_sets(shingle)), "node long, k1 long, k2 long, set binary")
         # a doc_id that stands on several rows is the node of one of its sets only
         return written(keyed.join(own, ["node", "k1", "k2"], "left_semi").select("node", "set").dropDuplicates(["node"]))
 
@@ -422,7 +423,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, threshold: tuple[int, int
     def confirmed(some: DataFrame) -> DataFrame:
         left = sets.select(F.col("node").alias("a"), F.col("set").alias("x"))
         right = sets.select(F.col("node").alias("b"), F.col("set").alias("y"))
-        return some.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(_confirm(numerator, denominator), "a long, b long")
+        return some.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(trimmed(_confirm(numerator, denominator)), "a long, b long")
 
     best = pairs.select("score", F.explode(F.array(F.struct(F.col("a").alias("p"), F.col("b").alias("q")), F.struct(F.col("b").alias("p"), F.col("a").alias("q")))).alias("e")).groupBy("e.p").agg(F.max(F.struct("score", "e.q")).alias("m"))
     first = best.select(F.least("p", "m.q").alias("a"), F.greatest("p", "m.q").alias("b")).distinct()

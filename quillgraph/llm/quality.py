@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillgraph.llm import _text as tx
-from quillgraph.llm._shared import content_key, released, small, without, written
+from quillgraph.llm._shared import content_key, released, small, trimmed, without, written
 
 ORDER = 5
 #: Width of the band in robust deviations, and the length in bytes at which chance within a text weighs as much as the
@@ -207,7 +207,7 @@ def _summed(parts):
 
 def gram_counts(docs: DataFrame) -> DataFrame:
     """(lang, fold, gram, n): n-grams of ORDER signs over all well-formed texts."""
-    part = docs.select(F.col("lang").cast("string").alias("lang"), F.col("text").alias("text")).mapInArrow(lambda batches: released(_counted(batches)), "lang string, fold int, gram long, n long")
+    part = docs.select(F.col("lang").cast("string").alias("lang"), F.col("text").alias("text")).mapInArrow(trimmed(_counted), "lang string, fold int, gram long, n long")
     return part.groupBy("lang", "fold", "gram").agg(F.sum("n").alias("n"))
 
 
