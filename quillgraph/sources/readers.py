@@ -103,8 +103,12 @@ def html_text(html: str | None) -> str:
     return "\n".join(x for x in lines if x)
 
 
-def read_files(spark: SparkSession, path: str, pdf: Callable[[bytes], str] | None = None) -> tuple[DataFrame, DataFrame]:
-    """(filename, content) and (filename, error) of the files under ``path``; text is strict UTF-8, blank PDFs are errors."""
+def read_files(spark: SparkSession, path: str, pdf: Callable[[bytes], str] | None = None, parsers: dict[str, Callable[[bytes], str]] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(filename, content) and (filename, error) of the files under ``path``; text is strict UTF-8, blank PDFs are errors.
+
+    ``parsers`` by file suffix (".docx") come before the built-in kinds; ``pdf`` is short for one by ".pdf".
+    """
+    known = {k.lower(): f for k, f in (parsers or {}).items()} | ({".pdf": pdf} if pdf is not None else {})
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     files = files.select(F.element_at(F.split("path", "/"), -1).alias("filename"), kind_of(F.col("path")).alias("kind"), "content")
 
@@ -112,15 +116,16 @@ def read_files(spark: SparkSession, path: str, pdf: Callable[[bytes], str] | Non
         for pdf_rows in batches:
             out = []
             for name, kind, raw in zip(pdf_rows["filename"], pdf_rows["kind"], pdf_rows["content"], strict=True):
+                own = next((f for suffix, f in known.items() if name.lower().endswith(suffix)), None)
                 try:
-                    if kind == "unsupported":
-                        raise ValueError("unsupported file type; text, Markdown and PDF are read")
-                    if kind == "pdf":
-                        if pdf is None:
-                            raise ValueError("no PDF parser is set")
-                        said = pdf(bytes(raw))
+                    if own is not None:
+                        said = own(bytes(raw))
                         if not said.strip():
-                            raise ValueError("the PDF has no text")
+                            raise ValueError("the file has no text")
+                    elif kind == "unsupported":
+                        raise ValueError("unsupported file type; text, Markdown and PDF are read")
+                    elif kind == "pdf":
+                        raise ValueError("no PDF parser is set")
                     else:
                         said = bytes(raw).decode("utf-8")
                         said = markdown_text(said) if kind == "markdown" else said

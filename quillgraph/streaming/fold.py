@@ -16,6 +16,8 @@ from quillgraph.functions import text as tx
 from quillgraph.operators import merge
 
 EVENT = "corpus_id string, name_key string, event string, name string, type string, mentions long"
+#: Types of events.
+KINDS = ("ingestion-started", "text-unit-extracted", "entity-extracted", "relationship-extracted", "entity-retyped", "community-detected", "ingestion-complete", "error", "heartbeat")
 _STATE = "name string, types string, mentions long"
 
 
@@ -41,7 +43,7 @@ def _fold(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]
         total += 1
     after = max(types, key=types.get)
     state.update((name, json.dumps(types), total))
-    event = "entity-extracted" if before is None else "entity-retyped" if before != after else "entity-updated"
+    event = "entity-extracted" if before is None else "entity-retyped" if before != after else "entity-extracted"
     yield pd.DataFrame([(*key, event, name, after, total)], columns=["corpus_id", "name_key", "event", "name", "type", "mentions"])
 
 
@@ -50,6 +52,44 @@ def entity_events(units: DataFrame) -> DataFrame:
     return mentions(units).groupBy("corpus_id", "name_key").applyInPandasWithState(_fold, EVENT, _STATE, "update", "NoTimeout")
 
 
+EDGE = "corpus_id string, src_key string, type string, tgt_key string, event string, source string, target string, weight long"
+
+
+def edge_mentions(units: DataFrame) -> DataFrame:
+    """(corpus_id, src_key, type, tgt_key, source, target, unit, at): edges between the name keys of a stream or table of units, so
+    they follow a name however it is spelt."""
+    rows = units.select("corpus_id", "id", "ord", F.posexplode(F.split("text", r"(?<=[.!?])\s+")).alias("pos", "sentence"))
+    found = F.transform(F.regexp_extract_all("sentence", F.lit(merge.NAME), F.lit(1)), lambda n: F.trim(n))
+    names = F.array_distinct(F.filter(found, lambda n: (F.length(n) > 1) & ~n.isin("The", "A", "An")))
+    rows = rows.withColumn("names", names).where(F.size("names") >= 2)
+    kind = F.lit("related_to")
+    for verb in reversed(merge.VERBS):
+        kind = F.when(F.contains(F.lower("sentence"), F.lit(f" {verb} ")), verb).otherwise(kind)
+    rows = rows.select("corpus_id", F.element_at("names", 1).alias("source"), kind.alias("type"), F.element_at("names", -1).alias("target"), F.col("id").alias("unit"), F.format_string("%020d/%010d", "ord", "pos").alias("at"))
+    return rows.select("corpus_id", tx.name_key("source").alias("src_key"), "type", tx.name_key("target").alias("tgt_key"), "source", "target", "unit", "at")
+
+
+def _fold_edge(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+    source, target, weight = state.get if state.exists else (None, None, 0)
+    rows = pd.concat(list(batches)).sort_values("at")
+    source, target = source or rows["source"].iloc[0], target or rows["target"].iloc[0]
+    weight += rows["unit"].nunique()  # a unit comes in one micro-batch
+    state.update((source, target, int(weight)))
+    yield pd.DataFrame([(*key, "relationship-extracted", source, target, weight)], columns=["corpus_id", "src_key", "type", "tgt_key", "event", "source", "target", "weight"])
+
+
+def relationship_events(units: DataFrame) -> DataFrame:
+    """A stream of relationships with their weight so far (units that state them), from a stream of units."""
+    return edge_mentions(units).groupBy("corpus_id", "src_key", "type", "tgt_key").applyInPandasWithState(_fold_edge, EDGE, "source string, target string, weight long", "update", "NoTimeout")
+
+
+def payloads(kind: str, rows: DataFrame, *columns: str) -> DataFrame:
+    """(corpus_id, type, data): rows as event payloads of one of the event types, data as JSON of the given columns."""
+    if kind not in KINDS:
+        raise ValueError(f"unknown event type: {kind}")
+    return rows.select("corpus_id", F.lit(kind).alias("type"), F.to_json(F.struct(*columns)).alias("data"))
+
+
 def sink(events: DataFrame, store, checkpoint: str):
     """Start writing events into the store's replay buffer; each micro-batch once."""
 

@@ -90,6 +90,8 @@ def test_readers(spark, tmp_path):
     docs, errors = readers.read_files(spark, str(tmp_path))
     assert {r.filename: r.content for r in docs.collect()} == {"a.txt": "héllo", "c.md": "Title\n\nSome text with a link.\n\none\ntwo\n\ncode\n\nx"}
     assert {r.filename for r in errors.collect()} == {"b.txt", "d.pdf", "e.doc"}
+    more, errors = readers.read_files(spark, str(tmp_path), pdf=lambda raw: raw.decode() + " said", parsers={".DOC": lambda raw: " "})
+    assert {r.filename: r.content for r in more.collect()}["d.pdf"] == "%PDF said" and {r.filename for r in errors.collect()} == {"b.txt", "e.doc"}
     assert readers.html_text("<p>a &amp; b<script>x</script></p><p>c</p>") == "a & b\nc"
 
 
@@ -132,3 +134,11 @@ def test_stream(spark, tmp_path):
     query.processAllAvailable()
     query.stop()
     assert {r.name for r in out} >= {"Sherlock Holmes", "Watson"} and all(r.event == "entity-extracted" for r in out)
+    again, edges = [], []
+    for run, found, name in ((fold.entity_events, again, "ck2"), (fold.relationship_events, edges, "ck3")):
+        query = run(stream).writeStream.outputMode("update").foreachBatch(lambda df, _, found=found: found.extend(df.collect())).option("checkpointLocation", str(tmp_path / name)).start()
+        query.processAllAvailable()
+        query.stop()
+    assert ("Holmes", "chased", "Thames", 1) in {(r.source, r.type, r.target, r.weight) for r in edges} and all(r.event == "relationship-extracted" for r in edges)
+    rows = fold.payloads("text-unit-extracted", units, "id", "ord").collect()
+    assert len(rows) == units.count() and all(r.data.startswith('{"id":"demo::doc-') for r in rows)
