@@ -140,13 +140,16 @@ def _settled(n: int, low: np.ndarray, high: np.ndarray, weight: np.ndarray, seed
             for other, pull in zip(neighbours[node], pulls[node], strict=True):
                 c = home[other]
                 toward[c] = toward.get(c, 0.0) + pull
-            load[now] -= mass[node]
-            gain = {c: pull - share[node] * load[c] for c, pull in toward.items()}
-            stay = gain.pop(now)
-            if gain and (best := max(gain.values())) > stay + EPSILON:
-                now = min(c for c, g in gain.items() if g >= best - EPSILON)
-            load[now] += mass[node]
-            home[node] = now
+            if len(toward) == 1:
+                continue
+            rate = share[node]
+            stay = toward.pop(now) - rate * (load[now] - mass[node])
+            gain = [(pull - rate * load[c], c) for c, pull in toward.items()]
+            best = max(gain)[0]
+            if best > stay + EPSILON:
+                home[node] = to = min(c for g, c in gain if g >= best - EPSILON)
+                load[now] -= mass[node]
+                load[to] += mass[node]
         if home == before:
             break
     return np.array(home, np.int64)
