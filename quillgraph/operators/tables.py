@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -24,8 +25,14 @@ def steady(spark: SparkSession) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder path under ``spark.checkpoint.dir``, which every executor must see; without it there is no safe place."""
+    """A new folder path under ``spark.checkpoint.dir``, which every executor must see.
+
+    Where that is unset, a session on one machine gets a temporary folder; on a cluster there is no safe place, so it is an error.
+    """
     root = steady(spark).conf.get("spark.checkpoint.dir", None)
+    if not root and spark.sparkContext.master.startswith("local"):
+        root = getattr(spark, "_quillgraph_tmp", None) or tempfile.mkdtemp(prefix="quillgraph-")
+        spark._quillgraph_tmp = root
     if not root:
         raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return f"{root.rstrip('/')}/quillgraph-{uuid.uuid4().hex}"
