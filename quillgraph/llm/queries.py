@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillgraph.llm import chat, decontaminate, line_dedup, mixing, near_dedup, quality, repeats, secrets_scan, sharding, token_files
+from quillgraph.llm import chat, decontaminate, lexical_search, line_dedup, mixing, near_dedup, prefix_trie, quality, repeats, secrets_scan, sharding, simhash, token_files
 
 TOKENIZER = "byte_bpe_50k.json"
 SHARDS = 40
@@ -111,6 +111,60 @@ def op10_reshard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "old_shard")
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.rebuilt_trie(_table(spark, sf_dir, "conversations"))
+
+
+_CRC32 = """CAST(xor(list_reduce(list_concat([4294967295], flatten([[CAST(ascii(substr(s, i, 1)) AS BIGINT), 0, 0, 0, 0, 0, 0, 0] FOR i IN range(1, length(s) + 1)])),
+  lambda a, x: xor(xor(a, x) >> 1, 3988292384 * (xor(a, x) & 1))), 4294967295) AS BIGINT)"""
+_OP11 = f"""
+WITH own AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) - 1 AS p,
+    coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+named AS (SELECT conv_id, count(*) AS n, CAST(conv_id AS VARCHAR) AS s FROM own GROUP BY conv_id),
+hashed AS (SELECT conv_id, n, conv_id - conv_id % 100 AS base, {_CRC32} % 6 AS h FROM named),
+plan AS (SELECT c.conv_id, c.base, c.h, least(c.h, coalesce(b.n, 0)) AS shift FROM hashed c LEFT JOIN named b ON b.conv_id = c.base),
+turns AS (SELECT conv_id, p - h + shift AS p, role, text FROM own JOIN plan USING (conv_id) WHERE p >= h
+  UNION ALL SELECT plan.conv_id, p, role, text FROM plan JOIN own ON own.conv_id = plan.base WHERE p < h),
+paths AS (SELECT conv_id AS c, p + 1 AS depth, text, string_agg(md5(role) || md5(text), '' ORDER BY p) OVER (PARTITION BY conv_id ORDER BY p) AS k,
+    string_agg(md5(role) || md5(text), '' ORDER BY p) OVER (PARTITION BY conv_id ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS above FROM turns
+  UNION ALL SELECT conv_id, 0, '', '', NULL FROM plan),
+spelled AS (SELECT c, depth, text, k, CASE WHEN depth > 0 THEN coalesce(above, '') END AS above FROM paths),
+lengths AS (SELECT c, max(depth) AS n FROM spelled GROUP BY c),
+nodes AS (SELECT k, min(above) AS above, min(depth) AS depth, min(c) AS conv_id, count(*) AS n_convs, (count(*) - 1) * min(length(text)) AS own,
+    sha256(coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (n = depth), '')) AS ends_sha256
+  FROM spelled JOIN lengths USING (c) GROUP BY k),
+children AS (SELECT above AS k, count(*) AS n_children FROM nodes WHERE above IS NOT NULL GROUP BY above),
+counted AS (SELECT nodes.*, coalesce(n_children, 0) AS n_children FROM nodes LEFT JOIN children USING (k)),
+sums AS (SELECT a.k, count(*) FILTER (y.n_children = 0) AS n_leaves, CAST(sum(y.own) AS BIGINT) AS saved_tokens
+  FROM counted y JOIN spelled a ON a.c = y.conv_id AND a.depth <= y.depth GROUP BY a.k)
+SELECT x.conv_id, x.depth, u.conv_id AS parent_conv_id, x.n_convs, x.n_children, n_leaves, saved_tokens, x.ends_sha256
+FROM counted x JOIN sums ON sums.k = x.k LEFT JOIN counted u ON u.k = x.above
+"""
+
+
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), k=10)
+
+
+_TERMS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+_OP12 = f"""
+WITH d AS (SELECT row_number() OVER () AS d, doc_id, {_TERMS} AS w FROM documents),
+sizes AS (SELECT d, doc_id, CAST(len(w) AS BIGINT) AS n FROM d WHERE len(w) > 0),
+whole AS (SELECT count(*) AS nd, CAST(sum(n) AS BIGINT) AS nt FROM sizes),
+q AS (SELECT q, item_id, t, count(*) AS r FROM (SELECT q, item_id, unnest(w) AS t FROM (SELECT row_number() OVER () AS q, item_id, {_TERMS} AS w FROM benchmark)) GROUP BY ALL),
+tf AS (SELECT d, t, count(*) AS tf FROM (SELECT d, unnest(w) AS t FROM d) WHERE t IN (SELECT t FROM q) GROUP BY ALL),
+weights AS (SELECT t, CAST(floor(1000 * ln(CAST(2 * nd + 2 AS DOUBLE) / (2 * count(*) + 1))) AS BIGINT) AS w FROM tf, whole GROUP BY t, nd),
+parts AS (SELECT d, doc_id, t, w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * nd) // nt))) AS part FROM tf JOIN sizes USING (d) JOIN weights USING (t), whole),
+scores AS (SELECT q, item_id, d, doc_id, CAST(sum(r * part) AS BIGINT) AS score FROM q JOIN parts USING (t) GROUP BY ALL),
+ranked AS (SELECT item_id, doc_id, score, CAST(row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id NULLS LAST) AS INTEGER) AS rank FROM scores WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 10
+"""
+
+
+def op13_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(_table(spark, sf_dir, "documents"), shingle=4, radius=4)
+
+
 QUERIES = {
     "op1_chat_format": op1_chat_format,
     "op2_near_dedup": op2_near_dedup,
@@ -122,5 +176,8 @@ QUERIES = {
     "op8_quality_rules": op8_quality_rules,
     "op9_secret_scan": op9_secret_scan,
     "op10_reshard": op10_reshard,
+    "op11_prefix_trie": op11_prefix_trie,
+    "op12_lexical_search": op12_lexical_search,
+    "op13_simhash": op13_simhash,
 }
-SQL = {"op1_chat_format": _OP1, "op5_source_mix": _OP5, "op7_decontaminate": _OP7}
+SQL = {"op1_chat_format": _OP1, "op5_source_mix": _OP5, "op7_decontaminate": _OP7, "op11_prefix_trie": _OP11, "op12_lexical_search": _OP12}
