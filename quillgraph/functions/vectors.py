@@ -63,36 +63,6 @@ def hash_embedding(text: pd.Series) -> pd.Series:
     return pd.Series(out)
 
 
-def nearest(vectors: DataFrame, queries: np.ndarray, k: int, key: str = "ord", vector: str = "embedding") -> DataFrame:
-    """(q, key, score, rank): the k rows most similar to each row of ``queries``, ties by key.
-
-    Every Arrow batch is one matrix product against all queries, and only its k best rows a query leave it.
-    """
-    q = queries / np.maximum(np.linalg.norm(queries, axis=1, keepdims=True), 1e-300)
-
-    def run(batches):
-        for pdf in batches:
-            if not len(pdf):
-                continue
-            x = np.stack([np.asarray(v, np.float64) if v is not None and len(v) == q.shape[1] else np.zeros(q.shape[1]) for v in pdf[vector]])
-            x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
-            scores, keys = x @ q.T, pdf[key].to_numpy()
-            for j in range(q.shape[0]):
-                s = scores[:, j]
-                few = np.flatnonzero(s >= np.partition(s, -k)[-k]) if len(s) > k else np.arange(len(s))
-                few = few[np.lexsort((keys[few], -s[few]))][:k]
-                yield pd.DataFrame({"q": j, key: keys[few], "score": s[few]})
-
-    out = vectors.select(key, vector).mapInPandas(run, f"q int, {key} long, score double")
-    return out.withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), key))).where(F.col("rank") <= k)
-
-
-def top_k(vectors: DataFrame, query: list[float], k: int, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """The k rows most similar to one query vector, best first, ties by key; scores are computed once, row by row."""
-    scored = vectors.withColumn("score", cosine(F.col(vector), F.array(*[F.lit(float(x)) for x in query])))
-    return scored.orderBy(F.desc("score"), key).limit(k)
-
-
 def ranked(scored: DataFrame, *group: str, order: str = "ord") -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(Window.partitionBy(*group).orderBy(F.desc("score"), order)))
 

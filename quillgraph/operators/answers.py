@@ -2,20 +2,17 @@
 
 from __future__ import annotations
 
-import itertools
 from collections.abc import Callable
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillgraph.functions import text as tx
-from quillgraph.functions import vectors as vx
-from quillgraph.operators import graph, seeds
+from quillgraph.operators import clusters, graph, seeds
 from quillgraph.operators.tables import written
 
-TOP, RANKED, QUESTION_BLOCK = 5, 12, 2048
+TOP, RANKED = 5, 12
 MAP_COMMUNITIES, MAP_BATCH, POINTS, PASSAGE_COMMUNITIES = 30, 5, 20, 5
 
 #: Answer sentences.
@@ -36,18 +33,10 @@ DRIFT_NONE = "DRIFT matched a relevant Community, but its spawned sub-question d
 def vector_ranking(questions: DataFrame, chunks: DataFrame, ranked: int = RANKED, used: int = TOP) -> DataFrame:
     """(q_id, chunk_id, ord, score, rank, used): the chunks most similar to each question (q_id, vector); texts stay out.
 
-    Questions go in blocks of ``QUESTION_BLOCK`` against all chunks (id, ord, embedding).
+    ``chunks`` (id, ord, embedding) are clustered once; see ``clusters`` for what a search reads of them.
     """
-    asked = questions.select("q_id", "vector").orderBy("q_id").toLocalIterator()
-    out, spark = None, chunks.sparkSession
-    while block := list(itertools.islice(asked, QUESTION_BLOCK)):
-        found = vx.nearest(chunks, np.array([r["vector"] for r in block], float), ranked)
-        names = spark.createDataFrame([(k, r["q_id"]) for k, r in enumerate(block)], "q int, q_id long")
-        part = found.join(F.broadcast(names), "q").drop("q")
-        out = part if out is None else out.unionByName(part)
-    if out is None:
-        return spark.createDataFrame([], "ord long, score double, rank int, q_id long, chunk_id string, used boolean")
-    return out.join(chunks.select("ord", F.col("id").alias("chunk_id")), "ord").withColumn("used", F.col("rank") <= used)
+    found = clusters.nearest_of(clusters.clustered(chunks.select(F.col("id").alias("chunk_id"), "ord", "embedding")), questions, ranked)
+    return found.withColumn("used", F.col("rank") <= used)
 
 
 def vector_answers(questions: DataFrame, ranking: DataFrame, chunks: DataFrame) -> DataFrame:

@@ -1,51 +1,42 @@
 """Seed matchers: which entities a batch of questions starts from, and how rankings are fused.
 
-Every matcher returns (q_id, identity, score, ord, rank). Questions come in blocks of at most ``QUESTION_ROWS``, each broadcast
-to one pass over the entities: a stated query set against all rows, of which each task keeps only its best.
+Every matcher returns (q_id, identity, score, ord, rank). Keyword and identifier matchers go through an inverted index: questions and
+names meet under equal keys (see ``lookup``), and only what meets is scored.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillgraph.functions import text as tx
-from quillgraph.functions import vectors as vx
-from quillgraph.operators.tables import written
+from quillgraph.operators import clusters, lookup
+from quillgraph.operators.tables import small
 
-QUESTION_ROWS = 10_000
 RRF_K = 60
 #: Identifier scores.
 EXACT, SUFFIX, CASE_BONUS, SEGMENT, PREFIX, PACKAGE, FUZZY, PARTS, WORD, MOST_WORDS, LEAST = 100, 90, 5, 50, 30, 3, 40, 25, 6, 24, 6
 
 
-def _blocks(questions: DataFrame) -> list[DataFrame]:
-    """The questions in blocks that are small enough to be broadcast."""
-    n = questions.count()
-    if n <= QUESTION_ROWS:
-        return [F.broadcast(questions)]
-    dealt, blocks = written(questions), -(-2 * n // QUESTION_ROWS)
-    return [F.broadcast(dealt.where(F.pmod(F.xxhash64("q_id"), F.lit(blocks)) == k)) for k in range(blocks)]
-
-
-def _against(candidates: DataFrame, questions: DataFrame) -> DataFrame:
-    """Every candidate with every question, block by block."""
-    return reduce(DataFrame.unionByName, [candidates.crossJoin(block) for block in _blocks(questions)])
-
-
 def ranking(scored: DataFrame, limit: int | None = None) -> DataFrame:
     out = scored.withColumn("rank", F.row_number().over(Window.partitionBy("q_id").orderBy(F.desc("score"), "ord")))
     return out.where(F.col("rank") <= limit) if limit else out
 
 
-def keyword_scores(questions: DataFrame, candidates: DataFrame, text: Column) -> DataFrame:
-    """(q_id, candidate columns, score) with score > 0; a stated batch of questions against all candidates."""
-    asked = questions.select("q_id", tx.tokens(F.col("question")).alias("query_tokens"))
-    pairs = _against(candidates.withColumn("_text", text).withColumn("_words", tx.tokens(text)), asked)
-    score = F.aggregate("query_tokens", F.lit(0), lambda s, t: s + tx.token_score(t, F.col("_text"), F.col("_words")))
-    return pairs.withColumn("score", score).where("score > 0").drop("_text", "_words", "query_tokens")
+def keyword_scores(questions: DataFrame, candidates: DataFrame, text: Column, words: DataFrame | None = None) -> DataFrame:
+    """(q_id, candidate columns, score) with score > 0: 2 for each question token that the text contains, else 1 for one within its edits
+    of a word of the text.
+
+    A token longer than two characters that stands in a text stands in one of its words, so tokens are looked up in the dictionary of
+    all words (``words``, precomputed by ``lookup.words_of``), and words lead to the candidates. Equal candidates are one.
+    """
+    asked = questions.select("q_id", F.explode(tx.tokens(F.col("question"))).alias("tok"))
+    hits = lookup.matching_words(asked, lookup.words_of(candidates, text) if words is None else words)
+    hits = small(hits.join(asked, "tok").select("q_id", "tok", "word", "points"))
+    rows = candidates.withColumn("word", F.explode(tx.tokens(text))).join(hits, "word")
+    found = rows.groupBy("q_id", *candidates.columns).agg(F.collect_set(F.struct("tok", "points")).alias("hits"))  # at most two a token
+    tokens = F.size(F.array_distinct(F.transform("hits", lambda h: h["tok"])))
+    return found.withColumn("score", tokens + F.size(F.filter("hits", lambda h: h["points"] == 2))).drop("hits")
 
 
 def keyword_matches(questions: DataFrame, entities: DataFrame, limit: int | None = 3) -> DataFrame:
@@ -55,9 +46,7 @@ def keyword_matches(questions: DataFrame, entities: DataFrame, limit: int | None
 
 def semantic_matches(questions: DataFrame, vectors: DataFrame, limit: int = 3) -> DataFrame:
     """Nearest entities by cosine; the score is 1 / rank. ``questions``: (q_id, vector); ``vectors``: (identity, embedding, ord)."""
-    pairs = _against(vectors, questions.select("q_id", "vector"))
-    near = ranking(pairs.select("q_id", "identity", vx.cosine(F.col("embedding"), F.col("vector")).alias("score"), "ord"), limit)
-    return near.withColumn("score", 1.0 / F.col("rank"))
+    return clusters.nearest_of(clusters.clustered(vectors.select("identity", "embedding", "ord")), questions, limit).withColumn("score", 1.0 / F.col("rank"))
 
 
 def name_forms(entities: DataFrame) -> DataFrame:
@@ -107,14 +96,48 @@ def _words_outside_code(question: Column) -> Column:
     return tx.plain_words(F.array_join(plain, " "))
 
 
+def _stem(word: Column) -> Column:
+    return F.regexp_replace(word, "(?<=...)s$", "")
+
+
+def _kinds(**keys: Column) -> Column:
+    """Keys of several kinds in one list."""
+    return F.array_distinct(F.concat(*[lookup.tagged(kind, k) for kind, k in keys.items()]))
+
+
+def _form_keys() -> Column:
+    """Every key under which a name form can be found: whole, from a dot on, up to a dot, by segment, by part, by word, by deletions."""
+    pieces = F.split("normalized", r"\.")
+    inner = F.when(F.size(pieces) > 1, F.sequence(F.lit(1), F.size(pieces) - 1)).otherwise(F.array().cast("array<int>"))
+    ends = F.transform(inner, lambda i: F.array_join(F.slice(pieces, i + 1, F.size(pieces)), "."))
+    starts = F.transform(inner, lambda i: F.array_join(F.slice(pieces, F.lit(1), i), "."))
+    near = lookup.held_keys(F.element_at(pieces, -1), lookup.NAME_BANDS)
+    return _kinds(whole=F.array("normalized"), end=ends, start=starts, member=F.col("member"), package=F.col("package"), near=near, part=F.col("parts"), word=F.transform("parts", _stem))
+
+
+def _token_keys(token: Column) -> Column:
+    norm = tx.normalized_identifier(token)
+    none = F.array().cast("array<string>")
+    one = lambda when: F.when((norm != "") & when, F.array(norm)).otherwise(none)
+    single = F.size(tx.segments(norm)) == 1
+    own = tx.identifier_parts(F.regexp_replace(F.regexp_replace(F.trim(token), r"(?s)\(.*$", ""), r"::|[#$/]", "."))
+    near = F.when(single, lookup.asked_keys(norm, lookup.NAME_BANDS)).otherwise(none)
+    return _kinds(whole=one(F.lit(True)), end=one(F.lit(True)), start=one(~single), member=one(single), package=one(single), near=near, part=F.when(F.size(own) >= 2, own).otherwise(none))
+
+
 def identifier_matches(questions: DataFrame, forms: DataFrame, limit: int | None = 3) -> DataFrame:
-    """Entities whose names match code-like tokens and plain words of each question, score 6 and more."""
+    """Entities whose names match code-like tokens and plain words of each question, score 6 and more.
+
+    Name forms and questions meet under equal keys; each pair that meets is scored once.
+    """
     asked = questions.select("q_id", F.filter(tx.identifiers(F.col("question")), lambda t: tx.is_code_like(t)).alias("code"), _words_outside_code(F.col("question")).alias("words"))
-    pairs = _against(forms, asked)
+    keys = F.concat(F.flatten(F.transform("code", _token_keys)), _kinds(word=F.transform("words", _stem)))
+    wanted = small(asked.select("q_id", F.explode(F.array_distinct(keys)).alias("key")))
+    met = forms.withColumn("key", F.explode(_form_keys())).join(wanted, "key").dropDuplicates(["q_id", "identity", "kept", "normalized"])
+    pairs = met.drop("key").join(asked, "q_id")
     best = F.aggregate(F.transform("code", lambda t: identifier_score(t)), F.lit(0.0), lambda a, s: F.greatest(a, s))
-    stem = lambda w: F.regexp_replace(w, "(?<=...)s$", "")
-    stems = F.transform("parts", lambda p: stem(p))
-    words = F.size(F.filter("words", lambda w: F.array_contains(stems, stem(w))))
+    stems = F.transform("parts", _stem)
+    words = F.size(F.filter("words", lambda w: F.array_contains(stems, _stem(w))))
     score = best + F.least(F.lit(MOST_WORDS), WORD * words)
     scored = pairs.withColumn("score", score).groupBy("q_id", "identity").agg(F.max("score").alias("score"), F.min("ord").alias("ord"))
     return ranking(scored.where(F.col("score") >= LEAST), limit)
