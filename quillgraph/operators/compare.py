@@ -10,9 +10,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillgraph.functions import text as tx
-from quillgraph.operators.tables import ranked_globally, written
+from quillgraph.operators import overlap
+from quillgraph.operators.tables import ranked_globally, small, written
 
 LISTS = 16
+#: Different chunks of a document up to which they are one list.
+LIST = 4096
 CONTEXT_KINDS = ("ENTITY", "RELATIONSHIP", "COMMUNITY", "TEXT_UNIT")
 #: Uses of a passage by a method, strongest last.
 USES = ("NOT_RETRIEVED", "RANKED_BELOW_CUTOFF", "IN_CONTEXT", "CITED")
@@ -21,20 +24,42 @@ USES = ("NOT_RETRIEVED", "RANKED_BELOW_CUTOFF", "IN_CONTEXT", "CITED")
 def contained(chunks: DataFrame, units: DataFrame) -> DataFrame:
     """(q_id, chunk_id, unit_id): chunks whose text stands in a unit's text, white space collapsed, in the same document.
 
-    The distinct texts of a document's chunks meet its units once, as a list, so a unit's text is not copied for each of them.
-    Chunks without a document are compared with all units of their question's context. ``chunks``: (q_id, chunk_id, document,
-    text); ``units``: (q_id, unit_id, document, text).
+    A chunk without a document is compared with all units of its question's context. ``chunks``: (q_id, chunk_id, document, text);
+    ``units``: (q_id, unit_id, document, text). A document's few chunks meet each of its units as one list. Chunks of a document with more
+    than ``LIST`` different ones, and those without a document, are first looked up by fingerprints (see ``overlap``), so a unit meets
+    only chunks that share one with it; every pair is then compared by text.
     """
     c = chunks.select("q_id", "chunk_id", F.coalesce("document", F.lit("")).alias("document"), tx.collapsed(F.col("text")).alias("said")).where("said <> ''")
     u = units.select("q_id", "unit_id", F.coalesce("document", F.lit("")).alias("document"), tx.collapsed(F.col("text")).alias("whole"))
-    out = None
-    for some, units_, on in ((c.where("document <> ''"), u, ["q_id", "document"]), (c.where("document = ''").drop("document"), u.drop("document"), ["q_id"])):
-        # lists are cut by a hash, so that of a document with very many chunks stays bounded
-        parts = some.select(*on, "said").distinct().withColumn("part", F.pmod(F.xxhash64("said"), F.lit(LISTS))).groupBy(*on, "part").agg(F.collect_list("said").alias("list"))
-        found = parts.join(units_, on).select(*on, "unit_id", F.explode(F.filter("list", lambda x: F.contains(F.col("whole"), x))).alias("said"))
-        hit = found.join(some, [*on, "said"]).select("q_id", "chunk_id", "unit_id")
-        out = hit if out is None else out.unionByName(hit)
-    return out
+    said = written(c.groupBy("q_id", "document", "said").agg(F.collect_list("chunk_id").alias("ids")))
+    many = said.where("document <> ''").groupBy("q_id", "document").agg(F.count("*").alias("n")).where(F.col("n") > LIST).select("q_id", "document")
+    many = small(many)
+    few = said.where("document <> ''").join(many, ["q_id", "document"], "left_anti").groupBy("q_id", "document").agg(F.collect_list(F.struct("said", "ids")).alias("list"))
+    out = few.join(u, ["q_id", "document"]).select("q_id", "unit_id", _inside())
+    rest = said.where("document = ''").drop("document")
+    if not rest.isEmpty():
+        out = out.unionByName(_looked_up(rest, u.drop("document"), ["q_id"]))
+    if not many.isEmpty():
+        out = out.unionByName(_looked_up(said.join(many, ["q_id", "document"], "left_semi"), u, ["q_id", "document"]))
+    return out.select("q_id", F.explode("ids").alias("chunk_id"), "unit_id")
+
+
+def _inside() -> Column:
+    """The ids of the list's texts that the whole contains."""
+    return F.flatten(F.transform(F.filter("list", lambda x: F.contains(F.col("whole"), x["said"])), lambda x: x["ids"])).alias("ids")
+
+
+def _looked_up(said: DataFrame, units: DataFrame, scope: list[str]) -> DataFrame:
+    """(q_id, unit_id, ids) through fingerprints that chunk and unit share."""
+    said = said.withColumn("key", F.xxhash64(*scope, "said"))
+    anchors = written(overlap.anchors(said.select(*scope, "key", "said"), "said"))
+    sizes = [r[0] for r in anchors.where("size > 0").select("size").distinct().collect()]  # at most five
+    prints = overlap.fingerprints(units.select(*scope, "unit_id", "whole"), "whole", sorted(sizes))
+    met = prints.join(small(anchors.select(*scope, "key", "mark")), [*scope, "mark"]).select(*scope, "unit_id", "key").distinct()
+    # of a unit with very many chunks the lists stay bounded
+    part = F.pmod(F.xxhash64("key"), F.lit(LISTS)).alias("part")
+    lists = met.join(said, [*scope, "key"]).groupBy(*scope, "unit_id", part).agg(F.collect_list(F.struct("said", "ids")).alias("list"))
+    return lists.join(units, [*scope, "unit_id"]).select("q_id", "unit_id", _inside())
 
 
 #: Sentences of the verdict by what is compared and how it comes out.

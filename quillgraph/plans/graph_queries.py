@@ -523,6 +523,22 @@ SQL["q60_containment_overlap"] = r"""WITH c AS (SELECT doc_id, trim(regexp_repla
 SELECT CAST(doc_id AS VARCHAR) AS unit_id, count(*) AS n FROM c JOIN u USING (doc_id) WHERE said <> '' AND contains(whole, said) GROUP BY doc_id"""
 
 
+def q90_containment_across(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark sentences as chunks without a document against all documents as units; every second item is also asked within the
+    document of its number, which mostly doesn't hold it."""
+    said = table(spark, sf_dir, "benchmark").select("item_id", F.posexplode(tx.sentences(F.col("text"))).alias("k", "text"))
+    lone = said.select(F.lit(1).cast("long").alias("q_id"), F.concat_ws("-", "item_id", "k").alias("chunk_id"), F.lit(None).cast("string").alias("document"), "text")
+    bound = said.where("item_id % 2 = 0").select(F.lit(1).cast("long").alias("q_id"), F.concat_ws("-", F.lit("own"), "item_id", "k").alias("chunk_id"), F.col("item_id").cast("string").alias("document"), "text")
+    _, units = _passages(spark, sf_dir)
+    return compare.contained(lone.unionByName(bound), units).select("chunk_id", "unit_id")
+
+
+SQL["q90_containment_across"] = r"""WITH b AS (SELECT item_id, list_filter(list_transform(string_split_regex(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda s: trim(s)), lambda s: s <> '') AS l FROM benchmark),
+c AS (SELECT item_id, unnest(range(len(l))) AS k, unnest(l) AS said FROM b), s AS (SELECT item_id, k, trim(regexp_replace(said, '\s+', ' ', 'g')) AS said FROM c),
+u AS (SELECT CAST(doc_id AS VARCHAR) AS unit_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS whole FROM documents WHERE text IS NOT NULL)
+SELECT item_id || '-' || k AS chunk_id, unit_id FROM s JOIN u ON contains(whole, said) UNION ALL SELECT 'own-' || item_id || '-' || k, unit_id FROM s JOIN u ON unit_id = CAST(item_id AS VARCHAR) AND contains(whole, said) WHERE item_id % 2 = 0"""
+
+
 def q61_compare_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as comparisons: line counts as items, suppliers and parts as documents."""
     rows = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.countDistinct("l_suppkey").alias("gd"), F.countDistinct("l_returnflag").alias("vd"), F.count("*").alias("gi"), F.countDistinct("l_linestatus").alias("vi"), F.sum(F.when(F.col("l_returnflag") == "R", 1).otherwise(0)).alias("p"), F.sum(F.when((F.col("l_returnflag") == "R") & (F.col("l_linestatus") == "F"), 1).otherwise(0)).alias("s"))
