@@ -120,7 +120,7 @@ def _pass(patterns: list[Patterns]):
                         hit = inside[before[k] : before[k + 1]]
                         counts.append(len(hit))
                         runs.append(np.flatnonzero(np.diff(np.r_[False, hit, False].astype(np.int8))).tolist() if k in named else [])
-                        items.append(sorted(named.get(k, ())))
+                        items.append(sorted(x for x in named.get(k, ()) if x is not None))
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(counts, pa.int64()), pa.array(runs, pa.list_(pa.int64())), pa.array(items, pa.list_(pa.string()))], names=["doc_id", "key1", "key2", "n_words", "runs", "items"])
 
     return run
@@ -144,7 +144,7 @@ def _one_list(batches):
 def occurrences(docs: DataFrame, benchmark: DataFrame, window: int = 13) -> DataFrame:
     """(doc_id, key1, key2, n_words, runs, items): hit word runs as start, end, start, end ... and the sorted item ids; the keys are
     those of the text."""
-    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").alias("text")).where("item_id is not null and text is not null")
+    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").alias("text")).where("text is not null")
     total = items.agg(F.sum(F.octet_length("text"))).first()
     blocks = max(1, -(-2 * (total[0] or 0) // PATTERN_BYTES))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *content_key("text"), F.col("text").alias("text"))

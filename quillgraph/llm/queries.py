@@ -66,8 +66,10 @@ rated AS (SELECT s, w / sum(w) OVER () * sum(bytes) OVER () / bytes AS rate FROM
 terms AS (SELECT s, rate, k, exp(k * ln(rate) - rate - sum(CASE WHEN k > 0 THEN ln(k) ELSE 0 END) OVER (PARTITION BY s ORDER BY k)) AS p
   FROM rated, LATERAL (SELECT unnest(range(CAST(ceil(rate + 12 * sqrt(rate) + 20) AS BIGINT) + 1)) AS k)),
 steps AS (SELECT s, k, sum(p) OVER (PARTITION BY s ORDER BY k ROWS UNBOUNDED PRECEDING) AS c FROM terms),
-drawn AS (SELECT *, (CAST('0x' || substr(md5('{SEED}:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 13) AS BIGINT) + 0.5) / 4503599627370496.0 AS u FROM sized)
-SELECT doc_id, text, lang, source, CAST(k + 1 AS INTEGER) AS mix_copy, md5('{SEED}:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || CAST(k + 1 AS VARCHAR)) AS mix_order
+contents AS (SELECT *, md5(coalesce(source, '') || chr(10) || coalesce(text, '')) AS content FROM sized),
+named AS (SELECT *, coalesce(CAST(doc_id AS VARCHAR), '~' || content || '~' || CAST(row_number() OVER (PARTITION BY doc_id IS NULL ORDER BY content) AS VARCHAR)) AS name FROM contents),
+drawn AS (SELECT *, (CAST('0x' || substr(md5('{SEED}:' || name), 1, 13) AS BIGINT) + 0.5) / 4503599627370496.0 AS u FROM named)
+SELECT doc_id, text, lang, source, CAST(k + 1 AS INTEGER) AS mix_copy, md5('{SEED}:' || name || ':' || CAST(k + 1 AS VARCHAR)) AS mix_order
 FROM drawn JOIN steps USING (s) WHERE c < u
 """
 

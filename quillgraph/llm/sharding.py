@@ -144,22 +144,39 @@ def resharded(docs: DataFrame, shards: int = 40, old_shards: int = 32, old: str
 FILE_ROWS = 1_000_000
 
 
-def rewrite(placed: DataFrame, path: str) -> list[int]:
+def carried(placed: DataFrame) -> DataFrame:
+    """All columns of the rows of ``placed`` (from ``resharded`` with ``carry``), and old_shard, shard and slot, which get a leading
+    underscore where a row has columns of these names."""
+    taken = {c.lower() for c in placed.select("row.*").columns}
+    names = []
+    for name in ("old_shard", "shard", "slot"):
+        free = name
+        while free in taken:
+            free = f"_{free}"
+        names.append(F.col(name).alias(free))
+    return placed.select("row.*", *names)
+
+
+def rewrite(placed: DataFrame, path: str, layout: tuple[str, str] = ("shard", "slot")) -> list[int]:
     """Put the rows of the shards that change in place of their old files under ``path``, and return their numbers.
 
+    ``layout`` names the columns that hold shard (the partition column of the files) and slot. A row's own columns of these names
+    are those of the old files and are replaced; rows with other columns of these names need another layout.
+
     ``placed`` comes from ``resharded`` with ``carry``. Rows are staged in the shared folder first, as they may come from the files
     that are replaced; a shard goes to as many tasks as it has files. Shards without moves keep their old files.
     """
     moves = placed.where("old_shard <> shard").select(F.explode(F.array("old_shard", "shard")).alias("s")).distinct()
     affected = sorted(r["s"] for r in moves.collect())
-    own = [c for c in placed.select("row.*").columns if c.lower() not in ("shard", "slot")]
-    rows = placed.where(F.col("shard").isin(affected)).select(*[F.col(f"row.`{c}`") for c in own], "shard", "slot")
-    staged = written(rows.repartition("shard", F.floor(F.col("slot") / FILE_ROWS)).sortWithinPartitions("shard", "slot"))
-    left = {r["shard"] for r in staged.select("shard").distinct().collect()}
-    staged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("shard").parquet(path)
+    shard, slot = layout
+    own = [c for c in placed.select("row.*").columns if c.lower() not in (shard.lower(), slot.lower())]
+    rows = placed.where(F.col("shard").isin(affected)).select(*[F.col(f"row.`{c}`") for c in own], F.col("shard").alias(shard), F.col("slot").alias(slot))
+    staged = written(rows.repartition(shard, F.floor(F.col(slot) / FILE_ROWS)).sortWithinPartitions(shard, slot))
+    left = {r[0] for r in staged.select(shard).distinct().collect()}
+    staged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(shard).parquet(path)
     forget(staged)
     jvm, hadoop = placed.sparkSession.sparkContext._jvm, placed.sparkSession.sparkContext._jsc.hadoopConfiguration()
-    for shard in sorted(set(affected) - left):  # all its rows went elsewhere
-        folder = jvm.org.apache.hadoop.fs.Path(f"{path}/shard={shard}")
+    for number in sorted(set(affected) - left):  # all its rows went elsewhere
+        folder = jvm.org.apache.hadoop.fs.Path(f"{path}/{shard}={number}")
         folder.getFileSystem(hadoop).delete(folder, True)
     return affected

@@ -55,6 +55,16 @@ def test_decontamination_matches_brute_force(spark):
     assert decontaminate.contamination(d.limit(0), b).collect() == []
 
 
+def test_items_without_id_are_found_and_not_named(spark):
+    passage = "one two three four five six seven eight nine ten eleven twelve thirteen"
+    docs = spark.createDataFrame([(1, f"ahead {passage} behind", "n"), (2, "nothing of it", "n")], "doc_id long, text string, n_hit string")
+    items = spark.createDataFrame([(None, passage), (7, "nothing of it"), (None, None)], "item_id long, text string")
+    got = {x.doc_id: x for x in decontaminate.contamination(docs, items).collect()}
+    assert (got[1].n_hit, got[1].n_items, got[1].contaminated, got[1].items_sha256) == (13, 0, True, hashlib.sha256(b"").hexdigest())
+    assert (got[2].n_hit, got[2].n_items) == (3, 1)
+    assert [x.doc_id for x in decontaminate.clean(docs, items).collect()] == []
+
+
 def test_base_counts_match_brute_force():
     r = random.Random(2)
     texts = ["", " \n ", "a"]

@@ -76,6 +76,35 @@ def test_mixing_rates_and_repeats(spark):
     assert mixing.mixed(df.limit(0)).collect() == []
 
 
+def test_rows_without_id_are_drawn_each_for_itself(spark):
+    rows = [(None if i % 3 == 0 else i, "x" * 100 if i % 2 else f"text {i:0100}", "a") for i in range(3000)] + [(None, None, None)]
+    df = spark.createDataFrame([(*x, 1, "n") for x in rows], "doc_id long, text string, source string, _name int, mix_place string").repartition(6)
+    for seed in ("one", "two"):
+        got = mixing.mixed(df, seed=seed, weights={"a": 1.0})
+        lost = got.where("doc_id is null")
+        assert lost.count() == pytest.approx(1000, rel=0.12)
+        assert lost.where("text like 'x%'").count() == pytest.approx(500, rel=0.17)
+        assert lost.select("mix_order").distinct().count() == lost.count()
+        draws = lambda df: sorted(x.mix_order for x in df.select("mix_order").collect())
+        assert draws(got) == draws(mixing.mixed(df.repartition(3), seed=seed, weights={"a": 1.0}))
+
+
+def test_shards_keep_columns_of_their_names(spark, tmp_path):
+    rows = [(i, "t" * (i % 7), "en", f"s{i % 3}", i, f"slot {i}", i % 4, "old") for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, slot string, Shard int, old_shard string")
+    out = corpus_pipeline.shards(spark, df, "")
+    assert out.columns == [*df.columns, "_old_shard", "_shard", "_slot"]
+    out.write.parquet(f"{tmp_path}/out")
+    assert {(x.doc_id, x.slot, x.Shard) for x in out.collect()} == {(r[0], r[5], r[6]) for r in rows}
+    placed = sharding.resharded(df, shards=5, old="Shard", carry=True).cache()
+    path = f"{tmp_path}/files"
+    sharding.rewrite(placed, path, layout=("part", "place"))
+    back = spark.read.parquet(path)
+    moved = placed.where("old_shard <> shard").select("old_shard", "shard").collect()
+    touched = {s for x in moved for s in x}
+    assert {(x.doc_id, x.slot, x.Shard, x.old_shard) for x in back.collect()} == {(x.row.doc_id, x.row.slot, x.row.Shard, "old") for x in placed.collect() if x.shard in touched}
+
+
 def test_pipeline_keeps_and_drops(spark, tmp_path):
     r = random.Random(12)
     syllables = [a + b for a in "bdgklmnprst" for b in "aeiou"]
