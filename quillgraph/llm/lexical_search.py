@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from quillgraph.llm._shared import forget, trimmed, written
 
-SHARD = 1_000_000
+SHARD = 250_000
 QUESTION_BYTES = 4 << 20
 BLOCK_COST = 4.0  # in units of the list's mean part: the longer the blocks, the fewer bounds to add and the looser they are
 LONGEST = 64  # grains in a block
