@@ -3,17 +3,19 @@
 from __future__ import annotations
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillgraph.functions import maps
 from quillgraph.functions import text as tx
 from quillgraph.operators import graph
-from quillgraph.operators.tables import ranked_globally
+from quillgraph.operators.tables import ranked_globally, small, written
 
 DESCRIPTION = 1000
 HINTS = 50
+#: Descriptions of one group that a round of merging takes.
+PARTS = 256
 #: Verbs of the offline extractor in the order in which they are tried.
 VERBS = ("met", "visited", "helped", "chased", "told")
 PEOPLE = ("holmes", "watson", "morstan")
@@ -111,37 +113,83 @@ def _sentences(text: str | None) -> list[str]:
 def merge_descriptions(rows: DataFrame, limit: int = DESCRIPTION, group: str = "identity") -> DataFrame:
     """(group, description): the ordered fold of each group's descriptions (``description``, ``at``).
 
-    All distinct descriptions reach the fold, sorted within the part that holds their group; it carries the text so far and
-    its sentences from row to row, so a group of any size needs the room of one result.
+    The first ``PARTS`` descriptions of every group are folded as a stream; the limit by rank is taken before the shuffle, so a group of any size
+    sends few rows. Of a group with more, each later description is then held against the text so far where it lies, and only
+    those that still add to it go on to the next round: as the room shrinks to the end of the text, these are soon few. Rows that are equal
+    in place and text count once.
     """
-    distinct = rows.where(F.trim("description") != "").groupBy(group, "description").agg(F.min("at").alias("at"))
-    ordered = distinct.repartition(group).sortWithinPartitions(group, "at", "description").select(group, "description")
-    schema = T.StructType([rows.select(group).schema[0], T.StructField("description", T.StringType())])
-    return ordered.mapInArrow(_folded(limit), schema)
+    parts = rows.where(F.trim("description") != "").select(group, "description", "at")
+    begun = parts.withColumn("said", F.lit(None).cast("string"))
+    done, going = None, None
+    while True:
+        order = Window.partitionBy(group).orderBy("at", "description")
+        head = begun.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= PARTS)
+        schema = T.StructType([rows.schema[group], T.StructField("description", T.StringType()), T.StructField("last", T.StringType()), rows.schema["at"], T.StructField("full", T.BooleanType())])
+        state = written(head.select(group, "description", "at", "said", "nth").mapInArrow(_folded(limit), schema))
+        if going is not None:  # groups whose later descriptions add nothing stay as they were
+            state = written(going.join(state.select(F.col(group).alias("new"), F.lit(1).alias("has")), F.col(group).eqNullSafe(F.col("new")), "left_anti").withColumn("full", F.lit(False)).unionByName(state))
+        ended = state.where("not full").select(group, "description")
+        done = ended if done is None else done.unionByName(ended)
+        going = state.where("full")
+        if going.isEmpty():
+            return done
+        held = small(going.select(F.col(group).alias("of"), F.col("description").alias("said"), F.struct("at", "last").alias("before")))
+        rest = parts.join(held, F.col(group).eqNullSafe(F.col("of")) & (F.struct("at", F.col("description").alias("last")) > F.col("before"))).select(group, "description", "at", "said")
+        begun = written(rest.mapInArrow(_adding(limit), T.StructType([rows.schema[group], T.StructField("description", T.StringType()), rows.schema["at"], T.StructField("said", T.StringType())])))
+        parts = begun.drop("said")
 
 
 def _folded(limit: int):
+    """One row a group from rows (group, description, at, said so far, nth) in order: the text, its last part's place, and whether more may follow."""
+
     def run(batches):
         now = out = have = None  # out is None until the first row
+        row = last = None
+        names = ["group", "description", "last", "at", "full"]
+
+        def closed(b):
+            return [row.column(0), pa.array([out[:limit]], pa.string()), row.column(1).cast(pa.string()), row.column(2), pa.array([row.column(4)[0].as_py() == PARTS and len(out) < limit])]
+
         for b in batches:
-            keys, texts = [], []
-            for key, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                if out is not None and key == now:
+            kept = []
+            columns = [b.column(k).to_pylist() for k in (0, 1, 2, 3, 4)]
+            for i, (key, text, at, said, nth) in enumerate(zip(*columns, strict=True)):
+                if nth == 1:
+                    if out is not None:
+                        kept.append(closed(b))
+                    now, out, have, last = key, said, None, None
+                elif key != now or nth != row.column(4)[0].as_py() + 1:
+                    raise RuntimeError("descriptions are out of order")
+                if out is None:
+                    out = text.strip()
+                elif (at, text) != last:
                     out, have = _extended(out, have, text, limit)
-                    continue
-                if out is not None:
-                    keys.append(now)
-                    texts.append(out[:limit])
-                now, out, have = key, text.strip(), None
-            yield _batch(b, keys, texts)
+                row, last = b.slice(i, 1), (at, text)
+            if kept:
+                yield pa.RecordBatch.from_arrays([pa.concat_arrays(x) for x in zip(*kept, strict=True)], names=names)
         if out is not None:
-            yield _batch(b, [now], [out[:limit]])
+            yield pa.RecordBatch.from_arrays(closed(row), names=names)
 
     return run
 
 
-def _batch(like: pa.RecordBatch, keys: list, texts: list) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(keys, like.column(0).type), pa.array(texts, pa.string())], names=like.schema.names)
+def _adding(limit: int):
+    """The rows (group, description, at, said) that add to what is said, or may once a last sentence without an end goes on."""
+
+    def run(batches):
+        said = have = open_end = None
+        for b in batches:
+            keep = []
+            for text, now in zip(b.column(1).to_pylist(), b.column(3).to_pylist(), strict=True):
+                if now != said:
+                    said, ends = now, _sentences(now)
+                    have = {s.lower() for s in ends}
+                    open_end = ends[-1].lower() if ends and ends[-1][-1] not in ".!?" else None
+                grown, _ = _extended(said, set(have), text, limit)
+                keep.append(grown != said or open_end is not None and any(s.lower().startswith(open_end) for s in _sentences(text)))
+            yield b.filter(pa.array(keep, pa.bool_()))
+
+    return run
 
 
 def merge_entities(rows: DataFrame, limit: int = DESCRIPTION) -> DataFrame:

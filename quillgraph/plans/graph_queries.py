@@ -318,6 +318,24 @@ def q34_merge_descriptions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merge.merge_entities(_mentions(spark, sf_dir)).select("identity", "name", "type", F.length("description").alias("size"), F.md5("description").alias("digest"), F.size("unit_ids").alias("n_units"))
 
 
+#: One step of the recursion takes the next sentence of every entity that has one.
+SQL["q34_merge_descriptions"] = rf"""{_SENT.replace("WITH s AS", "WITH RECURSIVE s AS", 1)}, m AS (SELECT doc_id, pos, sentence, unnest(names) AS name, generate_subscripts(names, 1) AS k FROM n),
+t AS (SELECT *, CASE WHEN regexp_matches(lower(name), 'holmes|watson|morstan') THEN 'Person' ELSE 'Concept' END AS type FROM m),
+e AS (SELECT doc_id, lower(name) || '::' || lower(type) AS identity, name, type, sentence FROM t QUALIFY row_number() OVER (PARTITION BY doc_id, lower(name), type ORDER BY pos, k) = 1),
+g AS (SELECT identity, arg_min(name, doc_id) AS name, arg_min(type, doc_id) AS type, count(*) AS n_units FROM e GROUP BY identity),
+o AS (SELECT identity, row_number() OVER (PARTITION BY identity ORDER BY doc_id) AS part, sentence FROM e WHERE trim(sentence) <> ''),
+l AS (SELECT identity, part, unnest(p) AS said, generate_subscripts(p, 1) AS k FROM (SELECT identity, part, string_split(regexp_replace(sentence, '([.!?])\s+', e'\\1\x01', 'g'), e'\x01') AS p FROM o WHERE part > 1)),
+a AS MATERIALIZED (SELECT identity, row_number() OVER (PARTITION BY identity ORDER BY part, k) AS i, row_number() OVER (PARTITION BY identity, part ORDER BY k) = 1 AS first, trim(said) AS said FROM l WHERE trim(said) <> ''),
+r AS (SELECT identity, CAST(0 AS BIGINT) AS i, trim(sentence) AS out, false AS shut, CAST([] AS VARCHAR[]) AS have FROM o WHERE part = 1
+  UNION ALL SELECT identity, i, CASE WHEN adds THEN out || ' ' || said ELSE out END, shut OR (fresh AND NOT adds), CASE WHEN adds THEN list_append(have, lower(said)) ELSE have END
+  FROM (SELECT *, fresh AND length(out) + 1 + length(said) <= 1000 AS adds FROM (SELECT *, NOT shut AND NOT list_contains(have, lower(said)) AS fresh FROM (
+    SELECT r.identity, a.i, a.said, out, CASE WHEN first THEN length(out) >= 1000 ELSE shut END AS shut,
+      CASE WHEN first THEN list_transform(string_split(regexp_replace(out, '([.!?])\s+', e'\\1\x01', 'g'), e'\x01'), lambda x: lower(trim(x))) ELSE have END AS have
+    FROM r JOIN a ON a.identity = r.identity AND a.i = r.i + 1 AND length(out) < 1000)))),
+d AS (SELECT identity, arg_max(out, i)[:1000] AS description FROM r GROUP BY identity)
+SELECT identity, name, type, CAST(length(coalesce(description, '')) AS INTEGER) AS size, md5(coalesce(description, '')) AS digest, CAST(n_units AS INTEGER) AS n_units FROM g LEFT JOIN d USING (identity)"""
+
+
 def q35_attribute_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "customer")
     a = F.create_map(F.lit(" segment "), F.col("c_mktsegment"), F.lit("nation"), F.col("c_nationkey").cast("string"), F.lit(""), F.lit("x"))

@@ -1,4 +1,7 @@
+import random
+
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from quillgraph.functions import vectors as vx
@@ -26,6 +29,25 @@ def test_late_sentence_of_a_hot_entity_still_fits(spark):
     assert got == {"hot": "A" * 900 + ". Short.", "cold": "One. Two.", None: "No name."}
 
 
+@pytest.mark.parametrize("parts", [merge.PARTS, 3])
+def test_rounds_of_descriptions_equal_one_fold(spark, monkeypatch, parts):
+    monkeypatch.setattr(merge, "PARTS", parts)
+    r = random.Random(4)
+    words = lambda n: " ".join("".join(r.choices("ab", k=r.choice([1, 2, 3]))) for _ in range(n))
+    rows = []
+    for g in ("a", "b", "c", None):
+        for k in range(60):
+            said = " ".join(words(r.choice([1, 2, 4])) + r.choice([".", "!", "", " ", "?"]) for _ in range(r.choice([1, 2, 3])))
+            rows.append((g, said if r.random() < 0.9 else None, k))
+    rows += [("late", "L" * 60 + ".", 0)] + [("late", f"{k} is too long to fit behind it, {k}.", k) for k in range(1, 40)] + [("late", "So.", 50), ("late", "So.", 50), ("late", "It is. So.", 60)]
+    want = {}
+    for g in {x[0] for x in rows}:
+        own = [d for _, d in sorted({(k, d) for h, d, k in rows if h == g and d and d.strip(" ")})]
+        want[g] = merge.merged_description(own, 80)
+    df = spark.createDataFrame(rows, "identity string, description string, at long").repartition(5)
+    assert {x.identity: x.description for x in merge.merge_descriptions(df, 80).collect()} == want
+
+
 def test_relationship_weights(spark):
     rows = spark.createDataFrame([("a", "r", "b", ["u0"], 1, 0), ("a", "R", "b", ["u1", "u2"], 1, 1), ("a", "s", "b", ["u1"], 1, 2), ("a", "s", "b", ["u1"], 1, 3), ("c", "r", "b", ["u"], 7, 4)], "src_id string, type string, tgt_id string, unit_ids array<string>, weight long, at long")
     rows = rows.withColumns({c: F.lit("x") for c in ("source", "source_type", "target", "target_type", "description")})
