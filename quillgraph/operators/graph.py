@@ -6,10 +6,12 @@ equi-join, so the optimiser picks broadcast or shuffle by the measured sizes.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterable
 from dataclasses import dataclass, field, replace
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -142,41 +144,75 @@ def _left(limit: int | None, used: int) -> float:
     return float("inf") if limit is None else limit - used
 
 
-def greedy(edges: list[dict], included: list[str], counts: dict, budget: Budget) -> list[tuple]:
-    """One hop's pass over the ordered candidate edges: what is taken, as (kind, identifier, score).
+class _Pass:
+    """One question's budget pass of a hop over edges in order: what is taken, as (kind, identifier, score).
 
-    An edge whose new ends don't fit is skipped; a full relationship or item budget ends the pass.
+    An edge whose new ends don't fit is skipped; a full relationship or item budget ends the pass, as does that of the hop.
     """
-    known, out, here, fresh_used = set(included), [], 0, 0
-    keys = set(counts["keys"])
-    for e in edges:
-        if _left(budget.relationships, counts["relationships"]) <= 0 or _left(budget.items, counts["items"]) <= 0:
-            counts["full"] = True
-            break
-        if _left(budget.per_hop, here) <= 0:
-            break
-        ends = list(dict.fromkeys((e["src_id"], e["tgt_id"])))
-        fresh = [x for x in ends if x not in known]
-        if len(fresh) > _left(budget.new_nodes, fresh_used):
-            continue
-        key = f"{e['src_id']}->{e['type']}->{e['tgt_id']}"
-        if key in keys:
-            continue
-        keys.add(key)
-        here += 1
-        counts["relationships"] += 1
-        counts["items"] += 1
-        out.append(("RELATIONSHIP", key, float(e["weight"])))
+
+    def __init__(self, budget: Budget):
+        self.budget, self.known, self.keys = budget, set(), set()
+        self.relationships = self.items = self.here = self.fresh = 0
+
+    def begin(self, kind: str, identifier: str) -> None:
+        """An item that is included from before."""
+        (self.keys if kind == "RELATIONSHIP" else self.known).add(identifier)
+        self.relationships += kind == "RELATIONSHIP"
+        self.items += kind != "NODE"
+
+    def ended(self) -> bool:
+        b = self.budget
+        return min(_left(b.relationships, self.relationships), _left(b.items, self.items), _left(b.per_hop, self.here)) <= 0
+
+    def offer(self, source: str, key: str, target: str, weight: int) -> list[tuple[str, str, float]]:
+        b = self.budget
+        fresh = [x for x in dict.fromkeys((source, target)) if x not in self.known]
+        if len(fresh) > _left(b.new_nodes, self.fresh) or key in self.keys:
+            return []
+        self.keys.add(key)
+        self.here, self.relationships, self.items = self.here + 1, self.relationships + 1, self.items + 1
+        out = [("RELATIONSHIP", key, float(weight))]
         for x in fresh:
-            if _left(budget.nodes, len(known)) <= 0:
+            if _left(b.nodes, len(self.known)) <= 0:
                 continue
-            known.add(x)
-            fresh_used += 1
-            listed = budget.neighbours and _left(budget.items, counts["items"]) > 0
-            counts["items"] += listed
+            self.known.add(x)
+            self.fresh += 1
+            listed = b.neighbours and _left(b.items, self.items) > 0
+            self.items += listed
             out.append(("ENTITY" if listed else "NODE", x, 0.0))
-    counts["keys"] = keys
-    return out
+        return out
+
+
+def _passes(budget: Budget, hop: int):
+    """Passes of all questions over rows (q_id, place, kind, src_id, identifier, tgt_id, weight) sorted by q_id and place; what is included
+    from before has place 0."""
+
+    def run(batches):
+        now, state, pos = object(), None, 0
+        for b in batches:
+            q = b.column(0).to_numpy(zero_copy_only=False)
+            cuts = np.flatnonzero(np.r_[True, q[1:] != q[:-1], True]) if len(q) else []
+            out = []
+            for lo, hi in itertools.pairwise(cuts):
+                if q[lo] != now:
+                    now, state, pos = q[lo], _Pass(budget), 0
+                if state.ended() and b.column(1)[int(lo)].as_py():
+                    continue  # the rest of a question is not even unpacked
+                for place, kind, source, key, target, weight in zip(*(c.slice(int(lo), int(hi - lo)).to_pylist() for c in b.columns[1:]), strict=True):
+                    if not place:
+                        state.begin(kind, key)
+                        continue
+                    if state.ended():
+                        break
+                    for item in state.offer(source, key, target, weight):
+                        pos += 1
+                        out.append((int(now), *item, hop, pos))
+            names = ["q_id", "kind", "identifier", "score", "hop", "pos"]
+            types = [pa.int64(), pa.string(), pa.string(), pa.float64(), pa.int32(), pa.int64()]
+            columns = list(zip(*out, strict=True)) if out else [[]] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
+
+    return run
 
 
 def frontier_of(items: DataFrame) -> DataFrame:
@@ -184,12 +220,14 @@ def frontier_of(items: DataFrame) -> DataFrame:
     return items.where("kind <> 'RELATIONSHIP'").select("q_id", F.col("identifier").alias("identity")).distinct()
 
 
-def _ordered(found: DataFrame, known: DataFrame, budget: Budget) -> DataFrame:
-    """Candidate edges of each question with their ``place`` in the budget's order.
+def _candidates(found: DataFrame, items: DataFrame, budget: Budget) -> DataFrame:
+    """Edges that a hop's pass can use, with their ``place`` in the budget's order, each edge key once.
 
-    Unless fresh ends can make the pass skip edges, it takes no more than the smallest limit on relationships (each key once),
-    so of a hot frontier only so many distinct keys go to the pass.
+    With a limit of m on relationships the pass needs few of them, whatever the frontier touches: an edge of the frontier has at most one new
+    end, so until new ends run out every edge is taken, and these are among the first m; from then on only edges count whose ends are
+    both included or ends of the first m, which are as many as so few nodes have between them.
     """
+    known = frontier_of(items)
     order = [F.col("ord").asc()]
     if budget.columns:
         order = [*budget.columns, *order]
@@ -200,41 +238,45 @@ def _ordered(found: DataFrame, known: DataFrame, budget: Budget) -> DataFrame:
         order = [F.desc(F.coalesce("fresh", F.lit(0))), *order]
     elif budget.order in ("WEIGHT_DESC", "WEIGHT_ASC"):
         order = [F.desc("weight") if budget.order == "WEIGHT_DESC" else F.asc("weight"), *order]
-    rows = found.withColumn("place", F.row_number().over(Window.partitionBy("q_id").orderBy(*order)))
+    taken = items.where("kind = 'RELATIONSHIP'").select("q_id", F.col("identifier").alias("edge_key"))
+    rows = keyed(found).join(taken, ["q_id", "edge_key"], "left_anti")
+    rows = rows.withColumn("again", F.row_number().over(Window.partitionBy("q_id", "edge_key").orderBy(*order))).where("again = 1").drop("again")
     limits = [x for x in (budget.relationships, budget.per_hop, budget.items) if x is not None]
-    if budget.hops == 1 and budget.new_nodes is None and limits:
-        rows = rows.withColumn("again", F.row_number().over(Window.partitionBy("q_id", "src_id", "type", "tgt_id").orderBy("place"))).where("again = 1")
-        rows = rows.withColumn("nth", F.row_number().over(Window.partitionBy("q_id").orderBy("place"))).where(F.col("nth") <= min(limits))
-    return rows.select("q_id", "src_id", "type", "tgt_id", "weight", "ord", "place")
+    in_order = Window.partitionBy("q_id").orderBy(*order)
+    if limits:
+        ahead = lambda some: some.withColumn("nth", F.row_number().over(in_order)).where(F.col("nth") <= min(limits)).drop("nth")
+        if budget.new_nodes is None:
+            rows = ahead(rows)
+        else:
+            rows = written(rows)
+            first = written(ahead(rows))
+            near = known.unionByName(first.select("q_id", F.explode(F.array("src_id", "tgt_id")).alias("identity"))).distinct()
+            inside = rows
+            for end in ("src_id", "tgt_id"):
+                inside = inside.join(near.withColumnRenamed("identity", end), ["q_id", end], "left_semi")
+            rows = first.unionByName(inside.select(*first.columns)).dropDuplicates(["q_id", "edge_key"])
+    return rows.withColumn("place", F.row_number().over(in_order)).select("q_id", F.col("place").cast("long").alias("place"), F.lit(None).cast("string").alias("kind"), "src_id", F.col("edge_key").alias("identifier"), "tgt_id", F.col("weight").cast("long").alias("weight"))
 
 
 def expand(seeds: DataFrame, edges: DataFrame, budget: Budget = Budget()) -> DataFrame:
     """(q_id, kind, identifier, score, hop, pos) of a bounded breadth-first expansion from ranked seeds (q_id, identity, score, rank).
 
-    Hops are joins over all questions at once; only the sequential budget pass runs for each question, on the edges that
-    its frontier touches. NODE rows are nodes that are included without being listed.
+    Hops are joins over all questions at once; the budget pass of a hop is one ordered scan over the candidate edges of all
+    questions, which holds one question's items at a time. NODE rows are nodes that are included without being listed.
     """
     first = seeds.dropDuplicates(["q_id", "identity"]).withColumn("n", F.row_number().over(Window.partitionBy("q_id").orderBy("rank")))
     most = [x for x in (budget.seeds, budget.nodes, budget.items) if x is not None]
     items = first.where(F.col("n") <= min(most)).select("q_id", F.lit("ENTITY").alias("kind"), F.col("identity").alias("identifier"), F.col("score").cast("double").alias("score"), F.lit(0).alias("hop"), F.col("n").cast("long").alias("pos"))
+    items = written(items)
     usable = accepted(edges, budget.include, budget.exclude, budget.least_weight)
     frontier = items.select("q_id", F.col("identifier").alias("identity"))
     limits = replace(budget, columns=[])  # orders are columns and stay on the driver
+    none = lambda kind: F.lit(None).cast(kind)
     for hop in range(1, budget.hops + 1):
-        found = _ordered(from_frontier(usable, frontier, budget.direction), frontier_of(items), budget)
-        state = items.groupBy("q_id").agg(F.array_sort(F.collect_list(F.struct("hop", "pos", "kind", "identifier"))).alias("state"))
-
-        def step(pdf: pd.DataFrame) -> pd.DataFrame:
-            state = [tuple(x.values()) if isinstance(x, dict) else tuple(x) for x in pdf["state"].iloc[0]]
-            nodes = [x[3] for x in state if x[2] != "RELATIONSHIP"]
-            edge_keys = [x[3] for x in state if x[2] == "RELATIONSHIP"]
-            counts = {"keys": edge_keys, "relationships": len(edge_keys), "items": sum(x[2] != "NODE" for x in state)}
-            rows = pdf.drop(columns="state")
-            rows = rows.sort_values("place")
-            taken = greedy(rows.to_dict("records"), nodes, counts, limits)
-            return pd.DataFrame([(pdf["q_id"].iloc[0], k, i, s, 0, n) for n, (k, i, s) in enumerate(taken, 1)], columns=["q_id", "kind", "identifier", "score", "hop", "pos"])
-
-        new = found.join(state, "q_id").groupBy("q_id").applyInPandas(step, _ITEMS).withColumn("hop", F.lit(hop))
+        rows = _candidates(from_frontier(usable, frontier, budget.direction), items, budget)
+        before = items.select("q_id", F.lit(0).cast("long").alias("place"), "kind", none("string").alias("src_id"), "identifier", none("string").alias("tgt_id"), none("long").alias("weight"))
+        scan = before.unionByName(rows).repartition("q_id").sortWithinPartitions("q_id", "place")
+        new = scan.mapInArrow(_passes(limits, hop), _ITEMS)
         new = written(new) if budget.hops > 1 else new
         items = items.unionByName(new)
         frontier = new.where("kind <> 'RELATIONSHIP'").select("q_id", F.col("identifier").alias("identity"))

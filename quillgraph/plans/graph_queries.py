@@ -193,8 +193,29 @@ SELECT q_id, identifier, CAST(weight AS DOUBLE) AS score FROM c QUALIFY row_numb
 
 
 def q25_expand_2hop(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = graph.expand(_matches(spark, sf_dir), R(spark, sf_dir), graph.Budget(hops=2))
-    return found.groupBy("q_id", "kind", "hop").agg(F.count("*").alias("n"))
+    return graph.expand(_matches(spark, sf_dir), R(spark, sf_dir), graph.Budget(hops=2)).select("q_id", "kind", "identifier", "score", "hop")
+
+
+def _hop_sql(hop: int, frontier: str, before: str) -> str:
+    """CTEs of one hop: candidate edges ``c`` in order, and the pass ``h`` over them, which takes or skips one edge a step."""
+    return f"""c{hop} AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY weight DESC, ord) AS i FROM (
+    SELECT DISTINCT f.q_id, src_id, tgt_id, src_id || '->' || rels.type || '->' || tgt_id AS edge_key, weight, rels.ord FROM {frontier} f JOIN rels ON src_id = f.identity OR tgt_id = f.identity) x
+  WHERE NOT EXISTS (SELECT 1 FROM {before} b WHERE b.q_id = x.q_id AND list_contains(b.keys, x.edge_key))),
+h{hop} AS (SELECT q_id, CAST(0 AS BIGINT) AS i, known, keys, 0 AS here, 0 AS used, CAST([] AS VARCHAR[]) AS new, CAST(NULL AS VARCHAR) AS edge_key, CAST(0 AS DOUBLE) AS weight FROM {before}
+  UNION ALL SELECT q_id, i, list_concat(known, new), CASE WHEN fits THEN list_append(keys, edge_key) ELSE keys END, here + CAST(fits AS INTEGER), used + len(new), new, CASE WHEN fits THEN edge_key END, weight
+  FROM (SELECT *, CASE WHEN fits THEN fresh[:greatest(0, 100 - len(known))] ELSE [] END AS new FROM (SELECT *, len(fresh) <= 10 - used AS fits FROM (
+    SELECT h.q_id, c.i, known, keys, here, used, c.edge_key, CAST(c.weight AS DOUBLE) AS weight,
+      list_filter(CASE WHEN src_id = tgt_id THEN [src_id] ELSE [src_id, tgt_id] END, lambda x: NOT list_contains(known, x)) AS fresh
+    FROM h{hop} h JOIN c{hop} c ON c.q_id = h.q_id AND c.i = h.i + 1 WHERE here < 25 AND len(keys) < 50)))),
+e{hop} AS (SELECT q_id, arg_max(known, i) AS known, arg_max(keys, i) AS keys FROM h{hop} GROUP BY q_id),
+n{hop} AS (SELECT q_id, unnest(new) AS identity FROM h{hop})"""
+
+
+SQL["q25_expand_2hop"] = f"""WITH RECURSIVE {_RANKED[len("WITH ") :]}, s AS (SELECT q_id, identity, score FROM ranked WHERE rank <= 3),
+e0 AS (SELECT q_id, list(identity) AS known, CAST([] AS VARCHAR[]) AS keys FROM s GROUP BY q_id), {_hop_sql(1, "s", "e0")}, {_hop_sql(2, "n1", "e1")}
+SELECT q_id, 'ENTITY' AS kind, identity AS identifier, CAST(score AS DOUBLE) AS score, 0 AS hop FROM s
+UNION ALL SELECT q_id, 'RELATIONSHIP', edge_key, weight, 1 FROM h1 WHERE edge_key IS NOT NULL UNION ALL SELECT q_id, 'ENTITY', identity, 0, 1 FROM n1
+UNION ALL SELECT q_id, 'RELATIONSHIP', edge_key, weight, 2 FROM h2 WHERE edge_key IS NOT NULL UNION ALL SELECT q_id, 'ENTITY', identity, 0, 2 FROM n2"""
 
 
 def q26_unit_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
