@@ -1,8 +1,9 @@
-"""The graph store: one Parquet table per kind of record, partitioned by corpus.
+"""The graph store: one Parquet table per kind of record, partitioned by corpus and by buckets of a hash of the key.
 
-Parquet has no row-level updates, so a write makes a new version of the corpora that it touches: rows by key, the last
-one wins. The new version is written beside the old one and then swapped in, partition by partition (dynamic overwrite).
-Reads are DataFrames with the partition filter pushed to the scan.
+Parquet has no row-level updates, so a write makes a new version of the buckets that hold the keys it touches: rows by key, the last
+one wins. The new version is written beside the old one and then swapped in, partition by partition (dynamic overwrite), so files are read and
+written in proportion to the change once it is small against the number of buckets. Reads are DataFrames with the partition filter
+pushed to the scan.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from __future__ import annotations
 import time
 from collections import OrderedDict
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillgraph.functions import maps
@@ -21,22 +22,47 @@ EVENTS, TRACES = 5000, 500
 TERMINAL = ("ingestion-complete", "error")
 
 
+#: The partition column beside corpus_id.
+BUCKET = "key_bucket"
+
+
 class Store:
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path, self._cache = steady(spark), path.rstrip("/"), OrderedDict()
+    """A store under ``path``; ``buckets`` a corpus and table must stay the same for a path, and may be thousands for large corpora."""
+
+    def __init__(self, spark: SparkSession, path: str, buckets: int = 8):
+        self.spark, self.path, self.buckets, self._cache = steady(spark), path.rstrip("/"), buckets, OrderedDict()
 
     # -- reads -----------------------------------------------------------------------------------------------------------
 
     def table(self, name: str, corpus: str | None = None) -> DataFrame:
         """The rows of a table, of one corpus or all."""
-        schema = self.spark.createDataFrame([], SCHEMAS[name]).schema
+        rows = self._bucketed(name).drop(BUCKET)
+        return rows if corpus is None else rows.where(F.col("corpus_id") == corpus)
+
+    def _bucketed(self, name: str) -> DataFrame:
+        """A table with the bucket that each row lies in."""
+        schema = self.spark.createDataFrame([], f"{SCHEMAS[name]}, {BUCKET} int").schema
         try:
-            rows = self.spark.read.schema(schema).parquet(f"{self.path}/{name}").select(*schema.names)
+            return self.spark.read.schema(schema).parquet(f"{self.path}/{name}").select(*schema.names)
         except Exception as e:
             if "PATH_NOT_FOUND" not in str(e):
                 raise
-            rows = self.spark.createDataFrame([], schema)
-        return rows if corpus is None else rows.where(F.col("corpus_id") == corpus)
+            return self.spark.createDataFrame([], schema)
+
+    def _bucket(self, name: str) -> Column:
+        """The bucket of a key."""
+        key = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in KEYS[name]]
+        return F.pmod(F.xxhash64(*key), F.lit(self.buckets)).cast("int") if key else F.lit(0)
+
+    def _within(self, name: str, places: list[tuple[str, int]]) -> DataFrame:
+        """The rows of some buckets; the filter is on partition columns."""
+        of: dict[str, list[int]] = {}
+        for corpus, bucket in places:
+            of.setdefault(corpus, []).append(bucket)
+        test = F.lit(False)
+        for corpus, buckets in of.items():
+            test = test | ((F.col("corpus_id") == corpus) & F.col(BUCKET).isin(buckets))
+        return self._bucketed(name).where(test)
 
     def cached(self, name: str, corpus: str, seconds: float | None = None) -> DataFrame:
         """A read that is kept in memory until the next write to its table, or until it is ``seconds`` old."""
@@ -59,21 +85,36 @@ class Store:
 
     # -- writes ----------------------------------------------------------------------------------------------------------
 
-    def _swap(self, name: str, rows: DataFrame, corpora: list[str]) -> None:
+    def _replace(self, name: str, rows: DataFrame, places: list[tuple[str, int]]) -> None:
+        """Put ``rows`` (with their buckets, all in ``places``) in place of what these buckets hold."""
         self.invalidate(name)
-        fresh = written(rows)
-        fresh.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("corpus_id").parquet(f"{self.path}/{name}")
-        left = {r[0] for r in fresh.select("corpus_id").distinct().collect()}
+        fresh = written(rows.select(*self._bucketed(name).columns))
+        fresh.repartition("corpus_id", BUCKET).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("corpus_id", BUCKET).parquet(f"{self.path}/{name}")
+        left = {tuple(r) for r in fresh.select("corpus_id", BUCKET).distinct().collect()}
         forget(fresh)
-        for corpus in set(corpora) - left:
-            self._drop(name, corpus)
+        for corpus, bucket in set(places) - left:
+            self._drop(name, corpus, bucket)
+
+    def _places(self, rows: DataFrame) -> list[tuple[str, int]]:
+        """The buckets of ``rows``: at most ``buckets`` for each corpus that a write touches."""
+        return [tuple(r) for r in rows.select("corpus_id", BUCKET).distinct().collect()]
 
-    def _drop(self, name: str, corpus: str) -> None:
+    def _drop(self, name: str, corpus: str, bucket: int | None = None) -> None:
+        self.invalidate(name)
         jvm = self.spark.sparkContext._jvm
         folder = jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName(corpus)
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}/corpus_id={folder}")
+        path = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}/corpus_id={folder}" + (f"/{BUCKET}={bucket}" if bucket is not None else ""))
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
+    def _merge(self, name: str, rows: DataFrame, *last: Column) -> None:
+        """Put rows with their buckets by key; of equal keys, stored ones too, the first in the order ``last`` stays."""
+        rows = written(rows)
+        places = self._places(rows)
+        every = self._within(name, places).unionByName(rows)
+        one = F.row_number().over(Window.partitionBy("corpus_id", *KEYS[name]).orderBy(*last))
+        self._replace(name, every.withColumn("n_", one).where("n_ = 1"), places)
+        forget(rows)
+
     def upsert(self, name: str, rows: DataFrame) -> None:
         """Put rows by key; later rows of ``rows`` (by ``ord`` where there is one) win."""
         schema = self.spark.createDataFrame([], SCHEMAS[name]).schema
@@ -86,10 +127,10 @@ class Store:
         if "ord" in schema.names:
             last = F.row_number().over(Window.partitionBy(*key).orderBy(F.desc("ord")))
             rows = rows.withColumn("_n", last).where("_n = 1").drop("_n")
-        rows = written(rows)
-        corpora = [r[0] for r in rows.select("corpus_id").distinct().collect()]
-        old = self.table(name).where(F.col("corpus_id").isin(corpora)).join(rows.select(*key), key, "left_anti")
-        self._swap(name, old.unionByName(rows), corpora)
+        rows = written(rows.withColumn(BUCKET, self._bucket(name)))
+        places = self._places(rows)
+        old = self._within(name, places).join(rows.select(*key), key, "left_anti")
+        self._replace(name, old.select(*rows.columns).unionByName(rows), places)
         forget(rows)
 
     def put_entities(self, rows: DataFrame) -> None:
@@ -132,24 +173,32 @@ class Store:
     def retype(self, corpus: str, previous: str, name: str, kind: str) -> None:
         """Give an entity a new name and type, and rewrite the ends of its edges."""
         new = maps.identity(F.lit(name), F.lit(kind))
-        hit = F.col("identity") == previous
-        entities = self.table("entities", corpus)
-        swap = lambda c, v: F.when(hit, v).otherwise(F.col(c)).alias(c)
-        given = {"identity": new, "name": F.lit(name), "type": F.lit(kind)}
-        # an entity that has the new identity already takes the place of the old one, as a later write would
-        one = lambda rows, name_, last: rows.withColumn("n_", F.row_number().over(Window.partitionBy(*KEYS[name_]).orderBy(*last))).where("n_ = 1").drop("n_")
-        self._swap("entities", one(entities.select(*[swap(c, given[c]) if c in given else c for c in entities.columns]), "entities", [F.desc("ord")]), [corpus])
-        edges = self.table("relationships", corpus)
+        # what has the new key already takes the place of the old one, or leaves it to it, as a later write would
         ends = {"src_id": ("src_id", new), "source": ("src_id", F.lit(name)), "source_type": ("src_id", F.lit(kind)), "tgt_id": ("tgt_id", new), "target": ("tgt_id", F.lit(name)), "target_type": ("tgt_id", F.lit(kind))}
-        self._swap("relationships", one(edges.select(*[F.when(F.col(ends[c][0]) == previous, ends[c][1]).otherwise(F.col(c)).alias(c) if c in ends else c for c in edges.columns]), "relationships", [F.desc("ord")]), [corpus])
-        for table, last in (("memberships", [F.col("ord").asc()]), ("entity_embeddings", [F.hash("embedding").asc()])):
-            rows = self.table(table, corpus)
-            self._swap(table, one(rows.withColumn("identity", F.when(hit, new).otherwise(F.col("identity"))), table, last), [corpus])
+        own = {"identity": ("identity", new)}
+        given = own | {"name": ("identity", F.lit(name)), "type": ("identity", F.lit(kind))}
+        hit, edge = F.col("identity") == previous, (F.col("src_id") == previous) | (F.col("tgt_id") == previous)
+        for table, test, values, last in (("entities", hit, given, F.desc("ord")), ("relationships", edge, ends, F.desc("ord")), ("memberships", hit, own, F.col("ord").asc()), ("entity_embeddings", hit, own, F.hash("embedding").asc())):
+            old = written(self.table(table, corpus).where(test))
+            if not old.isEmpty():
+                moved = old.select(*[F.when(F.col(values[c][0]) == previous, values[c][1]).otherwise(F.col(c)).alias(c) if c in values else c for c in old.columns])
+                self._without(table, corpus, old.select(*KEYS[table]), *KEYS[table])
+                self._merge(table, moved.withColumn(BUCKET, self._bucket(table)), last)
+            forget(old)
 
     # -- deletes (all idempotent) -----------------------------------------------------------------------------------------
 
     def _without(self, name: str, corpus: str, gone: DataFrame, *on: str) -> None:
-        self._swap(name, self.table(name, corpus).join(gone, list(on), "left_anti"), [corpus])
+        """Rewrite the buckets that hold rows of ``gone`` without these."""
+        gone = written(gone.select(*on).distinct())
+        rows = self._bucketed(name).where(F.col("corpus_id") == corpus)
+        if list(on) == KEYS[name]:  # the keys tell their buckets
+            places = self._places(gone.select(F.lit(corpus).alias("corpus_id"), self._bucket(name).alias(BUCKET)))
+        else:
+            places = self._places(rows.join(gone, list(on), "left_semi"))
+        if places:
+            self._replace(name, self._within(name, places).join(gone, list(on), "left_anti"), places)
+        forget(gone)
 
     def delete_units(self, corpus: str, ids: DataFrame) -> None:
         self._without("text_units", corpus, ids, "id")
@@ -157,8 +206,8 @@ class Store:
     def delete_entities(self, corpus: str, ids: DataFrame) -> None:
         """Entities with their edges, memberships and embeddings."""
         ids = written(ids.select("identity").distinct())
-        edges = self.table("relationships", corpus).join(ids.withColumnRenamed("identity", "src_id"), "src_id", "left_anti").join(ids.withColumnRenamed("identity", "tgt_id"), "tgt_id", "left_anti")
-        self._swap("relationships", edges.select(*self.table("relationships").columns), [corpus])
+        for end in ("src_id", "tgt_id"):
+            self._without("relationships", corpus, ids.withColumnRenamed("identity", end), end)
         for name in ("memberships", "entity_embeddings", "entities"):
             self._without(name, corpus, ids, "identity")
         forget(ids)
@@ -169,12 +218,16 @@ class Store:
     def delete_communities(self, corpus: str, ids: DataFrame | None = None) -> None:
         """Communities (community_id), or all, with their memberships and embeddings."""
         for name in ("communities", "memberships", "community_embeddings"):
-            rows = self.table(name, corpus)
-            self._swap(name, rows.limit(0) if ids is None else rows.join(ids.select("community_id").distinct(), "community_id", "left_anti").select(*rows.columns), [corpus])
+            if ids is None:
+                self._drop(name, corpus)
+            else:
+                self._without(name, corpus, ids, "community_id")
 
     def delete_chunks(self, corpus: str, document: str | None = None) -> None:
-        rows = self.table("chunks", corpus)
-        self._swap("chunks", rows.where(~F.col("document_name").eqNullSafe(document)) if document is not None else rows.limit(0), [corpus])
+        if document is None:
+            self._drop("chunks", corpus)
+        else:
+            self._without("chunks", corpus, self.table("chunks", corpus).where(F.col("document_name") == document).select("id"), "id")
 
     def delete_corpus(self, corpus: str) -> None:
         for name in SCHEMAS:
@@ -217,8 +270,8 @@ class Store:
         old = written(seen.withColumn("n_", F.row_number().over(Window.partitionBy("corpus_id").orderBy(F.desc("used_at"), "trace_id"))).where(F.col("n_") > most).select("corpus_id", "trace_id"))
         if not old.isEmpty():
             for name in ("trace_steps", "trace_uses"):
-                rows = self.table(name).where(F.col("corpus_id").isin(corpora))
-                self._swap(name, rows.join(old, ["corpus_id", "trace_id"], "left_anti").select(*rows.columns), corpora)
+                for corpus in corpora:
+                    self._without(name, corpus, old.where(F.col("corpus_id") == corpus).select("trace_id"), "trace_id")
 
     def _touch(self, traces: DataFrame) -> list[str]:
         self.upsert("trace_uses", traces.withColumn("used_at", F.lit(time.time_ns())))
@@ -232,7 +285,13 @@ class Store:
         return rows.orderBy("step_no")
 
     def append_events(self, events: DataFrame) -> None:
-        self._swap("progress_events", event_buffer(self.table("progress_events").unionByName(events)), [r[0] for r in events.select("corpus_id").distinct().collect()])
+        """Put events behind those of their corpus; what the buffer no longer holds goes."""
+        events = written(events.select(*self.table("progress_events").columns))
+        corpora = [r[0] for r in events.select("corpus_id").distinct().collect()]
+        before = self.table("progress_events").where(F.col("corpus_id").isin(corpora))
+        held = event_buffer(before.unionByName(events)).withColumn(BUCKET, self._bucket("progress_events"))
+        self._replace("progress_events", held, [(c, k) for c in corpora for k in range(self.buckets)])
+        forget(events)
 
 
 def event_buffer(events: DataFrame, most: int = EVENTS) -> DataFrame:

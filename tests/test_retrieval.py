@@ -286,3 +286,28 @@ def test_comparison_with_vector_search(spark, g):
     assert [r["outcome"] for r in runs] == ["ANSWERED", "FAILED", "NO_ANSWER"]
     steps = spark.createDataFrame([("t", 0, "COMMUNITY"), ("t", 1, "SUB_QUESTION_SPAWNED"), ("v", 0, "VECTOR_CHUNK")], "trace_id string, step_no int, kind string")
     assert {r.trace_id: r.mode for r in compare.modes(steps).collect()} == {"t": "DRIFT", "v": "VECTOR"}
+
+
+def test_writes_touch_the_buckets_of_their_keys(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "b"), buckets=16)
+    named = lambda ids: spark.createDataFrame([("c", f"N{k}", "T", f"about {k}", k) for k in ids], "corpus_id string, name string, type string, description string, ord long")
+    store.put_entities(named(range(200)))
+    edges = spark.createDataFrame([("c", f"n{k}::t", "r", f"n{k + 1}::t", f"N{k}", "T", f"N{k + 1}", "T", 1, k) for k in range(199)], "corpus_id string, src_id string, type string, tgt_id string, source string, source_type string, target string, target_type string, weight long, ord long")
+    store.upsert("relationships", edges)
+
+    def files(table):
+        return {str(f) for f in (tmp_path / "b" / table).rglob("*.parquet")}
+
+    before = files("entities")
+    store.put_entities(named([7]).withColumn("description", F.lit("new")))
+    after = files("entities")
+    assert len(after - before) == 1 and len(before - after) == 1 and len(before) == 16
+    assert {r.description for r in store.table("entities", "c").where("name = 'N7'").collect()} == {"new"} and store.table("entities", "c").count() == 200
+    before = files("relationships")
+    store.retype("c", "n7::t", "Seven", "Number")
+    assert len(files("relationships") - before) <= 4
+    assert {(r.src_id, r.tgt_id) for r in store.table("relationships", "c").where("source = 'Seven' or target = 'Seven'").collect()} == {("n6::t", "seven::number"), ("seven::number", "n8::t")}
+    before = files("relationships")
+    store.delete_entities("c", spark.createDataFrame([("n100::t",)], "identity string"))
+    assert len(files("relationships") - before) <= 4 and store.table("relationships", "c").count() == 197 and store.table("entities", "c").count() == 199
+    assert store.violations().isEmpty()
