@@ -642,6 +642,40 @@ def q65_trace_phases(spark: SparkSession, sf_dir: str) -> DataFrame:
 SQL["q65_trace_phases"] = f"{_STEPS}, p AS (SELECT trace_id, CASE WHEN count(*) FILTER (kind = 'SYNTHESIS') OVER w > 0 THEN -1 ELSE count(*) FILTER (kind = 'SUB_QUESTION_SPAWNED') OVER w END AS phase FROM s WINDOW w AS (PARTITION BY trace_id ORDER BY step_no ROWS UNBOUNDED PRECEDING)) SELECT trace_id, CAST(phase AS INTEGER) AS phase, count(*) AS n FROM p GROUP BY ALL"
 
 
+#: Kinds of the steps of four sorts of traces, by type of event.
+_KINDS_OF = (_KINDS, {"click": "COMMUNITY", "view": "TEXT_UNIT", "signup": "COMMUNITY"}, {"click": "COMMUNITY", "view": "RELATIONSHIP", "purchase": "SUB_QUESTION_SPAWNED", "signup": "TEXT_UNIT"}, {"click": "ENTITY", "view": "RELATIONSHIP", "purchase": "ENTITY", "error": "TEXT_UNIT"}, {"click": "VECTOR_CHUNK", "view": "VECTOR_CHUNK", "signup": "VECTOR_CHUNK"})
+
+
+def q91_trace_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as traces of all modes: a user's events are dealt to four traces, the number of a trace gives its sort; every fourth says its mode."""
+    events = table(spark, sf_dir, "events").withColumn("trace", F.col("user_id") * 4 + F.col("event_id") % 4)
+    sort = F.col("trace") % 5
+    kind = F.when((sort == 4) & (F.col("step_no") == 1), "VECTOR_QUERY_EMBEDDED")
+    for k, kinds in enumerate(_KINDS_OF):
+        for event, v in kinds.items():
+            kind = kind.when((sort == k) & (F.col("event_type") == event), v)
+    kind = kind.otherwise(F.when(sort == 3, "RELATIONSHIP").otherwise("SYNTHESIS"))
+    rows = events.withColumn("step_no", F.row_number().over(Window.partitionBy("trace").orderBy("ts", "event_id")))
+    steps = rows.select(F.col("trace").cast("string").alias("trace_id"), "step_no", kind.alias("kind"), (F.col("event_id") % 7).cast("string").alias("identifier"), F.when(F.col("trace") % 4 == 1, "GLOBAL").alias("hint"))
+    return compare.segments(steps).select("trace_id", "mode", "title", "start", "end")
+
+
+_SORTS_SQL = "CASE WHEN k = 4 AND step_no = 1 THEN 'VECTOR_QUERY_EMBEDDED' " + " ".join(f"WHEN k = {k} AND event_type = '{e}' THEN '{v}'" for k, kinds in enumerate(_KINDS_OF) for e, v in kinds.items()) + " WHEN k = 3 THEN 'RELATIONSHIP' ELSE 'SYNTHESIS' END"
+SQL["q91_trace_segments"] = f"""WITH e AS (SELECT user_id * 4 + event_id % 4 AS trace, event_id, ts, event_type FROM events),
+o AS (SELECT *, trace % 5 AS k, row_number() OVER (PARTITION BY trace ORDER BY ts, event_id) AS step_no FROM e),
+s AS (SELECT trace, step_no - 1 AS i, {_SORTS_SQL} AS kind FROM o),
+f AS (SELECT trace, count(*) AS n, arg_min(kind, i) AS first, coalesce(min(i) FILTER (kind = 'SYNTHESIS'), count(*)) AS said, min(i) FILTER (kind = 'SUB_QUESTION_SPAWNED') AS spawn, count(*) FILTER (kind = 'SUB_QUESTION_SPAWNED') AS branches,
+  coalesce(min(i) FILTER (kind <> 'ENTITY'), count(*)) AS seeds, bool_or(kind = 'TEXT_UNIT') AS read, bool_or(kind = 'SYNTHESIS') AS ended FROM s GROUP BY trace),
+g AS (SELECT f.*, coalesce((SELECT min(i) FROM s WHERE s.trace = f.trace AND i >= seeds AND kind <> 'RELATIONSHIP'), n) AS edges,
+  CASE WHEN first = 'VECTOR_QUERY_EMBEDDED' THEN 'VECTOR' WHEN spawn IS NOT NULL THEN 'DRIFT' WHEN trace % 4 = 1 THEN 'GLOBAL' WHEN first = 'COMMUNITY' THEN CASE WHEN ended THEN 'DRIFT' ELSE 'GLOBAL' END ELSE 'LOCAL' END AS mode FROM f),
+p AS (SELECT trace, mode, 'Embed the question' AS title, 0 AS a, least(1, said) AS b FROM g WHERE mode = 'VECTOR' UNION ALL SELECT trace, mode, 'Nearest chunks', least(1, said), said FROM g WHERE mode = 'VECTOR'
+  UNION ALL SELECT trace, mode, 'Synthesis', said, n FROM g WHERE mode IN ('VECTOR', 'DRIFT') UNION ALL SELECT trace, mode, 'Community pass', 0, CASE WHEN mode = 'GLOBAL' THEN n ELSE coalesce(spawn, said) END FROM g WHERE mode IN ('GLOBAL', 'DRIFT')
+  UNION ALL SELECT trace, mode, 'Seed entities', 0, seeds FROM g WHERE mode = 'LOCAL' UNION ALL SELECT trace, mode, 'Graph facts', seeds, edges FROM g WHERE mode = 'LOCAL' AND read
+  UNION ALL SELECT trace, mode, 'Source passages', edges, n FROM g WHERE mode = 'LOCAL' AND read UNION ALL SELECT trace, mode, 'Relationship hop', seeds, n FROM g WHERE mode = 'LOCAL' AND NOT read
+  UNION ALL SELECT trace, mode, 'Branch ' || row_number() OVER w || ' of ' || branches, i, greatest(coalesce(lead(i) OVER w, said), i + 1) FROM s JOIN g USING (trace) WHERE mode = 'DRIFT' AND kind = 'SUB_QUESTION_SPAWNED' WINDOW w AS (PARTITION BY trace ORDER BY i))
+SELECT CAST(trace AS VARCHAR) AS trace_id, mode, title, CAST(a AS BIGINT) AS start, CAST(b AS BIGINT) AS "end" FROM p WHERE b > a"""
+
+
 def q69_trace_branches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compare.branches(_steps(spark, sf_dir)).select("trace_id", "branch", "start", "end", "label")
 

@@ -311,3 +311,26 @@ def test_writes_touch_the_buckets_of_their_keys(spark, tmp_path):
     store.delete_entities("c", spark.createDataFrame([("n100::t",)], "identity string"))
     assert len(files("relationships") - before) <= 4 and store.table("relationships", "c").count() == 197 and store.table("entities", "c").count() == 199
     assert store.violations().isEmpty()
+
+
+def test_roles_of_steps_in_every_mode(spark):
+    runs = {
+        "local": ["ENTITY", "ENTITY", "RELATIONSHIP", "ENTITY"],
+        "read": ["ENTITY", "RELATIONSHIP", "TEXT_UNIT", "TEXT_UNIT"],
+        "global": ["COMMUNITY", "TEXT_UNIT", "COMMUNITY"],
+        "drift": ["COMMUNITY", "COMMUNITY", "SUB_QUESTION_SPAWNED", "ENTITY", "RELATIONSHIP", "ENTITY", "SUB_QUESTION_SPAWNED", "ENTITY", "SYNTHESIS"],
+        "none": ["COMMUNITY", "SYNTHESIS"],
+        "vector": ["VECTOR_QUERY_EMBEDDED", "VECTOR_CHUNK", "VECTOR_CHUNK", "SYNTHESIS"],
+    }
+    names = {"drift": ["a", "b", "b", "", "", "", "c", "", ""]}
+    steps = spark.createDataFrame([(t, 10 * k, kind, names[t][k] if t in names else str(k), "") for t, kinds in runs.items() for k, kind in enumerate(kinds)], "trace_id string, step_no int, kind string, identifier string, label string")
+    got = {}
+    for r in compare.staged(steps).orderBy("trace_id", "place").collect():
+        got.setdefault((r.trace_id, r.mode), []).append((r.role, r["rank"]))
+    assert got["local", "LOCAL"] == [("SEED", 1), ("SEED", 2), ("HOP", 1), ("END", 1)]
+    assert got["read", "LOCAL"] == [("SEED", 1), ("FACT", 1), ("PASSAGE", 1), ("PASSAGE", 2)]
+    assert got["global", "GLOBAL"] == [("COMMUNITY", 1), ("PASSAGE", 1), ("COMMUNITY", 2)]
+    assert got["drift", "DRIFT"] == [("COMMUNITY", None), ("COMMUNITY", 1), ("SPAWN", 1), ("SEED", 1), ("HOP", 1), ("END", 1), ("SPAWN", 1), ("SEED", 1), ("SYNTHESIS", 1)]
+    assert [x[0] for x in got["none", "DRIFT"]] == ["COMMUNITY", "SYNTHESIS"] and got["vector", "VECTOR"][1:3] == [("CHUNK", 1), ("CHUNK", 2)]
+    phases = [(r.title, r.start, r.end) for r in compare.segments(steps).where("trace_id = 'drift'").orderBy("start").collect()]
+    assert phases == [("Community pass", 0, 2), ("Branch 1 of 2", 2, 6), ("Branch 2 of 2", 6, 8), ("Synthesis", 8, 9)]
