@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 from quillgraph.functions import lenient_json
 from quillgraph.functions import text as tx
 from quillgraph.functions import vectors as vx
-from quillgraph.operators import answers, seeds
-from quillgraph.operators.tables import written
+from quillgraph.operators import answers, embed, seeds
+from quillgraph.operators.tables import shared_dir, written
 from quillgraph.plans.trade import table
 from quillgraph.sources import readers
+from quillgraph.sources.store import Store
 
 TOP, RANKED = 5, 12
 
@@ -68,6 +69,20 @@ def q05_textunit_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readers.text_units(corpus_documents(spark, sf_dir)).select("id", "ordinal", F.length("text").alias("size"), F.md5("text").alias("digest"))
 
 
+#: One step of the recursion cuts the next unit of every document; places count from 0.
+Q05 = r"""WITH RECURSIVE u AS (
+  SELECT doc_id, text, CAST(0 AS BIGINT) AS a, CAST(NULL AS BIGINT) AS b, -1 AS n, false AS over FROM documents WHERE trim(text, e' \n\t\r') <> ''
+  UNION ALL SELECT doc_id, text, a, cut, n + 1, cut = length(text) AND a + 6000 >= length(text) FROM (
+    SELECT *, CASE WHEN a + 6000 >= length(text) THEN length(text)
+        WHEN regexp_matches(back, '\s[.!?]') THEN a + 6000 - length(regexp_extract(back, '^((?s:.*?))\s[.!?]', 1))
+        WHEN regexp_matches(back[:3000], '\s') THEN a + 6000 - length(regexp_extract(back, '^(\S*)\s', 1)) ELSE a + 6000 END AS cut FROM (
+      SELECT doc_id, text, n, a, reverse(substr(text, a + 3000, 3001)) AS back FROM (
+        SELECT doc_id, text, n, CASE WHEN n < 0 THEN 0 WHEN regexp_matches(substr(text, b - 600, 1), '\s') OR NOT regexp_matches(tail, '\s') THEN b - 600
+            ELSE b - 600 + length(regexp_extract(tail, '^\S*\s')) END AS a
+        FROM (SELECT *, substr(text, b - 599, 600) AS tail FROM u) WHERE NOT over))))
+SELECT 'docs::doc-' || doc_id || '::tu-' || n AS id, n AS ordinal, CAST(b - a AS INTEGER) AS size, md5(substr(text, a + 1, b - a)) AS digest FROM u WHERE n >= 0"""
+
+
 def _chunk_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readers.chunks(corpus_documents(spark, sf_dir)).withColumn("embedding", vx.hash_embedding(F.col("text"))).withColumn("ord", F.col("ordinal"))
 
@@ -110,10 +125,36 @@ SELECT item_id AS q_id, count(*) AS n, round(max(s), 4) AS best, round(min(s), 4
 Q07 = "\n".join(x for x in Q07.split("\n") if not x.startswith("qv AS"))
 
 
+def q92_vector_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A vector index of all documents, built into a store and read back: chunks with their vectors and spots."""
+    store = Store(spark, shared_dir(spark))
+    chunks = embed.build_index(store, "docs", corpus_documents(spark, sf_dir), embed.OFFLINE)
+    milli = lambda c: F.array_join(F.transform(c, lambda x: F.round(x.cast("double") * 1000).cast("int")), ",")
+    size = F.round(F.sqrt(F.pow(F.col("projection")[0], 2) + F.pow(F.col("projection")[1], 2)), 3)
+    return chunks.select("ordinal", F.md5("text").alias("digest"), milli("embedding").alias("vector"), size.alias("away"))
+
+
+def _axes_sql(vectors: str, key: str) -> str:
+    """CTEs for two axes of the vectors ``v`` of a table by thirty power steps each, and every row's place ``x``, ``y`` on them."""
+    centre = "list_transform(range(1, 65), lambda d: v[d] - m[d])"
+    return f"""mean AS (SELECT list(a ORDER BY d) AS m FROM (SELECT d, avg(CAST(v[d] AS DOUBLE)) AS a FROM {vectors}, range(1, 65) r(d) GROUP BY d)),
+pairs AS (SELECT i, j, avg(CAST(v[i] AS DOUBLE) * v[j]) - any_value(m[i]) * any_value(m[j]) AS c FROM {vectors}, mean, range(1, 65) r(i), range(1, 65) s(j) GROUP BY i, j),
+cov AS MATERIALIZED (SELECT list(l ORDER BY i) AS c FROM (SELECT i, list(c ORDER BY j) AS l FROM pairs GROUP BY i)),
+p1 AS (SELECT 0 AS k, list_transform(range(64), lambda i: 1 / sqrt(CAST(64 AS DOUBLE))) AS a UNION ALL SELECT k + 1, list_transform(w, lambda x: x / sqrt(list_inner_product(w, w))) FROM (SELECT k, list_transform(c, lambda l: list_inner_product(l, a)) AS w FROM p1, cov WHERE k < 30)),
+one AS MATERIALIZED (SELECT a AS f FROM p1 WHERE k = 30),
+p2 AS (SELECT 0 AS k, list_transform(range(64), lambda i: CASE WHEN i % 2 = 0 THEN 1 ELSE -1 END / sqrt(CAST(64 AS DOUBLE))) AS a UNION ALL SELECT k + 1, list_transform(w, lambda x: x / sqrt(list_inner_product(w, w))) FROM (
+  SELECT k, list_transform(range(1, 65), lambda i: w[i] - list_inner_product(w, f) * f[i]) AS w FROM (SELECT k, f, list_transform(c, lambda l: list_inner_product(l, a)) AS w FROM p2, cov, one WHERE k < 30))),
+spots AS (SELECT {key}, list_inner_product({centre}, f) AS x, list_inner_product({centre}, a) AS y FROM {vectors}, mean, one, p2 WHERE k = 30)"""
+
+
+Q92 = f"""WITH {_CHUNKS}, {_VECTORS}, vf AS MATERIALIZED (SELECT ordinal, list_transform(v, lambda x: CAST(CAST(x AS FLOAT) AS DOUBLE)) AS v FROM vecs), {_axes_sql("vf", "ordinal")}
+SELECT ordinal, md5(piece) AS digest, array_to_string(list_transform(v, lambda x: CAST(round(x * 1000) AS INTEGER)), ',') AS vector, round(sqrt(x * x + y * y), 3) AS away FROM numbered JOIN vf USING (ordinal) JOIN spots USING (ordinal)"""
+
+
 def q03_vector_answer(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Offline answers to all benchmark questions: chunk, embed, rank, join the passages."""
     docs = readers.chunks(corpus_documents(spark, sf_dir))
-    chunks = written(docs.withColumn("embedding", vx.hash_embedding(F.col("text"))).withColumn("ord", F.col("ordinal")))
+    chunks = written(embed.embedded(docs, embed.OFFLINE).withColumn("ord", F.col("ordinal")))
     asked = _asked(spark, sf_dir)
     ranked = written(answers.vector_ranking(asked, chunks.select("id", "ord", "embedding")))
     return answers.vector_answers(asked, ranked, chunks.select("id", "text")).select("q_id", "answer")
@@ -148,6 +189,10 @@ def q57_pca_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("vec_id", F.round(vx.projected(F.col("embedding"), mean, one), 4).alias("x"), F.round(vx.projected(F.col("embedding"), mean, two), 4).alias("y"))
 
 
+Q57 = f"""WITH RECURSIVE vf AS MATERIALIZED (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), {_axes_sql("vf", "vec_id")}
+SELECT vec_id, round(x, 4) + 0.0 AS x, round(y, 4) + 0.0 AS y FROM spots"""
+
+
 def q58_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readers.pages(spark, f"{sf_dir}/pages.parquet").select("page_id", "url", F.md5("text").alias("digest"), F.length("text").alias("size"))
 
@@ -181,4 +226,4 @@ def q66_lenient_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 Q66 = "SELECT event_id, CAST(props->>'$.k' AS BIGINT) AS k FROM events"
 
 QUERIES = {n: f for n, f in globals().items() if n[:1] == "q" and n[1:3].isdigit()}
-SQL = {"q01_vector_topk": Q01, "q02_vector_ranking12": Q02, "q04_chunk_documents": Q04, "q06_hash_embed": Q06, "q07_hash_embed_search": Q07, "q08_tokenize": Q08, "q16_semantic_seed": Q16, "q59_sentences": Q59, "q66_lenient_json": Q66}
+SQL = {"q01_vector_topk": Q01, "q02_vector_ranking12": Q02, "q04_chunk_documents": Q04, "q05_textunit_split": Q05, "q06_hash_embed": Q06, "q07_hash_embed_search": Q07, "q08_tokenize": Q08, "q16_semantic_seed": Q16, "q57_pca_projection": Q57, "q59_sentences": Q59, "q66_lenient_json": Q66, "q92_vector_index": Q92}
