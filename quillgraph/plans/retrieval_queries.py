@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillgraph.functions import lenient_json
-from quillgraph.operators import community, compare, graph, model, retrieval, seeds, updates
+from quillgraph.operators import answers, community, compare, graph, model, retrieval, seeds, updates
 from quillgraph.operators.tables import shared_dir, written
 from quillgraph.plans import graph_queries as gq
 from quillgraph.plans import trade
@@ -199,6 +200,57 @@ def q83_drift_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.drift(trade.questions(spark), trade_graph(spark, sf_dir), model.Model(model.offline)).select("q_id", "number", "kind", "identifier")
 
 
+def _for(subs: str, ctes: str, *names: str) -> str:
+    """CTEs that read ``questions``, made to read ``subs`` instead, under names of their own."""
+    for name in ("questions", *names):
+        ctes = re.sub(rf"\b{name}\b", subs if name == "questions" else f"{subs}_{name}", ctes)
+    return ctes
+
+
+_TIED = "best AS (SELECT q_id, community_id FROM kw QUALIFY rank() OVER (PARTITION BY q_id ORDER BY score DESC) = 1), tied AS (SELECT q_id, community_id, row_number() OVER (PARTITION BY q_id ORDER BY community_id) AS branch FROM best)"
+_AFTER = len(f"{_G}, {trade.QUESTIONS_SQL}, ")
+_SUBS = f"""{gq._CKW}, {_TIED}, subs AS (SELECT q_id * 1000 + branch AS q_id, q_id AS asked, branch, community_id, 'What of ' || title || ': ' || summary AS question FROM tied JOIN comm USING (community_id) WHERE branch <= {retrieval.BRANCHES}),
+{_for("subs", _LOCAL[_AFTER:], "cand", "qtok", "kw", "ranked", "ed", "un", "it", "ctx")},
+every AS (SELECT asked AS q_id, branch, number AS n, kind, identifier FROM subs_ctx JOIN subs USING (q_id) UNION ALL SELECT asked, branch, 0, 'COMMUNITY', community_id FROM subs),
+firsts AS (SELECT * FROM every QUALIFY row_number() OVER (PARTITION BY q_id, kind, identifier ORDER BY branch, n) = 1),
+dctx AS (SELECT q_id, CAST(row_number() OVER (PARTITION BY q_id ORDER BY branch, n) AS INTEGER) AS number, kind, identifier FROM firsts)"""
+SQL["q83_drift_context"] = f"{_SUBS} SELECT q_id, number, kind, identifier FROM dctx"
+
+
+def q93_drift_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers without a model: branches at the communities that tie at the best score, and the first whose local answer is a relationship."""
+    g = trade_graph(spark, sf_dir)
+    return answers.drift_answers(trade.questions(spark), g.communities, g.entities, g.relationships)
+
+
+SQL["q93_drift_answers"] = f"""{gq._CKW}, {_TIED}, subs AS (SELECT q_id * 1000 + branch AS q_id, q_id AS asked, branch, question || ' Community summary: ' || summary AS question FROM tied JOIN comm USING (community_id) JOIN questions USING (q_id)),
+{_for("subs", gq._RANKED[_AFTER:] + ", " + gq._HOP, "cand", "qtok", "kw", "ranked", "near", "hcand", "hw", "hs", "hb")},
+told AS (SELECT asked, branch, source || ' ' || lower(replace(rels.type, '_', ' ')) || ' ' || target || '.' AS said FROM subs_hb JOIN subs USING (q_id) JOIN rels ON rels.ord = subs_hb.ord),
+firsts AS (SELECT asked AS q_id, min(branch) AS branch, arg_min(said, branch) AS said FROM told GROUP BY asked)
+SELECT q.q_id, CAST(branch AS INTEGER) AS branch, CASE WHEN said IS NOT NULL THEN '{answers.DRIFT_LEAD}{answers.LOCAL_HOP}' || said WHEN q.q_id IN (SELECT asked FROM subs) THEN '{answers.DRIFT_NONE}' ELSE '{answers.GLOBAL_NONE}' END AS answer FROM questions q LEFT JOIN firsts USING (q_id)"""
+
+
+def q94_synthesised_global(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers of a deterministic model to the communities, members and passages of each question."""
+    found, _ = retrieval.answered("GLOBAL", trade.questions(spark), trade_graph(spark, sf_dir), model.Model(model.offline))
+    return found.select("q_id", "status", "answer", F.array_join("cited", ",").alias("cited"))
+
+
+SQL["q94_synthesised_global"] = f"""{_TOP.format(limit=10)}, f AS (SELECT q_id, arg_min(community_id, n) AS first, count(*) + (SELECT count(DISTINCT (identity, 0)) FROM mi WHERE mi.q_id = p.q_id) + count(*) AS items
+  FROM (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY score DESC, community_id) AS n FROM pick) p GROUP BY q_id)
+SELECT q.q_id, CASE WHEN items IS NULL THEN 'NO_CONTEXT' ELSE 'ANSWERED' END AS status, 'From ' || items || ' items [1].' AS answer, coalesce(first, '') AS cited FROM questions q LEFT JOIN f USING (q_id)"""
+
+
+def q95_synthesised_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers of a deterministic model to the union of each question's branches."""
+    found, _ = retrieval.answered("DRIFT", trade.questions(spark), trade_graph(spark, sf_dir), model.Model(model.offline))
+    return found.select("q_id", "status", "answer", F.array_join("cited", ",").alias("cited"))
+
+
+SQL["q95_synthesised_drift"] = f"""{_SUBS}, f AS (SELECT q_id, count(*) AS items, arg_min(identifier, number) FILTER (kind = 'TEXT_UNIT') AS first FROM dctx GROUP BY q_id)
+SELECT q.q_id, CASE WHEN items IS NULL THEN 'NO_CONTEXT' WHEN first IS NULL THEN 'NOT_IN_CONTEXT' ELSE 'ANSWERED' END AS status, CASE WHEN first IS NOT NULL THEN 'From ' || items || ' items [1].' END AS answer, coalesce(first, '') AS cited FROM questions q LEFT JOIN f USING (q_id)"""
+
+
 def q84_synthesised_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Answers of a deterministic model to the local context of each question."""
     found, _ = retrieval.answered("LOCAL", trade.questions(spark), trade_graph(spark, sf_dir), model.Model(model.offline), budget=graph.Budget(hops=1, relationships=10, per_hop=None, new_nodes=None, nodes=None, units=5, member_units=False))
@@ -262,6 +314,21 @@ SELECT 'entities' AS what, type, count(*) AS n FROM stay GROUP BY type UNION ALL
 UNION ALL SELECT 'units', 'unit', count(*) FROM nation WHERE n_regionkey <> 1 UNION ALL SELECT 'members', 'nation-' || CAST(nk AS VARCHAR), count(*) FROM stay WHERE type = 'Customer' GROUP BY nk"""
 
 
+def q96_removed_contents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The elements themselves that a removal of one region's units leaves in the store."""
+    store = _imported(spark, sf_dir)
+    updates.remove_source(store, "trade", "region-1")
+    kind = lambda name, *key: store.table(name, "trade").select(F.lit(name).alias("what"), F.concat_ws("->", *key).alias("key"))
+    weighed = store.table("relationships", "trade").select(F.lit("relationships").alias("what"), F.concat_ws("->", "src_id", "type", "tgt_id", F.col("weight").cast("string")).alias("key"))
+    rows = [kind("entities", "identity"), weighed, kind("text_units", "id"), kind("memberships", "community_id", "identity"), kind("communities", "community_id")]
+    return written(reduce(DataFrame.unionByName, rows))
+
+
+SQL["q96_removed_contents"] = f"""{SQL["q87_remove_source_from_store"].partition("SELECT 'entities' AS what, type")[0]} SELECT 'entities' AS what, identity AS key FROM stay
+UNION ALL SELECT 'relationships', src_id || '->' || type || '->' || tgt_id || '->' || weight FROM lef UNION ALL SELECT 'text_units', 'nation-' || n_nationkey FROM nation WHERE n_regionkey <> 1
+UNION ALL SELECT 'memberships', 'nation-' || nk || '->' || identity FROM stay WHERE type = 'Customer' UNION ALL SELECT DISTINCT 'communities', 'nation-' || nk FROM ents WHERE type = 'Customer' AND nk NOT IN (SELECT k FROM gone)"""
+
+
 def q88_extraction_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts as mentions with their brands as types, order lines as edges to them: names resolved, edges re-keyed and merged."""
     name = F.concat(F.lit('"'), F.initcap("p_name"), F.lit('!"'))
