@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillgraph.llm import _text as tx
-from quillgraph.llm._shared import chunked, components, forget, fresh, groups, looked_up, trimmed, written
+from quillgraph.llm._shared import chunked, components, forget, fresh, groups, lean, looked_up, trimmed, written
 
 TREES, DEPTH, NEIGHBOURS = 16, 8, 4
 #: Trees whose crowded regions are searched exactly, documents of a bucket before it goes deeper, and documents of a group
@@ -401,6 +401,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, threshold: tuple[int, int
 
     Two documents are linked where denominator * |A and B| >= numerator * |A or B|; components are those of the links.
     """
+    lean(docs.sparkSession)
     numerator, denominator = threshold
     sketched = written(signatures(docs, shingle))
     classes = sketched.where("n_shingles > 0 and doc_id is not null").groupBy("k1", "k2").agg(F.min("doc_id").alias("node"), F.count("*").alias("n"))
