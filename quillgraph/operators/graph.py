@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillgraph.functions import maps
-from quillgraph.operators.tables import written
+from quillgraph.operators.tables import small, written
 
 
 def by_identity(entities: DataFrame, ids: DataFrame) -> DataFrame:
@@ -25,11 +25,11 @@ def by_identity(entities: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def touching(edges: DataFrame, ids: DataFrame) -> DataFrame:
-    """Relationships with a source or target in ``ids``: two semi-joins, where an OR would compare all pairs."""
-    ids = ids.select("identity").distinct()
-    out = edges.join(ids, edges["src_id"] == ids["identity"], "left_semi")
-    into = edges.join(ids, edges["tgt_id"] == ids["identity"], "left_semi").join(ids, edges["src_id"] == ids["identity"], "left_anti")
-    return out.unionByName(into)
+    """Relationships with a source or target in ``ids``, in one pass over them."""
+    ids = small(ids.select("identity").distinct())
+    for end in ("src_id", "tgt_id"):
+        edges = edges.join(ids.select(F.col("identity").alias(end), F.lit(True).alias(f"has_{end}")), end, "left")
+    return edges.where("has_src_id or has_tgt_id").drop("has_src_id", "has_tgt_id")
 
 
 def accepted(edges: DataFrame, include: Iterable[str] = (), exclude: Iterable[str] = (), least_weight: int = 1) -> DataFrame:

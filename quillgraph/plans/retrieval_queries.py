@@ -329,6 +329,30 @@ UNION ALL SELECT 'relationships', src_id || '->' || type || '->' || tgt_id || '-
 UNION ALL SELECT 'memberships', 'nation-' || nk || '->' || identity FROM stay WHERE type = 'Customer' UNION ALL SELECT DISTINCT 'communities', 'nation-' || nk FROM ents WHERE type = 'Customer' AND nk NOT IN (SELECT k FROM gone)"""
 
 
+def q97_graph_against_vector(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each question's local context against a vector ranking: six passages about nations by the question's number, five of them used, every
+    second without a document."""
+    g = trade_graph(spark, sf_dir)
+    nation = table(spark, sf_dir, "nation")
+    region = F.when(F.col("n_nationkey") % 2 == 0, F.concat(F.lit("region-"), F.col("n_regionkey").cast("string")))
+    chunks = nation.select(F.concat(F.lit("chunk-"), F.col("n_nationkey").cast("string")).alias("id"), region.alias("document_name"), F.concat(F.lit("About "), "n_name", F.lit(".")).alias("text"))
+    ranks = trade.questions(spark).select("q_id", F.explode(F.sequence(F.lit(1), F.lit(6))).alias("rank"))
+    ranking = ranks.select("q_id", F.concat(F.lit("chunk-"), ((F.col("q_id") * 7 + F.col("rank")) % 25).cast("string")).alias("chunk_id"), "rank", (F.col("rank") <= 5).alias("used"))
+    context = written(retrieval.local(trade.questions(spark), g))
+    rows, _ = compare.compared(trade.questions(spark), context, ranking, chunks, g.units)
+    return rows.select("q_id", "graph_items", "graph_documents", "vector_documents", "passages", "shared", F.md5("verdict").alias("verdict"))
+
+
+SQL["q97_graph_against_vector"] = f"""{_LOCAL}, gi AS (SELECT q_id, count(*) AS a, count(DISTINCT n_regionkey) FILTER (kind = 'TEXT_UNIT') AS b FROM ctx LEFT JOIN nation ON identifier = 'nation-' || n_nationkey GROUP BY q_id),
+used AS (SELECT q_id, (q_id * 7 + r) % 25 AS k FROM questions, range(1, 6) t(r)),
+vi AS (SELECT u.q_id, count(DISTINCT n_regionkey) FILTER (k % 2 = 0) AS c, count(*) AS d, count(x.identifier) AS e FROM used u JOIN nation ON n_nationkey = k LEFT JOIN ctx x ON x.q_id = u.q_id AND x.kind = 'TEXT_UNIT' AND x.identifier = 'nation-' || k GROUP BY u.q_id),
+f AS (SELECT q.q_id, coalesce(a, 0) AS gi, coalesce(b, 0) AS gd, c AS vd, d AS vi, e AS s FROM questions q LEFT JOIN gi USING (q_id) JOIN vi USING (q_id))
+SELECT q_id, gi AS graph_items, gd AS graph_documents, vd AS vector_documents, vi AS passages, s AS shared, md5(
+  CASE WHEN gd = vd THEN 'Both sides retrieved passages from the same number of distinct documents (' || gd || ').' ELSE CASE WHEN gd > vd THEN 'GraphRAG (LOCAL)' ELSE 'Vector Search' END || ' retrieved passages from more distinct documents (' || greatest(gd, vd) || ' vs ' || least(gd, vd) || ').' END
+  || ' ' || CASE WHEN gi = vi THEN 'Both sides retrieved the same number of context items (' || gi || ').' ELSE CASE WHEN gi > vi THEN 'GraphRAG (LOCAL)' ELSE 'Vector Search' END || ' retrieved more context items (' || greatest(gi, vi) || ' vs ' || least(gi, vi) || ').' END
+  || ' ' || s || ' of the ' || vi || ' passages Vector Search retrieved ' || CASE WHEN s = 1 THEN 'was' ELSE 'were' END || ' also read by GraphRAG.') AS verdict FROM f"""
+
+
 def q88_extraction_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts as mentions with their brands as types, order lines as edges to them: names resolved, edges re-keyed and merged."""
     name = F.concat(F.lit('"'), F.initcap("p_name"), F.lit('!"'))
