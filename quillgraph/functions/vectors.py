@@ -62,6 +62,10 @@ def hash_vectors(texts: list[str | None]) -> np.ndarray:
     return (counts / np.where(size > 0, size, 1)).astype(np.float32)
 
 
+def _bucket_of(word: str) -> int:
+    return int(hash_vectors([word]).argmax())
+
+
 @F.pandas_udf(T.ArrayType(T.FloatType()))
 def hash_embedding(text: pd.Series) -> pd.Series:
     return pd.Series(list(hash_vectors(list(text))), index=text.index)
