@@ -204,3 +204,13 @@ def number_of(value: dict, key: str) -> float | None:
 def field_text(text: pd.Series, key: pd.Series) -> pd.Series:
     """The text under a key of the first object in a reply."""
     return pd.Series([text_of(parse_object(t) or {}, k) for t, k in zip(text, key, strict=True)])
+
+
+@F.pandas_udf(T.StructType([T.StructField("number", T.DoubleType()), T.StructField("texts", T.ArrayType(T.StringType())), T.StructField("objects", T.ArrayType(T.StringType()))]))
+def field_values(text: pd.Series, key: pd.Series) -> pd.DataFrame:
+    """What stands under a key of the first object in a reply, read as a number, as texts and as objects (as JSON)."""
+    rows = []
+    for t, k in zip(text, key, strict=True):
+        found = parse_object(t) or {}
+        rows.append((number_of(found, k), texts_of(found, k), [to_json(x) for x in objects_of(found, k)]))
+    return pd.DataFrame(rows, columns=["number", "texts", "objects"])

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillgraph.functions import lenient_json
-from quillgraph.operators import answers, community, compare, graph, model, retrieval, seeds, updates
+from quillgraph.operators import answers, community, compare, graph, merge, model, retrieval, seeds, updates
 from quillgraph.operators.tables import shared_dir, written
 from quillgraph.plans import graph_queries as gq
 from quillgraph.plans import trade
@@ -377,5 +377,35 @@ def q89_json_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SQL["q89_json_fields"] = "SELECT event_id, coalesce(props->>'$.k', '') AS k FROM events"
 
+def q98_json_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Event numbers told as a number, a text, a list or objects, in damaged JSON, read as each of the three."""
+    n, sort = F.get_json_object("props", "$.k"), F.pmod("event_id", F.lit(5))
+    told = (
+        F.when(sort == 0, F.concat(F.lit("{'v': "), n, F.lit(".5,}")))
+        .when(sort == 1, F.concat(F.lit('Here: {"v": " '), n, F.lit(' "}')))
+        .when(sort == 2, F.concat(F.lit('{v: ["a", '), n, F.lit(', "", true, null, {"x": 1}]')))
+        .when(sort == 3, F.concat(F.lit('{"v": [{"id": '), n, F.lit('}, "no object", {"id": "b"}]}')))
+        .otherwise(F.concat(F.lit('{"v": {"id": '), n, F.lit("}}")))
+    )
+    read = table(spark, sf_dir, "events").select("event_id", lenient_json.field_values(told, F.lit("v")).alias("r"))
+    return read.select("event_id", "r.number", F.array_join("r.texts", "|").alias("texts"), F.array_join("r.objects", "|").alias("objects"))
+
+
+SQL["q98_json_values"] = """WITH e AS (SELECT event_id, event_id % 5 AS s, props->>'$.k' AS k FROM events)
+SELECT event_id, CASE s WHEN 0 THEN CAST(k AS DOUBLE) + 0.5 WHEN 1 THEN CAST(k AS DOUBLE) END AS number,
+  CASE s WHEN 0 THEN k || '.5' WHEN 1 THEN k WHEN 2 THEN 'a|' || k || '|true' WHEN 3 THEN 'no object' ELSE '' END AS texts,
+  CASE s WHEN 2 THEN '{"x":1}' WHEN 3 THEN '{"id":' || k || '}|{"id":"b"}' WHEN 4 THEN '{"id":' || k || '}' ELSE '' END AS objects FROM e"""
+
+
+def q99_frequent_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The names that extraction would be told as hints: the most mentioned, earlier ones first among equals."""
+    found = merge.extracted_entities(gq._units(spark, sf_dir)).select("name", "at")
+    return merge.frequent_names(found).select("name", "n")
+
+
+SQL["q99_frequent_names"] = f"""{gq._SENT}, m AS (SELECT doc_id, pos, unnest(names) AS name, generate_subscripts(names, 1) AS k FROM n),
+e AS (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY doc_id, lower(name) ORDER BY pos, k) = 1)
+SELECT name, count(*) AS n FROM e GROUP BY name ORDER BY n DESC, min((doc_id, pos, k)) LIMIT 50"""
+
 QUERIES = {n: f for n, f in globals().items() if n[:1] == "q" and n[1:3].isdigit()}
 __all__ = ["QUERIES", "SQL"]
