@@ -173,6 +173,7 @@ def _scan(index: Clustered, queries: np.ndarray, away: np.ndarray, flags: np.nda
             keys = b.column(b.schema.get_field_index(key)).to_numpy(zero_copy_only=False)
             best: dict[int, tuple[np.ndarray, np.ndarray]] = {}
             for q, rows, score in scored(b):
+                score = np.round(score, 12)  # equal vectors tie, wherever they stand in a block
                 if q in best:
                     rows, score = np.r_[best[q][0], rows], np.r_[best[q][1], score]
                 if len(rows) > k:

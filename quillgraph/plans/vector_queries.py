@@ -160,6 +160,13 @@ def q03_vector_answer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return answers.vector_answers(asked, ranked, chunks.select("id", "text")).select("q_id", "answer")
 
 
+_SINGLE = "CAST(CAST({0} AS FLOAT[]) AS DOUBLE[])"
+Q03 = Q07.partition("sc AS (")[0] + f"""qn AS (SELECT item_id, list_transform(q, lambda x: x / coalesce(nullif(sqrt(list_inner_product(q, q)), 0), 1)) AS q FROM qw),
+sc AS (SELECT item_id, ordinal, coalesce(nullif(round(list_cosine_similarity({_SINGLE.format("v")}, {_SINGLE.format("q")}), 12), CAST('nan' AS DOUBLE)), 0) AS s FROM vecs, qn),
+rk AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY s DESC, ordinal) AS r FROM sc)
+SELECT item_id AS q_id, '{answers.VECTOR_LEAD}' || string_agg(piece, chr(10) || '---' || chr(10) ORDER BY r) AS answer FROM rk JOIN numbered USING (ordinal) WHERE r <= 5 GROUP BY item_id"""
+
+
 def q08_tokenize(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = tx.tokens(F.col("text"))
     return table(spark, sf_dir, "documents").select("doc_id", F.size(found).cast("long").alias("n"), F.md5(F.array_join(F.array_sort(found), " ")).alias("digest"))
@@ -226,4 +233,4 @@ def q66_lenient_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 Q66 = "SELECT event_id, CAST(props->>'$.k' AS BIGINT) AS k FROM events"
 
 QUERIES = {n: f for n, f in globals().items() if n[:1] == "q" and n[1:3].isdigit()}
-SQL = {"q01_vector_topk": Q01, "q02_vector_ranking12": Q02, "q04_chunk_documents": Q04, "q05_textunit_split": Q05, "q06_hash_embed": Q06, "q07_hash_embed_search": Q07, "q08_tokenize": Q08, "q16_semantic_seed": Q16, "q57_pca_projection": Q57, "q59_sentences": Q59, "q66_lenient_json": Q66, "q92_vector_index": Q92}
+SQL = {"q01_vector_topk": Q01, "q02_vector_ranking12": Q02, "q03_vector_answer": Q03, "q04_chunk_documents": Q04, "q05_textunit_split": Q05, "q06_hash_embed": Q06, "q07_hash_embed_search": Q07, "q08_tokenize": Q08, "q16_semantic_seed": Q16, "q57_pca_projection": Q57, "q59_sentences": Q59, "q66_lenient_json": Q66, "q92_vector_index": Q92}
