@@ -15,6 +15,7 @@ from quillgraph.plans import graph_queries as gq
 from quillgraph.plans import trade
 from quillgraph.plans.trade import table
 from quillgraph.sources.store import Store
+from quillgraph.streaming import fold
 
 SQL: dict[str, str] = {}
 _G, E, R = gq._G, gq.E, gq.R
@@ -407,5 +408,16 @@ SQL["q99_frequent_names"] = f"""{gq._SENT}, m AS (SELECT doc_id, pos, unnest(nam
 e AS (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY doc_id, lower(name) ORDER BY pos, k) = 1)
 SELECT name, count(*) AS n FROM e GROUP BY name ORDER BY n DESC, min((doc_id, pos, k)) LIMIT 50"""
 
+def q100_extraction_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Progress events of extracting every document, a corpus for each language; documents without a full stop count as failed."""
+    docs = table(spark, sf_dir, "documents").where("lang is not null").select(F.col("lang").alias("corpus_id"), F.col("doc_id").cast("string").alias("id"), F.col("doc_id").alias("ord"), "text")
+    failed = docs.where("instr(text, '.') = 0").select("corpus_id", F.col("id").alias("unit_id"), F.lit("no sentence").alias("message"))
+    return fold.extraction_progress(docs, failed)
+
+
+SQL["q100_extraction_progress"] = """SELECT lang AS corpus_id, row_number() OVER w AS seq, 'text-unit-extracted' AS type,
+  '{"id":"' || doc_id || '","done":' || row_number() OVER w || ',"total":' || count(*) OVER (PARTITION BY lang) || CASE WHEN NOT contains(text, '.') THEN ',"error":"no sentence"' ELSE '' END || '}' AS data
+FROM documents WHERE lang IS NOT NULL WINDOW w AS (PARTITION BY lang ORDER BY doc_id)"""
+
 QUERIES = {n: f for n, f in globals().items() if n[:1] == "q" and n[1:3].isdigit()}
 __all__ = ["QUERIES", "SQL"]

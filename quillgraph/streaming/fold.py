@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from quillgraph.functions import text as tx
 from quillgraph.operators import merge
+from quillgraph.operators.tables import ranked_globally, small, written
 
 EVENT = "corpus_id string, name_key string, event string, name string, type string, mentions long"
 #: Types of events.
@@ -83,11 +84,29 @@ def relationship_events(units: DataFrame) -> DataFrame:
     return edge_mentions(units).groupBy("corpus_id", "src_key", "type", "tgt_key").applyInPandasWithState(_fold_edge, EDGE, "source string, target string, weight long", "update", "NoTimeout")
 
 
-def payloads(kind: str, rows: DataFrame, *columns: str) -> DataFrame:
-    """(corpus_id, type, data): rows as event payloads of one of the event types, data as JSON of the given columns."""
+def payloads(kind: str, rows: DataFrame, *columns: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(corpus_id, kept columns, type, data): rows as event payloads of one of the event types, data as JSON of the given columns."""
     if kind not in KINDS:
         raise ValueError(f"unknown event type: {kind}")
-    return rows.select("corpus_id", F.lit(kind).alias("type"), F.to_json(F.struct(*columns)).alias("data"))
+    return rows.select("corpus_id", *keep, F.lit(kind).alias("type"), F.to_json(F.struct(*columns)).alias("data"))
+
+
+def extraction_progress(units: DataFrame, failures: DataFrame | None = None) -> DataFrame:
+    """(corpus_id, seq, type, data): an event for each unit (corpus_id, id, ord) of an extraction in order, with how many of its corpus
+    are done and how many there are, and the error of a unit that is among ``failures`` (corpus_id, unit_id, message).
+
+    Units are numbered by range partitions, so a corpus of any size is no single task.
+    """
+    rows = ranked_globally(units.select("corpus_id", "id", "ord"), "place", F.col("corpus_id"), F.col("ord"), F.col("id"))
+    rows = written(rows)
+    corpora = rows.groupBy("corpus_id").agg((F.min("place") - 1).alias("ahead"), F.count("*").alias("total"))
+    rows = rows.join(small(corpora), "corpus_id").withColumn("done", (F.col("place") - F.col("ahead")).cast("long"))
+    if failures is not None:
+        told = failures.groupBy("corpus_id", F.col("unit_id").alias("id")).agg(F.min("message").alias("error"))
+        rows = rows.join(told, ["corpus_id", "id"], "left")
+    else:
+        rows = rows.withColumn("error", F.lit(None).cast("string"))
+    return payloads("text-unit-extracted", rows.withColumn("seq", F.col("done")), "id", "done", "total", "error", keep=("seq",)).select("corpus_id", "seq", "type", "data")
 
 
 def sink(events: DataFrame, store, checkpoint: str):

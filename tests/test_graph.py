@@ -164,3 +164,17 @@ def test_stream(spark, tmp_path):
     assert ("Holmes", "chased", "Thames", 1) in {(r.source, r.type, r.target, r.weight) for r in edges} and all(r.event == "relationship-extracted" for r in edges)
     rows = fold.payloads("text-unit-extracted", units, "id", "ord").collect()
     assert len(rows) == units.count() and all(r.data.startswith('{"id":"demo::doc-') for r in rows)
+
+
+def test_extraction_progress(spark):
+    import json
+
+    from quillgraph.streaming import fold
+
+    units = spark.createDataFrame([("a", f"u{k}", 10 - k, "n") for k in range(5)] + [("b", "only", 1, "n"), ("b", "only", 1, "n")], "corpus_id string, id string, ord long, place string")
+    failed = spark.createDataFrame([("a", "u3", "late"), ("a", "u3", "early"), ("c", "u1", "elsewhere")], "corpus_id string, unit_id string, message string")
+    rows = fold.extraction_progress(units, failed).orderBy("corpus_id", "seq").collect()
+    assert [(r.corpus_id, r.seq) for r in rows] == [("a", k) for k in range(1, 6)] + [("b", 1), ("b", 2)]
+    told = [json.loads(r.data) for r in rows]
+    assert told[0] == {"id": "u4", "done": 1, "total": 5} and told[1] == {"id": "u3", "done": 2, "total": 5, "error": "early"} and told[-1]["total"] == 2
+    assert fold.extraction_progress(units.limit(0)).collect() == []
