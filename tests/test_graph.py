@@ -178,3 +178,19 @@ def test_extraction_progress(spark):
     told = [json.loads(r.data) for r in rows]
     assert told[0] == {"id": "u4", "done": 1, "total": 5} and told[1] == {"id": "u3", "done": 2, "total": 5, "error": "early"} and told[-1]["total"] == 2
     assert fold.extraction_progress(units.limit(0)).collect() == []
+
+
+def test_internal_edges_meet_small_kinds_where_they_lie(spark, monkeypatch):
+    r = random.Random(5)
+    kinds = {"a": 12, "b": 5, "c": 3, "d": 4}
+    nodes = [f"{k}{i}::{k}" for k, n in kinds.items() for i in range(n)] + ["plain", "none::a"]
+    members = [(x, f"g{r.randrange(3)}") for x in nodes if not x.endswith("::d") and x != "none::a"] + [("a1::a", "g0"), ("b1::b", "g1")]
+    rows = [(r.choice(nodes), "r", r.choice(nodes), r.randrange(9)) for _ in range(600)]
+    edges, table = edges_of(spark, rows), spark.createDataFrame(members, "identity string, community_id string")
+    want = sorted((g, a, b, k) for k, (a, _, b, _) in enumerate(rows) for x, g in members if x == a for y, h in members if y == b and g == h)
+    for near, most in ((100, 1000), (9, 1000), (4, 1000), (0, 1000), (100, 2)):
+        monkeypatch.setattr(graph, "NEAR", near)
+        monkeypatch.setattr(graph, "KINDS", most)
+        found = graph.internal_edges(edges, table)
+        assert sorted((x.community_id, x.src_id, x.tgt_id, x.ord) for x in found.collect()) == want
+        assert near != 100 or most == 2 or "SortMergeJoin" not in found._jdf.queryExecution().executedPlan().toString() and "hashpartitioning" not in found._jdf.queryExecution().executedPlan().toString()
