@@ -180,6 +180,27 @@ def test_extraction_progress(spark):
     assert fold.extraction_progress(units.limit(0)).collect() == []
 
 
+def test_louvain_of_a_corpus_beyond_the_kernel(spark):
+    r = random.Random(3)
+    ids = [f"{p}{i}" for p in "abcdef" for i in range(8)] + ["lone"]
+    rows = [(f"{p}{i}", f"{p}{j}") for p in "abcdef" for i in range(8) for j in range(i)] + [("a0", "b0"), ("c1", "d1"), ("e2", "f2"), ("a3", "ghost"), (" ", "a1")]
+    r.shuffle(rows)
+    order = {x: k for k, x in enumerate(ids)}
+    nodes = spark.createDataFrame([("big", x, k) for x, k in order.items()] + [("small", "x", 0), ("small", "y", 1)], "corpus_id string, identity string, ord long")
+    edges = spark.createDataFrame([("big", a, b, 1, k) for k, (a, b) in enumerate(rows)] + [("small", "x", "y", 1, 0)], "corpus_id string, src_id string, tgt_id string, weight long, ord long")
+    want = {frozenset(f"{p}{i}" for i in range(8)) for p in "abcdef"} | {frozenset(["lone"])}
+    for kernel in (20,):  # the kernel takes what a level of rounds leaves
+        got = community.detected(nodes, edges, kernel=kernel).where("corpus_id = 'big'").collect()
+        groups = {}
+        for x in got:
+            groups.setdefault((x.level, x.community), set()).add(x.identity)
+        assert any({frozenset(v) for (k, _), v in groups.items() if k == level} == want for level in {x.level for x in got})
+        for level in {x.level for x in got}:  # numbered by first member, every node once
+            firsts = [min(order[i] for i in groups[level, c]) for c in range(sum(k == level for k, _ in groups))]
+            assert firsts == sorted(firsts) and sum(len(v) for (k, _), v in groups.items() if k == level) == len(ids)
+    assert {(x.identity, x.community) for x in community.detected(nodes, edges, kernel=60).where("corpus_id = 'small'").collect()} == {("x", 0), ("y", 0)}
+
+
 def test_internal_edges_meet_small_kinds_where_they_lie(spark, monkeypatch):
     r = random.Random(5)
     kinds = {"a": 12, "b": 5, "c": 3, "d": 4}
