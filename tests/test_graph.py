@@ -215,3 +215,21 @@ def test_internal_edges_meet_small_kinds_where_they_lie(spark, monkeypatch):
         found = graph.internal_edges(edges, table)
         assert sorted((x.community_id, x.src_id, x.tgt_id, x.ord) for x in found.collect()) == want
         assert near != 100 or most == 2 or "SortMergeJoin" not in found._jdf.queryExecution().executedPlan().toString() and "hashpartitioning" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_imports_unite_units_and_a_bucket_is_written_by_many_tasks(spark, tmp_path):
+    rows = spark.createDataFrame([("a", "r", "b", ["u2", "u1"], 2, 1), ("a", "R", "b", ["u1", "u0"], 3, 0), ("c", "r", "b", [], 4, 2), ("d", "r", "b", None, 5, 3)], "src_id string, type string, tgt_id string, unit_ids array<string>, weight long, at long")
+    rows = rows.withColumns({c: F.lit("x") for c in ("source", "source_type", "target", "target_type", "description")})
+    got = {r.src_id: (r.type, r.weight, r.unit_ids, r.ord) for r in merge.merge_relationships(rows, "sum").collect()}
+    assert got == {"a": ("R", 5, ["u1", "u0", "u2"], 0), "c": ("r", 4, [], 2), "d": ("r", 5, [], 3)}
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        store = Store(spark, str(tmp_path / "s"), buckets=1)
+        many = lambda n, kind: spark.range(n).select(F.lit("c").alias("corpus_id"), F.col("id").cast("string").alias("name"), F.lit(kind).alias("type"), F.col("id").alias("ord"), F.lit(kind).alias("description"))
+        store.put_entities(many(400, "K"))
+        assert len(store.table("entities").inputFiles()) > 1  # one task took a whole bucket before
+        store.put_entities(many(500, "K").withColumn("description", F.lit("new")).where("ord >= 300"))
+        assert len(store.table("entities").inputFiles()) > 1
+        assert {r.description: r["count"] for r in store.table("entities").groupBy("description").count().collect()} == {"K": 300, "new": 200}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
