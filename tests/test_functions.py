@@ -102,3 +102,10 @@ def test_vectors(spark):
 def test_lenient_json(said, read):
     found = lenient_json.parse_object(said)
     assert (found is None if read is None else lenient_json.to_json(found) == read)
+
+
+def test_attributes_are_worked_out_once_a_row(spark):
+    a = F.create_map(F.lit(" b "), F.lit("1"), F.lit("b"), F.lit("2"), F.lit(""), F.lit("x"), F.lit("a"), F.lit(None).cast("string"))
+    rows = spark.range(1).select(maps.union_attributes(maps.attributes(a), F.create_map(F.lit("b"), F.lit("9"), F.lit("c"), F.lit("3"))).alias("m"))
+    assert rows.first().m == {"b": "1", "c": "3"}
+    assert rows._jdf.queryExecution().analyzed().toString().count("map_entries") == 2  # one for each map that is put in order
