@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 DIMENSIONS = 64
+#: Letters whose words are counted together.
+BLOCK = 1 << 18
 PCA_STEPS = 30
 
 
@@ -46,15 +48,29 @@ def hash_vectors(texts: list[str | None]) -> np.ndarray:
     """Normalised counts of word buckets of each text, words being runs of ASCII word characters; a blank text is the zero vector.
 
     The bucket of a word is its 31-based hash modulo 64. As 31 * 31 is 1 modulo 64, a letter counts once or 31 times by the parity of its
-    distance from the word's end, so two running sums over all letters give every word's bucket.
+    distance from the word's end, so two running sums over all letters give every word's bucket. The sums may wrap at 256, a multiple of 64,
+    so they take a byte a letter, and texts go through in blocks of about ``BLOCK`` letters.
     """
+    out, lo, size = np.zeros((len(texts), DIMENSIONS), np.float32), 0, 0
+    for hi, t in enumerate(texts, 1):
+        size += len(t or "")
+        if size >= BLOCK or hi == len(texts):
+            out[lo:hi] = _block_vectors(texts[lo:hi])
+            lo, size = hi, 0
+    return out
+
+
+def _block_vectors(texts: list[str | None]) -> np.ndarray:
     raw = [(t or "").lower().encode() for t in texts]
     data = np.frombuffer(b"\n".join(raw), np.uint8)
     inside = np.r_[False, _WORD[data], False]
     start, end = np.flatnonzero(inside[1:] & ~inside[:-1]), np.flatnonzero(inside[:-1] & ~inside[1:])
-    odd = np.arange(len(data)) & 1 == 1
-    last_even = np.r_[0, np.cumsum(np.where(odd, 31, 1) * data)]
-    last_odd = np.r_[0, np.cumsum(np.where(odd, 1, 31) * data)]
+    even, odd = data.copy(), data.copy()
+    even[1::2] *= 31
+    odd[::2] *= 31
+    zero = np.zeros(1, np.uint8)
+    last_even = np.concatenate([zero, np.cumsum(even, dtype=np.uint8)])
+    last_odd = np.concatenate([zero, np.cumsum(odd, dtype=np.uint8)])
     bucket = np.where((end - 1) & 1 == 1, last_odd[end] - last_odd[start], last_even[end] - last_even[start]) % DIMENSIONS
     ends = np.cumsum([len(r) + 1 for r in raw], dtype=np.int64)
     counts = np.bincount(np.searchsorted(ends, start, side="right") * DIMENSIONS + bucket, minlength=len(raw) * DIMENSIONS).reshape(len(raw), DIMENSIONS).astype(np.float64)

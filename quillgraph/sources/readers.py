@@ -10,10 +10,11 @@ import re
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillgraph.functions import text as tx
+from quillgraph.operators.tables import small, written
 
 #: Suffixes of the readers, tried in this order.
 SUFFIXES = {"text": (".txt",), "markdown": (".md", ".markdown"), "pdf": (".pdf",)}
@@ -165,16 +166,21 @@ def text_units(documents: DataFrame) -> DataFrame:
     return parts.select("corpus_id", uid.alias("id"), F.col("filename").alias("document_name"), "ordinal", "text", (F.col("doc_idx").cast("long") * (1 << 32) + F.col("ordinal")).alias("ord"))
 
 
+#: Documents whose numbers of chunks are broadcast; of more, texts are shuffled to them.
+DOCUMENTS = 4_000_000
+
+
 def chunks(documents: DataFrame) -> DataFrame:
     """Chunks numbered across each corpus, in document order.
 
-    Counts of chunks per document, not the chunks, are summed in order; so only those small rows meet in one place.
+    Counts of chunks per document, not the chunks, are summed in order; so only those small rows meet in one place, and they come to
+    the texts, which stay where they are. Documents are cut once and written, so that no task holds a Python worker for this and another
+    for what the caller does with the chunks.
     """
-    from pyspark.sql import Window
-
     cut = documents.select("corpus_id", "doc_idx", "filename", tx.chunks("content").alias("parts"))
-    counts = cut.select("corpus_id", "doc_idx", F.size("parts").alias("n"))
-    before = counts.select("corpus_id", "doc_idx", (F.sum("n").over(Window.partitionBy("corpus_id").orderBy("doc_idx")) - F.col("n")).alias("before"))
+    cut = written(cut.withColumn("n", F.size("parts")))
+    counts = cut.select("corpus_id", "doc_idx", "n")
+    before = small(counts.select("corpus_id", "doc_idx", (F.sum("n").over(Window.partitionBy("corpus_id").orderBy("doc_idx")) - F.col("n")).alias("before")), DOCUMENTS)
     rows = cut.join(before, ["corpus_id", "doc_idx"]).select("corpus_id", "filename", "before", F.posexplode("parts").alias("pos", "text"))
     ordinal = (F.col("before") + F.col("pos")).cast("long")
     return rows.select("corpus_id", F.concat(F.col("corpus_id"), F.lit("::chunk-"), ordinal.cast("string")).alias("id"), ordinal.alias("ordinal"), "text", F.col("filename").alias("document_name"))

@@ -109,3 +109,14 @@ def test_attributes_are_worked_out_once_a_row(spark):
     rows = spark.range(1).select(maps.union_attributes(maps.attributes(a), F.create_map(F.lit("b"), F.lit("9"), F.lit("c"), F.lit("3"))).alias("m"))
     assert rows.first().m == {"b": "1", "c": "3"}
     assert rows._jdf.queryExecution().analyzed().toString().count("map_entries") == 2  # one for each map that is put in order
+
+
+def test_hash_vectors_take_little_memory():
+    import tracemalloc
+
+    texts = ["some words of a text, told again " * 400] * 300
+    tracemalloc.start()
+    got = vx.hash_vectors(texts)
+    assert tracemalloc.get_traced_memory()[1] < 30 << 20
+    tracemalloc.stop()
+    assert (got == vx.hash_vectors(texts[:1])).all()
