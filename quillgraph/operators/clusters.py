@@ -29,6 +29,7 @@ SAMPLE = 8192
 MOST = 1024
 ROUNDS = 6
 BLOCK = 256  # questions that go through the table together
+ROWS = 512  # rows of a task that meet all centroids together
 _ODD, _ZERO = -2, -1
 _SLACK = 1e-6
 _ROW_GROUP = 4 << 20
@@ -73,6 +74,8 @@ def _dense(column: pa.Array, d: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _assigned(centroids: np.ndarray, place: int):
+    half = 0.5 * (centroids**2).sum(axis=1)
+
     def run(batches):
         for b in batches:
             x, whole = _dense(b.column(place), centroids.shape[1])
@@ -80,9 +83,10 @@ def _assigned(centroids: np.ndarray, place: int):
             norms = np.linalg.norm(x, axis=1)
             cluster[whole[norms == 0]] = _ZERO
             x, whole = _unit(x[norms > 0]), whole[norms > 0]
-            if len(whole):
-                cluster[whole] = np.argmax(x @ centroids.T - 0.5 * (centroids**2).sum(axis=1), axis=1)
-                radius[whole] = np.linalg.norm(x - centroids[cluster[whole]], axis=1)
+            for lo in range(0, len(whole), ROWS):  # a number for each row and centroid is held at a time
+                some, at = x[lo : lo + ROWS], whole[lo : lo + ROWS]
+                cluster[at] = np.argmax(some @ centroids.T - half, axis=1)
+                radius[at] = np.linalg.norm(some - centroids[cluster[at]], axis=1)
             yield pa.RecordBatch.from_arrays([pa.array(cluster), pa.array(radius), *b.columns], names=["cluster", "radius", *b.schema.names])
 
     return run

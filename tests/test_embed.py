@@ -77,3 +77,27 @@ def test_index_and_elements(spark, tmp_path):
     said = {r.identity: r.embedding[0] for r in store.table("entity_embeddings", "demo").collect()}
     assert said == {"ada::person": float(len("Ada: wrote")), "engine::thing": float(len("Engine"))}
     assert store.table("community_embeddings", "demo").first().embedding[0] == float(len("Title: Told\nKey members: Ada"))
+
+
+def test_rows_meet_the_centroids_in_small_parts():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    r = np.random.default_rng(1)
+    x, centroids = r.normal(size=(8000, 64)), r.normal(size=(1024, 64))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(8000)), pa.array(list(x), pa.list_(pa.float64()))], names=["ord", "embedding"])
+    tracemalloc.start()
+    (got,) = clusters._assigned(centroids, 1)([batch])
+    assert tracemalloc.get_traced_memory()[1] < 50 << 20
+    tracemalloc.stop()
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    assert (got.column(0).to_numpy() == (unit @ centroids.T - 0.5 * (centroids**2).sum(axis=1)).argmax(axis=1)).all()
+
+
+def test_texts_are_cut_once_and_stay_where_they_are(spark):
+    docs = spark.createDataFrame([("c", k, f"d{k}", "word " * (50 * k)) for k in range(5)], "corpus_id string, doc_idx long, filename string, content string")
+    cut = readers.chunks(docs)
+    plan = cut._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" not in plan and "SortMergeJoin" not in plan
+    assert sorted(r.ordinal for r in cut.collect()) == list(range(cut.count()))
