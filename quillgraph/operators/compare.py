@@ -49,12 +49,18 @@ def _inside() -> Column:
     return F.flatten(F.transform(F.filter("list", lambda x: F.contains(F.col("whole"), x["said"])), lambda x: x["ids"])).alias("ids")
 
 
+#: Marks that are looked for where the texts lie; with more, the texts list all of theirs.
+ANCHORS = 1_000_000
+
+
 def _looked_up(said: DataFrame, units: DataFrame, scope: list[str]) -> DataFrame:
     """(q_id, unit_id, ids) through fingerprints that chunk and unit share."""
     said = said.withColumn("key", F.xxhash64(*scope, "said"))
     anchors = written(overlap.anchors(said.select(*scope, "key", "said"), "said"))
     sizes = [r[0] for r in anchors.where("size > 0").select("size").distinct().collect()]  # at most five
-    prints = overlap.fingerprints(units.select(*scope, "unit_id", "whole"), "whole", sorted(sizes))
+    marks = small(anchors.select("mark").distinct(), ANCHORS + 1)
+    few = marks.limit(ANCHORS + 1).toPandas()["mark"].to_numpy()  # a number each
+    prints = overlap.fingerprints(units.select(*scope, "unit_id", "whole"), "whole", sorted(sizes), few if len(few) <= ANCHORS else None)
     met = prints.join(small(anchors.select(*scope, "key", "mark")), [*scope, "mark"]).select(*scope, "unit_id", "key").distinct()
     # of a unit with very many chunks the lists stay bounded
     part = F.pmod(F.xxhash64("key"), F.lit(LISTS)).alias("part")

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
@@ -17,13 +18,24 @@ GRAM, WINDOW = 8, 16
 
 
 def _hashes(data: np.ndarray, size: int) -> np.ndarray:
-    """A hash of every run of ``size`` bytes."""
-    n = len(data) - size + 1
-    x = np.full(max(n, 0), size, np.uint64)
-    for k in range(size):
-        x = (x ^ data[k : k + n]) * np.uint64(0x9E3779B97F4A7C15)
-        x ^= x >> np.uint64(29)
-    return (x * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(1)  # below 2**63
+    """A hash of every run of ``size`` bytes, a power of two up to 16; runs are joined from halves."""
+    if len(data) < size:
+        return np.zeros(0, np.uint64)
+    x, have = data.astype(np.uint64), 1
+    while have < min(size, 8):
+        x = x[:-have] | x[have:] << np.uint64(8 * have)
+        have *= 2
+    if size == 16:
+        x = _mixed(x[:-8]) ^ x[8:]
+    return _mixed(x ^ np.uint64(size)) >> np.uint64(1)  # below 2**63
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = x * np.uint64(0x9E3779B97F4A7C15)
+    x ^= x >> np.uint64(29)
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    x ^= x >> np.uint64(32)
+    return x
 
 
 def _least_of_windows(h: np.ndarray) -> np.ndarray:
@@ -67,11 +79,81 @@ def anchors(rows: DataFrame, text: str) -> DataFrame:
     return rows.mapInArrow(run, T.StructType([*[rows.schema[c] for c in kept], T.StructField("mark", T.LongType()), T.StructField("size", T.IntegerType())]))
 
 
-def fingerprints(rows: DataFrame, text: str, sizes: list[int]) -> DataFrame:
-    """The columns of ``rows`` but for ``text``, with each mark of the text; ``sizes``: the short runs that anchors come from."""
+class _Wanted:
+    """Marks that are looked for: a table over some of their bits lets nearly all others fall before they are compared."""
+
+    def __init__(self, marks: np.ndarray):
+        self.marks = np.unique(marks.astype(np.uint64))
+        self.bits = np.zeros(1 << 22, bool)
+        self.bits[self._slot(self.marks)] = True
+
+    @staticmethod
+    def _slot(marks: np.ndarray) -> np.ndarray:
+        return (marks & np.uint64((1 << 22) - 1)).astype(np.int64)
+
+    def places(self, marks: np.ndarray) -> np.ndarray:
+        some = np.flatnonzero(self.bits[self._slot(marks)])
+        at = np.minimum(np.searchsorted(self.marks, marks[some]), len(self.marks) - 1)
+        return some[self.marks[at] == marks[some]]
+
+
+def _found(data: np.ndarray, offsets: np.ndarray, sizes: list[int], wanted: _Wanted) -> tuple[np.ndarray, np.ndarray]:
+    """(number of the text, mark) of the wanted marks of several texts that lie one behind the other, each once a text."""
+    texts, marks = [], []
+    for size in [0, *sizes]:
+        if size:
+            length, h = size, _hashes(data, size) ^ np.uint64(size)
+        else:
+            length, h = GRAM + WINDOW - 1, _hashes(data, GRAM)
+            if len(h) < WINDOW:
+                continue
+            h = _least_of_windows(h)
+        at = wanted.places(h)
+        text = np.searchsorted(offsets, at, side="right") - 1
+        whole = at + length <= offsets[text + 1]  # not over the end of its text
+        texts.append(text[whole])
+        marks.append(h[at[whole]])
+    text, mark = np.concatenate(texts or [np.zeros(0, np.int64)]), np.concatenate(marks or [np.zeros(0, np.uint64)])
+    order = np.lexsort((mark, text))
+    text, mark = text[order], mark[order]
+    first = np.r_[True, (text[1:] != text[:-1]) | (mark[1:] != mark[:-1])] if len(text) else np.zeros(0, bool)
+    return text[first], mark[first]
+
+
+#: Bytes of text that are hashed together.
+TOGETHER = 1 << 19
+
+
+def _matched(b: pa.RecordBatch, at: int, kept: list[str], sizes: list[int], wanted: _Wanted):
+    column = b.column(at).cast(pa.large_binary())
+    ends = np.cumsum(pa.compute.fill_null(pa.compute.binary_length(column), 0).to_numpy(zero_copy_only=False))
+    starts, lo = np.r_[0, ends], 0
+    while lo < b.num_rows:
+        hi = max(lo + 1, int(np.searchsorted(ends, starts[lo] + TOGETHER)))
+        hi = min(hi, b.num_rows)
+        raw = b"".join(x for x in column.slice(lo, hi - lo).to_pylist() if x)
+        text, mark = _found(np.frombuffer(raw, np.uint8), starts[lo : hi + 1] - starts[lo], sizes, wanted)
+        if len(text):
+            row = pa.array(text + lo)
+            yield pa.RecordBatch.from_arrays([*[b.column(b.schema.get_field_index(c)).take(row) for c in kept], pa.array(mark.astype(np.int64))], names=[*kept, "mark"])
+        lo = hi
+
+
+def fingerprints(rows: DataFrame, text: str, sizes: list[int], wanted: np.ndarray | None = None) -> DataFrame:
+    """The columns of ``rows`` but for ``text``, with each mark of the text; ``sizes``: the short runs that anchors come from.
+
+    Of ``wanted`` marks, where they are given, all that a text has are returned, and no others.
+    """
     kept, at = [c for c in rows.columns if c != text], rows.columns.index(text)
+    look = None if wanted is None else rows.sparkSession.sparkContext.broadcast(wanted)
 
     def run(batches):
+        if look is not None:
+            if len(look.value):
+                known = _Wanted(look.value)
+                for b in batches:
+                    yield from _matched(b, at, kept, sizes, known)
+            return
         for b in batches:
             for i, value in enumerate(b.column(at)):
                 marks = _marks(_bytes(value), sizes)

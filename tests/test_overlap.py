@@ -38,3 +38,25 @@ def test_anchor_is_among_the_marks_of_any_text_around_it():
         part = whole[lo : lo + int(r.integers(1, 80))]
         mark, size = overlap._anchor(part)
         assert mark in overlap._marks(whole, [size] if size else [])
+
+
+@pytest.mark.parametrize("most", [compare.ANCHORS, 0])
+def test_contained_with_marks_looked_for_and_with_all(spark, monkeypatch, most):
+    monkeypatch.setattr(compare, "ANCHORS", most)
+    test_contained_equals_looking_everywhere(spark, monkeypatch, 1)
+
+
+@pytest.mark.parametrize("together", [overlap.TOGETHER, 40])
+def test_wanted_marks_are_those_of_all_marks(spark, monkeypatch, together):
+    monkeypatch.setattr(overlap, "TOGETHER", together)
+    units, _ = texts()
+    sizes = [1, 2, 4, 8, 16]
+    every = [(u, int(m)) for _, u, _, t in units for m in overlap._marks(np.frombuffer((t or "").encode(), np.uint8), sizes)]
+    some = np.array(sorted({m for _, m in every})[::3])
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_arrays([pa.array([u for _, u, _, _ in units]), pa.array([t for *_, t in units])], names=["unit_id", "whole"])
+    found = [tuple(r.values()) for b in overlap._matched(batch, 1, ["unit_id"], sizes, overlap._Wanted(some)) for r in b.to_pylist()]
+    assert sorted(found) == sorted(x for x in every if x[1] in set(some.tolist())) and found
+    rows = spark.createDataFrame([(u, t) for _, u, _, t in units], "unit_id string, whole string")
+    assert sorted(tuple(r) for r in overlap.fingerprints(rows, "whole", sizes, some).collect()) == sorted(found)
