@@ -101,3 +101,9 @@ def test_texts_are_cut_once_and_stay_where_they_are(spark):
     plan = cut._jdf.queryExecution().executedPlan().toString()
     assert "ArrowEvalPython" not in plan and "SortMergeJoin" not in plan
     assert sorted(r.ordinal for r in cut.collect()) == list(range(cut.count()))
+
+
+def test_large_buckets_are_split_by_what_a_task_would_read(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "store"))
+    rows = spark.createDataFrame([("c", f"k{k}", k % 8) for k in range(20)], "corpus_id string, id string, key_bucket int")
+    assert "REBALANCE_PARTITIONS" in store._dealt("chunks", rows)._jdf.queryExecution().executedPlan().toString()
