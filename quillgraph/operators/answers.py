@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from quillgraph.functions import text as tx
 from quillgraph.operators import clusters, graph, seeds
-from quillgraph.operators.tables import written
+from quillgraph.operators.tables import small, written
 
 TOP, RANKED = 5, 12
 MAP_COMMUNITIES, MAP_BATCH, POINTS, PASSAGE_COMMUNITIES = 30, 5, 20, 5
@@ -69,7 +69,7 @@ def local_answers(questions: DataFrame, entities: DataFrame, edges: DataFrame) -
 
 def local_context(questions: DataFrame, matches: DataFrame, edges: DataFrame, entities: DataFrame, units: DataFrame, budget: graph.Budget = graph.ANSWER_CONTEXT) -> DataFrame:
     """(q_id, number, kind, identifier, score, hop): expansion items, then the best units, numbered for a prompt."""
-    items = graph.expand(matches, edges, budget)
+    items = small(graph.expand(matches, edges, budget))  # meets entities and edges where these lie
     nodes = items.where("kind <> 'RELATIONSHIP'").join(entities.select(F.col("identity").alias("identifier"), "unit_ids"), "identifier")
     at = (F.col("hop").cast("long") * 1_000_000 + F.col("pos")).alias("at")
     start, other = (nodes.where(c).select("q_id", at, "unit_ids") for c in ("hop = 0", "hop > 0"))

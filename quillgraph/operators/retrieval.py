@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from quillgraph.functions import text as tx
 from quillgraph.operators import answers, graph, seeds
 from quillgraph.operators.model import Model, ReplyError
-from quillgraph.operators.tables import written
+from quillgraph.operators.tables import small, written
 
 #: Communities of a global context with their members and units, and branches of a branching one.
 COMMUNITIES, MEMBERS, UNITS, BRANCHES = 3, 5, 2, 3
@@ -63,12 +63,15 @@ def fused(*matchers: Matcher) -> Matcher:
 def with_texts(items: DataFrame, g: Graph) -> DataFrame:
     """``items`` with label and text by kind and identifier; only the texts of what was picked are read. A reached node without
     a stored entity gets its name from its identity."""
+    items = written(items)
+    picked = small(items.select("kind", "identifier").distinct())
     e = g.entities.select(F.lit("ENTITY").alias("kind"), F.col("identity").alias("identifier"), F.col("name").alias("label"), graph.entity_text().alias("text"))
-    r = graph.keyed(g.relationships).groupBy("edge_key").agg(F.min_by(F.struct(graph.edge_label().alias("label"), graph.edge_text().alias("text")), "ord").alias("x"))
+    wanted = picked.where("kind = 'RELATIONSHIP'").select(F.col("identifier").alias("edge_key"))
+    r = graph.keyed(g.relationships).join(wanted, "edge_key", "left_semi").groupBy("edge_key").agg(F.min_by(F.struct(graph.edge_label().alias("label"), graph.edge_text().alias("text")), "ord").alias("x"))
     r = r.select(F.lit("RELATIONSHIP").alias("kind"), F.col("edge_key").alias("identifier"), "x.label", "x.text")
     u = g.units.select(F.lit("TEXT_UNIT").alias("kind"), F.col("id").alias("identifier"), F.coalesce("document_name", F.lit("")).alias("label"), "text")
     c = g.communities.select(F.lit("COMMUNITY").alias("kind"), F.col("community_id").alias("identifier"), F.col("title").alias("label"), F.concat_ws(": ", F.nullif(F.trim("title"), F.lit("")), "summary").alias("text"))
-    known = e.unionByName(r).unionByName(u).unionByName(c)
+    known = e.unionByName(r).unionByName(u).unionByName(c).join(picked, ["kind", "identifier"], "left_semi")
     out = items.join(known, ["kind", "identifier"], "left")
     stub = F.substring_index("identifier", "::", 1)
     return out.withColumns({"label": F.coalesce("label", stub), "text": F.coalesce("text", stub)}).select(*ITEM_COLUMNS)

@@ -334,3 +334,18 @@ def test_roles_of_steps_in_every_mode(spark):
     assert [x[0] for x in got["none", "DRIFT"]] == ["COMMUNITY", "SYNTHESIS"] and got["vector", "VECTOR"][1:3] == [("CHUNK", 1), ("CHUNK", 2)]
     phases = [(r.title, r.start, r.end) for r in compare.segments(steps).where("trace_id = 'drift'").orderBy("start").collect()]
     assert phases == [("Community pass", 0, 2), ("Branch 1 of 2", 2, 6), ("Branch 2 of 2", 6, 8), ("Synthesis", 8, 9)]
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_edges_are_read_where_they_lie(spark, g):
+    """Only edges that touch the frontier go on, and of texts only those of what was picked."""
+    start = spark.createDataFrame([(1, "charles::person"), (2, "loom::product")], "q_id long, identity string")
+    near = graph.from_frontier(g.relationships, start)
+    assert sorted((r.q_id, r.ord) for r in near.collect()) == [(1, 0), (1, 1), (1, 2), (2, 3)]
+    assert "ExistingRDD" not in _plan(near)
+    picked = spark.createDataFrame([(1, 1, "RELATIONSHIP", "charles::person->built->engine::product", 1.0, 1)], "q_id long, number int, kind string, identifier string, score double, hop int")
+    told = retrieval.with_texts(picked, g)
+    assert [r.text for r in told.collect()] == ["Charles -[built]-> Engine"] and "LeftSemi" in _plan(told)
