@@ -11,9 +11,11 @@ from pyspark.sql import functions as F
 
 from quillgraph.functions import text as tx
 from quillgraph.operators import clusters, lookup
-from quillgraph.operators.tables import small
+from quillgraph.operators.tables import small, written
 
 RRF_K = 60
+#: Tokens of a question that are counted in one number.
+BITS = 31
 #: Identifier scores.
 EXACT, SUFFIX, CASE_BONUS, SEGMENT, PREFIX, PACKAGE, FUZZY, PARTS, WORD, MOST_WORDS, LEAST = 100, 90, 5, 50, 30, 3, 40, 25, 6, 24, 6
 
@@ -29,14 +31,18 @@ def keyword_scores(questions: DataFrame, candidates: DataFrame, text: Column, wo
 
     A token longer than two characters that stands in a text stands in one of its words, so tokens are looked up in the dictionary of
     all words (``words``, precomputed by ``lookup.words_of``), and words lead to the candidates. Equal candidates are one.
+
+    Candidates are dealt once, not once for each question that a common word leads to them: a question's tokens are bits, the upper half for
+    those that the text contains, so what a candidate scores is counted in its own task.
     """
-    asked = questions.select("q_id", F.explode(tx.tokens(F.col("question"))).alias("tok"))
+    asked = written(questions.select("q_id", F.explode(tx.tokens(F.col("question"))).alias("tok")).distinct())
     hits = lookup.matching_words(asked, lookup.words_of(candidates, text) if words is None else words)
-    hits = small(hits.join(asked, "tok").select("q_id", "tok", "word", "points"))
-    rows = candidates.withColumn("word", F.explode(tx.tokens(text))).join(hits, "word")
-    found = rows.groupBy("q_id", *candidates.columns).agg(F.collect_set(F.struct("tok", "points")).alias("hits"))  # at most two a token
-    tokens = F.size(F.array_distinct(F.transform("hits", lambda h: h["tok"])))
-    return found.withColumn("score", tokens + F.size(F.filter("hits", lambda h: h["points"] == 2))).drop("hits")
+    numbered = asked.withColumn("n", F.row_number().over(Window.partitionBy("q_id").orderBy("tok")) - 1)
+    bit = F.expr(f"shiftleft(1L, n % {BITS}) | if(points = 2, shiftleft(1L, {BITS} + n % {BITS}), 0L)")
+    hits = small(hits.join(numbered, "tok").groupBy("q_id", F.floor(F.col("n") / BITS).alias("block"), "word").agg(F.bit_or(bit).alias("bits")))
+    rows = candidates.repartition(*candidates.columns).withColumn("word", F.explode(tx.tokens(text))).join(hits, "word")
+    blocks = rows.groupBy("q_id", "block", *candidates.columns).agg(F.bit_count(F.bit_or("bits")).alias("score"))
+    return blocks.groupBy("q_id", *candidates.columns).agg(F.sum("score").cast("int").alias("score"))
 
 
 def keyword_matches(questions: DataFrame, entities: DataFrame, limit: int | None = 3) -> DataFrame:

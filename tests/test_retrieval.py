@@ -349,3 +349,18 @@ def test_edges_are_read_where_they_lie(spark, g):
     picked = spark.createDataFrame([(1, 1, "RELATIONSHIP", "charles::person->built->engine::product", 1.0, 1)], "q_id long, number int, kind string, identifier string, score double, hop int")
     told = retrieval.with_texts(picked, g)
     assert [r.text for r in told.collect()] == ["Charles -[built]-> Engine"] and "LeftSemi" in _plan(told)
+
+
+def test_candidates_are_dealt_once_for_all_questions(spark):
+    words = [f"word{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(80)]
+    rows = spark.createDataFrame([(k, " ".join(words[: k + 1])) for k in range(80)] + [(3, " ".join(words[:4]))], "ord long, name string")
+    scored = seeds.keyword_scores(asked(spark, " ".join(words), words[5], " ".join(words[:70])), rows, F.col("name"))
+    assert "hashpartitioning(q_id" not in _plan(scored)
+    got = {(r.q_id, r.ord): r.score for r in scored.collect()}
+    assert scored.count() == len(got)
+    for q, few in ((1, words), (2, words[5:6]), (3, words[:70])):
+        for k in range(80):
+            have = words[: k + 1]
+            near = lambda t: any(len(t) == len(w) and sum(a != b for a, b in zip(t, w, strict=True)) <= (1 if len(t) < 7 else 2) for w in have)
+            want = sum(2 if t in have else 1 if near(t) else 0 for t in few)
+            assert got.get((q, k), 0) == want
