@@ -148,8 +148,13 @@ def drift(questions: DataFrame, g: Graph, model: Model = Model(), matcher: Match
     sub-question has no seeds starts from those of the question."""
     spawned = branches(questions, g, model)
     asked = spawned.select(F.col("sub_id").alias("q_id"), F.col("sub_question").alias("question"))
-    own = spawned.select("sub_id", "q_id").join(matcher(questions, g, budget.seeds), "q_id").drop("q_id").withColumnRenamed("sub_id", "q_id")
-    start = written(seeds.first_non_empty(matcher(asked, g, budget.seeds), own).drop("priority"))
+    # questions and their sub-questions look for seeds together
+    every = asked.withColumn("sub", F.lit(True)).unionByName(questions.select("q_id", "question", F.lit(False).alias("sub")))
+    every = written(every.withColumn("n", F.monotonically_increasing_id()))
+    hits = matcher(every.select(F.col("n").alias("q_id"), "question"), g, budget.seeds).withColumnRenamed("q_id", "n")
+    hits = written(hits.join(every.select("n", "q_id", "sub"), "n").drop("n"))
+    own = spawned.select("sub_id", "q_id").join(hits.where("not sub"), "q_id").drop("q_id").withColumnRenamed("sub_id", "q_id")
+    start = written(seeds.first_non_empty(hits.where("sub"), own).drop("priority"))
     found = answers.local_context(asked, start, g.relationships, g.entities, g.units, budget)
     back = spawned.select(F.col("sub_id"), F.col("q_id").alias("asked_by"), "branch", "community_id")
     rows = found.withColumnRenamed("q_id", "sub_id").join(back, "sub_id").select(F.col("asked_by").alias("q_id"), "kind", "identifier", "score", "hop", "branch", F.col("number").alias("n"))

@@ -364,3 +364,13 @@ def test_candidates_are_dealt_once_for_all_questions(spark):
             near = lambda t: any(len(t) == len(w) and sum(a != b for a, b in zip(t, w, strict=True)) <= (1 if len(t) < 7 else 2) for w in have)
             want = sum(2 if t in have else 1 if near(t) else 0 for t in few)
             assert got.get((q, k), 0) == want
+
+
+def test_branches_and_questions_look_for_seeds_together(spark, g):
+    calls = []
+
+    def matcher(questions, graph_, limit):
+        calls.append(1)
+        return retrieval.by_keyword(questions, graph_, limit)
+
+    assert retrieval.drift(asked(spark, "What did Ada make?"), g, matcher=matcher).count() > 1 and len(calls) == 1
