@@ -82,21 +82,27 @@ def local(questions: DataFrame, g: Graph, matcher: Matcher = by_keyword, budget:
     return with_texts(answers.local_context(questions, matcher(questions, g, budget.seeds), g.relationships, g.entities, g.units, budget), g)
 
 
-def community_units(g: Graph) -> DataFrame:
+def _around(picked: DataFrame, g: Graph) -> tuple[Graph, DataFrame]:
+    """The graph with the members of the picked communities only, and the edges inside these, found once for all that is told of them."""
+    g = replace(g, memberships=g.memberships.join(small(picked.select("community_id").distinct()), "community_id", "left_semi"))
+    return g, written(graph.internal_edges(g.relationships, g.memberships))
+
+
+def community_units(g: Graph, inside: DataFrame | None = None) -> DataFrame:
     """(community_id, unit_id, score, pos): units by 1 for each citing member and the weight of each internal relationship, ties to
-    the first seen; members come before relationships."""
+    the first seen; members come before relationships. ``inside``: the internal edges, where they are known."""
     cited = g.memberships.select("community_id", "identity", F.col("ord").alias("at")).join(g.entities.select("identity", "unit_ids"), "identity")
     rows = cited.select("community_id", F.lit(0).alias("stage"), "at", F.posexplode("unit_ids").alias("p", "unit_id"), F.lit(1).cast("long").alias("w"))
-    inside = graph.internal_edges(g.relationships, g.memberships)
+    inside = graph.internal_edges(g.relationships, g.memberships) if inside is None else inside
     rows = rows.unionByName(inside.select("community_id", F.lit(1).alias("stage"), F.col("ord").alias("at"), F.posexplode("unit_ids").alias("p", "unit_id"), F.col("weight").cast("long").alias("w")))
     ranked = rows.groupBy("community_id", "unit_id").agg(F.sum("w").alias("score"), F.min(F.struct("stage", "at", "p")).alias("first"))
     pos = F.row_number().over(Window.partitionBy("community_id").orderBy(F.desc("score"), "first"))
     return ranked.select("community_id", "unit_id", "score", pos.alias("pos"))
 
 
-def _passages(picked: DataFrame, g: Graph, most: int) -> DataFrame:
+def _passages(picked: DataFrame, g: Graph, inside: DataFrame, most: int) -> DataFrame:
     """(q_id, rank, unit_id): the best units of each picked community (q_id, community_id, rank), none twice in a question."""
-    ranked = community_units(g).join(g.units.select(F.col("id").alias("unit_id")), "unit_id", "left_semi")
+    ranked = community_units(g, inside).join(g.units.select(F.col("id").alias("unit_id")), "unit_id", "left_semi")
     # a question with k communities can lose at most (k - 1) * most of a community's first units to the others
     room = F.lit(most) * F.count("*").over(Window.partitionBy("q_id"))
     rows = picked.withColumn("room", room).join(ranked, "community_id").where(F.col("pos") <= F.col("room"))
@@ -105,11 +111,12 @@ def _passages(picked: DataFrame, g: Graph, most: int) -> DataFrame:
 
 def global_(questions: DataFrame, g: Graph, matcher: Matcher = by_keyword, top: int = COMMUNITIES) -> DataFrame:
     """For each of a question's best communities its item, its members of interest and its units."""
-    matches = matcher(questions, g, 10)
+    matches = written(matcher(questions, g, 10))
     picked = answers.global_scores(questions, g.communities, g.memberships, matches).where(F.col("rank") <= top)
     picked = written(picked.select("q_id", "community_id", "score", "rank"))
-    listed = answers.members_of_interest(picked, g.memberships, matches, graph.internal_weight(g.relationships, g.memberships), MEMBERS)
-    units = _passages(picked, g, UNITS)
+    near, inside = _around(picked, g)
+    listed = answers.members_of_interest(picked, near.memberships, matches, graph.end_weights(inside), MEMBERS)
+    units = _passages(picked, near, inside, UNITS)
     rows = picked.select("q_id", F.lit("COMMUNITY").alias("kind"), F.col("community_id").alias("identifier"), "score", "rank", F.lit(0).alias("stage"), F.lit(1).alias("n"))
     zero = F.lit(0.0).alias("score")
     rows = rows.unionByName(listed.join(picked.select("q_id", "community_id", "rank"), ["q_id", "community_id"]).select("q_id", F.lit("ENTITY").alias("kind"), F.col("identity").alias("identifier"), zero, "rank", F.lit(1).alias("stage"), "n"))
@@ -209,7 +216,8 @@ def map_reduce_context(questions: DataFrame, g: Graph, model: Model, matcher: Ma
 
     points = written(answers.map_points(questions, ranked, score))
     first = answers.passage_communities(points)
-    units = _passages(first.select("q_id", "community_id", F.col("k").alias("rank")), g, UNITS)
+    first = written(first.select("q_id", "community_id", F.col("k").alias("rank")))
+    units = _passages(first, *_around(first, g), UNITS)
     said = points.select("q_id", F.lit("COMMUNITY").alias("kind"), F.concat_ws("#", "community_id", "n").alias("identifier"), F.col("community_id").alias("label"), "text", F.col("score").cast("double").alias("score"), F.lit(0).alias("stage"), "n")
     read = units.join(g.units.select(F.col("id").alias("unit_id"), "text", F.coalesce("document_name", F.lit("")).alias("label")), "unit_id")
     read = read.select("q_id", F.lit("TEXT_UNIT").alias("kind"), F.col("unit_id").alias("identifier"), "label", "text", F.lit(0.0).alias("score"), F.lit(1).alias("stage"), F.row_number().over(Window.partitionBy("q_id").orderBy("rank", "unit_id")).alias("n"))

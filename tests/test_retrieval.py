@@ -374,3 +374,9 @@ def test_branches_and_questions_look_for_seeds_together(spark, g):
         return retrieval.by_keyword(questions, graph_, limit)
 
     assert retrieval.drift(asked(spark, "What did Ada make?"), g, matcher=matcher).count() > 1 and len(calls) == 1
+
+
+def test_internal_edges_are_found_once_for_a_global_context(spark, g, monkeypatch):
+    calls, inner = [], graph.internal_edges
+    monkeypatch.setattr(graph, "internal_edges", lambda *a: calls.append(1) or inner(*a))
+    assert retrieval.global_(asked(spark, "What did Ada make?"), g).count() > 1 and len(calls) == 1
