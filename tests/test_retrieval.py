@@ -380,3 +380,11 @@ def test_internal_edges_are_found_once_for_a_global_context(spark, g, monkeypatc
     calls, inner = [], graph.internal_edges
     monkeypatch.setattr(graph, "internal_edges", lambda *a: calls.append(1) or inner(*a))
     assert retrieval.global_(asked(spark, "What did Ada make?"), g).count() > 1 and len(calls) == 1
+
+
+def test_kinds_that_nobody_knows_need_no_look_up(spark):
+    edges = spark.createDataFrame([("a::x", "b::y"), ("a::x", "c::x"), ("a::x", "a::x"), ("d::z", "a::x"), (None, "a::x")], "src_id string, tgt_id string")
+    known = spark.createDataFrame([("a::x",), ("e::x",)], "identity string")
+    missing = spark.createDataFrame([("b::y",), ("c::x",), ("d::z",)], "identity string")
+    kept = graph.complete_edges(edges, missing, known)
+    assert sorted(str(r.src_id) for r in kept.collect()) == sorted(str(r.src_id) for r in graph.complete_edges(edges, missing).collect()) == ["None", "a::x"]
