@@ -12,6 +12,11 @@ Each language has its own band about the median m of its well-formed texts. With
 |x - m| / sqrt(1 + SPREAD / bytes), a text of n bytes may lie ``BELOW`` * S under and ``ABOVE`` * S over m, times
 sqrt(1 + SPREAD / n), as short texts vary more. Texts outside go.
 
+A clean text with passages in a second language lies over this band, among menus and lists of its own language. So texts
+between ``ABOVE`` and ``MIXED`` are judged again: each stretch of ``STRETCH`` signs counts by the language that fits it best, and a
+text that then lies in the band of its own language stays. It costs one more scoring by every language of the texts between
+the two limits.
+
 Models go to the executors in blocks of about ``MODEL_ROWS`` n-grams, cut by the two bytes before the predicted one, so a
 position needs one block only; each block takes a pass over the texts and adds its part of the log probability.
 
@@ -36,7 +41,9 @@ from quillgraph.llm._shared import content_key, released, small, trimmed, withou
 ORDER = 5
 #: Width of the band in robust deviations, and the length in bytes at which chance within a text weighs as much as the
 #: differences between texts.
-BELOW, ABOVE, SPREAD = 15.0, 30.0, 2000.0
+BELOW, ABOVE, SPREAD = 15.0, 8.0, 2000.0
+#: Up to how many robust deviations a text may be one of several languages, and the signs of a stretch that has one language.
+MIXED, STRETCH = 30.0, 32
 #: The least robust deviation, in nats a byte; it matters only for languages whose texts are nearly all alike.
 LEAST_DEVIATION = 0.01
 MODEL_ROWS = 2_000_000
@@ -352,6 +359,35 @@ def _models(counts: DataFrame, low, block: int, blocks: int) -> dict[tuple[str,
     return models
 
 
+def _stretched(models: dict[tuple[str, int], Model], names: list[str], block: int, blocks: int):
+    """(key1, key2, parts): this block's part of the loss of each stretch of a text, by each of the languages in turn."""
+
+    def run(batches):
+        with np.errstate(over="ignore"):
+            for b in batches:
+                fold, _ = _traits(b.column(2))
+                parts: list = [None] * b.num_rows
+                for f in (0, 1):
+                    rows = np.flatnonzero(fold == f)
+                    for first, last, data, offsets in tx.pieces(b.column(2).take(pa.array(rows))):
+                        gram, before = _grams(data, offsets)
+                        count = -(-np.diff(before) // STRETCH)
+                        at = tx.positions(np.zeros(len(count), np.int64), count) * STRETCH + np.repeat(before[:-1], count)
+                        loss = np.full((len(at), len(names)), np.inf)
+                        here = np.arange(len(gram)) if blocks == 1 else np.flatnonzero(_block((gram >> tx.U64(8)).astype(np.int64) & 0xFFFF, blocks) == block)
+                        for k, name in enumerate(names):
+                            model = models.get((name, 1 - f))
+                            if model is not None and len(at):
+                                logs = np.zeros(len(gram))
+                                logs[here] = model.logs(gram[here])
+                                loss[:, k] = -np.add.reduceat(logs, at)
+                        for row, some in zip(rows[first:last], np.split(loss, np.cumsum(count)[:-1]), strict=True):
+                            parts[row] = some.ravel()
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(parts, pa.list_(pa.float64()))], names=["key1", "key2", "parts"])
+
+    return run
+
+
 def _low(counts: DataFrame):
     """Counts of counts by (lang, fold) and order, and the pairs by (lang, fold): at most 65,536 for each, whatever the input."""
     times, pairs = low_counts(counts)
@@ -364,19 +400,32 @@ def _low(counts: DataFrame):
     return found, {k: tuple(np.array(x, t) for x, t in zip(zip(*v, strict=True), (np.uint64, np.int64), strict=True)) for k, v in held.items()}
 
 
-def scores(docs: DataFrame) -> DataFrame:
-    """Base counts, log perplexity per byte (null without a model) and the number of signs it rests on, of every row."""
-    spark = docs.sparkSession
+def _taught(docs: DataFrame):
+    """The rows to judge, their n-grams, how many blocks these make, and what all blocks share."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").alias("text"), *content_key("lang", "text"))
     counts = written(gram_counts(rows))
-    blocks = max(1, -(-counts.count() // MODEL_ROWS))
-    low = _low(counts)
+    return rows, counts, max(1, -(-counts.count() // MODEL_ROWS)), _low(counts)
+
+
+def _pass(rows: DataFrame, taught, block: int, judge, schema: str) -> DataFrame:
+    """What ``judge`` makes of the rows with the models of one block, written."""
+    _, counts, blocks, low = taught
+    held = rows.sparkSession.sparkContext.broadcast(_models(counts, low, block, blocks))
+    made = written(rows.mapInArrow(lambda batches: released(judge(held.value)(batches)), schema))
+    held.destroy()
+    return made
+
+
+def scores(docs: DataFrame) -> DataFrame:
+    """Base counts, log perplexity per byte (null without a model) and the number of signs it rests on, of every row."""
+    return _scores(_taught(docs))
+
+
+def _scores(taught) -> DataFrame:
+    rows, _, blocks, _ = taught
     whole, parts = None, []
     for block in range(blocks):
-        held = spark.sparkContext.broadcast(_models(counts, low, block, blocks))
-        run = lambda batches, held=held, block=block: released(_scored(held.value, block, blocks)(batches))
-        made = written(rows.mapInArrow(run, _PART if block else _OUT))
-        held.destroy()
+        made = _pass(rows, taught, block, lambda models, block=block: _scored(models, block, blocks), _PART if block else _OUT)
         if block:
             parts.append(made)
         else:
@@ -412,15 +461,38 @@ def judged(docs: DataFrame) -> DataFrame:
     return _verdicts(docs).drop("key1", "key2")
 
 
+def _cleared(taught, suspect: DataFrame) -> DataFrame:
+    """The keys of the suspect texts (key1, key2, signs, most) whose loss is at most ``most`` a sign where each stretch has the
+    language that fits it best."""
+    rows, _, blocks, low = taught
+    names = sorted({lang for lang, _ in low[1]})
+    texts = rows.select("key1", "key2", "text").join(small(suspect.select("key1", "key2")), ["key1", "key2"], "left_semi")
+    parts = [_pass(texts, taught, block, lambda models, block=block: _stretched(models, names, block, blocks), "key1 long, key2 long, parts array<double>").dropDuplicates(["key1", "key2"]) for block in range(blocks)]
+    summed = lambda held: F.aggregate(F.slice(held, 2, blocks), held[0], lambda a, p: F.zip_with(a, p, lambda x, y: x + y))
+    whole = reduce(DataFrame.unionByName, parts).groupBy("key1", "key2").agg(F.collect_list("parts").alias("parts")).withColumn("parts", summed(F.col("parts")))
+    stretches = F.transform(F.sequence(F.lit(1), F.size("parts"), F.lit(len(names))), lambda i: F.array_min(F.slice("parts", i, len(names))))
+    loss = whole.select("key1", "key2", F.aggregate(stretches, F.lit(0.0).cast("double"), lambda a, x: a + x).alias("loss"))
+    return loss.join(suspect, ["key1", "key2"]).where("loss <= most * signs").select("key1", "key2")
+
+
 def _verdicts(docs: DataFrame) -> DataFrame:
     """The rows of ``judged`` with the key of their language and text, which alone decide."""
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
-    scored = scores(docs).withColumn("base_failed", failed)
+    taught = _taught(docs)
+    scored = _scores(taught).withColumn("base_failed", failed)
     limits = small(bands(scored).withColumnRenamed("lang", "_lang"), LANGUAGES)
     out = scored.join(limits, F.coalesce("lang", F.lit("")) == F.col("_lang"), "left")
     room = F.col("deviation") * _reach()
-    inside = F.coalesce(F.col("log_ppl").between(F.col("middle") - BELOW * room, F.col("middle") + ABOVE * room), F.lit(True))
-    return out.withColumn("kept", ~F.col("base_failed") & inside).select("doc_id", "key1", "key2", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "log_ppl", "kept")
+    most = F.col("middle") + ABOVE * room
+    inside = F.coalesce(F.col("log_ppl").between(F.col("middle") - BELOW * room, most), F.lit(True))
+    suspect = out.where(~F.col("base_failed") & (F.col("log_ppl") > most) & (F.col("log_ppl") <= F.col("middle") + MIXED * room))
+    suspect = written(suspect.select("key1", "key2", "signs", most.alias("most")).dropDuplicates(["key1", "key2"]))
+    if suspect.isEmpty():
+        out = out.withColumn("kept", ~F.col("base_failed") & inside)
+    else:
+        cleared = small(_cleared(taught, suspect).withColumn("mixed", F.lit(True)))
+        out = out.join(cleared, ["key1", "key2"], "left").withColumn("kept", ~F.col("base_failed") & (inside | F.coalesce("mixed", F.lit(False))))
+    return out.select("doc_id", "key1", "key2", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "log_ppl", "kept")
 
 
 def good(docs: DataFrame) -> DataFrame:

@@ -326,3 +326,20 @@ def test_secret_scan_matches_brute_force(spark):
     got = [tuple(x) for x in secrets_scan.digest(spark.createDataFrame([(*x, 7) for x in rows], "doc_id long, text string, base int")).collect()]
     assert sorted(got, key=str) == sorted(want, key=str)
     assert sum("random" in x[5] for x in want) > 50
+
+
+def test_menus_go_and_texts_of_two_languages_stay(spark, monkeypatch):
+    r = random.Random(14)
+    one, two = lexicon(3, "bdgklmnprst", "aeiou"), lexicon(4, "cfhjqvwxyz", ("é", "ou", "ä"))
+    rows = [(i, prose(r, one, r.choice([12, 30, 60])), "xx") for i in range(150)] + [(200 + i, prose(r, two, 12), "yy") for i in range(150)]
+    rows += [(400 + i, prose(r, one, 30) + " " + prose(r, two, 10 + 2 * i), "xx") for i in range(2)]
+    rows += [(500 + i, prose(r, one, 5) + "\n" + " | ".join(w.capitalize() + "," if k % 2 else w for k, w in enumerate(r.choices(one, k=70))), "xx") for i in range(4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    judged = lambda: {x.doc_id: x for x in quality.judged(docs).collect()}
+    got = judged()
+    assert len(got) == len(rows) and not any(x.base_failed for x in got.values())
+    assert {i for i, x in got.items() if not x.kept} == {500, 501, 502, 503}
+    monkeypatch.setattr(quality, "MODEL_ROWS", 2000)  # several blocks
+    assert {i: x.kept for i, x in judged().items()} == {i: x.kept for i, x in got.items()}
+    monkeypatch.setattr(quality, "MIXED", quality.ABOVE)  # by one language alone
+    assert not judged()[401].kept
