@@ -1,5 +1,8 @@
+import hashlib
+import os
 import random
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -7,6 +10,7 @@ from pyspark.sql import functions as F
 from quillgraph.functions import vectors as vx
 from quillgraph.operators import community, compare, graph, merge, seeds
 from quillgraph.operators.tables import components
+from quillgraph.plans import graph_queries, trade
 from quillgraph.sources import readers
 from quillgraph.sources.store import Store, event_buffer
 
@@ -217,6 +221,39 @@ def test_internal_edges_meet_small_kinds_where_they_lie(spark, monkeypatch):
         assert near != 100 or most == 2 or "SortMergeJoin" not in found._jdf.queryExecution().executedPlan().toString() and "hashpartitioning" not in found._jdf.queryExecution().executedPlan().toString()
 
 
+def test_content_hashes_take_every_internal_edge(spark):
+    sf_dir = "/root/testdata/sf0.01"
+    if not os.path.isdir(sf_dir):
+        pytest.skip("no test tables here")
+    names = ("customer", "nation", "part", "region", "supplier", "orders", "lineitem")
+    con = duckdb.connect()
+    for t in names:
+        con.execute(f"create view {t} as select * from '{sf_dir}/{t}.parquet'")
+    want = dict(con.execute(graph_queries.SQL["q48_content_hash"]).fetchall())
+    got = {r.community_id: r.content_hash for r in graph_queries.QUERIES["q48_content_hash"](spark, sf_dir).collect()}
+    home = {r.identity: (r.unit_ids[0], r.ord) for r in trade.entities(spark, sf_dir).collect() if r.unit_ids}
+    lines = {}
+    for x, (c, o) in sorted(home.items(), key=lambda x: x[1]):
+        lines.setdefault(c, []).extend([f"E|{x}|"] * (len(lines.get(c, ())) < community.MEMBERS))
+    inside = [r for r in trade.relationships(spark, sf_dir).collect() if r.src_id in home and r.tgt_id in home and home[r.src_id][0] == home[r.tgt_id][0]]
+    for r in inside:
+        lines[home[r.src_id][0]].append(f"R|{r.src_id}|{r.type}|{r.tgt_id}|{r.weight}|")
+    assert max(map(len, lines.values())) > community.MEMBERS + community.EDGES  # an edge beyond the strongest counts
+    assert got == want == {c: hashlib.sha256("".join(f"{x}\n" for x in sorted(v)).encode()).hexdigest() for c, v in lines.items()}
+
+
+def test_content_hash_goes_on_over_batches(spark):
+    members = spark.createDataFrame([(c, f"n{k}", None) for c in ("a", "b") for k in range(7)] + [(None, "x", "d")], "community_id string, identity string, description string")
+    edges = spark.createDataFrame([("a", "n1", "R", "n2", 3, None)], "community_id string, src_id string, type string, tgt_id string, weight long, description string")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")
+    try:
+        got = {r.community_id: r.content_hash for r in community.content_hashes(members, edges).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = {"a": [*(f"E|n{k}|" for k in range(7)), "R|n1|R|n2|3|"], "b": [f"E|n{k}|" for k in range(7)], None: ["E|x|d"]}
+    assert got == {c: hashlib.sha256("".join(f"{x}\n" for x in v).encode()).hexdigest() for c, v in want.items()}
+
+
 def test_imports_unite_units_and_a_bucket_is_written_by_many_tasks(spark, tmp_path):
     rows = spark.createDataFrame([("a", "r", "b", ["u2", "u1"], 2, 1), ("a", "R", "b", ["u1", "u0"], 3, 0), ("c", "r", "b", [], 4, 2), ("d", "r", "b", None, 5, 3)], "src_id string, type string, tgt_id string, unit_ids array<string>, weight long, at long")
     rows = rows.withColumns({c: F.lit("x") for c in ("source", "source_type", "target", "target_type", "description")})
