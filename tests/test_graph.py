@@ -205,6 +205,31 @@ def test_louvain_of_a_corpus_beyond_the_kernel(spark):
     assert {(x.identity, x.community) for x in community.detected(nodes, edges, kernel=60).where("corpus_id = 'small'").collect()} == {("x", 0), ("y", 0)}
 
 
+def test_rounds_over_packed_edges_equal_those_over_whole_rows(spark, monkeypatch):
+    r = random.Random(7)
+    ids = [f"{p}{i}" for p in "abcdefgh" for i in range(12)] + ["hub", "lone"]
+    rows = [(f"{p}{i}", f"{p}{r.randrange(12)}", r.randrange(1, 4)) for p in "abcdefgh" for i in range(12) for _ in range(6)] + [("hub", x, 1) for x in ids if x != "lone"]
+    rows += [(r.choice(ids[:-1]), r.choice(ids[:-1]), 1) for _ in range(40)] + [("a1", None, 1), ("a1", "a2", 0)]
+    nodes = spark.createDataFrame([("big", x, k) for k, x in enumerate(ids)], "corpus_id string, identity string, ord long")
+    part = {}
+    for ghosts in (0, 1):
+        edges = spark.createDataFrame([("big", *e, k) for k, e in enumerate(rows + [("ghost", "b3", 2)] * ghosts)], "corpus_id string, src_id string, tgt_id string, weight long, ord long")
+        for block, dealt, most in ((1 << 18, 1 << 21, 1000), (7, 60, 1000), (7, 60, 0))[ghosts : 3 - ghosts]:
+            for name, value in (("BLOCK", block), ("DEALT", dealt), ("NODES", most)):
+                monkeypatch.setattr(community, name, value)
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(min(block, 10000)))
+            try:
+                part[ghosts, block, most] = {(x.level, x.identity): x.community for x in community.detected(nodes, edges, kernel=60, passes=5).collect()}
+            finally:
+                spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+        top = max(k for k, _ in part[ghosts, 7, 1000])
+        assert {x for k, x in part[ghosts, 7, 1000] if k == top} == set(ids)
+    assert part[0, 7, 1000] == part[0, 1 << 18, 1000]  # rows are cut inside of nodes, the hub goes over many
+    partition = lambda found: spark.createDataFrame([(x, c) for (k, x), c in found.items() if k == max(k for k, _ in found)], "identity string, community int")
+    quality = [community.modularity(partition(part[0, 7, most]), spark.createDataFrame(rows, "src_id string, tgt_id string, weight long")).first()[0] for most in (1000, 0)]
+    assert quality[0] > quality[1] - 0.05
+
+
 def test_internal_edges_meet_small_kinds_where_they_lie(spark, monkeypatch):
     r = random.Random(5)
     kinds = {"a": 12, "b": 5, "c": 3, "d": 4}
